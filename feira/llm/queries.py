@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from feira.llm import fingerprints, near_dedup
+from feira.llm import bpe, fingerprints, mixing, near_dedup
 from feira.llm._store import let_workers_import
 
 
@@ -25,9 +26,63 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def quality_weights(labels: DataFrame) -> DataFrame:
+    """``doc_id`` and ``quality``, the sampling weight: 2 for good, 1/2 for bad documents."""
+    known = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    return known.select("doc_id", F.when(F.col("quality") == 1, 2.0).when(F.col("quality") == 0, 0.5).alias("quality"))
+
+
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words taken of every document when its source is mixed to its target; unlabelled documents weigh 1."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
+    sized = docs.join(quality_weights(_table(spark, sf_dir, "labels")), "doc_id", "left")
+    return mixing.mix_sources(sized).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ids and of what the ids decode to, for every document."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.encode_digests(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_near_dedup": op2_near_dedup,
+    "op8_mix_sources": op8_mix_sources,
+    "op10_byte_bpe": op10_byte_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_mix_sources": """
+WITH sized AS (
+    SELECT d.doc_id, d.source, len(regexp_extract_all(coalesce(d.text, ''), '[^\\x20\\x09-\\x0D]+')) AS size, coalesce(q.quality, 1.0) AS quality
+    FROM documents d LEFT JOIN (
+        SELECT doc_id, CASE max(quality) WHEN 1 THEN 2.0 WHEN 0 THEN 0.5 END AS quality FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+    ) q ON d.doc_id = q.doc_id
+), per_source AS (
+    SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
+), weighted AS (
+    SELECT *, source_size * 3.0::DOUBLE AS lim,
+           CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight
+    FROM per_source
+), levels AS (
+    SELECT *, (sum(source_size) OVER () - coalesce(sum(lim) OVER before, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
+    FROM weighted WINDOW before AS (ORDER BY lim / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), truth AS (
+    SELECT level AS lvl FROM levels WHERE level * weight <= lim ORDER BY lim / weight, source NULLS LAST LIMIT 1
+), targets AS (
+    SELECT source, source_size, coalesce(least(lim, lvl * weight), lim) AS target FROM levels LEFT JOIN truth ON TRUE
+), rests AS (
+    SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM targets
+), keyed AS (
+    SELECT doc_id, source, size, -ln((CAST('0x' || substr(md5('17' || coalesce(':' || doc_id, '')), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496) / quality AS k FROM sized
+), run AS (
+    SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM keyed
+)
+SELECT r.doc_id, CAST(r.size AS BIGINT) AS size, t.source_size, t.target,
+       CAST(r.size * (t.epochs + CASE WHEN r.before + r.size / 2.0::DOUBLE <= t.target - t.epochs * t.source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM run r JOIN rests t ON r.source IS NOT DISTINCT FROM t.source
+""",
+}
