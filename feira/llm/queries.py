@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feira.llm import bpe, fingerprints, mixing, near_dedup
-from feira.llm._store import let_workers_import
+from feira.llm import bpe, fingerprints, line_dedup, mixing, near_dedup, warc
+from feira.llm._store import let_workers_import, new_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,17 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deduplicated archives of all pages, written, read back and resolved."""
+    found = warc.deduplicate_pages(_table(spark, sf_dir, "pages"), new_path(spark, "warc"), least_bytes=0)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of all documents that an earlier line makes superfluous."""
+    return line_dedup.line_report(_table(spark, sf_dir, "documents"))
+
+
 def quality_weights(labels: DataFrame) -> DataFrame:
     """``doc_id`` and ``quality``, the sampling weight: 2 for good, 1/2 for bad documents."""
     known = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -50,11 +61,59 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_near_dedup": op2_near_dedup,
+    "op4_warc": op4_warc,
+    "op6_line_dedup": op6_line_dedup,
     "op8_mix_sources": op8_mix_sources,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_warc": """
+WITH h AS (
+    SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages WHERE page_id IS NOT NULL
+), d AS (
+    SELECT page_id, payload_bytes, list_aggregate(list_transform(range(32), lambda i:
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(hex, 1 + (i // 8) * 10, 10) AS BIGINT) >> (35 - 5 * (i % 8))) & 31)::INT, 1)), 'string_agg', '') AS payload_digest
+    FROM h
+), o AS (
+    SELECT payload_digest, max(page_id) AS original FROM d GROUP BY payload_digest
+)
+SELECT d.page_id, CAST(d.payload_bytes AS BIGINT) AS payload_bytes, d.payload_digest, CASE WHEN d.page_id < o.original THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN d.page_id < o.original THEN o.original END AS refers_to
+FROM d JOIN o USING (payload_digest)
+""",
+    "op6_line_dedup": """
+WITH all_lines AS (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no
+    FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
+), cut AS (
+    SELECT doc_id, line_no, list_filter(string_split_regex(lower(line), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM all_lines
+), sized AS (
+    SELECT doc_id, line_no, w, len(w) AS n FROM cut WHERE len(w) >= 5
+), firsts AS (
+    SELECT w, n, min((doc_id, line_no)) AS place FROM sized GROUP BY w, n
+), variants AS (
+    SELECT w, n, place, i, array_to_string(w[1:i-1] || w[i+1:], ' ') AS v
+    FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM firsts WHERE n >= 10)
+), wholes AS (
+    SELECT w, n, place, array_to_string(w, ' ') AS v FROM firsts WHERE n >= 10
+), near AS (
+    SELECT a.w FROM variants a JOIN (SELECT v, i, n, min(place) AS place FROM variants GROUP BY v, i, n) b USING (v, i, n) WHERE b.place < a.place
+    UNION
+    SELECT a.w FROM variants a JOIN wholes b ON a.v = b.v AND a.n = b.n + 1 WHERE b.place < a.place
+    UNION
+    SELECT a.w FROM wholes a JOIN variants b ON a.v = b.v AND b.n = a.n + 1 WHERE b.place < a.place
+), judged AS (
+    SELECT s.doc_id, s.line_no, CASE WHEN (s.doc_id, s.line_no) > f.place THEN 'equal' WHEN EXISTS (SELECT 1 FROM near WHERE near.w = s.w) THEN 'near' END AS reason
+    FROM sized s JOIN firsts f ON s.w = f.w
+), gone AS (
+    SELECT doc_id, count(*) FILTER (WHERE reason = 'equal') AS n_equal, count(*) FILTER (WHERE reason = 'near') AS n_near, string_agg(line_no, ',' ORDER BY line_no) AS removed
+    FROM judged WHERE reason IS NOT NULL GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(coalesce(len(string_split(d.text, chr(10))), 0) AS BIGINT) AS n_lines, CAST(coalesce(n_equal, 0) AS BIGINT) AS n_equal,
+       CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, coalesce(removed, '') AS removed
+FROM documents d LEFT JOIN gone g USING (doc_id)
+""",
     "op8_mix_sources": """
 WITH sized AS (
     SELECT d.doc_id, d.source, len(regexp_extract_all(coalesce(d.text, ''), '[^\\x20\\x09-\\x0D]+')) AS size, coalesce(q.quality, 1.0) AS quality
