@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feira.llm import bpe, fingerprints, line_dedup, mixing, near_dedup, warc
+from feira.llm import bpe, chat, fingerprints, line_dedup, mixing, near_dedup, warc
 from feira.llm._store import let_workers_import, new_path
 
 
@@ -26,6 +26,11 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rendered turns of all conversations that no longer one continues."""
+    return chat.format_turns(_table(spark, sf_dir, "conversations"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deduplicated archives of all pages, written, read back and resolved."""
     found = warc.deduplicate_pages(_table(spark, sf_dir, "pages"), new_path(spark, "warc"), least_bytes=0)
@@ -61,6 +66,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_near_dedup": op2_near_dedup,
+    "op3_chat_format": op3_chat_format,
     "op4_warc": op4_warc,
     "op6_line_dedup": op6_line_dedup,
     "op8_mix_sources": op8_mix_sources,
@@ -68,6 +74,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_chat_format": """
+WITH placed AS (
+    SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS place
+    FROM conversations WHERE conv_id IS NOT NULL
+), whole AS (
+    SELECT conv_id, list({'r': role, 't': text} ORDER BY place) AS turns, count(*) AS n FROM placed GROUP BY conv_id
+), beginnings AS (
+    SELECT DISTINCT turns[1:k] AS turns FROM (SELECT turns, unnest(range(1, n)) AS k FROM whole)
+), kept AS (
+    SELECT min(conv_id) AS conv_id, n AS n_turns FROM whole WHERE turns NOT IN (SELECT turns FROM beginnings) GROUP BY turns, n
+)
+SELECT k.conv_id, k.n_turns, p.place, '<|im_start|>' || coalesce(p.role, '') || chr(10) || coalesce(p.text, '') || '<|im_end|>' || chr(10) AS rendered
+FROM kept k JOIN placed p USING (conv_id)
+""",
     "op4_warc": """
 WITH h AS (
     SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages WHERE page_id IS NOT NULL
