@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feira.llm import bpe, chat, fingerprints, line_dedup, mixing, near_dedup, warc
+from feira.llm import bpe, chat, fingerprints, line_dedup, mixing, near_dedup, secret_scan, warc
 from feira.llm._store import let_workers_import, new_path
 
 
@@ -42,6 +42,11 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(_table(spark, sf_dir, "documents"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents by pattern and by character models."""
+    return secret_scan.scan_digests(_table(spark, sf_dir, "documents"))
+
+
 def quality_weights(labels: DataFrame) -> DataFrame:
     """``doc_id`` and ``quality``, the sampling weight: 2 for good, 1/2 for bad documents."""
     known = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat_format": op3_chat_format,
     "op4_warc": op4_warc,
     "op6_line_dedup": op6_line_dedup,
+    "op7_secret_scan": op7_secret_scan,
     "op8_mix_sources": op8_mix_sources,
     "op10_byte_bpe": op10_byte_bpe,
 }
