@@ -6,19 +6,19 @@
    ``MANTISSA`` of the bits after them.
 2. Documents of equal sets form one class, represented by the smallest id; only
    representatives go on.
-3. Bands of ``ROWS`` registers are hashed to keys. Documents at the similarity
-   threshold 0.8 share no key with probability (1 - 0.8^4)^40 < 1e-9. Of each key
-   with several documents every document is paired with two leaders: the one with
-   the most partners over all its keys (the centre of a group of copies) and the
-   smallest. That is linear in the group, however large it is.
-4. Pairs pass the collision-corrected similarity estimate (cut six standard errors
-   below the threshold) and are then confirmed on the full shingle sets.
-5. Where documents of one key are still in different components, the pairs across
-   components are tried as well, so a link is only left out if both ends are
-   connected already. Jaccard distance is a metric: a document further than 0.4
-   from a leader cannot be linked to what is within 0.2 of it, which excludes most
-   of such pairs without making them. Keys of more than ``DIRECT_GROUP`` remaining
-   documents are split by a second band key before pairing.
+3. Empty registers borrow another's value in an order that is the same for all documents,
+   so that short documents collide like long ones. Bands of ``ROWS`` registers are hashed to
+   keys. Documents at the similarity threshold 0.8 share no key with probability
+   (1 - 0.8^4)^40 < 1e-9. Of each key with several documents every document is paired with two
+   leaders: the one with the most partners over all its keys (the centre of a group of copies)
+   and the smallest. That is linear in the group, however large it is.
+4. Pairs pass the collision-corrected similarity estimate on the true registers (cut six
+   standard errors below the threshold) and are then confirmed on the full shingle sets.
+5. Keys of more than three documents may still hold different components. A document outside
+   its key's main component is then looked up by its rarest shingles: a partner must hold
+   one of the floor(0.2 n) + 1 rarest of its n shingles (counted among the documents of such
+   keys). What an edited copy has alone has no partner, so large groups of copies make few
+   pairs. After this every pair that shares a key is linked, connected otherwise, or refuted.
 
 Defined cases: null and blank texts have no shingles and are linked with nothing;
 a text with fewer words than a shingle is one shingle; rows with a null id are
@@ -32,18 +32,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from feira.llm._store import materialise
-from feira.llm._text import GOLDEN, mix64, shingle_set
+from feira.llm._text import GOLDEN, mix64, sequence64, shingle_set
 from feira.llm.graph import components
 
 BANDS, ROWS = 40, 4
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
 EMPTY = 0xFFFF
-DIRECT_GROUP = 32
+#: Documents of a key up to which the pairs with its two leaders are all pairs.
+LED_WHOLE = 3
 
 SKETCH_SCHEMA = "doc_id long, n_shingles long, digest_1 long, digest_2 long, sketch binary"
 
@@ -64,6 +65,22 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+_orders: list[np.ndarray] = []
+
+
+def densified(regs: np.ndarray) -> np.ndarray:
+    """Sketches (rows) whose empty registers hold the value of the first used one in their own probing order."""
+    if not _orders:
+        draws = mix64(sequence64(REGISTERS * REGISTERS, start=1 << 24)).reshape(REGISTERS, REGISTERS)
+        _orders.append(draws.argsort(axis=1).argsort(axis=1).astype(np.int16))
+    out = regs.copy()
+    for i in np.flatnonzero((regs == EMPTY).any(axis=1)):
+        empty, donors = np.flatnonzero(regs[i] == EMPTY), np.flatnonzero(regs[i] != EMPTY)
+        if len(donors):
+            out[i, empty] = regs[i, donors[_orders[0][np.ix_(empty, donors)].argmin(axis=1)]]
+    return out
+
+
 def estimated_jaccard(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Similarity of sketches (rows of ``a`` and ``b``) and the number of buckets it rests on.
 
@@ -99,20 +116,18 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rep, key) for every band with a used register."""
+    """(rep, key) for every band."""
+    salt = mix64(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(GOLDEN))
     for batch in batches:
-        regs = _matrix(batch.column(1)).reshape(-1, BANDS, ROWS)
-        packed = np.ascontiguousarray(regs).view(np.uint64).reshape(-1, BANDS)
-        keys = mix64(packed ^ mix64(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(GOLDEN)))
-        row, band = np.nonzero((regs != EMPTY).any(axis=2))
-        reps = batch.column(0).to_numpy(zero_copy_only=False)
-        for at in range(0, len(row), 200_000):
-            r, b = row[at : at + 200_000], band[at : at + 200_000]
-            yield pa.RecordBatch.from_arrays([pa.array(reps[r]), pa.array(keys[r, b].view(np.int64))], ["rep", "key"])
+        for at in range(0, batch.num_rows, 5000):
+            part = batch.slice(at, 5000)
+            packed = densified(_matrix(part.column(1))).view(np.uint64).reshape(-1, BANDS)
+            reps = np.repeat(part.column(0).to_numpy(zero_copy_only=False), BANDS)
+            yield pa.RecordBatch.from_arrays([pa.array(reps), pa.array(mix64(packed ^ salt).ravel().view(np.int64))], ["rep", "key"])
 
 
 def _estimator(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(a, b) -> (a, b, likely, far): whether a link is possible, and whether even 0.4 more distance is excluded."""
+    """Keeps the pairs (a, b) whose sketches and set sizes allow a link."""
 
     def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,9 +135,7 @@ def _estimator(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterato
             value, used = estimated_jaccard(_matrix(batch.column(4)), _matrix(batch.column(5)), n_a, n_b)
             likely = value >= threshold - 6 * np.sqrt(threshold * (1 - threshold) / np.maximum(used, 1))
             likely &= np.minimum(n_a, n_b) >= threshold * np.maximum(n_a, n_b) - 1e-6
-            near = 1 - 2 * (1 - threshold)
-            far = value < near - 6 * np.sqrt(near * (1 - near) / np.maximum(used, 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(likely), pa.array(far)], ["a", "b", "likely", "far"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(likely))
 
     return estimate
 
@@ -155,6 +168,30 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rep, component, outside, n, hash) per shingle."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            one = batch.slice(i, 1)
+            hashes = np.frombuffer(one.column(3)[0].as_py(), dtype=np.int64)
+            repeat = np.zeros(len(hashes), dtype=np.int64)
+            kept = [one.column(c).take(pa.array(repeat)) for c in range(3)]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(np.full(len(hashes), len(hashes))), pa.array(hashes)], ["rep", "component", "outside", "n", "hash"])
+
+
+def _rare_partners(opened: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y) of different components, where y holds one of the rarest shingles of x and x is outside a main component."""
+    with_sets = opened.join(sets, opened["rep"] == sets["id"]).select("rep", "component", "outside", "hashes")
+    shingles = materialise(with_sets.mapInArrow(_set_rows, "rep long, component long, outside boolean, n long, hash long"), "shingles")
+    counts = shingles.groupBy("hash").agg(F.count(F.lit(1)).alias("df"))
+    rarest = Window.partitionBy("rep").orderBy("df", "hash")
+    ranked = shingles.filter("outside").join(counts, "hash").withColumn("rank", F.row_number().over(rarest))
+    prefix = ranked.filter((F.col("rank") <= F.floor(F.col("n") * (100 - percent) / 100) + 1) & (F.col("df") > 1))
+    found = prefix.select(F.col("rep").alias("x"), F.col("component").alias("c"), F.col("n").alias("n_x"), "hash").join(shingles.select("hash", F.col("rep").alias("y"), "component", "n"), "hash")
+    sizes = (F.least("n", "n_x") * 100 >= F.greatest("n", "n_x") * percent) & (F.col("c") != F.col("component"))
+    return found.filter(sizes).select("x", "y")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` per document.
 
@@ -182,54 +219,32 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     def estimated(pairs: DataFrame) -> DataFrame:
         side = lambda x: reps.select(F.col("rep").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b")
-        return both.mapInArrow(_estimator(percent / 100), "a long, b long, likely boolean, far boolean")
+        return materialise(both.mapInArrow(_estimator(percent / 100), "a long, b long"), "likely")
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    def sets_of(ids: DataFrame) -> DataFrame:
         wanted = rows.join(ids, rows["doc_id"] == ids["id"], "left_semi").dropDuplicates(["doc_id"])
-        sets = materialise(wanted.mapInArrow(_set_maker(k), "id long, hashes binary"), "sets")
+        return materialise(wanted.mapInArrow(_set_maker(k), "id long, hashes binary"), "sets")
+
+    def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         side = lambda x: sets.select(F.col("id").alias(x), F.col("hashes").alias(f"h_{x}"))
-        both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "h_a", "h_b")
+        both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "h_a", "h_b")
         return materialise(both.mapInArrow(_confirmer(percent, 100), "a long, b long"), "confirmed")
 
     with_leaders = shared.join(leaders, "key").select(F.col("rep").alias("x"), F.explode(F.array("lead", "lo")).alias("y"))
-    led = materialise(estimated(_ordered(with_leaders)), "led")
-    links = confirmed(led.filter("likely"))
+    likely = estimated(_ordered(with_leaders))
+    links = confirmed(likely, sets_of(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
     labels = materialise(components(links), "labels")
 
-    # What is still apart within a key.
-    placed = shared.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    apart = placed.groupBy("key").agg(F.min("component").alias("c_lo"), F.max("component").alias("c_hi")).filter("c_lo <> c_hi")
-    open_rows = placed.join(apart.select("key"), "key").join(leaders.select("key", "lead"), "key")
-    open_rows = open_rows.withColumns({"a": F.least("rep", "lead"), "b": F.greatest("rep", "lead")})
-    seen = led.select("a", "b", "far").join(links.withColumn("linked", F.lit(True)), ["a", "b"], "left")
-    kinds = open_rows.join(seen, ["a", "b"], "left").select(
-        "key",
-        "rep",
-        "component",
-        F.when((F.col("rep") == F.col("lead")) | F.coalesce("linked", F.lit(False)), "core").when(F.coalesce("far", F.lit(False)), "far").otherwise("near").alias("kind"),
-    )
-    kinds = materialise(kinds, "open")
-    counts = kinds.groupBy("key").agg(F.count_if(F.col("kind") == "near").alias("near"), F.count_if(F.col("kind") == "core").alias("core"), F.count_if(F.col("kind") == "far").alias("distant"))
-    counts = counts.withColumn("rest", F.col("near") + F.col("distant") + F.when(F.col("near") > 0, F.col("core")).otherwise(0)).filter("rest > 1")
-    left = kinds.join(counts.select("key", "near", "rest"), "key").filter("kind <> 'core' OR near > 0").select("key", "rep", "component", "kind", "rest")
-    direct = left.filter(F.col("rest") <= DIRECT_GROUP).select("key", "rep", "component", "kind")
-    again = left.filter(F.col("rest") > DIRECT_GROUP).select(F.col("key").alias("first"), "rep", "component", "kind")
-    second = shared.select("rep", F.col("key").alias("second"))
-    split = again.join(second, "rep").filter("first <> second").select(F.xxhash64("first", "second").alias("key"), "rep", "component", "kind")
-    split_open = split.groupBy("key").agg(F.min("component").alias("c_lo"), F.max("component").alias("c_hi")).filter("c_lo <> c_hi").select("key")
-    split = split.join(split_open, "key")
-
-    def across(grouped: DataFrame) -> DataFrame:
-        l, r = (grouped.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "component", "kind"))) for s in ("l", "r"))
-        met = l.join(r, "key").filter("component_l < component_r")
-        apart_kinds = ~(((F.col("kind_l") == "core") & (F.col("kind_r") == "far")) | ((F.col("kind_l") == "far") & (F.col("kind_r") == "core")))
-        return met.filter(apart_kinds).select(F.col("rep_l").alias("x"), F.col("rep_r").alias("y"))
-
-    tried = _ordered(across(direct).unionByName(across(split))).join(led.select("a", "b"), ["a", "b"], "left_anti")
-    more = materialise(estimated(tried).filter("likely"), "tried")
-    if not more.isEmpty():
-        links = links.unionByName(confirmed(more))
+    # Documents of larger keys that still hold several components.
+    placed = shared.filter(F.col("n") > LED_WHOLE).join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    per_key = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    main = per_key.groupBy("key").agg(F.max(F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("several")).filter("several > 1")
+    open_rows = placed.join(main.select("key", F.col("main.component").alias("main")), "key")
+    opened = materialise(open_rows.groupBy("rep", "component").agg(F.max(F.col("component") != F.col("main")).alias("outside")), "open")
+    if not opened.isEmpty():
+        sets = sets_of(opened.select(F.col("rep").alias("id")))
+        tried = estimated(_ordered(_rare_partners(opened, sets, percent)).join(likely, ["a", "b"], "left_anti"))
+        links = links.unionByName(confirmed(tried, sets))
         labels = materialise(components(links), "labels")
 
     named = members.select("doc_id", "n_shingles", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
