@@ -281,6 +281,26 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return rows.mapInArrow(tokens, "doc_id long, ids array<int>")
 
 
+def encode_corpus(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """``doc_id``, ``source``, ``n_tokens``, ``ids``, and ``decodes``: whether the ids give the text back."""
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            done = codec(path, pattern).round_trip(texts)
+            columns = [
+                batch.column(0),
+                batch.column(2),
+                pa.array([len(i) // 4 for i, _ in done], pa.int64()),
+                pa.array([np.frombuffer(i, dtype="<u4").astype(np.int32) for i, _ in done], pa.list_(pa.int32())),
+                pa.array([b == t.encode() for (_, b), t in zip(done, texts, strict=True)], pa.bool_()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "source", "n_tokens", "ids", "decodes"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"))
+    return rows.mapInArrow(tokens, "doc_id long, source string, n_tokens long, ids array<int>, decodes boolean")
+
+
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """``doc_id`` and ``text`` from ``doc_id`` and ``ids``; bytes that aren't UTF-8 become U+FFFD."""
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feira.llm import bpe, chat, fingerprints, line_dedup, mixing, near_dedup, secret_scan, toxicity, warc
+from feira.llm import ann, bpe, chat, fingerprints, line_dedup, mixing, near_dedup, secret_scan, toxicity, warc
 from feira.llm._store import let_workers_import, new_path
 
 
@@ -37,6 +37,11 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth vector id."""
+    return ann.nearest_neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, top=20)
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of all documents that an earlier line makes superfluous."""
     return line_dedup.line_report(_table(spark, sf_dir, "documents"))
@@ -80,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_dedup": op2_near_dedup,
     "op3_chat_format": op3_chat_format,
     "op4_warc": op4_warc,
+    "op5_nearest": op5_nearest,
     "op6_line_dedup": op6_line_dedup,
     "op7_secret_scan": op7_secret_scan,
     "op8_mix_sources": op8_mix_sources,

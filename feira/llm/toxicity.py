@@ -39,6 +39,7 @@ from dataclasses import dataclass, field
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -318,7 +319,6 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` whose text the model does not reject, columns as they are."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    import pandas as pd
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
