@@ -17,8 +17,8 @@
 5. Keys of more than three documents may still hold different components. A document outside
    its key's main component is then looked up by its rarest shingles: a partner must hold
    one of the floor(0.2 n) + 1 rarest of its n shingles (counted among the documents of such
-   keys). What an edited copy has alone has no partner, so large groups of copies make few
-   pairs. After this every pair that shares a key is linked, connected otherwise, or refuted.
+   keys). What an edited copy has alone has no partner and bounds its partners' sizes, so
+   large groups of copies make few pairs. After this every pair that shares a key is linked, connected otherwise, or refuted.
 
 Defined cases: null and blank texts have no shingles and are linked with nothing;
 a text with fewer words than a shingle is one shingle; rows with a null id are
@@ -32,7 +32,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feira.llm._store import materialise
@@ -179,17 +179,30 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*kept, pa.array(np.full(len(hashes), len(hashes))), pa.array(hashes)], ["rep", "component", "outside", "n", "hash"])
 
 
+def _size_bucket(n: Column) -> Column:
+    """Set sizes that differ by about a tenth share a bucket."""
+    return F.floor(F.log(n.cast("double")) * 10).cast("int")
+
+
 def _rare_partners(opened: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, y) of different components, where y holds one of the rarest shingles of x and x is outside a main component."""
+    """Pairs (x, y) of different components, where y holds one of the rarest shingles of x and x is outside a main component.
+
+    What x has alone bounds the intersection, and with it the size of a partner, so a copy with
+    many edits of its own meets nothing of its own size.
+    """
     with_sets = opened.join(sets, opened["rep"] == sets["id"]).select("rep", "component", "outside", "hashes")
     shingles = materialise(with_sets.mapInArrow(_set_rows, "rep long, component long, outside boolean, n long, hash long"), "shingles")
     counts = shingles.groupBy("hash").agg(F.count(F.lit(1)).alias("df"))
-    rarest = Window.partitionBy("rep").orderBy("df", "hash")
-    ranked = shingles.filter("outside").join(counts, "hash").withColumn("rank", F.row_number().over(rarest))
+    own = Window.partitionBy("rep")
+    ranked = shingles.filter("outside").join(counts, "hash").withColumn("rank", F.row_number().over(own.orderBy("df", "hash"))).withColumn("alone", F.count_if(F.col("df") == 1).over(own))
     prefix = ranked.filter((F.col("rank") <= F.floor(F.col("n") * (100 - percent) / 100) + 1) & (F.col("df") > 1))
-    found = prefix.select(F.col("rep").alias("x"), F.col("component").alias("c"), F.col("n").alias("n_x"), "hash").join(shingles.select("hash", F.col("rep").alias("y"), "component", "n"), "hash")
-    sizes = (F.least("n", "n_x") * 100 >= F.greatest("n", "n_x") * percent) & (F.col("c") != F.col("component"))
-    return found.filter(sizes).select("x", "y")
+    least = F.ceil(F.col("n") * percent / 100)
+    most = F.least(F.floor(F.col("n") * 100 / percent), F.floor((F.col("n") - F.col("alone")) * (100 + percent) / percent) - F.col("n"))
+    probes = prefix.select(F.col("rep").alias("x"), F.col("component").alias("c"), least.alias("least"), most.alias("most"), "hash").filter("least <= most")
+    probes = probes.withColumn("bucket", F.explode(F.sequence(_size_bucket(F.col("least")), _size_bucket(F.col("most")))))
+    held = shingles.select("hash", _size_bucket(F.col("n")).alias("bucket"), F.col("rep").alias("y"), "component", "n")
+    found = probes.join(held, ["hash", "bucket"]).filter(F.col("n").between(F.col("least"), F.col("most")) & (F.col("c") != F.col("component")))
+    return found.select("x", "y")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
