@@ -34,13 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Cached chunks per generation; two generations are kept.
-CACHE = 250_000
+CACHE = 40_000
 #: Longer chunks are not cached.
 CACHED_CHARS = 400
 #: Bytes of a piece up to which the recursive query is used.
 LONG_PIECE = 1024
-#: Pieces per recursive query.
-BLOCK = 40_000
+#: Rows that one recursive query makes, about: a piece of n bytes makes up to n * n / 2 in its rounds.
+ROWS = 500_000
 
 # The characters of the pattern's \s, Unicode White_Space.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -89,7 +89,7 @@ class Codec:
         self.pattern = regex.compile(pattern.replace(r"[^\s\p{L}\p{N}]", rf"[^{WHITE}\p{{L}}\p{{N}}]").replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]"))
         self.single = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int64)
         pairs = [(left, right, rank) for token, rank in self.ranks.items() for k in range(1, len(token)) if (left := self.ranks.get(token[:k])) is not None and (right := self.ranks.get(token[k:])) is not None]
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "700MB"})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
         merges = pa.table([pa.array(c, pa.int64()) for c in zip(*pairs, strict=True)] if pairs else [pa.array([], pa.int64())] * 3, ["l", "r", "id"])
         vocabulary = pa.table([pa.array(list(self.ranks.values()), pa.int64()), pa.array([t.hex() for t in self.ranks])], ["id", "hex"])
         for name, table in (("merges", merges), ("vocabulary", vocabulary)):
@@ -137,8 +137,8 @@ class Codec:
                 out[i] = np.array(self._by_heap(p), dtype=np.int64)
             else:
                 rest.append(i)
-        for at in range(0, len(rest), BLOCK):
-            block = rest[at : at + BLOCK]
+        made = np.cumsum([len(pieces[i]) ** 2 / 2 for i in rest])
+        for block in [b.tolist() for b in np.split(np.array(rest, dtype=np.intp), np.flatnonzero(np.diff(made // ROWS)) + 1) if len(b)]:
             lengths = np.array([len(pieces[i]) for i in block])
             tokens = self.single[np.frombuffer(b"".join(pieces[i] for i in block), dtype=np.uint8)]
             start = np.cumsum(lengths) - lengths
@@ -239,7 +239,7 @@ def codec(path: str, pattern: str) -> Codec:
     return _codecs[path, pattern]
 
 
-def _slices(batches: Iterator[pa.RecordBatch], chars: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], chars: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Batches cut so that the texts of one slice have about ``chars`` bytes at most, or are one text."""
     for batch in batches:
         sizes = np.array([len(v.as_py() or "") for v in batch.column(1)], dtype=np.int64)

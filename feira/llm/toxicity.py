@@ -55,7 +55,9 @@ WINDOW = 20
 TOP = 3
 NO_WORD = -3.0
 #: Words whose scores a worker keeps.
-CACHE = 400_000
+CACHE = 200_000
+#: Texts whose word sets are held at once.
+BLOCK = 128
 
 _SINGLES = re.compile(r"(?<![^\W_])[^\W\d_](?:[\s.\-_*]+[^\W\d_](?![^\W_])){2,}")
 _BEGIN, _END = 30, 31
@@ -139,7 +141,11 @@ class Model:
         return out
 
     def features(self, texts: list[str]) -> np.ndarray:
-        """The ``TOP`` highest word scores of each text."""
+        """The ``TOP`` highest word scores of each text, ``BLOCK`` texts at a time."""
+        blocks = [self._features(texts[i : i + BLOCK]) for i in range(0, len(texts), BLOCK)]
+        return np.vstack(blocks) if blocks else np.empty((0, TOP))
+
+    def _features(self, texts: list[str]) -> np.ndarray:
         if len(self.cache) > CACHE:
             self.cache.clear()
         sets = [set(words_of(t)) for t in texts]
