@@ -59,8 +59,8 @@ def rolling_features(panel: DataFrame) -> DataFrame:
     before = lambda n: _days.rowsBetween(-n, -1)
     return panel.withColumns(
         {
-            "media_movel_3": F.round(F.avg("preco").over(before(3)), 8),
-            "media_movel_7": F.round(F.avg("preco").over(before(7)), 8),
+            "media_movel_3": F.round(F.avg("preco").over(before(3)), 10),
+            "media_movel_7": F.round(F.avg("preco").over(before(7)), 10),
             "desvio_movel_7": F.round(F.coalesce(F.stddev_samp("preco").over(before(7)), F.lit(0.0)), 6),
         }
     )

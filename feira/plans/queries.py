@@ -227,8 +227,8 @@ def lag_features(spark, sf_dir):
     return panel.lag_features(_panel(spark, sf_dir)).select("id_produto_loja", "dia", "preco", *(f"lag_{n}" for n in panel.LAGS))
 
 
-@query(DAILY_SQL + f"""SELECT id_produto_loja, {_day('dia')} AS dia, round(avg(preco) OVER (PARTITION BY id_produto_loja ORDER BY painel.dia ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 8) AS media_movel_3,
-round(avg(preco) OVER s, 8) AS media_movel_7, round(coalesce(stddev_samp(preco) OVER s, 0), 6) AS desvio_movel_7 FROM painel WINDOW s AS (PARTITION BY id_produto_loja ORDER BY painel.dia ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)""")
+@query(DAILY_SQL + f"""SELECT id_produto_loja, {_day('dia')} AS dia, round(avg(preco) OVER (PARTITION BY id_produto_loja ORDER BY painel.dia ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 10) AS media_movel_3,
+round(avg(preco) OVER s, 10) AS media_movel_7, round(coalesce(stddev_samp(preco) OVER s, 0), 6) AS desvio_movel_7 FROM painel WINDOW s AS (PARTITION BY id_produto_loja ORDER BY painel.dia ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)""")
 def rolling_features(spark, sf_dir):
     return panel.rolling_features(_panel(spark, sf_dir)).select("id_produto_loja", "dia", "media_movel_3", "media_movel_7", "desvio_movel_7")
 
