@@ -187,17 +187,17 @@ def _size_bucket(n: Column) -> Column:
 def _rare_partners(opened: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (x, y) of different components, where y holds one of the rarest shingles of x and x is outside a main component.
 
-    What x has alone bounds the intersection, and with it the size of a partner, so a copy with
-    many edits of its own meets nothing of its own size.
+    A partner that shares o shingles holds one of the n - o + 1 rarest, so the rank of a shingle bounds the size
+    of the partners it leads to, and a copy with many edits of its own meets few of its own size.
     """
     with_sets = opened.join(sets, opened["rep"] == sets["id"]).select("rep", "component", "outside", "hashes")
     shingles = materialise(with_sets.mapInArrow(_set_rows, "rep long, component long, outside boolean, n long, hash long"), "shingles")
     counts = shingles.groupBy("hash").agg(F.count(F.lit(1)).alias("df"))
-    own = Window.partitionBy("rep")
-    ranked = shingles.filter("outside").join(counts, "hash").withColumn("rank", F.row_number().over(own.orderBy("df", "hash"))).withColumn("alone", F.count_if(F.col("df") == 1).over(own))
+    rarest = Window.partitionBy("rep").orderBy("df", "hash")
+    ranked = shingles.filter("outside").join(counts, "hash").withColumn("rank", F.row_number().over(rarest))
     prefix = ranked.filter((F.col("rank") <= F.floor(F.col("n") * (100 - percent) / 100) + 1) & (F.col("df") > 1))
     least = F.ceil(F.col("n") * percent / 100)
-    most = F.least(F.floor(F.col("n") * 100 / percent), F.floor((F.col("n") - F.col("alone")) * (100 + percent) / percent) - F.col("n"))
+    most = F.least(F.floor(F.col("n") * 100 / percent), F.floor((F.col("n") - F.col("rank") + 1) * (100 + percent) / percent) - F.col("n"))
     probes = prefix.select(F.col("rep").alias("x"), F.col("component").alias("c"), least.alias("least"), most.alias("most"), "hash").filter("least <= most")
     probes = probes.withColumn("bucket", F.explode(F.sequence(_size_bucket(F.col("least")), _size_bucket(F.col("most")))))
     held = shingles.select("hash", _size_bucket(F.col("n")).alias("bucket"), F.col("rep").alias("y"), "component", "n")
