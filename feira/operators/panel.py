@@ -6,13 +6,17 @@ products. The calendar is bounded by a product's own first and last day.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 KEY = "id_produto_loja"
 LAGS = (1, 2, 3, 7)
 FEATURES = ("preco", "promo_flag", "weekday", "month", "weekofyear", "dayofmonth", "dias_desde_ultima_obs", *(f"lag_{n}" for n in LAGS), "media_movel_3", "media_movel_7", "desvio_movel_7")
-_days = Window.partitionBy(KEY).orderBy("dia")
+
+
+def _days() -> WindowSpec:
+    """A product's days in order; made on use, as it needs a session."""
+    return Window.partitionBy(KEY).orderBy("dia")
 
 
 def daily(rows: DataFrame) -> DataFrame:
@@ -31,7 +35,7 @@ def expand(observed: DataFrame) -> DataFrame:
     calendar = spans.select(KEY, F.explode(F.sequence("first", "last")).alias("dia"))
     known = observed.withColumn("foi_observado", F.lit(1))
     met = calendar.join(known, [KEY, "dia"], "left")
-    so_far = _days.rowsBetween(Window.unboundedPreceding, 0)
+    so_far = _days().rowsBetween(Window.unboundedPreceding, 0)
     carried = lambda c: F.last(c, ignorenulls=True).over(so_far)
     return met.select(
         KEY,
@@ -51,12 +55,12 @@ def calendar_features(panel: DataFrame) -> DataFrame:
 
 
 def lag_features(panel: DataFrame, lags: tuple[int, ...] = LAGS) -> DataFrame:
-    return panel.withColumns({f"lag_{n}": F.lag("preco", n).over(_days) for n in lags})
+    return panel.withColumns({f"lag_{n}": F.lag("preco", n).over(_days()) for n in lags})
 
 
 def rolling_features(panel: DataFrame) -> DataFrame:
     """Means of the 3 and 7 rows before, and their deviation (0 if fewer than two)."""
-    before = lambda n: _days.rowsBetween(-n, -1)
+    before = lambda n: _days().rowsBetween(-n, -1)
     return panel.withColumns(
         {
             "media_movel_3": F.round(F.avg("preco").over(before(3)), 10),
@@ -67,7 +71,7 @@ def rolling_features(panel: DataFrame) -> DataFrame:
 
 
 def target(panel: DataFrame, horizon: int = 1) -> DataFrame:
-    return panel.withColumn(f"target_t_plus_{horizon}", F.lead("preco", horizon).over(_days))
+    return panel.withColumn(f"target_t_plus_{horizon}", F.lead("preco", horizon).over(_days()))
 
 
 def chain_ids(panel: DataFrame, chains: DataFrame) -> DataFrame:
@@ -82,7 +86,7 @@ def features(rows: DataFrame, horizon: int = 1) -> DataFrame:
 
 def supervised_windows(table: DataFrame, columns: tuple[str, ...] = FEATURES, width: int = 7) -> DataFrame:
     """For each observed day, the features of the ``width`` days before and the day's price."""
-    frame = _days.rowsBetween(-width, -1)
+    frame = _days().rowsBetween(-width, -1)
     whole = F.collect_list(F.array(*[F.col(c).cast("float") for c in columns])).over(frame)
     return table.na.drop(subset=list(columns)).withColumn("janela", whole).filter((F.size("janela") == width) & (F.col("foi_observado") == 1)).select(KEY, "dia", "janela", F.col("preco").alias("alvo"))
 
