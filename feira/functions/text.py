@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -32,6 +33,11 @@ QUANTITY = rf"(?iu)(\d+(?:[.,]\d+)?)\s*({UNITS})\b"
 UNIT_PRICE = r"(?iu)(\d+(?:[.,]\d+)?)\s*€\s*/\s*([A-Za-zÀ-ÿ]+)"
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with the value as a lambda's argument, so that it stands once in the plan however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def clean(text: Column) -> Column:
     """White space collapsed; null becomes empty."""
     return F.coalesce(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")), F.lit(""))
@@ -91,7 +97,10 @@ def canonical(value: Column, of: Column) -> Column:
 
 def plausible_size(value: Column, of: Column) -> Column:
     """The nearest common size within 8 %; else a whole number within 3 % (8 % for units); else null."""
-    exact = value.cast("decimal(18,6)")
+    return once(F.struct(value.cast("decimal(18,6)").alias("v"), of.alias("u")), lambda x: _sized(x["v"], x["u"]))
+
+
+def _sized(exact: Column, of: Column) -> Column:
     nearest = lambda sizes: F.array_min(F.transform(F.array(*[F.lit(s) for s in sizes]), lambda s: F.struct(F.abs(s - exact).alias("off"), s.alias("size"))))["size"]
     common = F.when(of == "g", nearest(SIZES["g"])).when(of == "ml", nearest(SIZES["ml"])).when(of == "un", nearest(SIZES["un"])).cast("decimal(18,3)")
     whole = F.bround(exact, 0).cast("decimal(18,3)")
@@ -121,13 +130,17 @@ def quantity(name: Column, price: Column | None = None, unit_price: Column | Non
     shown = F.replace(clean(unit_price), F.lit(","), F.lit("."))
     per = F.nullif(F.regexp_extract(shown, UNIT_PRICE, 1), F.lit("")).try_cast("decimal(12,4)")
     rough = canonical(F.try_divide(decimal(price), F.nullif(per, F.lit(0).cast("decimal(12,4)"))).cast("decimal(12,4)"), unit(F.regexp_extract(shown, UNIT_PRICE, 2)))
-    size = plausible_size(rough["valor"], rough["unidade"])
-    derived = F.struct(size.alias("valor"), rough["unidade"].alias("unidade"))
-    return F.coalesce(pack, simple, F.when(size.isNotNull(), made("inferida_preco_unitario", none, derived, derived)))
+    derived = once(rough, lambda r: F.struct(plausible_size(r["valor"], r["unidade"]).alias("valor"), r["unidade"].alias("unidade")))
+    inferred = once(derived, lambda d: F.when(d["valor"].isNotNull(), made("inferida_preco_unitario", none, d, d)))
+    return F.coalesce(pack, simple, inferred)
 
 
 def descriptor(q: Column) -> Column:
     """A quantity as part of a product key."""
+    return once(q, _described)
+
+
+def _described(q: Column) -> Column:
     total = F.concat(plain_number(q["total"]), q["unidade"])
     pack = F.concat(F.lit("q:pack-"), q["multiplicador"].cast("string"), F.lit("x"), plain_number(q["por_unidade"]), q["unidade"], F.lit("-total-"), total)
     return F.when(q.isNull(), "q:desconhecida").when(q["tipo"] == "pack", pack).otherwise(F.concat(F.lit("q:"), total))
