@@ -29,7 +29,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that an earlier line makes superfluous; ``n_chars`` follows the text."""
-    left = line_dedup.drop_repeated_lines(docs)
+    left = line_dedup.drop_repeated_lines(docs, line_dedup.WHOLE)
     return left.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 

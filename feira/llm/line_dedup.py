@@ -1,17 +1,19 @@
 """Line deduplication within one word edit, by a deletion-neighbourhood join.
 
 Lines are compared as sequences of lower-cased words (runs of characters other than
-U+0020 and U+0009..U+000D). A line of ``MIN_WORDS`` words or more goes if an equal line
-comes earlier, in order of ``doc_id`` and line number; a line of ``NEAR_WORDS`` words or
-more also goes if an earlier one differs by a single inserted, removed or replaced
-word. "Earlier" means any earlier line, kept or not, so the result does not depend on the
-order of work.
+U+0020 and U+0009..U+000D). A line goes if an equal line comes earlier, in order of
+``doc_id`` and line number, or if an earlier one differs by a single inserted, removed or
+replaced word. "Earlier" means any earlier line, kept or not, so the result does not depend
+on the order of work. Which lines take part is set by ``Bounds``: with ``WHOLE`` every
+line that holds a word, and near ones if the longer has 5 words or more; with ``CUT`` only
+lines of ``MIN_WORDS`` words, and near ones only if both have ``NEAR_WORDS``.
 
 1. Lines become hashes of their words, and equal lines one distinct line at its
    earliest place; the grouping is pre-aggregated, so a line that fills a third of the
    corpus is no hot task.
-2. One edit leaves the first or the last half of a line as it is. Distinct lines that
-   share neither half with another one are set aside; nothing is lost by that.
+2. One edit leaves the first or the last half of a line as it is. Distinct lines of
+   ``HALVED_WORDS`` words or more that share neither half with another one are set aside;
+   nothing is lost by that. Halves of shorter lines would be common word pairs.
 3. The others emit all variants with one word deleted, and themselves, as hashed keys.
    Lines that share a variant with the same word's place deleted differ by a replaced word;
    a line that equals another's variant differs by an inserted word. Per key the earliest
@@ -21,14 +23,16 @@ order of work.
 Variant hashes are differences of running sums, so a line of n words costs O(n).
 Texts are shuffled once to fetch the words of step 3, and once more to rewrite documents.
 
-Defined cases: null texts have no lines and stay; lines with fewer words always stay,
-among them blank ones; rows with a null id stay as they are and remove nothing; rows
+Defined cases: null texts have no lines and stay; lines with fewer words than the bounds
+always stay, among them blank ones; rows with a null id stay as they are and remove nothing; rows
 that repeat an id have equal places and don't remove each other's lines; an empty table
 gives an empty result; other columns are passed on. All on DataFrame functions.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +40,19 @@ from feira.llm._store import materialise
 
 MIN_WORDS = 5
 NEAR_WORDS = 10
+HALVED_WORDS = 10
+
+
+class Bounds(NamedTuple):
+    """Fewest words of a line that can be equal, that emits all its variants, and that emits itself as another's variant."""
+
+    equal: int
+    near: int
+    shorter: int
+
+
+CUT = Bounds(MIN_WORDS, NEAR_WORDS, NEAR_WORDS)
+WHOLE = Bounds(1, 5, 4)
 #: Words summed at once; running sums are taken within blocks and over blocks.
 SUM_BLOCK = 64
 SEPARATORS = r"[\x20\x09-\x0D]+"
@@ -65,8 +82,11 @@ def _sums_before(values: Column) -> Column:
     return F.concat(F.flatten(within), F.array(F.element_at(starts, -1)))
 
 
-def deletion_variants(rows: DataFrame) -> DataFrame:
-    """``h``, ``place`` and ``key`` from ``h`` and ``w``: place 0 has the line itself, place i the line without its i-th word."""
+def deletion_variants(rows: DataFrame, near_words: int = 1) -> DataFrame:
+    """``h``, ``place`` and ``key`` from ``h`` and ``w``: place 0 has the line itself, place i the line without its i-th word.
+
+    Lines of less than ``near_words`` words have place 0 only.
+    """
     n = F.size("w")
 
     def hashes(shift: int) -> Column:
@@ -90,6 +110,7 @@ def deletion_variants(rows: DataFrame) -> DataFrame:
 
     whole = F.struct(F.lit(0).alias("place"), F.xxhash64("n", F.element_at("here_low", -1), F.element_at("here_high", -1)).alias("key"))
     others = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.struct(i.alias("place"), F.xxhash64(F.col("n") - 1, without("low", i), without("high", i)).alias("key")))
+    others = F.slice(others, F.lit(1), F.when(F.col("n") >= near_words, F.col("n")).otherwise(0))
     return summed.select("h", F.explode(F.concat(F.array(whole), others)).alias("v")).select("h", "v.place", "v.key")
 
 
@@ -101,20 +122,21 @@ def _halves(w: Column, n: Column) -> Column:
     return F.array_distinct(F.array(*keys))
 
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
+def repeated_lines(docs: DataFrame, bounds: Bounds = CUT) -> DataFrame:
     """``doc_id``, ``line_no`` and ``reason`` ("equal" or "near") of every line that goes."""
     every = lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    cut = every.select("doc_id", "line_no", words(F.col("line")).alias("w")).withColumn("n", F.size("w")).filter(F.col("n") >= MIN_WORDS)
+    cut = every.select("doc_id", "line_no", words(F.col("line")).alias("w")).withColumn("n", F.size("w")).filter(F.col("n") >= bounds.equal)
     hashed = materialise(
-        cut.select("doc_id", "line_no", "n", F.xxhash64("n", "w").alias("h"), F.when(F.col("n") >= NEAR_WORDS, _halves(F.col("w"), F.col("n"))).alias("halves")),
+        cut.select("doc_id", "line_no", "n", F.xxhash64("n", "w").alias("h"), F.when(F.col("n") >= max(bounds.shorter, HALVED_WORDS - 1), _halves(F.col("w"), F.col("n"))).alias("halves")),
         "lines",
     )
     place = F.struct("doc_id", "line_no")
-    firsts = materialise(hashed.groupBy("h").agg(F.min(place).alias("first"), F.first("halves").alias("halves")), "distinct-lines")
+    firsts = materialise(hashed.groupBy("h").agg(F.min(place).alias("first"), F.first("n").alias("n"), F.first("halves").alias("halves")), "distinct-lines")
 
     keyed = firsts.select("h", F.explode("halves").alias("half"))
     met = keyed.groupBy("half").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo <> hi").select("half")
-    likely = keyed.join(met, "half").select("h").distinct()
+    short = firsts.filter(F.col("n").between(bounds.shorter, HALVED_WORDS - 1)).select("h")
+    likely = keyed.join(met, "half").select("h").unionByName(short).distinct()
     wanted = firsts.join(likely, "h").select("h", "first.doc_id", "first.line_no").groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "h")).alias("wanted"))
     texts = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     fetched = texts.join(wanted, "doc_id").select("doc_id", F.split("text", "\n").alias("all"), F.explode("wanted").alias("one"))
@@ -122,7 +144,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     # Rows that repeat an id may have other texts; the hash tells whether this is the line.
     fetched = materialise(fetched.filter(F.xxhash64(F.size("w"), "w") == F.col("h")).dropDuplicates(["h"]), "likely-lines")
 
-    variants = deletion_variants(fetched)
+    variants = deletion_variants(fetched, bounds.near)
     several = variants.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo <> hi").select("key")
     close = materialise(variants.join(several, "key").join(fetched.select("h", F.struct("doc_id", "line_no", "h").alias("at")), "h"), "variants")
     by_place = close.filter("place > 0").groupBy("key", "place").agg(F.min("at").alias("earliest"))
@@ -155,9 +177,9 @@ def within_one_edit(a: Column, b: Column) -> Column:
     return (at > F.size(longer)) | same_length | one_more
 
 
-def line_report(docs: DataFrame) -> DataFrame:
+def line_report(docs: DataFrame, bounds: Bounds = CUT) -> DataFrame:
     """``doc_id``, ``n_lines``, ``n_equal``, ``n_near`` and ``removed`` (line numbers, ascending, comma-joined) per document."""
-    gone = repeated_lines(docs).groupBy("doc_id").agg(
+    gone = repeated_lines(docs, bounds).groupBy("doc_id").agg(
         F.count_if(F.col("reason") == "equal").alias("n_equal"),
         F.count_if(F.col("reason") == "near").alias("n_near"),
         F.array_join(F.array_sort(F.collect_set("line_no")), ",").alias("removed"),
@@ -167,12 +189,12 @@ def line_report(docs: DataFrame) -> DataFrame:
     return counted.join(gone, "doc_id", "left").select("doc_id", "n_lines", F.coalesce("n_equal", zero).alias("n_equal"), F.coalesce("n_near", zero).alias("n_near"), F.coalesce("removed", F.lit("")).alias("removed"))
 
 
-def drop_repeated_lines(docs: DataFrame) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, bounds: Bounds = CUT) -> DataFrame:
     """``docs`` with repeated lines taken out of ``text``; documents of which no word is left are dropped.
 
     Documents that had no words to begin with stay.
     """
-    gone = repeated_lines(docs).groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_set("line_no").alias("gone_lines"))
+    gone = repeated_lines(docs, bounds).groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_set("line_no").alias("gone_lines"))
     met = docs.join(gone, docs["doc_id"].cast("long") == F.col("gone_id"), "left")
     all_lines = F.split("text", "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col("gone_lines"))

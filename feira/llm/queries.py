@@ -47,6 +47,11 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(_table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for lines of any length that holds a word, near ones from 5 words (the shorter from 4)."""
+    return line_dedup.line_report(_table(spark, sf_dir, "documents"), line_dedup.WHOLE)
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in all documents by pattern and by character models."""
     return secret_scan.scan_digests(_table(spark, sf_dir, "documents"))
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_warc": op4_warc,
     "op5_nearest": op5_nearest,
     "op6_line_dedup": op6_line_dedup,
+    "op6_line_dedup_whole": op6_line_dedup_whole,
     "op7_secret_scan": op7_secret_scan,
     "op8_mix_sources": op8_mix_sources,
     "op9_toxicity": op9_toxicity,
@@ -153,6 +159,38 @@ WITH all_lines AS (
 SELECT d.doc_id, CAST(coalesce(len(string_split(d.text, chr(10))), 0) AS BIGINT) AS n_lines, CAST(coalesce(n_equal, 0) AS BIGINT) AS n_equal,
        CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, coalesce(removed, '') AS removed
 FROM documents d LEFT JOIN gone g USING (doc_id)
+""",
+    "op6_line_dedup_whole": """
+WITH all_lines AS (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no
+    FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
+), cut AS (
+    SELECT doc_id, line_no, list_filter(string_split_regex(lower(line), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM all_lines
+), sized AS (
+    SELECT doc_id, line_no, w, len(w) AS n FROM cut WHERE len(w) >= 1
+), firsts AS (
+    SELECT w, n, min((doc_id, line_no)) AS place FROM sized GROUP BY w, n
+), variants AS (
+    SELECT w, n, place, i, array_to_string(w[1:i-1] || w[i+1:], ' ') AS v
+    FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM firsts WHERE n >= 5)
+), wholes AS (
+    SELECT w, n, place, array_to_string(w, ' ') AS v FROM firsts WHERE n >= 4
+), near AS (
+    SELECT a.w FROM variants a JOIN (SELECT v, i, n, min(place) AS place FROM variants GROUP BY v, i, n) b USING (v, i, n) WHERE b.place < a.place
+    UNION
+    SELECT a.w FROM variants a JOIN wholes b ON a.v = b.v AND a.n = b.n + 1 WHERE b.place < a.place
+    UNION
+    SELECT a.w FROM wholes a JOIN variants b ON a.v = b.v AND b.n = a.n + 1 WHERE b.place < a.place
+), judged AS (
+    SELECT s.doc_id, s.line_no, CASE WHEN (s.doc_id, s.line_no) > f.place THEN 'equal' WHEN EXISTS (SELECT 1 FROM near WHERE near.w = s.w) THEN 'near' END AS reason
+    FROM sized s JOIN firsts f ON s.w = f.w
+), gone AS (
+    SELECT doc_id, count(*) FILTER (WHERE reason = 'equal') AS n_equal, count(*) FILTER (WHERE reason = 'near') AS n_near, string_agg(line_no, ',' ORDER BY line_no) AS removed
+    FROM judged WHERE reason IS NOT NULL GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(coalesce(len(string_split(d.text, chr(10))), 0) AS BIGINT) AS n_lines, CAST(coalesce(n_equal, 0) AS BIGINT) AS n_equal,
+       CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, coalesce(removed, '') AS removed
+FROM documents d LEFT JOIN gone g USING (doc_id)
 """,
     "op8_mix_sources": """
 WITH sized AS (

@@ -8,6 +8,7 @@ import re
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from feira.llm import fingerprints, line_dedup, near_dedup, secret_scan
 from feira.llm._text import shingle_set
 from feira.llm.graph import components
@@ -193,6 +194,18 @@ def test_line_dedup_cases(spark):
     assert line_dedup.drop_repeated_lines(null_id).count() == 2
 
 
+def test_whole_line_dedup_of_short_lines(spark):
+    nine = "one two three four five six seven eight nine"
+    ten = nine.replace("five", "five new")
+    lines = ["les.", "and ornd.", "and other", "a b c d", "a b x d", "", nine, "p q r s t"]
+    later = ["les.", "AND ornd.", "", ten, "a b c d e", "p q r s", "p q z s t", "a b c", " les. "]
+    docs = docs_of(spark, ["\n".join(lines), "\n".join(later)])
+    found = {(r["doc_id"], r["line_no"]): r["reason"] for r in line_dedup.repeated_lines(docs, line_dedup.WHOLE).collect()}
+    assert found == {(1, 0): "equal", (1, 1): "equal", (1, 3): "near", (1, 4): "near", (1, 5): "near", (1, 6): "near", (1, 8): "equal"}
+    left = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_repeated_lines(spark, docs, "").collect()}
+    assert left == {0: "\n".join(lines), 1: "\na b c"}
+
+
 KINDS = ((r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12), (r"AKIA[A-Z0-9]+", 0, 18), (r"[0-9a-f]+", 0, 16))
 
 
