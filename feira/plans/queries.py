@@ -389,12 +389,22 @@ def _halves(spark, sf_dir):
     return rows.filter("l_orderkey % 2 = 0"), rows.filter("l_orderkey % 3 = 0")
 
 
+def _upserted(*batches):
+    old, new = (r.select("id_produto_loja", "data_recolha", "preco") for r in batches)
+    empty = old.filter("false")
+    return ingest.upsert_snapshot(ingest.upsert_snapshot(empty, old), new)
+
+
+def _appended(*batches):
+    agent = F.when(F.col("l_suppkey") % 2 == 0, "a").alias("agente_origem")
+    old, new = (r.select("id_produto_loja", "data_recolha", agent, "preco", F.struct("l_orderkey", "l_linenumber", "l_suppkey").alias("ordinal")) for r in batches)
+    return ingest.append_history(old.drop("ordinal"), new)
+
+
 @query(HALVES_SQL + f""", a AS (SELECT id_produto_loja, arg_max(preco, row(data_recolha, preco)) AS preco, max(data_recolha) AS d FROM velho GROUP BY 1), b AS (SELECT id_produto_loja, arg_max(preco, row(data_recolha, preco)) AS preco, max(data_recolha) AS d FROM novo GROUP BY 1)
 SELECT id_produto_loja, CASE WHEN b.d IS NOT NULL AND (a.d IS NULL OR b.d >= a.d) THEN b.preco ELSE a.preco END AS preco, {_day('CASE WHEN b.d IS NOT NULL AND (a.d IS NULL OR b.d >= a.d) THEN b.d ELSE a.d END')} AS data_recolha FROM a FULL JOIN b USING (id_produto_loja)""")
 def snapshot_upsert(spark, sf_dir):
-    old, new = (r.select("id_produto_loja", "data_recolha", "preco") for r in _halves(spark, sf_dir))
-    empty = old.filter("false")
-    return ingest.upsert_snapshot(ingest.upsert_snapshot(empty, old), new)
+    return _upserted(*_halves(spark, sf_dir))
 
 
 @query(HALVES_SQL + f""", v AS (SELECT id_produto_loja, data_recolha, CASE WHEN l_suppkey % 2 = 0 THEN 'a' END AS agente_origem, preco, l_orderkey, l_linenumber, l_suppkey FROM velho), n AS (SELECT *, row_number() OVER (PARTITION BY id_produto_loja, data_recolha, coalesce(agente_origem, '') ORDER BY l_orderkey, l_linenumber, l_suppkey) AS k
@@ -402,9 +412,31 @@ def snapshot_upsert(spark, sf_dir):
 SELECT id_produto_loja, {_day('data_recolha')} AS data_recolha, agente_origem, preco FROM v UNION ALL SELECT id_produto_loja, {_day('data_recolha')}, agente_origem, preco FROM n WHERE k = 1 AND NOT EXISTS
     (SELECT 1 FROM v WHERE v.id_produto_loja = n.id_produto_loja AND v.data_recolha = n.data_recolha AND coalesce(v.agente_origem, '') = coalesce(n.agente_origem, ''))""")
 def history_append(spark, sf_dir):
-    agent = F.when(F.col("l_suppkey") % 2 == 0, "a").alias("agente_origem")
-    old, new = (r.select("id_produto_loja", "data_recolha", agent, "preco", F.struct("l_orderkey", "l_linenumber", "l_suppkey").alias("ordinal")) for r in _halves(spark, sf_dir))
-    return ingest.append_history(old.drop("ordinal"), new)
+    return _appended(*_halves(spark, sf_dir))
+
+
+# The same over two overlapping batches that hold every row between them.
+
+BATCHES_SQL = ", velho AS (SELECT * FROM factos WHERE l_linenumber <= 4), novo AS (SELECT * FROM factos WHERE l_linenumber >= 4 OR l_linenumber IS NULL)"
+
+
+def _batches(spark, sf_dir):
+    rows = views.facts(spark, sf_dir)
+    return rows.filter("l_linenumber <= 4"), rows.filter("l_linenumber >= 4 OR l_linenumber IS NULL")
+
+
+@query(BATCHES_SQL + f""", a AS (SELECT id_produto_loja, arg_max(preco, row(data_recolha, preco)) AS preco, max(data_recolha) AS d FROM velho GROUP BY 1), b AS (SELECT id_produto_loja, arg_max(preco, row(data_recolha, preco)) AS preco, max(data_recolha) AS d FROM novo GROUP BY 1)
+SELECT id_produto_loja, CASE WHEN b.d IS NOT NULL AND (a.d IS NULL OR b.d >= a.d) THEN b.preco ELSE a.preco END AS preco, {_day('CASE WHEN b.d IS NOT NULL AND (a.d IS NULL OR b.d >= a.d) THEN b.d ELSE a.d END')} AS data_recolha FROM a FULL JOIN b USING (id_produto_loja)""")
+def snapshot_upsert_whole(spark, sf_dir):
+    return _upserted(*_batches(spark, sf_dir))
+
+
+@query(BATCHES_SQL + f""", v AS (SELECT id_produto_loja, data_recolha, CASE WHEN l_suppkey % 2 = 0 THEN 'a' END AS agente_origem, preco, l_orderkey, l_linenumber, l_suppkey FROM velho), n AS (SELECT *, row_number() OVER (PARTITION BY id_produto_loja, data_recolha, coalesce(agente_origem, '') ORDER BY l_orderkey, l_linenumber, l_suppkey) AS k
+    FROM (SELECT id_produto_loja, data_recolha, CASE WHEN l_suppkey % 2 = 0 THEN 'a' END AS agente_origem, preco, l_orderkey, l_linenumber, l_suppkey FROM novo))
+SELECT id_produto_loja, {_day('data_recolha')} AS data_recolha, agente_origem, preco FROM v UNION ALL SELECT id_produto_loja, {_day('data_recolha')}, agente_origem, preco FROM n WHERE k = 1 AND NOT EXISTS
+    (SELECT 1 FROM v WHERE v.id_produto_loja = n.id_produto_loja AND v.data_recolha = n.data_recolha AND coalesce(v.agente_origem, '') = coalesce(n.agente_origem, ''))""")
+def history_append_whole(spark, sf_dir):
+    return _appended(*_batches(spark, sf_dir))
 
 
 @query(""", r AS (SELECT o_orderkey AS ordinal, o_orderpriority AS loja, CASE WHEN o_custkey % 3 = 0 THEN '' ELSE CAST(o_custkey AS VARCHAR) END AS id_externo, 'http://x/' || o_custkey AS url, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS data_recolha FROM orders),
