@@ -11,7 +11,8 @@
    keys. Documents at the similarity threshold 0.8 share no key with probability
    (1 - 0.8^4)^40 < 1e-9. Of each key with several documents every document is paired with two
    leaders: the one with the most partners over all its keys (the centre of a group of copies)
-   and the smallest. That is linear in the group, however large it is.
+   and the smallest. That is linear in the group, however large it is. In a key of three whose
+   smallest leads both ways the largest leads too, so that all three pairs are tried.
 4. Pairs pass the collision-corrected similarity estimate on the true registers (cut six
    standard errors below the threshold) and are then confirmed on the full shingle sets.
 5. Keys of more than three documents may still hold different components. A document outside
@@ -226,8 +227,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     groups = bands.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi")
     shared = materialise(bands.join(groups.select("key", "n"), "key").select("rep", "key", "n"), "shared")
     weight = shared.groupBy("rep").agg(F.sum("n").alias("weight"))
-    leaders = shared.join(weight, "rep").groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("minus"))).alias("top"), F.min("rep").alias("lo"))
-    leaders = materialise(leaders.select("key", (-F.col("top.minus")).alias("lead"), "lo"), "leaders")
+    leaders = shared.join(weight, "rep").groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("minus"))).alias("top"), F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.max("n").alias("n"))
+    lead = -F.col("top.minus")
+    leaders = materialise(leaders.select("key", F.when((F.col("n") == LED_WHOLE) & (lead == F.col("lo")), F.col("hi")).otherwise(lead).alias("lead"), "lo"), "leaders")
 
     def estimated(pairs: DataFrame) -> DataFrame:
         side = lambda x: reps.select(F.col("rep").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))

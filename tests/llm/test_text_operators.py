@@ -122,6 +122,22 @@ def test_near_duplicate_chains_and_large_groups(spark):
     assert found == component
 
 
+def test_key_of_three_whose_smallest_leads_both_ways(spark, monkeypatch):
+    def one_key(batches):
+        for batch in batches:
+            yield near_dedup.pa.RecordBatch.from_pydict({"rep": batch.column(0), "key": near_dedup.pa.array([7] * batch.num_rows, near_dedup.pa.int64())})
+
+    monkeypatch.setattr(near_dedup, "_band_rows", one_key)
+    words = [f"w{i}" for i in range(120)]
+    texts = [" ".join([f"x{i}" if i % 30 == 5 else w for i, w in enumerate(words)])]
+    texts += [" ".join([f"{new}{i}" if i == at else w for i, w in enumerate(words)]) for new, at in (("y", 20), ("z", 80))]
+    rows = dict(enumerate(texts))
+    component, _ = brute_components(rows, 4, 80)
+    assert component == {0: 0, 1: 1, 2: 1}
+    found = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs_of(spark, texts), 4, 80).collect()}
+    assert found == component
+
+
 def test_near_duplicate_cases(spark):
     texts = [None, "", " \t", "two words", "Two WORDS", "other words", "long " * 50_000]
     found = {r["doc_id"]: r for r in near_dedup.near_duplicates(docs_of(spark, texts), 4, 80).collect()}
