@@ -533,9 +533,38 @@ def backtest_summary(spark, sf_dir):
     return backtest.summary(days, backtest.loyalty(matched, days))
 
 
+# By date, as the reference simulates; the two above are by month. Items of one word are found on most days.
+
+FREQUENT = (("a", ("red", "blue", "small")), ("b", ("cold", "plate")))
+BY_DATE_SQL = f""", listas AS (SELECT * FROM (VALUES {', '.join(f"('{n}', '{i}')" for n, items in FREQUENT for i in items)}) t(lista, item)),
+c AS (SELECT lista, item, data_recolha::DATE AS dia, insignia, min(preco) AS preco FROM historico JOIN listas ON len(list_filter(string_split(item, ' '), lambda w: NOT contains(lower(nome), w))) = 0 GROUP BY ALL),
+i AS (SELECT lista, dia, item, min(preco) AS minimo, avg(preco) AS media FROM c GROUP BY ALL),
+dias AS (SELECT lista, dia, round(sum(minimo), 8) AS custo_minimo, round(sum(media), 8) AS custo_esperado, count(*) AS encontrados, any_value(pedidos) AS pedidos FROM i JOIN (SELECT lista, count(*) AS pedidos FROM listas GROUP BY lista) USING (lista) GROUP BY lista, dia HAVING count(*) >= ceil(any_value(pedidos) / 2.0)),
+fiel AS (SELECT c.lista, c.dia, insignia, round(sum(preco), 8) AS custo, any_value(custo_minimo) AS custo_minimo FROM c JOIN dias d ON c.lista = d.lista AND c.dia = d.dia GROUP BY c.lista, c.dia, insignia HAVING count(*) = any_value(encontrados))
+"""
+
+
+def _backtest_by_date(spark, sf_dir):
+    lists = spark.createDataFrame([(n, i) for n, items in FREQUENT for i in items], "lista string, item string")
+    rows = views.history(spark, sf_dir).withColumn("dia", F.col("data_recolha").cast("date"))
+    matched = backtest.matches_by_day(rows, lists)
+    return matched, backtest.simulate(matched, lists)
+
+
+@query(BY_DATE_SQL + f"SELECT * REPLACE ({_day('dia')} AS dia) FROM dias")
+def backtest_by_date(spark, sf_dir):
+    return _backtest_by_date(spark, sf_dir)[1]
+
+
+@query(BY_DATE_SQL + "SELECT lista, insignia, count(*) AS dias_completos, round(avg(custo), 6) AS fidelidade, round(avg(custo_minimo), 6) AS recomendado, any_value(t) AS dias FROM fiel JOIN (SELECT lista, count(*) AS t FROM dias GROUP BY lista) USING (lista) GROUP BY lista, insignia HAVING count(*) >= 0.5 * any_value(t)")
+def backtest_by_date_summary(spark, sf_dir):
+    matched, days = _backtest_by_date(spark, sf_dir)
+    return backtest.summary(days, backtest.loyalty(matched, days))
+
+
 def backtest_random_sample(spark, sf_dir):
-    """Rows only: seeded random choices."""
-    return _flat(backtest.random_draws(_backtest(spark, sf_dir)[0], 20))
+    """Rows only: 100 seeded random choices per list and date."""
+    return _flat(backtest.random_draws(_backtest_by_date(spark, sf_dir)[0]))
 
 
 QUERIES["backtest_random_sample"] = backtest_random_sample

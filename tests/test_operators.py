@@ -186,3 +186,9 @@ def test_ingestion_batches_hold_every_row(spark, sf_dir):
     days = queries.QUERIES["snapshot_upsert_whole"](spark, sf_dir).select("id_produto_loja", "data_recolha")
     newest = views.facts(spark, sf_dir).groupBy("id_produto_loja").agg(F.max("data_recolha").cast("date").cast("string").alias("data_recolha"))
     assert days.exceptAll(newest).isEmpty() and newest.exceptAll(days).isEmpty()
+
+
+def test_backtest_random_sample_draws_100_times_per_date(spark, sf_dir):
+    drawn = queries.QUERIES["backtest_random_sample"](spark, sf_dir)
+    assert {r["n"] for r in drawn.groupBy("lista", "dia").agg(F.countDistinct("sorteio").alias("n")).collect()} == {100}
+    assert not drawn.filter("dia NOT LIKE '%-01'").isEmpty()
