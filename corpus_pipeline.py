@@ -7,7 +7,7 @@ return the columns of ``documents``. ``sf_dir`` is only read for ``labels``.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from feira.llm import bpe, line_dedup, mixing, near_dedup, toxicity
@@ -47,7 +47,17 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(sized.join(quality_weights(_labels(spark, sf_dir)), "doc_id", "left"))
     taken = mixed.filter("copies > 0 AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("taken_id")).agg(F.max("copies").cast("int").alias("copies"))
     repeated = docs.join(taken, docs["doc_id"] == F.col("taken_id")).withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
-    return repeated.select(*docs.columns)
+    # Null ids have no key: they are numbered among those of their source and size, which the mix can't tell apart either.
+    alike = Window.partitionBy("like_source", "like_size")
+    mixed_null = mixed.filter("doc_id IS NULL").select(F.col("source").alias("like_source"), F.col("size").alias("like_size"), F.col("copies").cast("int").alias("copies"))
+    mixed_null = mixed_null.withColumn("nth", F.row_number().over(alike.orderBy(F.desc("copies"))))
+    nameless = docs.filter("doc_id IS NULL").withColumns({"like_source": F.col("source"), "like_size": mixing.word_count(F.col("text"))})
+    nameless = nameless.withColumn("nth", F.row_number().over(alike.orderBy("text"))).alias("d").join(
+        mixed_null.alias("m"),
+        F.col("d.like_source").eqNullSafe(F.col("m.like_source")) & (F.col("d.like_size") == F.col("m.like_size")) & (F.col("d.nth") == F.col("m.nth")),
+    )
+    nameless = nameless.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
+    return repeated.select(*docs.columns).unionByName(nameless.select(*(F.col(f"d.{c}") for c in docs.columns)))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

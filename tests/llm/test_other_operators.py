@@ -234,3 +234,13 @@ def test_stages_act_on_what_the_last_one_kept(spark, sf_dir, documents, referenc
 def test_run_is_the_stages_in_turn(spark, sf_dir):
     rows = corpus_pipeline.run(spark, sf_dir)
     assert rows.columns == ["doc_id", "source", "n_tokens", "ids", "decodes"] and rows.filter("NOT decodes").count() == 0
+
+
+def test_mix_keeps_null_ids(spark, sf_dir):
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    given = [(None, f"{w} b c", "en", source, 5) for w in "xyz" for source in ("s", None)] + [(None, None, "en", "s", None), (3, "one two", "en", "s", 7)]
+    docs = spark.createDataFrame(given, kinds)
+    sized = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"), F.lit(None).cast("double").alias("quality"))
+    wanted = sum(r["copies"] for r in mixing.mix_sources(sized).collect() if r["doc_id"] is None)
+    mixed = [r for r in corpus_pipeline.mix(spark, docs, sf_dir).collect() if r["doc_id"] is None]
+    assert len(mixed) == wanted > 0
