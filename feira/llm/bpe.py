@@ -6,26 +6,31 @@ table in a recursive query that contracts, in every round, each piece's leftmost
 of minimum rank, until no piece has a pair left. Decoding joins token positions with
 the vocabulary and aggregates the bytes of a piece in order.
 
-A text's encoding is the concatenation of its pieces' encodings, so a worker keeps
-the newest ``CACHE`` results and puts texts together from them; what a cache has dropped
-is computed again. A single space between two characters that are no white space
-always begins a piece, so texts are first cut there and the pattern only runs on
-chunks that aren't cached.
+A piece of over ``MANY_ROUNDS`` bytes would need as many rounds over as many rows. Its
+recursive query contracts in one round all places of the minimum-rank pair that single
+rounds would contract one after the other: all that don't overlap, from the left, if no
+merge of the token they make has a lower rank, else the leftmost alone.
 
-A piece of over ``LONG_PIECE`` bytes would need as many rounds over as many rows;
-such pieces are contracted by the same rule with a heap instead.
+A text's encoding is the concatenation of its pieces' encodings. Texts are first cut
+before single spaces, where a piece always begins unless white space stands on both
+sides, and a worker keeps what ``CACHE`` of these chunks encode and decode to, dropping
+those that were rarely used; what it has dropped is computed again.
 
 Texts don't leave their partition: no shuffle. Defined cases: a null text counts as
-empty and has no tokens; lone surrogates can't occur in Spark strings; an empty table
-gives an empty result; columns other than those named are ignored.
+empty and has no tokens; lone surrogates can't occur in Spark strings; repeated rows and
+ids are encoded each; an empty table gives an empty result; columns other than those named
+are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
+import os
+import re
+import tempfile
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,43 +38,74 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Cached chunks per generation; two generations are kept.
-CACHE = 40_000
-#: Longer chunks are not cached.
+#: Chunks that a worker keeps, about, and the bytes they may hold.
+CACHE, CACHE_BYTES = 400_000, 64_000_000
+#: Longer chunks are dropped first.
 CACHED_CHARS = 400
-#: Bytes of a piece up to which the recursive query is used.
-LONG_PIECE = 1024
+#: Bytes of a piece from which many places are contracted in one round.
+MANY_ROUNDS = 64
 #: Rows that one recursive query makes, about: a piece of n bytes makes up to n * n / 2 in its rounds.
-ROWS = 500_000
+ROWS = 4_000_000
+#: Chunks put together at once.
+GATHERED = 50_000
+#: Marks a chunk that no space precedes; can't occur in a text.
+FIRST = "\ud800"
 
 # The characters of the pattern's \s, Unicode White_Space.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
-MERGE_SQL = """
+_INSIDE_WHITE = re.compile(rf"[{WHITE}] (?:[{WHITE}]|\Z)")
+
+# A row's g is its word in the upper and its position in the lower 32 bits. A merge's code is twice its rank, plus 1 if
+# a merge of the token it makes has a lower rank.
+PAIRS_SQL = """
+        WITH pairs AS MATERIALIZED (
+            SELECT g, tok, lead(tok) OVER w AS next_tok, lead(g) OVER w AS next_g, lag(g) OVER w AS last_g, row_number() OVER w AS n
+            FROM step WHERE NOT done WINDOW w AS (ORDER BY g)
+        ), ranked AS MATERIALIZED (
+            SELECT p.*, m.code FROM pairs p
+            LEFT JOIN merges m ON CASE WHEN p.g >> 32 = p.next_g >> 32 THEN p.tok * 4294967296 + p.next_tok END = m.pair
+        ), best AS MATERIALIZED (
+            SELECT g >> 32 AS word, min(code * 4294967296 + (g & 4294967295)) AS place FROM ranked WHERE code IS NOT NULL GROUP BY 1
+        )
+"""
+
+MERGE_SQL = f"""
+WITH RECURSIVE step AS (
+    SELECT word * 4294967296 + pos AS g, tok, FALSE AS done FROM start
+    UNION ALL
+    SELECT g, tok, done FROM ({PAIRS_SQL}
+        SELECT r.g, CASE WHEN r.g & 4294967295 = b.place & 4294967295 THEN b.place >> 33 ELSE r.tok END AS tok, b.place IS NULL AS done
+        FROM ranked r LEFT JOIN best b ON r.g >> 32 = b.word
+        WHERE b.place IS NULL OR r.last_g IS NULL OR r.last_g <> b.word * 4294967296 + (b.place & 4294967295)
+    )
+)
+SELECT g >> 32 AS word, tok FROM step WHERE done ORDER BY g
+"""
+
+MERGE_MANY_SQL = f"""
 WITH RECURSIVE step AS (
-    SELECT word, pos, tok, FALSE AS done FROM start
+    SELECT word * 4294967296 + pos AS g, tok, FALSE AS done FROM start
     UNION ALL
-    SELECT word, pos, tok, done FROM (
-        WITH pairs AS (
-            SELECT word, pos, tok, lead(tok) OVER w AS next_tok, lag(pos) OVER w AS previous
-            FROM step WHERE NOT done WINDOW w AS (PARTITION BY word ORDER BY pos)
-        ), ranked AS (
-            SELECT p.word, p.pos, p.tok, p.previous, m.id, m.id * 4294967296 + p.pos AS place
-            FROM pairs p LEFT JOIN merges m ON p.tok = m.l AND p.next_tok = m.r
-        ), best AS (
-            SELECT word, min(place) AS place FROM ranked GROUP BY word
+    SELECT g, tok, done FROM ({PAIRS_SQL}, hits AS (
+            SELECT r.g, r.next_g, b.place, r.n - row_number() OVER (ORDER BY r.g) AS run
+            FROM ranked r JOIN best b ON r.g >> 32 = b.word WHERE r.code = b.place >> 32
+        ), placed AS (
+            SELECT *, row_number() OVER (PARTITION BY run ORDER BY g) AS nth FROM hits
+        ), chosen AS MATERIALIZED (
+            SELECT g, next_g FROM placed WHERE nth % 2 = 1 AND ((place >> 32) % 2 = 0 OR g & 4294967295 = place & 4294967295)
         )
-        SELECT r.word, r.pos, CASE WHEN r.place = b.place THEN r.id ELSE r.tok END AS tok, b.place IS NULL AS done
-        FROM ranked r JOIN best b ON r.word = b.word
-        WHERE b.place IS NULL OR r.previous IS NULL OR r.previous <> b.place & 4294967295
+        SELECT r.g, CASE WHEN c.g IS NULL THEN r.tok ELSE b.place >> 33 END AS tok, b.place IS NULL AS done
+        FROM ranked r LEFT JOIN best b ON r.g >> 32 = b.word LEFT JOIN chosen c ON r.g = c.g LEFT JOIN chosen d ON r.g = d.next_g
+        WHERE d.g IS NULL
     )
 )
-SELECT word, pos, tok FROM step WHERE done ORDER BY word, pos
+SELECT g >> 32 AS word, tok FROM step WHERE done ORDER BY g
 """
 
 DECODE_SQL = """
 SELECT t.word, string_agg(v.hex, '' ORDER BY t.pos) AS hex
-FROM tokens t JOIN vocabulary v ON t.tok = v.id GROUP BY t.word
+FROM tokens t JOIN vocabulary v ON t.tok = v.id GROUP BY t.word ORDER BY t.word
 """
 
 
@@ -79,6 +115,66 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+def _merges(ranks: dict[bytes, int]) -> dict[str, np.ndarray]:
+    """``pair`` (left * 2^32 + right) and ``code`` of every merge."""
+    found = [(left, right, rank) for token, rank in ranks.items() for k in range(1, len(token)) if (left := ranks.get(token[:k])) is not None and (right := ranks.get(token[k:])) is not None]
+    left, right, rank = np.array(found, dtype=np.int64).reshape(-1, 3).T
+    lowest = np.full(max(ranks.values(), default=0) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(lowest, left, rank)
+    np.minimum.at(lowest, right, rank)
+    return {"pair": left << 32 | right, "code": 2 * rank + (lowest[rank] < rank)}
+
+
+def _gather(flat: np.ndarray, at: np.ndarray, n: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The runs ``flat[at[i] : at[i] + n[i]]`` of all wanted i, one after the other."""
+    out = []
+    for lo in range(0, len(wanted), GATHERED):
+        some = wanted[lo : lo + GATHERED]
+        length = n[some]
+        end = np.cumsum(length)
+        out.append(flat[np.repeat(at[some] - end + length, length) + np.arange(end[-1])])
+    return np.concatenate(out) if out else flat[:0]
+
+
+class _Runs:
+    """Arrays of different lengths behind each other."""
+
+    def __init__(self, kind: type) -> None:
+        self.flat, self.at, self.n = np.empty(0, dtype=kind), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+
+    def append(self, flat: np.ndarray, n: np.ndarray) -> None:
+        self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(n) - n])
+        self.flat, self.n = np.concatenate([self.flat, flat.astype(self.flat.dtype)]), np.concatenate([self.n, n])
+
+    def put(self, wanted: np.ndarray) -> np.ndarray:
+        return _gather(self.flat, self.at, self.n, wanted)
+
+    def keep(self, wanted: np.ndarray) -> None:
+        flat, n = self.put(wanted), self.n[wanted]
+        self.flat, self.n, self.at = flat, n, np.cumsum(n) - n
+
+
+class _Numbers(dict):
+    """Chunks to numbers; a chunk that is asked for the first time gets the next number and is noted in ``new``."""
+
+    def __init__(self, *given) -> None:
+        super().__init__(*given)
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        self.new.append(chunk)
+        number = self[chunk] = len(self)
+        return number
+
+
+def _text_of(chunk: str) -> str:
+    return chunk[1:] if chunk[:1] == FIRST else f" {chunk}"
+
+
+def _chunk_of(piece: str) -> str:
+    return piece[1:] if piece[0] == " " else FIRST + piece
+
+
 class Codec:
     """Encodes pieces and decodes ids in an in-memory DuckDB; one per worker process."""
 
@@ -88,146 +184,140 @@ class Codec:
         self.ranks = read_ranks(path)
         self.pattern = regex.compile(pattern.replace(r"[^\s\p{L}\p{N}]", rf"[^{WHITE}\p{{L}}\p{{N}}]").replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]"))
         self.single = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int64)
-        pairs = [(left, right, rank) for token, rank in self.ranks.items() for k in range(1, len(token)) if (left := self.ranks.get(token[:k])) is not None and (right := self.ranks.get(token[k:])) is not None]
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
-        merges = pa.table([pa.array(c, pa.int64()) for c in zip(*pairs, strict=True)] if pairs else [pa.array([], pa.int64())] * 3, ["l", "r", "id"])
+        # What doesn't fit goes to the worker's own scratch folder, and is gone with the query.
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": f"{tempfile.gettempdir()}/duckdb-{os.getpid()}"})
         vocabulary = pa.table([pa.array(list(self.ranks.values()), pa.int64()), pa.array([t.hex() for t in self.ranks])], ["id", "hex"])
-        for name, table in (("merges", merges), ("vocabulary", vocabulary)):
+        for name, table in (("merges", pa.table(_merges(self.ranks))), ("vocabulary", vocabulary)):
             self.con.register("given", table)
             self.con.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.con.unregister("given")
-        self.ids: list[dict] = [{}, {}]
-        self.text: list[dict] = [{}, {}]
-        self.piece: list[dict[bytes, tuple[bytes, bytes]]] = [{}, {}]
-
-    def _by_heap(self, piece: bytes) -> list[int]:
-        """Leftmost minimum-rank contraction of one long piece."""
-        parts: list[bytes | None] = [piece[i : i + 1] for i in range(len(piece))]
-        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
-        heap: list[tuple[int, int, bytes]] = []
-
-        def offer(i: int) -> None:
-            if i >= 0 and after[i] < len(parts):
-                both = parts[i] + parts[after[i]]
-                if (rank := self.ranks.get(both)) is not None:
-                    heapq.heappush(heap, (rank, i, both))
-
-        for i in range(len(parts) - 1):
-            offer(i)
-        while heap:
-            _, i, both = heapq.heappop(heap)
-            if parts[i] is None or after[i] >= len(parts) or parts[i] + parts[after[i]] != both:
-                continue
-            gone = after[i]
-            parts[i], parts[gone], after[i] = both, None, after[gone]
-            if after[i] < len(parts):
-                before[after[i]] = i
-            offer(i)
-            offer(before[i])
-        return [self.ranks[p] for p in parts if p is not None]
-
-    def encode_pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """Token ids of each piece."""
-        out: list[np.ndarray | None] = [None] * len(pieces)
-        rest = []
-        for i, p in enumerate(pieces):
-            if (whole := self.ranks.get(p)) is not None:
-                out[i] = np.array([whole])
-            elif len(p) > LONG_PIECE:
-                out[i] = np.array(self._by_heap(p), dtype=np.int64)
-            else:
-                rest.append(i)
-        made = np.cumsum([len(pieces[i]) ** 2 / 2 for i in rest])
-        for block in [b.tolist() for b in np.split(np.array(rest, dtype=np.intp), np.flatnonzero(np.diff(made // ROWS)) + 1) if len(b)]:
-            lengths = np.array([len(pieces[i]) for i in block])
-            tokens = self.single[np.frombuffer(b"".join(pieces[i] for i in block), dtype=np.uint8)]
-            start = np.cumsum(lengths) - lengths
-            self.con.register("start", pa.table({"word": np.repeat(np.arange(len(block)), lengths), "pos": np.arange(len(tokens)) - np.repeat(start, lengths), "tok": tokens}))
-            found = self.con.execute(MERGE_SQL).fetchnumpy()
-            self.con.unregister("start")
-            ends = np.searchsorted(found["word"], np.arange(len(block)), side="right")
-            for k, ids in enumerate(np.split(found["tok"], ends[:-1])):
-                out[block[k]] = ids
-        return out
-
-    def decode_ids(self, sequences: list[np.ndarray]) -> list[bytes]:
-        """The bytes of each sequence of ids."""
-        out = [b""] * len(sequences)
-        lengths = np.array([len(s) for s in sequences], dtype=np.int64)
-        if lengths.sum():
-            tokens = np.concatenate(sequences).astype(np.int64)
-            start = np.cumsum(lengths) - lengths
-            self.con.register("tokens", pa.table({"word": np.repeat(np.arange(len(lengths)), lengths), "pos": np.arange(len(tokens)) - np.repeat(start, lengths), "tok": tokens}))
-            for word, digits in self.con.execute(DECODE_SQL).fetchall():
-                out[word] = bytes.fromhex(digits)
-            self.con.unregister("tokens")
-        return out
-
-    def _learn_pieces(self, pieces: set[bytes]) -> dict[bytes, tuple[bytes, bytes]]:
-        new, old = self.piece
-        missing = []
-        for p in pieces:
-            if p not in new:
-                if p in old:
-                    new[p] = old[p]
-                else:
-                    missing.append(p)
-        ids = self.encode_pieces(missing)
-        for p, i, back in zip(missing, ids, self.decode_ids(ids), strict=True):
-            new[p] = (i.astype("<u4").tobytes(), back)
-        return new
-
-    def _learn(self, chunks: set) -> None:
-        """Puts the encodings and decodings of chunks into the new generation."""
-        missing = []
-        for c in chunks - self.ids[0].keys():
-            if c in self.ids[1]:
-                self.ids[0][c], self.text[0][c] = self.ids[1][c], self.text[1][c]
+        self.known, self.ids, self.text, self.used = _Numbers(), _Runs(np.uint32), _Runs(np.uint8), np.empty(0, dtype=np.int64)
+
+    def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all pieces, one after the other, and the number of each."""
+        whole = np.array([self.ranks.get(p, -1) for p in pieces], dtype=np.int64)
+        counts = np.ones(len(pieces), dtype=np.int64)
+        length = np.array([len(p) for p in pieces], dtype=np.int64)
+        found = []
+        for sql, chosen in ((MERGE_SQL, (whole < 0) & (length <= MANY_ROUNDS)), (MERGE_MANY_SQL, (whole < 0) & (length > MANY_ROUNDS))):
+            rest = np.flatnonzero(chosen)
+            # Pieces of many rounds at once make few rows more than the longest one.
+            made = np.cumsum(length[rest] ** 2 / 2 if sql is MERGE_SQL else length[rest] * 64)
+            for block in np.split(rest, np.flatnonzero(np.diff(made // ROWS)) + 1):
+                if len(block):
+                    found.append((block, self._contracted(sql, [pieces[i] for i in block], length[block])))
+        for block, (word, _) in found:
+            counts[block] = np.bincount(word, minlength=len(block))
+        at = np.cumsum(counts) - counts
+        out = np.repeat(whole, counts)
+        for block, (_, tok) in found:
+            n = counts[block]
+            out[np.repeat(at[block] - np.cumsum(n) + n, n) + np.arange(len(tok))] = tok
+        return out, counts
+
+    def _contracted(self, sql: str, pieces: list[bytes], length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Word numbers and tokens that the recursive query gives for pieces."""
+        word = np.repeat(np.arange(len(pieces)), length)
+        start = pa.table({"word": word, "pos": np.arange(len(word)) - (np.cumsum(length) - length)[word], "tok": self.single[np.frombuffer(b"".join(pieces), dtype=np.uint8)]})
+        self.con.register("start", start)
+        made = self.con.execute(sql).fetchnumpy()
+        self.con.unregister("start")
+        return np.asarray(made["word"]), np.asarray(made["tok"])
+
+    def decode_ids(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of sequences of ids, one after the other, and the number of each."""
+        n = np.zeros(len(counts), dtype=np.int64)
+        if not len(ids):
+            return np.empty(0, dtype=np.uint8), n
+        word = np.repeat(np.arange(len(counts)), counts)
+        self.con.register("tokens", pa.table({"word": word, "pos": np.arange(len(ids)), "tok": ids.astype(np.int64)}))
+        made = self.con.execute(DECODE_SQL).fetchnumpy()
+        self.con.unregister("tokens")
+        digits = made["hex"].tolist()
+        n[np.asarray(made["word"])] = [len(d) // 2 for d in digits]
+        return np.frombuffer(bytes.fromhex("".join(digits)), dtype=np.uint8), n
+
+    def _learn(self) -> None:
+        """Encodes and decodes the new chunks; pieces of a chunk of several are chunks as well."""
+        new, base = self.known.new, len(self.ids.n)
+        chunks = len(new)
+        one, pieces, several, parts, n_parts = [], [], [], [], []
+        at = 0
+        while at < len(new):
+            text = _text_of(new[at])
+            # A chunk that came as a piece is one, and so are letters behind a space.
+            if at >= chunks or (text[0] == " " and text.isascii() and text[1:].isalpha()) or len(found := self.pattern.findall(text)) == 1:
+                one.append(at)
+                pieces.append(text.encode())
             else:
-                missing.append(c)
-        cut = [[p.encode() for p in self.pattern.findall(c[0] if isinstance(c, tuple) else f" {c}")] for c in missing]
-        known = self._learn_pieces({p for pieces in cut for p in pieces})
-        for c, pieces in zip(missing, cut, strict=True):
-            self.ids[0][c] = b"".join([known[p][0] for p in pieces])
-            self.text[0][c] = b"".join([known[p][1] for p in pieces])
+                several.append(at)
+                parts += [self.known[_chunk_of(p)] for p in found]
+                n_parts.append(len(found))
+            at += 1
+        self.known.new = []
+        ids, n_ids = self.encode_pieces(pieces)
+        back, n_back = self.decode_ids(ids, n_ids)
+        order = np.empty(len(new), dtype=np.int64)  # where the runs are appended: first the pieces, then the others
+        order[one], order[several] = np.arange(len(one)), np.arange(len(one), len(new))
+        parts, n_parts = np.array(parts, dtype=np.int64), np.array(n_parts, dtype=np.int64)
+        parts[parts >= base] = base + order[parts[parts >= base] - base]
+        owner = np.repeat(np.arange(len(several)), n_parts)
+        for runs, flat, n in ((self.ids, ids, n_ids), (self.text, back, n_back)):
+            runs.append(flat, n)
+            runs.append(runs.put(parts), np.bincount(owner, weights=runs.n[parts], minlength=len(several)).astype(np.int64))
+            for a in (runs.at, runs.n):
+                a[base:] = a[base:][order]
+        self.used = np.concatenate([self.used, np.zeros(len(new), dtype=np.int64)])
 
     def _forget(self) -> None:
-        if len(self.ids[0]) > CACHE:
-            self.ids = [{}, {c: v for c, v in self.ids[0].items() if len(c) <= CACHED_CHARS and not isinstance(c, tuple)}]
-            self.text = [{}, {c: self.text[0][c] for c in self.ids[1]}]
-        if len(self.piece[0]) > CACHE:
-            self.piece = [{}, self.piece[0]]
-
-    def chunks(self, texts: list[str]) -> list[list]:
-        """Each text cut before its single spaces; a first chunk is in a tuple, the others lack their space."""
-        cut = [t.split(" ") for t in texts]
-        for parts in cut:
-            parts[0] = (parts[0],)
-        # Chunks next to more white space are never cached on their own, so they are among the unknown ones.
-        unknown = set().union(*cut) - self.ids[0].keys()
-        ragged = {c for c in unknown if (not c[0] or c[0][-1] in WHITE if isinstance(c, tuple) else not c or c[0] in WHITE or c[-1] in WHITE)}
-        return [_mended(parts) if ragged and not ragged.isdisjoint(parts) else parts for parts in cut]
-
-    def round_trip(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
-        """Little-endian 32-bit ids and decoded bytes of each text."""
+        """Drops long chunks and those that were used least since the last time."""
+        if len(self.known) <= CACHE and len(self.text.flat) <= CACHE_BYTES:
+            return
+        chunks = list(self.known)
+        kept = self.used > 1
+        if kept.sum() > CACHE // 2:
+            kept &= self.used > np.partition(self.used, len(self.used) - CACHE // 2)[len(self.used) - CACHE // 2]
+        kept &= np.fromiter(map(len, chunks), dtype=np.int64, count=len(chunks)) <= CACHED_CHARS
+        kept = np.flatnonzero(kept)
+        self.known = _Numbers((chunks[i], k) for k, i in enumerate(kept.tolist()))
+        self.ids.keep(kept)
+        self.text.keep(kept)
+        self.used = self.used[kept] // 4
+
+    def round_trip(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids and decoded bytes of each text, as arrays."""
         self._forget()
-        cut = self.chunks(texts)
-        self._learn(set().union(*cut))
-        ids, back = self.ids[0].__getitem__, self.text[0].__getitem__
-        return [(b"".join(map(ids, c)), b"".join(map(back, c))) for c in cut]
-
-
-def _mended(parts: list) -> list:
-    """Puts together what was cut at a space beside other white space."""
-    out: list = []
-    now, whole = parts[0][0], True
-    for c in parts[1:]:
-        if not now or now[-1] in WHITE or not c or c[0] in WHITE:
-            now = f"{now} {c}"
-        else:
-            out.append((now,) if whole else now)
-            now, whole = c, False
-    return [*out, (now,) if whole else now]
+        cut = [_chunks(t) for t in texts]
+        n = np.array([len(c) for c in cut], dtype=np.int64)
+        wanted = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), dtype=np.int64, count=int(n.sum()))
+        if self.known.new:
+            self._learn()
+        self.used += np.bincount(wanted, minlength=len(self.used))
+        ends = np.concatenate([[0], np.cumsum(n)])
+        both = []
+        for runs in (self.ids, self.text):
+            before = np.concatenate([[0], np.cumsum(runs.n[wanted])])[ends]
+            both.append(np.split(runs.put(wanted), before[1:-1]))
+        return list(zip(*both, strict=True)) if texts else []
+
+
+def _chunks(text: str) -> list[str]:
+    """A text cut before its spaces, except inside white space; the chunks lack that space, and a first one is marked."""
+    parts = text.split(" ")
+    if _INSIDE_WHITE.search(text):
+        mended = parts[:1]
+        for c in parts[1:]:
+            before = mended[-1]
+            # The chunk before may be the first one, which begins without a space, or lack its own.
+            if (before[-1] in WHITE if before else len(mended) > 1) and (not c or c[0] in WHITE):
+                mended[-1] = f"{before} {c}"
+            else:
+                mended.append(c)
+        parts = mended
+    if parts[0]:
+        parts[0] = FIRST + parts[0]
+        return parts
+    return parts[1:]
 
 
 _codecs: dict[tuple[str, str], Codec] = {}
@@ -240,7 +330,7 @@ def codec(path: str, pattern: str) -> Codec:
 
 
 def _slices(batches: Iterator[pa.RecordBatch], chars: int = 2_000_000) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that the texts of one slice have about ``chars`` bytes at most, or are one text."""
+    """Batches cut so that the texts of one slice have about ``chars`` characters at most, or are one text."""
     for batch in batches:
         sizes = np.array([len(v.as_py() or "") for v in batch.column(1)], dtype=np.int64)
         at = 0
@@ -258,8 +348,8 @@ def encode_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             done = codec(path, pattern).round_trip([t or "" for t in batch.column(1).to_pylist()])
             columns = [
                 batch.column(0),
-                pa.array([len(i) // 4 for i, _ in done], pa.int64()),
-                pa.array([hashlib.sha256(i).hexdigest() for i, _ in done], pa.string()),
+                pa.array([len(i) for i, _ in done], pa.int64()),
+                pa.array([hashlib.sha256(i.astype("<u4", copy=False)).hexdigest() for i, _ in done], pa.string()),
                 pa.array([hashlib.sha256(b).hexdigest() for _, b in done], pa.string()),
             ]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
@@ -274,7 +364,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
             done = codec(path, pattern).round_trip([t or "" for t in batch.column(1).to_pylist()])
-            ids = pa.array([np.frombuffer(i, dtype="<u4").astype(np.int32) for i, _ in done], pa.list_(pa.int32()))
+            ids = pa.array([i.astype(np.int32) for i, _ in done], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["doc_id", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -291,9 +381,9 @@ def encode_corpus(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             columns = [
                 batch.column(0),
                 batch.column(2),
-                pa.array([len(i) // 4 for i, _ in done], pa.int64()),
-                pa.array([np.frombuffer(i, dtype="<u4").astype(np.int32) for i, _ in done], pa.list_(pa.int32())),
-                pa.array([b == t.encode() for (_, b), t in zip(done, texts, strict=True)], pa.bool_()),
+                pa.array([len(i) for i, _ in done], pa.int64()),
+                pa.array([i.astype(np.int32) for i, _ in done], pa.list_(pa.int32())),
+                pa.array([b.tobytes() == t.encode() for (_, b), t in zip(done, texts, strict=True)], pa.bool_()),
             ]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "source", "n_tokens", "ids", "decodes"])
 
@@ -307,7 +397,8 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sequences = [np.array(v or [], dtype=np.int64) for v in batch.column(1).to_pylist()]
-            made = [b.decode("utf-8", "replace") for b in codec(path, pattern).decode_ids(sequences)]
+            flat, n = codec(path, pattern).decode_ids(np.concatenate([np.empty(0, dtype=np.int64), *sequences]), np.array([len(s) for s in sequences], dtype=np.int64))
+            made = [b.tobytes().decode("utf-8", "replace") for b in np.split(flat, np.cumsum(n)[:-1])] if len(n) else []
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string())], ["doc_id", "text"])
 
     return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(texts, "doc_id long, text string")

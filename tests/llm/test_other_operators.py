@@ -185,9 +185,18 @@ def reference_encoding():
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
 
 
+@pytest.fixture(scope="module")
+def rows_of_text(documents):
+    return [r["text"] or "" for r in documents.collect()]
+
+
 def test_encoding_equals_the_library(spark, documents, reference_encoding):
     odd = [None, "", " ", "  a  b ", "　x  y\n\n z", "don't we'll I'M", "🙂🙂 é́", "a" * 5000, "<|endoftext|>", "ab" * 2000 + " " * 3000, "12345678 9", "\r\n\t x"]
+    rng = np.random.default_rng(3)
+    odd += ["".join(rng.choice(list("abcdeéx"), 5000)), "ab" * 9 + "c" * 77 + "abc" * 700, "\u3042\u3044" * 300, "".join(rng.choice(list("etaoin"), 65)), "word " + "=-" * 400]
+    odd += ["".join(rng.choice(list(" \n\tab\u3000.1'"), 400)) for _ in range(40)] + ["a  ", "a \n b", " \n", "\n  x", "a\n b   c"]
     given = documents.unionByName(docs_of(spark, odd).withColumn("doc_id", F.col("doc_id") + 1_000_000))
+    given = given.unionByName(given.filter("doc_id = 1000002")).withColumn("ids_sha256", F.lit("clash"))
     texts = {r["doc_id"]: r["text"] or "" for r in given.collect()}
     for r in bpe.encode_digests(given, RANKS, public_tokenizers.PATTERN).collect():
         ids = np.array(reference_encoding.encode_ordinary(texts[r["doc_id"]]), dtype="<u4")
@@ -195,6 +204,25 @@ def test_encoding_equals_the_library(spark, documents, reference_encoding):
         assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
 
 
+def test_chunks_are_dropped_and_learnt_again(monkeypatch, rows_of_text, reference_encoding):
+    monkeypatch.setattr(bpe, "CACHE", 500)
+    own = bpe.Codec(RANKS, public_tokenizers.PATTERN)
+    for lo in range(0, len(rows_of_text), 10):
+        some = rows_of_text[lo : lo + 10]
+        for text, (ids, back) in zip(some, own.round_trip(some), strict=True):
+            assert ids.tolist() == reference_encoding.encode_ordinary(text) and back.tobytes() == text.encode()
+    assert len(own.known) < 20_000 and own.round_trip([]) == []
+
+
+def test_many_places_a_round_give_what_single_rounds_give():
+    own = bpe.Codec(RANKS, public_tokenizers.PATTERN)
+    rng = np.random.default_rng(9)
+    pieces = [bytes(rng.choice(list(letters), int(n)).tolist()) for letters in (b"a", b"ab", b"etaoins ", bytes(range(256))) for n in rng.integers(2, 200, 20)]
+    length = np.array([len(p) for p in pieces])
+    one, many = (own._contracted(sql, pieces, length) for sql in (bpe.MERGE_SQL, bpe.MERGE_MANY_SQL))
+    assert all((a == b).all() for a, b in zip(one, many, strict=True))
+
+
 def test_decoding_gives_texts_back(spark):
     texts = ["one two", "", "é🙂", None]
     docs = docs_of(spark, texts).withColumn("ids", F.lit("clash"))
