@@ -43,13 +43,13 @@ def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of all documents that an earlier line makes superfluous."""
-    return line_dedup.line_report(_table(spark, sf_dir, "documents"))
+    """Lines of all documents, of any length that holds a word, that an earlier line makes superfluous: near ones from 5 words (the shorter from 4)."""
+    return line_dedup.line_report(_table(spark, sf_dir, "documents"), line_dedup.WHOLE)
 
 
-def op6_line_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same for lines of any length that holds a word, near ones from 5 words (the shorter from 4)."""
-    return line_dedup.line_report(_table(spark, sf_dir, "documents"), line_dedup.WHOLE)
+def line_dedup_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for lines of 5 words or more only, near ones from 10."""
+    return line_dedup.line_report(_table(spark, sf_dir, "documents"), line_dedup.CUT)
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_warc": op4_warc,
     "op5_nearest": op5_nearest,
     "op6_line_dedup": op6_line_dedup,
-    "op6_line_dedup_whole": op6_line_dedup_whole,
+    "line_dedup_bounded": line_dedup_bounded,
     "op7_secret_scan": op7_secret_scan,
     "op8_mix_sources": op8_mix_sources,
     "op9_toxicity": op9_toxicity,
@@ -128,7 +128,7 @@ SELECT d.page_id, CAST(d.payload_bytes AS BIGINT) AS payload_bytes, d.payload_di
        CASE WHEN d.page_id < o.original THEN o.original END AS refers_to
 FROM d JOIN o USING (payload_digest)
 """,
-    "op6_line_dedup": """
+    "line_dedup_bounded": """
 WITH all_lines AS (
     SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no
     FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
@@ -160,7 +160,7 @@ SELECT d.doc_id, CAST(coalesce(len(string_split(d.text, chr(10))), 0) AS BIGINT)
        CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, coalesce(removed, '') AS removed
 FROM documents d LEFT JOIN gone g USING (doc_id)
 """,
-    "op6_line_dedup_whole": """
+    "op6_line_dedup": """
 WITH all_lines AS (
     SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no
     FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL

@@ -156,10 +156,10 @@ def test_components_of_a_long_chain(spark):
     assert found == {**{i: 10 for i in range(10, 71)}, 2: 2, 3: 2}
 
 
-def plain_repeated(rows):
+def plain_repeated(rows, equal, near_words, shorter):
     """(doc_id, line_no) to reason, by comparing every line with every earlier one."""
     lines = [(i, n, plain_words(line)) for i in sorted(rows) if rows[i] is not None for n, line in enumerate(rows[i].split("\n"))]
-    lines = [x for x in lines if len(x[2]) >= line_dedup.MIN_WORDS]
+    lines = [x for x in lines if len(x[2]) >= equal]
 
     def near(a, b):
         if len(a) < len(b):
@@ -171,14 +171,15 @@ def plain_repeated(rows):
     for j, (doc, n, w) in enumerate(lines):
         if any(w == v for _, _, v in lines[:j]):
             out[doc, n] = "equal"
-        elif len(w) >= line_dedup.NEAR_WORDS and any(len(v) >= line_dedup.NEAR_WORDS and near(w, v) for _, _, v in lines[:j]):
+        elif any(max(len(v), len(w)) >= near_words and min(len(v), len(w)) >= shorter and near(w, v) for _, _, v in lines[:j]):
             out[doc, n] = "near"
     return out
 
 
-def test_repeated_lines_equal_brute_force(spark):
+@pytest.mark.parametrize("bounds", [line_dedup.WHOLE, line_dedup.CUT])
+def test_repeated_lines_equal_brute_force(spark, bounds):
     rng = np.random.default_rng(5)
-    base = [" ".join(f"w{rng.integers(40)}" for _ in range(int(rng.integers(4, 30)))) for _ in range(25)]
+    base = [" ".join(f"w{rng.integers(40)}" for _ in range(int(rng.integers(2, 30)))) for _ in range(25)]
     texts = []
     for _ in range(60):
         lines = []
@@ -193,16 +194,18 @@ def test_repeated_lines_equal_brute_force(spark):
                 del w[at]
             lines.append(" ".join(w).upper() if rng.integers(2) else " ".join(w))
         texts.append("\n".join(lines))
-    found = line_dedup.repeated_lines(docs_of(spark, texts)).collect()
-    assert {(r["doc_id"], r["line_no"]): r["reason"] for r in found} == plain_repeated(dict(enumerate(texts)))
+    found = line_dedup.repeated_lines(docs_of(spark, texts), bounds).collect()
+    assert {(r["doc_id"], r["line_no"]): r["reason"] for r in found} == plain_repeated(dict(enumerate(texts)), *bounds)
 
 
 def test_line_dedup_cases(spark):
     same = "one two three four five six seven eight nine ten"
     texts = [None, "", f"{same}\nshort line", f"{same}\n{same}\nkept words here are others", same, "short line", " ".join(f"w{i}" for i in range(20_000))]
-    docs = docs_of(spark, texts).withColumn("line", fingerprints.F.lit("clash")).withColumn("h", fingerprints.F.lit(1))
-    left = {r["doc_id"]: r["text"] for r in line_dedup.drop_repeated_lines(docs).collect()}
+    docs = docs_of(spark, texts).withColumns({c: fingerprints.F.lit("clash") for c in ("line", "h", "gone_lines", "lines", "given", "a.b")})
+    left = {r["doc_id"]: r["text"] for r in line_dedup.drop_repeated_lines(docs, line_dedup.CUT).collect()}
     assert left == {0: None, 1: "", 2: texts[2], 3: "kept words here are others", 5: "short line", 6: texts[6]}
+    left = line_dedup.drop_repeated_lines(docs).collect()
+    assert {r["doc_id"]: r["text"] for r in left} == {0: None, 1: "", 2: texts[2], 3: "kept words here are others", 6: texts[6]} and left[0]["given"] == "clash"
     report = {r["doc_id"]: r for r in line_dedup.line_report(docs).collect()}
     assert report[3]["removed"] == "0,1" and report[3]["n_equal"] == 2 and report[0]["n_lines"] == 0
     assert line_dedup.drop_repeated_lines(docs_of(spark, [])).count() == 0
