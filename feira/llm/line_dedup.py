@@ -53,17 +53,24 @@ class Bounds(NamedTuple):
 
 CUT = Bounds(MIN_WORDS, NEAR_WORDS, NEAR_WORDS)
 WHOLE = Bounds(1, 5, 4)
-SEPARATORS = r"[\x20\x09-\x0D]+"
+# The separators of words besides the space and, between lines, U+000A.
+OTHER_SPACES = "\t\x0b\x0c\r"
 
 
 def words(line: Column) -> Column:
-    """The lower-cased words of a line."""
-    return F.filter(F.split(F.lower(line), SEPARATORS), lambda w: w != "")
+    """The words of a line that ``lines`` gave."""
+    return F.array_remove(F.split(line, " "), "")
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``line_no`` (from 0) and ``line`` of every line; documents without id or text have none."""
-    return docs.filter("doc_id IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    """``doc_id``, ``line_no`` (from 0) and ``line`` of every line, in lower case and with spaces only between words.
+
+    Documents without id or text have none.
+    """
+    text = F.lower("text")
+    for space in OTHER_SPACES:
+        text = F.replace(text, F.lit(space), F.lit(" "))
+    return docs.filter("doc_id IS NOT NULL").select("doc_id", F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
 
 
 def deletion_variants(rows: DataFrame, near_words: int = 1) -> DataFrame:
@@ -102,9 +109,11 @@ def _halves(w: Column, n: Column) -> Column:
 def repeated_lines(docs: DataFrame, bounds: Bounds = WHOLE) -> DataFrame:
     """``doc_id``, ``line_no`` and ``reason`` ("equal" or "near") of every line that goes."""
     every = lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    cut = every.select("doc_id", "line_no", words(F.col("line")).alias("w")).withColumn("n", F.size("w")).filter(F.col("n") >= bounds.equal)
+    # Blank lines go by a test that needs no words: a filter on their number would make Spark cut every line twice.
+    cut = every.filter(F.trim("line") != "").select("doc_id", "line_no", words(F.col("line")).alias("w")).withColumn("n", F.size("w"))
     halves = F.when(F.col("n") >= max(bounds.shorter, HALVED_WORDS - 1), _halves(F.col("w"), F.col("n")))
     hashed = materialise(cut.select("doc_id", "line_no", "n", _line_hash(F.col("w")).alias("h"), F.xxhash64(F.lit(1), "w").alias("h2"), halves.alias("halves")), "lines")
+    hashed = hashed.filter(F.col("n") >= bounds.equal)
     by_line = hashed.groupBy("h", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.first("n").alias("n"), F.first("halves").alias("halves"))
     firsts = materialise(by_line.select("first.doc_id", "first.line_no", "h", "h2", "n", "halves"), "distinct-lines")
 
@@ -113,7 +122,8 @@ def repeated_lines(docs: DataFrame, bounds: Bounds = WHOLE) -> DataFrame:
     short = firsts.filter(F.col("n").between(bounds.shorter, HALVED_WORDS - 1)).select("doc_id", "line_no", "h")
     likely = keyed.join(met, "half").select("doc_id", "line_no", "h").unionByName(short).distinct()
     # Rows that repeat an id may have other texts; the hash tells whether this is the line.
-    fetched = every.join(likely, ["doc_id", "line_no"]).select("doc_id", "line_no", "h", words(F.col("line")).alias("w")).filter(_line_hash(F.col("w")) == F.col("h"))
+    # Likely lines are few and their keys are dealt evenly, so they are hashed; lines needn't be sorted.
+    fetched = every.join(likely.hint("shuffle_hash"), ["doc_id", "line_no"]).select("doc_id", "line_no", "h", words(F.col("line")).alias("w")).filter(_line_hash(F.col("w")) == F.col("h"))
     fetched = materialise(fetched.dropDuplicates(["doc_id", "line_no"]), "likely-lines")
 
     variants = materialise(deletion_variants(fetched, bounds.near), "variants")
