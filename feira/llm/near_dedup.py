@@ -16,11 +16,13 @@
 4. Pairs pass the collision-corrected similarity estimate on the true registers (cut six
    standard errors below the threshold) and are then confirmed on the full shingle sets.
 5. Keys of more than three documents may still hold different components. A document outside
-   its key's main component is then looked up by its rarest shingles: a partner must hold
-   one of the floor(0.2 n) + 1 rarest of its n shingles (counted among the documents of such
+   its key's main component is then looked up by its rarest shingles: a partner must have
+   one of the floor(0.2 n) + 1 rarest of its n shingles among its own rarest (counted among the documents of such
    keys). What an edited copy has alone has no partner and bounds its partners' sizes, so
    large groups of copies make few pairs. After this every pair that shares a key is linked, connected otherwise, or refuted.
 
+Joins of large tables are always shuffled, so that the plan is the same at every size.
+
 Defined cases: null and blank texts have no shingles and are linked with nothing;
 a text with fewer words than a shingle is one shingle; rows with a null id are
 returned with a null component and kept; repeated rows are returned as often as
@@ -170,14 +172,11 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rep, component, outside, n, hash) per shingle."""
+    """(rep, n, hash) per shingle."""
     for batch in batches:
-        for i in range(batch.num_rows):
-            one = batch.slice(i, 1)
-            hashes = np.frombuffer(one.column(3)[0].as_py(), dtype=np.int64)
-            repeat = np.zeros(len(hashes), dtype=np.int64)
-            kept = [one.column(c).take(pa.array(repeat)) for c in range(3)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(np.full(len(hashes), len(hashes))), pa.array(hashes)], ["rep", "component", "outside", "n", "hash"])
+        for rep, packed in zip(batch.column(0), batch.column(1), strict=True):
+            hashes = np.frombuffer(packed.as_py(), dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hashes), x, dtype=np.int64)) for x in (rep.as_py(), len(hashes))] + [pa.array(hashes)], ["rep", "n", "hash"])
 
 
 def _size_bucket(n: Column) -> Column:
@@ -186,24 +185,27 @@ def _size_bucket(n: Column) -> Column:
 
 
 def _rare_partners(opened: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, y) of different components, where y holds one of the rarest shingles of x and x is outside a main component.
+    """Pairs (x, y) of different components, one of them outside a main component, that hold one of their rarest shingles in common.
 
-    A partner that shares o shingles holds one of the n - o + 1 rarest, so the rank of a shingle bounds the size
-    of the partners it leads to, and a copy with many edits of its own meets few of its own size.
+    Sets of sizes n and m that are linked share at least o = (n + m) * p / (1 + p) shingles. In the order of rarity the
+    first shared one is among the n - ceil(p * n) + 1 rarest of the one and likewise of the other, and behind
+    its ranks i and j there is room for the rest: o <= 1 + min(n - i, m - j). What an edited copy has alone takes up
+    its first ranks, so that members of a large group of copies meet few of each other.
     """
-    with_sets = opened.join(sets, opened["rep"] == sets["id"]).select("rep", "component", "outside", "hashes")
-    shingles = materialise(with_sets.mapInArrow(_set_rows, "rep long, component long, outside boolean, n long, hash long"), "shingles")
+    shingles = materialise(opened.join(sets.hint("merge"), opened["rep"] == sets["id"]).select("rep", "hashes").mapInArrow(_set_rows, "rep long, n long, hash long"), "shingles")
     counts = shingles.groupBy("hash").agg(F.count(F.lit(1)).alias("df"))
     rarest = Window.partitionBy("rep").orderBy("df", "hash")
-    ranked = shingles.filter("outside").join(counts, "hash").withColumn("rank", F.row_number().over(rarest))
+    ranked = shingles.join(counts.hint("merge"), "hash").withColumn("rank", F.row_number().over(rarest))
     prefix = ranked.filter((F.col("rank") <= F.floor(F.col("n") * (100 - percent) / 100) + 1) & (F.col("df") > 1))
+    prefix = materialise(prefix.select("rep", "n", "hash", "rank").join(opened, "rep"), "rare-shingles")
     least = F.ceil(F.col("n") * percent / 100)
     most = F.least(F.floor(F.col("n") * 100 / percent), F.floor((F.col("n") - F.col("rank") + 1) * (100 + percent) / percent) - F.col("n"))
-    probes = prefix.select(F.col("rep").alias("x"), F.col("component").alias("c"), least.alias("least"), most.alias("most"), "hash").filter("least <= most")
-    probes = probes.withColumn("bucket", F.explode(F.sequence(_size_bucket(F.col("least")), _size_bucket(F.col("most")))))
-    held = shingles.select("hash", _size_bucket(F.col("n")).alias("bucket"), F.col("rep").alias("y"), "component", "n")
-    found = probes.join(held, ["hash", "bucket"]).filter(F.col("n").between(F.col("least"), F.col("most")) & (F.col("c") != F.col("component")))
-    return found.select("x", "y")
+    probes = prefix.filter("outside").select(F.col("rep").alias("x"), F.col("component").alias("c"), F.col("n").alias("n_x"), F.col("rank").alias("i"), least.alias("least"), most.alias("most"), "hash")
+    probes = probes.filter("least <= most").withColumn("bucket", F.explode(F.sequence(_size_bucket(F.col("least")), _size_bucket(F.col("most")))))
+    held = prefix.select("hash", _size_bucket(F.col("n")).alias("bucket"), F.col("rep").alias("y"), "component", "n", F.col("rank").alias("j"))
+    shared = 1 + F.least(F.col("n_x") - F.col("i"), F.col("n") - F.col("j"))
+    possible = F.col("n").between(F.col("least"), F.col("most")) & ((100 + percent) * shared >= percent * (F.col("n_x") + F.col("n")))
+    return probes.join(held.hint("merge"), (probes["hash"] == held["hash"]) & (probes["bucket"] == held["bucket"]) & (F.col("c") != F.col("component")) & possible).select("x", "y")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -218,7 +220,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     usable = sketched.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = usable.groupBy("digest_1", "digest_2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     members = materialise(
-        usable.join(classes, ["digest_1", "digest_2", "n_shingles"]).select("doc_id", "n_shingles", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("sketch")).alias("sketch")),
+        usable.join(classes.hint("merge"), ["digest_1", "digest_2", "n_shingles"]).select("doc_id", "n_shingles", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("sketch")).alias("sketch")),
         "classes",
     )
     reps = members.filter("sketch IS NOT NULL").select("rep", "n_shingles", "sketch")
@@ -232,16 +234,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     leaders = materialise(leaders.select("key", F.when((F.col("n") == LED_WHOLE) & (lead == F.col("lo")), F.col("hi")).otherwise(lead).alias("lead"), "lo"), "leaders")
 
     def estimated(pairs: DataFrame) -> DataFrame:
-        side = lambda x: reps.select(F.col("rep").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
+        side = lambda x: reps.select(F.col("rep").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")).hint("merge")
         both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b")
         return materialise(both.mapInArrow(_estimator(percent / 100), "a long, b long"), "likely")
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        wanted = rows.join(ids, rows["doc_id"] == ids["id"], "left_semi").dropDuplicates(["doc_id"])
+        wanted = rows.join(ids.hint("merge"), rows["doc_id"] == ids["id"], "left_semi").dropDuplicates(["doc_id"])
         return materialise(wanted.mapInArrow(_set_maker(k), "id long, hashes binary"), "sets")
 
     def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        side = lambda x: sets.select(F.col("id").alias(x), F.col("hashes").alias(f"h_{x}"))
+        side = lambda x: sets.select(F.col("id").alias(x), F.col("hashes").alias(f"h_{x}")).hint("merge")
         both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "h_a", "h_b")
         return materialise(both.mapInArrow(_confirmer(percent, 100), "a long, b long"), "confirmed")
 

@@ -138,6 +138,31 @@ def test_key_of_three_whose_smallest_leads_both_ways(spark, monkeypatch):
     assert found == component
 
 
+@pytest.mark.parametrize("order", ["ABC", "ACB", "BAC", "BCA", "CAB", "CBA"])
+def test_two_linked_of_three_whatever_their_ids(spark, order):
+    words = "w818856 w938575 w772833 w421742 w570348 w901495 w839388 w667443".split()
+    texts = {"A": " ".join(words[:6]), "B": " ".join(words), "C": " ".join(words[:7])}
+    found = {order[r["doc_id"]]: r["component_id"] for r in near_dedup.near_duplicates(docs_of(spark, [texts[x] for x in order]), 4, 80).collect()}
+    assert found["B"] == found["C"] == min(order.index("B"), order.index("C")) and found["A"] == order.index("A")
+
+
+def test_groups_of_edited_copies_equal_brute_force(spark):
+    rng = np.random.default_rng(17)
+    texts = []
+    for family in range(6):
+        base = [f"f{family}w{i}" for i in range(90)]
+        for _ in range(25):
+            w = list(base)
+            for at in rng.integers(0, 90, int(rng.integers(1, 7))):
+                w[at] = f"x{rng.integers(30)}"
+            del w[: int(rng.integers(0, 6))]
+            texts.append(" ".join(w))
+    component, _ = brute_components(dict(enumerate(texts)), 4, 80)
+    assert 6 < len(set(component.values())) < 140
+    found = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs_of(spark, texts), 4, 80).collect()}
+    assert found == component
+
+
 def test_near_duplicate_cases(spark):
     texts = [None, "", " \t", "two words", "Two WORDS", "other words", "long " * 50_000]
     found = {r["doc_id"]: r for r in near_dedup.near_duplicates(docs_of(spark, texts), 4, 80).collect()}
