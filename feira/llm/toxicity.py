@@ -1,161 +1,230 @@
-"""Toxicity scores from a subsequence string kernel and Nyström landmarks.
-
-Texts are sentences of words; a word is reduced to its letters (marks inside it are
-dropped, runs of single letters are joined), so spaced-out and dotted insults are words again.
-Two words are compared by the gap-weighted subsequence kernel of order 3: every
-three letters that both hold in that order count, ``DECAY`` to the power of the
-letters skipped. A letter inserted or left out only lowers the kernel.
-
-Training, on at most ``SAMPLE`` labelled documents of each class:
-
-1. Words of labelled documents are counted by label, once a document and once per word that
-   precedes their first place, so that copies of one document count once. Words whose share of toxic contexts is too high for
-   chance (log-likelihood ratio above the logarithm of the number of words tested), and words with a
-   four-letter stem of which the same holds, are the positive examples, ordinary words the
-   negative ones.
-2. ``LANDMARKS`` of them span the Nyström features, and a linear support vector machine
-   is fitted to these; negatives that score highest are added for a second fit. The
-   machine is a weighted sum of kernels with landmarks, each a product of
-   subsequence vectors, so it is kept as one vector over subsequences.
-3. A logistic model over a document's three highest word scores gives its score.
-
-Whole texts are scored in Arrow tasks without a shuffle. Only the words' counts of
-the sample are shuffled. Inputs of a score are the text and the trained model, nothing else.
-
-Defined cases: null and blank texts have no words and get the score of such texts; without
+"""Toxicity scores from a subsequence string kernel and Nyström landmarks, trained on labelled sentences.
+
+A text is cut into sentences, and these into runs of at most ``WORDS`` words. A run is a string
+of letters and word ends: marks and digits inside words are dropped, accents too, and runs of
+single letters are joined, so spaced-out and dotted insults are words again. Two such strings
+are compared by the gap-weighted subsequence kernel of order 3: every three symbols that both
+hold in that order within ``SPAN`` places count, ``DECAY`` to the power of the symbols
+skipped, times the rarity of the three. A letter inserted or left out only lowers the kernel.
+
+Training, on at most ``SAMPLE`` labelled documents of each class and ``RUNS`` runs of each document:
+
+1. A toxic document's label is that of its worst sentence, and most of its runs are harmless. Those that
+   hold four symbols whose share of toxic runs is too high for chance (log-likelihood ratio above the
+   logarithm of the number tested) stand for it; without any, all do. Some are repeated with a letter inserted.
+2. ``LANDMARKS`` labelled runs span the Nyström features, and a linear support vector machine is fitted to
+   these on at most ``EXAMPLES`` runs of each label; clean runs that score highest are landmarks and examples of
+   the next of ``ROUNDS`` fits. The machine is a weighted sum of kernels with landmarks, each a product
+   of subsequence vectors, so it is kept as one vector over subsequences.
+3. A logistic model over a document's ``TOP`` highest run scores and the share of runs above zero gives its score.
+
+Whole texts are scored in Arrow tasks without a shuffle, ``PIECE`` characters at a time. Inputs of a score are the text
+and the trained model, nothing else.
+
+Defined cases: null and blank texts have no runs and get the score of such texts; without
 labelled documents of both classes every score is the share of toxic ones; labels with null ids or
 classes are ignored, and of repeated labels the largest counts; repeated rows are
-scored each; an empty table gives an empty result; other columns are ignored.
+scored each; equal texts have equal scores; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
-import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
-from itertools import combinations
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled documents of each class that the model is fitted on, at most.
+#: Labelled documents of each class that the model is fitted on, at most, and runs of words of each of these by class.
 SAMPLE = 4000
-POSITIVE_WORDS, NEGATIVE_WORDS = 400, 20_000
-STEMS = 200
-LANDMARKS = 160
-DECAY = 0.6
-#: Letters of a word compared at once; longer words are scored by windows half of that apart.
-WINDOW = 20
+RUNS = (20, 200)
+LANDMARKS, EXAMPLES, ROUNDS = 700, 4000, 3
+COST, DECAY, SPAN = 10.0, 0.6, 5
+#: Words of a run.
+WORDS = 3
 TOP = 3
-NO_WORD = -3.0
-#: Words whose scores a worker keeps.
-CACHE = 200_000
-#: Texts whose word sets are held at once.
-BLOCK = 128
-
-_SINGLES = re.compile(r"(?<![^\W_])[^\W\d_](?:[\s.\-_*]+[^\W\d_](?![^\W_])){2,}")
-_BEGIN, _END = 30, 31
-
-
-def letters(word: str) -> str:
-    """The letters of a word without marks, in lower case."""
-    if not word.isalpha() or not word.isascii():
-        word = "".join(c for c in unicodedata.normalize("NFKD", word) if c.isalpha())
-    return word.lower()
-
-
-def words_of(text: str) -> list[str]:
-    """The words of a text, spaced-out ones joined at the end."""
-    found = text.split()
-    if len(text) > 4:
-        found += ["".join(m[0].split()) for m in _SINGLES.finditer(text)]
-    return found
-
-
-def _codes(word: str) -> list[int]:
-    return [_BEGIN, *(ord(c) - 96 if "a" <= c <= "z" else 27 + ord(c) % 3 for c in word), _END]
-
-
-_places: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]] = {}
-
-
-def _triples(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
-    """All places i < j < k below n, their weights, and the norm that belongs to the length."""
-    if n not in _places:
-        i, j, k = np.array(list(combinations(range(n), 3))).T
-        weight = DECAY ** (k - i - 2.0)
-        _places[n] = (i, j, k, weight, math.sqrt(float((weight**2).sum())))
-    return _places[n]
+#: Score of a run that a text lacks, and runs that the share of those above zero is held against.
+NO_RUN, FEW_RUNS = -1.5, 10.0
+#: Characters scored at once.
+PIECE = 1 << 20
+
+#: Distances between the first and second and the second and third symbol.
+GAPS = [(a, b) for a in range(1, SPAN) for b in range(1, SPAN) if a + b <= SPAN]
+WEIGHTS = DECAY ** (np.array(GAPS).sum(axis=1) - 2.0)
+CODES = 1 << 15
+_DROP, _STOP, _LINE = 253, 254, 255
+
+
+def _symbol(point: int) -> int:
+    """A character's symbol: 0 ends a word, 1 to 26 are letters without accents, 27 to 29 letters of other alphabets."""
+    c = chr(point)
+    if c == "\n":
+        return _LINE
+    if c in ".!?":
+        return _STOP
+    if c.isspace():
+        return 0
+    if not c.isalpha():
+        return _DROP
+    plain = unicodedata.normalize("NFKD", c)[0].lower()
+    return ord(plain) - 96 if "a" <= plain <= "z" else 27 + point % 3
+
+
+_symbols: list[np.ndarray] = []
+
+
+def symbols(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of a text, each run behind a word end and before ``SPAN`` of them, and the start of each run."""
+    if not _symbols:
+        _symbols.append(np.array([_symbol(p) for p in range(1 << 16)], dtype=np.uint8))
+    points = np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    kind = _symbols[0][np.minimum(points, (1 << 16) - 1)]
+    white = (kind == 0) | (kind == _LINE)
+    ends = (kind == _LINE) | ((kind == _STOP) & np.append(white[1:], True))
+    kept = (kind < 30) | ends
+    kind, ends = np.where(ends, 0, kind)[kept], ends[kept]
+    letter = kind > 0
+    word = np.cumsum(letter & ~np.append(False, letter[:-1])) - 1  # of a word end: the one before
+    n = int(word[-1]) + 1
+    if not n:
+        return np.zeros(0, dtype=np.uint8), np.zeros(0, dtype=np.int64)
+    closed = np.zeros(n, dtype=bool)  # words that end a sentence
+    closed[word[ends & (word >= 0)]] = True
+    # From three single letters in a row on, they are one word.
+    single = np.bincount(word[letter], minlength=n) == 1
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], single.view(np.int8), [0]])))
+    joined = np.zeros(n, dtype=bool)
+    for lo, hi in zip(edges[::2], edges[1::2], strict=True):
+        joined[lo + 1 : hi] = hi - lo >= 3
+    unit = np.cumsum(~joined) - 1
+    closed = np.logical_or.reduceat(closed, np.flatnonzero(~joined))
+    sentence = np.concatenate([[0], np.cumsum(closed[:-1])])
+    first = np.flatnonzero(np.append(True, np.diff(sentence) != 0))
+    run = np.cumsum((np.arange(len(sentence)) - first[sentence]) % WORDS == 0) - 1
+    of_letter = unit[word[letter]]
+    run_of = run[of_letter]
+    begins = np.append(True, np.diff(of_letter) != 0)
+    place = np.arange(len(of_letter)) + np.cumsum(begins) + SPAN * run_of
+    out = np.zeros(place[-1] + 1 + SPAN, dtype=np.uint8)
+    out[place] = kind[letter]
+    return out, place[np.append(True, np.diff(run_of) != 0)] - 1
+
+
+def _triples(codes: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
+    """For each pair of gaps the subsequences that begin at each place, and their weight."""
+    c, n = codes.astype(np.int32), len(codes) - SPAN
+    for (a, b), weight in zip(GAPS, WEIGHTS.tolist(), strict=True):
+        yield (c[:n] << 10) | (c[a : a + n] << 5) | c[a + b : a + b + n], weight
+
+
+def run_scores(codes: np.ndarray, starts: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    """The kernel sum of each run: its subsequence vector, of a length that its symbols give, times ``vector``."""
+    if not len(starts):
+        return np.zeros(0)
+    value = np.zeros(len(codes))
+    for codes_of, weight in _triples(codes):
+        value[: len(codes) - SPAN] += weight * vector[codes_of]
+    ends = np.append(starts[1:], len(codes)) - SPAN
+    return np.add.reduceat(value, np.column_stack([starts, ends]).ravel())[::2] / _norm(ends - starts)
+
+
+def _norm(n: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(n, 8) * (WEIGHTS**2).sum())
+
+
+def runs_of(text: str) -> list[bytes]:
+    """The runs of a text as strings of symbols."""
+    codes, starts = symbols(text)
+    packed, edges = codes.tobytes(), [*starts.tolist(), len(codes)]
+    return [packed[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def _flat(runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    n = np.array([len(r) for r in runs], dtype=np.int64)
+    return np.frombuffer(b"".join(runs), dtype=np.uint8), np.cumsum(n) - n
+
+
+def _rows(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places where a run's subsequences begin (all but its last ``SPAN``), and their runs."""
+    ends = np.append(starts[1:], len(codes)) - SPAN
+    row = np.repeat(np.arange(len(starts)), ends - starts)
+    return np.arange(len(row)) + SPAN * row, row
+
+
+def dense(runs: list[bytes], column: np.ndarray, rarity: np.ndarray) -> np.ndarray:
+    """Subsequence vectors as rows, with the columns that ``column`` names (-1 leaves one out)."""
+    codes, starts = _flat(runs)
+    place, row = _rows(codes, starts)
+    width = int(column.max()) + 1
+    out = np.zeros(len(runs) * width)
+    for found, weight in _triples(codes):
+        found = found[place]
+        at = column[found]
+        out += np.bincount((row * width + at)[at >= 0], weights=weight * rarity[found[at >= 0]], minlength=len(out))
+    return out.reshape(len(runs), width) / _norm(np.bincount(row, minlength=len(runs)))[:, None]
+
+
+def subsequences_of(runs: list[bytes]) -> np.ndarray:
+    """In how many of the runs each subsequence occurs."""
+    out = np.zeros(CODES, dtype=np.int64)
+    for lo in range(0, len(runs), 2000):
+        codes, starts = _flat(runs[lo : lo + 2000])
+        place, row = _rows(codes, starts)
+        met = np.unique(np.concatenate([row * CODES + found[place] for found, _ in _triples(codes)]))
+        out += np.bincount(met % CODES, minlength=CODES)
+    return out
 
 
-def subsequences(word: str) -> tuple[np.ndarray, np.ndarray]:
-    """The subsequence vector of a word, as codes and weights; codes may repeat."""
-    c = np.array(_codes(word[:WINDOW]))
-    i, j, k, weight, norm = _triples(len(c))
-    return c[i] * 1024 + c[j] * 32 + c[k], weight / norm
+def _fours(runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(run, four symbols in a row) once each, but for those without two letters in the middle."""
+    codes, starts = _flat(runs)
+    c = codes.astype(np.int64)
+    row = np.repeat(np.arange(len(runs)), np.diff(np.append(starts, len(codes))))[:-3]
+    four = c[:-3] << 15 | c[1:-2] << 10 | c[2:-1] << 5 | c[3:]
+    both = np.unique((row << 20 | four)[(c[1:-2] > 0) & (c[2:-1] > 0)])
+    return both >> 20, both & ((1 << 20) - 1)
 
 
-def dense(words: list[str]) -> np.ndarray:
-    """Subsequence vectors as rows."""
-    out = np.zeros((len(words), 1 << 15))
-    for row, word in enumerate(words):
-        np.add.at(out[row], *subsequences(word))
-    return out
+def telling_runs(toxic: list[bytes], clean: list[bytes]) -> np.ndarray:
+    """Which of the toxic documents' runs hold four symbols that are too frequent there for chance."""
+    (row, four), (_, others) = _fours(toxic), _fours(clean)
+    a, b = (np.bincount(x, minlength=1 << 20).astype(float) for x in (four, others))
+    rate = len(toxic) / (len(toxic) + len(clean))
+    own = a / np.maximum(a + b, 1)
+    gain = np.zeros(1 << 20)
+    more = (own > rate) & (a > 0)
+    gain[more] = a[more] * np.log(own[more] / rate) + b[more] * np.log(np.maximum(1 - own[more], 1e-12) / (1 - rate))
+    clear = (gain > math.log(max((a + b > 0).sum(), 1)) + 1) & (own > (1 + rate) / 2)
+    return np.bincount(row[clear[four]], minlength=len(toxic)) > 0
 
 
 @dataclass
 class Model:
-    """A word's score is its subsequence vector times ``vector`` plus ``bias``; ``head`` scores documents."""
+    """A run's score is its subsequence vector times ``vector`` plus ``bias``; ``head`` scores documents."""
 
     vector: np.ndarray
     bias: float
     head: np.ndarray
     share: float
-    cache: dict[str, float] = field(default_factory=dict)
-
-    def __getstate__(self) -> dict:
-        return {**self.__dict__, "cache": {}}
-
-    def score_words(self, words: list[str]) -> np.ndarray:
-        """Scores of words in letters; the best window's for long ones."""
-        out = np.full(len(words), NO_WORD)
-        by_length: dict[int, list[tuple[int, str]]] = {}
-        for at, w in enumerate(words):
-            if len(w) > 1:
-                for start in range(0, max(1, len(w) - WINDOW // 2), WINDOW // 2):
-                    part = w[start : start + WINDOW]
-                    by_length.setdefault(len(part), []).append((at, part))
-        for n, entries in by_length.items():
-            i, j, k, weight, norm = _triples(n + 2)
-            for lo in range(0, len(entries), 2000):
-                block = entries[lo : lo + 2000]
-                c = np.array([_codes(w) for _, w in block])
-                value = self.vector[c[:, i] * 1024 + c[:, j] * 32 + c[:, k]] @ (weight / norm) + self.bias
-                np.maximum.at(out, [at for at, _ in block], value)
-        return out
 
     def features(self, texts: list[str]) -> np.ndarray:
-        """The ``TOP`` highest word scores of each text, ``BLOCK`` texts at a time."""
-        blocks = [self._features(texts[i : i + BLOCK]) for i in range(0, len(texts), BLOCK)]
-        return np.vstack(blocks) if blocks else np.empty((0, TOP))
-
-    def _features(self, texts: list[str]) -> np.ndarray:
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        sets = [set(words_of(t)) for t in texts]
-        new = list(set().union(*sets) - self.cache.keys())
-        self.cache.update(zip(new, self.score_words([letters(w) for w in new]).tolist(), strict=True))
-        out = np.full((len(texts), TOP), NO_WORD)
-        get = self.cache.__getitem__
-        for row, s in enumerate(sets):
-            best = sorted(map(get, s), reverse=True)[:TOP]
+        """The ``TOP`` highest run scores of each text, and the log odds of a score above zero."""
+        out = np.full((len(texts), TOP + 1), NO_RUN)
+        for row, text in enumerate(texts):
+            best, above, n = np.empty(0), 0, 0
+            for part in _pieces(text):
+                score = run_scores(*symbols(part), self.vector) + self.bias
+                best = np.sort(np.append(best, score))[::-1][:TOP]
+                above, n = above + int((score > 0).sum()), n + len(score)
             out[row, : len(best)] = best
+            out[row, TOP] = math.log((above + 0.5) / (n - above + FEW_RUNS))
         return out
 
     def score(self, texts: list[str]) -> np.ndarray:
@@ -164,15 +233,28 @@ class Model:
         return _probability(_inputs(self.features(texts)), self.head)
 
 
+def _pieces(text: str) -> Iterator[str]:
+    """A text cut at white space into parts of at most ``PIECE`` characters; a longer word is cut inside."""
+    at = 0
+    while at < len(text):
+        end = at + PIECE
+        if end < len(text):
+            end = max(text.rfind(" ", at, end), text.rfind("\n", at, end)) + 1 or end
+            end = end if end > at else at + PIECE
+        yield text[at:end]
+        at = end
+
+
 def _inputs(features: np.ndarray) -> np.ndarray:
     return np.column_stack([np.ones(len(features)), features])
 
 
 def _probability(x: np.ndarray, head: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x @ head, -30, 30)))
+    # Summed by row, so that equal texts have equal scores whatever stands beside them.
+    return 1 / (1 + np.exp(-np.clip((x * head).sum(axis=1), -30, 30)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     """Weighted logistic regression by Newton steps."""
     head = np.zeros(x.shape[1])
     for _ in range(30):
@@ -183,45 +265,50 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
     return head
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 60) -> np.ndarray:
-    """A linear support vector machine (L2 hinge) by dual coordinate descent; y is -1 or 1."""
-    alpha, w = np.zeros(len(x)), np.zeros(x.shape[1])
-    diagonal = (x**2).sum(axis=1) + 0.5 / cost
-    order = np.random.default_rng(7)
+def fit_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 15) -> np.ndarray:
+    """A linear support vector machine (L2 hinge) by Newton steps over the examples inside the margin; y is -1 or 1."""
+    w = np.zeros(x.shape[1])
     for _ in range(rounds):
-        for i in order.permutation(len(x)):
-            gradient = y[i] * (x[i] @ w) - 1 + alpha[i] * 0.5 / cost[i]
-            step = max(alpha[i] - gradient / diagonal[i], 0.0) - alpha[i]
-            if step:
-                alpha[i] += step
-                w += step * y[i] * x[i]
+        inside = y * (x @ w) < 1
+        part, c = x[inside], cost[inside]
+        w = np.linalg.solve(np.eye(len(w)) + 2 * (part * c[:, None]).T @ part, 2 * part.T @ (c * y[inside]))
     return w
 
 
-def _fit_words(positive: list[str], negative: list[str]) -> tuple[np.ndarray, float]:
-    """The vector and bias of the word machine."""
+def _fit_runs(toxic: list[bytes], clean: list[bytes]) -> tuple[np.ndarray, float]:
+    """The vector and bias of the machine, from the runs of toxic and of clean documents."""
     rng = np.random.default_rng(11)
-    chosen = positive[: LANDMARKS // 2]
-    chosen += [negative[i] for i in rng.permutation(len(negative))[: LANDMARKS - len(chosen)]]
-    base = dense(chosen)
-    values, vectors = np.linalg.eigh(base @ base.T)
-    kept = values > 1e-6 * values[-1]
-    root = vectors[:, kept] / np.sqrt(values[kept])  # kernel rows times this are Nyström features
-    to_features = base.T @ root
-    few = [negative[i] for i in rng.permutation(len(negative))[:2500]]
-    # Disguised forms of the longer positive words: a letter inserted somewhere inside.
-    inside = [(w, int(rng.integers(2, len(w) - 1))) for w in positive if len(w) > 4 for _ in range(2)]
-    positive = positive + [w[:i] + "abcdefghijklmnopqrstuvwxyz"[rng.integers(26)] + w[i:] for w, i in inside]
-    vector, bias = np.zeros(1 << 15), 0.0
-    for _ in range(2):
-        examples = positive + few
-        x = np.column_stack([np.vstack([dense(examples[i : i + 256]) @ to_features for i in range(0, len(examples), 256)]), np.ones(len(examples))])
-        y = np.array([1.0] * len(positive) + [-1.0] * len(few))
-        cost = np.where(y > 0, 10.0 * max(1.0, len(few) / len(positive) / 4), 10.0)
-        w = fit_svm(x, y, cost)
-        vector, bias = to_features @ w[:-1], float(w[-1])
-        scores = Model(vector, bias, np.empty(0), 0.0).score_words(negative)
-        few = list(dict.fromkeys(few + [negative[i] for i in np.argsort(-scores)[:1500]]))
+    some = lambda rows, n: rows[rng.permutation(len(rows))[:n]]
+    told = np.flatnonzero(telling_runs(toxic, clean))
+    positive = [toxic[i] for i in some(told if len(told) else np.arange(len(toxic)), EXAMPLES)]
+    landmarks = positive[: LANDMARKS // 2]
+    # With a letter inserted somewhere inside a word.
+    for run in positive[: EXAMPLES // 4]:
+        inside = [i for i in range(2, len(run) - SPAN) if run[i - 1] and run[i]]
+        if inside:
+            at = inside[rng.integers(len(inside))]
+            positive.append(run[:at] + bytes([rng.integers(1, 27)]) + run[at:])
+    counted = [clean[i] for i in some(np.arange(len(clean)), 20_000)] + [toxic[i] for i in some(np.arange(len(toxic)), 20_000)]
+    rarity = np.log((len(counted) + 1) / (subsequences_of(counted) + 1)) / math.log(len(counted) + 1)
+    hard = negative = some(np.arange(len(clean)), EXAMPLES)
+    codes, starts = _flat(clean)
+    for _ in range(ROUNDS):
+        chosen = landmarks + [clean[i] for i in hard[: LANDMARKS // 4]] + [clean[i] for i in some(np.arange(len(clean)), LANDMARKS // 4)]
+        used = np.flatnonzero(subsequences_of(chosen))
+        column = np.full(CODES, -1)
+        column[used] = np.arange(len(used))
+        base = dense(chosen, column, rarity)
+        values, vectors = np.linalg.eigh(base @ base.T)
+        kept = values > 1e-6 * values[-1]
+        to_features = base.T @ (vectors[:, kept] / np.sqrt(values[kept]))  # vectors times this are Nyström features
+        examples = positive + [clean[i] for i in negative]
+        x = np.vstack([dense(examples[i : i + 256], column, rarity) @ to_features for i in range(0, len(examples), 256)])
+        y = np.array([1.0] * len(positive) + [-1.0] * len(negative))
+        w = fit_svm(np.column_stack([x, np.ones(len(x))]), y, np.where(y > 0, COST * len(negative) / len(positive), COST))
+        vector, bias = np.zeros(CODES), float(w[-1])
+        vector[used] = (to_features @ w[:-1]) * rarity[used]
+        hard = np.argsort(-run_scores(codes, starts, vector), kind="stable")[: EXAMPLES * 3 // 4]
+        negative = np.unique(np.concatenate([hard, some(np.arange(len(clean)), EXAMPLES)]))
     return vector, bias
 
 
@@ -237,71 +324,43 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[
     return rows.join(picked, "doc_id"), counts
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, context, toxic) once per word of a labelled document; the context is the word before its first place."""
+def _sampled_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(toxic, run) for the ``RUNS`` runs with the least hashes of each labelled document."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 200):
-            rows: set[tuple[str, int, int]] = set()
-            part = batch.slice(at, 200)
-            for text, toxic in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                before, seen, known = "", set(), set()
-                for w in words_of(text or ""):
-                    if w not in seen:
-                        seen.add(w)
-                        if len(word := letters(w)) > 2 and word not in known:
-                            known.add(word)
-                            rows.add((word, zlib.crc32(before.encode("utf-8", "surrogatepass")) & 0x7FFFFFFF, toxic))
-                    before = w
-            columns = zip(*rows, strict=True) if rows else ([], [], [])
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.int32()), strict=True)], ["word", "context", "toxic"])
+        for text, toxic in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+            found = {run for part in _pieces(text.as_py() or "") for run in runs_of(part)}
+            least = sorted(found, key=lambda run: (zlib.crc32(run), run))[: RUNS[toxic]]
+            yield pa.RecordBatch.from_arrays([pa.array([toxic] * len(least), pa.int32()), pa.array(least, pa.binary())], ["toxic", "run"])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fits the model on labelled documents outside the held-out fifth."""
-    rows, counts = labelled(docs, labels, sample)
+    rows, counts = labelled(docs, labels.filter("toxic IN (0, 1)"), sample)
     total = sum(counts.values())
     share = counts.get(1, 0) / total if total else 0.0
     constant = Model(np.zeros(0), 0.0, np.zeros(0), share)
     if not counts.get(0) or not counts.get(1):
         return constant
-    found = rows.mapInArrow(_contexts, "word string, context int, toxic int").distinct()
-    words = found.groupBy("word").agg(F.count_if(F.col("toxic") == 1).alias("a"), F.count_if(F.col("toxic") == 0).alias("b")).persist()
-    all_a, all_b, tested = words.agg(F.sum("a"), F.sum("b"), F.count(F.lit(1))).first()
-    if not tested or not all_a or not all_b:
-        words.unpersist()
-        return constant
-    rate = all_a / (all_a + all_b)
-    own = F.col("a") / (F.col("a") + F.col("b"))
-    gain = F.col("a") * F.log(own / rate) + F.when(F.col("b") > 0, F.col("b") * F.log((1 - own) / (1 - rate))).otherwise(0.0)
-    ranked = words.withColumn("gain", F.when((own > rate) & (F.col("a") > 0), gain).otherwise(0.0))
-    clear = (F.col("gain") > math.log(tested) + 1) & (own > (1 + rate) / 2)
-    top = ranked.filter(clear).orderBy(F.desc("gain"), "word").limit(POSITIVE_WORDS).collect()
-    # Stems: four letters (or word ends) that several words share are counted like words.
-    framed = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
-    pieces = words.select("word", "a", "b", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(framed) - 3), lambda i: F.substring(framed, i, 4)))).alias("stem"))
-    stems = pieces.groupBy("stem").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.count_if(F.col("a") > 0).alias("n")).filter("n > 2")
-    stems = stems.withColumn("gain", F.when((own > rate) & (F.col("a") > 0), gain).otherwise(0.0)).filter(clear).orderBy(F.desc("gain"), "stem").limit(STEMS)
-    of_stems = pieces.filter("b = 0 AND a > 0").join(F.broadcast(stems.select("stem")), "stem").groupBy("word").agg(F.max("a").alias("a"))
-    top += of_stems.orderBy(F.desc("a"), "word").limit(POSITIVE_WORDS).collect()
-    rest = ranked.filter((F.col("gain") < 3) & (F.col("b") > 0)).orderBy(F.xxhash64("word"), "word").limit(NEGATIVE_WORDS).collect()
-    words.unpersist()
-    positive, negative = list(dict.fromkeys(r["word"] for r in top)), [r["word"] for r in rest]
-    if not positive or not negative:
+    # At most sample * RUNS strings of a few words.
+    found = rows.mapInArrow(_sampled_runs, "toxic int, run binary").distinct().toArrow()
+    toxic, clean = (sorted(found["run"].filter(pc.equal(found["toxic"], c)).to_pylist()) for c in (1, 0))
+    if not toxic or not clean:
         return constant
-    vector, bias = _fit_words(positive, negative)
+    vector, bias = _fit_runs(toxic, clean)
     model = Model(vector, bias, np.zeros(0), share)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = model.features([t or "" for t in batch.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column(2), *(pa.array(values[:, i]) for i in range(TOP))], ["toxic", *(f"f{i}" for i in range(TOP))])
+            yield pa.RecordBatch.from_arrays([batch.column(2), *(pa.array(values[:, i]) for i in range(TOP + 1))], ["toxic", *(f"f{i}" for i in range(TOP + 1))])
 
-    # At most 2 * sample rows of TOP numbers, and repeated ids.
-    table = rows.mapInArrow(features, "toxic int, " + ", ".join(f"f{i} double" for i in range(TOP))).toPandas()
+    # At most 2 * sample rows of TOP + 1 numbers, and repeated ids.
+    table = rows.mapInArrow(features, "toxic int, " + ", ".join(f"f{i} double" for i in range(TOP + 1))).toPandas()
+    table = table.sort_values(list(table.columns))
     y = table["toxic"].to_numpy(dtype=float)
     seen = {c: max(1, int((y == c).sum())) for c in (0, 1)}
     weight = np.where(y == 1, counts[1] / seen[1], counts[0] / seen[0]) * len(y) / total
-    model.head = fit_logistic(_inputs(table[[f"f{i}" for i in range(TOP)]].to_numpy()), y, weight)
+    model.head = fit_logistic(_inputs(table[[f"f{i}" for i in range(TOP + 1)]].to_numpy()), y, weight)
     return model
 
 

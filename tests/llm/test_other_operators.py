@@ -171,9 +171,53 @@ def test_toxicity_cases(spark):
     assert toxicity.train(docs.limit(0), labels.limit(0)).score(["a"])[0] == 0
 
 
+def _runs(*texts):
+    return [run for text in texts for run in toxicity.runs_of(text)]
+
+
+def test_sentences_become_runs_of_letters():
+    shown = lambda text: ["".join(" " if c == 0 else chr(96 + c) for c in run).strip() for run in toxicity.runs_of(text)]
+    assert shown("One two three four. Five\nsi-x é\u00df") == ["one two three", "four", "five", "six e\x7b"[:5] + shown("\u00df")[0]]
+    assert shown("an i d i o t, i.d.i.o.t! a b") == ["an idiot idiot", "a b"]
+    assert shown("") == shown(" \n . 12 ### ") == []
+
+
+def test_the_kernel_is_the_plain_gap_weighted_one():
+    a, b = _runs("grumblor is", "a grumbxlor")
+    everything = np.arange(toxicity.CODES)
+
+    def plain(run):
+        out = {}
+        for i in range(len(run)):
+            for j in range(i + 1, len(run)):
+                for k in range(j + 1, min(len(run), i + toxicity.SPAN + 1) if i < len(run) - toxicity.SPAN else 0):
+                    key = run[i], run[j], run[k]
+                    out[key] = out.get(key, 0.0) + toxicity.DECAY ** (k - i - 2)
+        return out
+
+    p, q = plain(a), plain(b)
+    made = toxicity.dense([a, b], everything, np.ones(toxicity.CODES))
+    scale = np.prod([np.sqrt(max(len(r) - toxicity.SPAN, 8) * (toxicity.WEIGHTS**2).sum()) for r in (a, b)])
+    assert made[0] @ made[1] * scale == pytest.approx(sum(v * q.get(key, 0.0) for key, v in p.items()))
+    codes, starts = toxicity._flat([a, b])
+    vector = np.random.default_rng(2).normal(size=toxicity.CODES)
+    assert toxicity.run_scores(codes, starts, vector).tolist() == pytest.approx((made @ vector).tolist())
+
+
 def test_the_kernel_tolerates_inserted_letters():
-    a, b, c = toxicity.dense(["grumblor", "grumbxlor", "sentence"])
-    assert a @ b > 2 * max(a @ c, 1e-9) and a @ a > a @ b
+    a, b, c = toxicity.dense(_runs("grumblor", "grumbxlor", "sentence"), np.arange(toxicity.CODES), np.ones(toxicity.CODES))
+    assert a @ b > 1.5 * max(a @ c, 1e-9) and a @ a > a @ b
+
+
+def test_disguised_insults_are_found(spark, sf_dir):
+    sf = sf_dir.replace("sf0.001", "sf0.01")
+    model = toxicity.train(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    plain = "Heresti onand the {}. Thatis ener in the oun and."
+    insults = ["idiot", "idxiot", "i d i o t", "i.d.i.o.t", "id-iot", "IDIOT"]
+    top = model.features([plain.format(w) for w in [*insults, "thering"]])[:, 0]
+    assert (top[:-1] > 0).all() and top[-1] < 0
+    long = f"{plain.format('and')} " * 30_000 + plain.format("idiot")
+    assert model.features([long])[0, 0] == pytest.approx(top[0], abs=1e-6) and model.score([long, long]).tolist() == model.score([long]).tolist() * 2
 
 
 # Byte-level BPE
