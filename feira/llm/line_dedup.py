@@ -123,7 +123,8 @@ def repeated_lines(docs: DataFrame, bounds: Bounds = WHOLE) -> DataFrame:
     likely = keyed.join(met, "half").select("doc_id", "line_no", "h").unionByName(short).distinct()
     # Rows that repeat an id may have other texts; the hash tells whether this is the line.
     # Likely lines are few and their keys are dealt evenly, so they are hashed; lines needn't be sorted.
-    fetched = every.join(likely.hint("shuffle_hash"), ["doc_id", "line_no"]).select("doc_id", "line_no", "h", words(F.col("line")).alias("w")).filter(_line_hash(F.col("w")) == F.col("h"))
+    long_enough = every.filter(F.length("line") >= 2 * bounds.shorter - 1)  # that many words and spaces
+    fetched = long_enough.join(likely.hint("shuffle_hash"), ["doc_id", "line_no"]).select("doc_id", "line_no", "h", words(F.col("line")).alias("w")).filter(_line_hash(F.col("w")) == F.col("h"))
     fetched = materialise(fetched.dropDuplicates(["doc_id", "line_no"]), "likely-lines")
 
     variants = materialise(deletion_variants(fetched, bounds.near), "variants")

@@ -316,3 +316,24 @@ def test_mix_keeps_null_ids(spark, sf_dir):
     wanted = sum(r["copies"] for r in mixing.mix_sources(sized).collect() if r["doc_id"] is None)
     mixed = [r for r in corpus_pipeline.mix(spark, docs, sf_dir).collect() if r["doc_id"] is None]
     assert len(mixed) == wanted > 0
+
+
+def test_stages_pass_on_odd_rows_and_columns(spark, sf_dir):
+    same = "these seven words are in both rows"
+    rows = [(1, same, "en", "s", 3), (1, same, "en", "s", 3), (2, "other words of the same id", "en", None, 3), (2, "and yet others stand in here", "en", None, 3)]
+    rows += [(None, same, "en", "s", 3), (4, None, "en", "s", 0), (5, "", "en", "s", 0), (6, "w " * 50_000, "en", "s", 1)]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    clashes = ("copies", "copy", "gone", "kept", "given", "gone_lines", "taken", "size", "of", "words", "from", "long", "nth", "score", "h")
+    docs = spark.createDataFrame(rows, kinds).withColumns({c: F.lit("mine") for c in clashes})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, docs, sf_dir)
+        assert left.columns == docs.columns, name
+        made = left.collect()
+        assert all(r[c] == "mine" for r in made for c in clashes), name
+        ids = sorted((r["doc_id"] for r in made), key=str)
+        if name in ("toxicity", "line dedup"):
+            assert ids == [1, 1, 2, 2, 4, 5, 6, None] or name == "line dedup"
+        if name == "near dedup":
+            assert ids == [1, 2, 2, 4, 5, 6, None]
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() == len(rows)
