@@ -2,6 +2,11 @@
 
 Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the last
 return the columns of ``documents``. ``sf_dir`` is only read for ``labels``.
+
+Defined cases, for every stage: null, empty and blank texts stay (the first has no tokens in the last stage); null ids stay, each
+row a document of its own; of rows that repeat an id and a text one passes the third stage, with different texts all do;
+ties go as the operators say; texts may have any length; an empty table gives an empty one; further columns are passed on,
+whatever their names, by all stages but the last, which ignores them.
 """
 
 from __future__ import annotations
@@ -34,30 +39,41 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, on five-word shingles at 0.8."""
+    """One document of each near-duplicate group, on five-word shingles at 0.8; of rows with equal ids and texts one stays."""
     let_workers_import(spark)
-    found = near_dedup.near_duplicates(docs, k=5, percent=80)
-    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("gone"))
-    return docs.join(gone, docs["doc_id"] == F.col("gone"), "left_anti")
+    found = materialise(near_dedup.near_duplicates(docs, k=5, percent=80).select("doc_id", "kept"), "kept")
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct("*").alias("given"))
+    given = given.join(found.filter(~F.col("kept")), "doc_id", "left_anti")
+    # Rows that repeat an id are few or none; they are looked at apart, so that the others needn't be shuffled for them.
+    repeated = materialise(found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
+    if not repeated.isEmpty():
+        alike = given.join(repeated, "doc_id").withColumn("text", F.col("given.text")).dropDuplicates(["doc_id", "text"])
+        given = given.join(repeated, "doc_id", "left_anti").unionByName(alike.drop("text"))
+    return _taken_out(given, docs)
+
+
+def _taken_out(given: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` out of the struct in which they travelled, where no name of theirs can clash."""
+    return given.select(*(F.col(f"given.`{c}`").alias(c) for c in docs.columns))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, from not at all to three times."""
-    sized = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").alias("of"), mixing.word_count(F.col("text")).alias("words"), F.struct("*").alias("given"))
+    sized = given.select("doc_id", F.col("of").alias("source"), F.col("words").alias("size"))
     mixed = mixing.mix_sources(sized.join(quality_weights(_labels(spark, sf_dir)), "doc_id", "left"))
-    taken = mixed.filter("copies > 0 AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("taken_id")).agg(F.max("copies").cast("int").alias("copies"))
-    repeated = docs.join(taken, docs["doc_id"] == F.col("taken_id")).withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
+    taken = mixed.filter("copies > 0").select("doc_id", F.col("source").alias("from"), F.col("size").alias("long"), F.col("copies").cast("int").alias("copies"))
+    # Rows that repeat an id are told apart by source and size; those that agree in these as well are taken alike.
+    named = taken.filter("doc_id IS NOT NULL").groupBy("doc_id", "from", "long").agg(F.max("copies").alias("copies"))
+    repeated = given.join(named.withColumnRenamed("doc_id", "taken"), (F.col("doc_id") == F.col("taken")) & F.col("of").eqNullSafe(F.col("from")) & (F.col("words") == F.col("long")))
     # Null ids have no key: they are numbered among those of their source and size, which the mix can't tell apart either.
-    alike = Window.partitionBy("like_source", "like_size")
-    mixed_null = mixed.filter("doc_id IS NULL").select(F.col("source").alias("like_source"), F.col("size").alias("like_size"), F.col("copies").cast("int").alias("copies"))
-    mixed_null = mixed_null.withColumn("nth", F.row_number().over(alike.orderBy(F.desc("copies"))))
-    nameless = docs.filter("doc_id IS NULL").withColumns({"like_source": F.col("source"), "like_size": mixing.word_count(F.col("text"))})
-    nameless = nameless.withColumn("nth", F.row_number().over(alike.orderBy("text"))).alias("d").join(
-        mixed_null.alias("m"),
-        F.col("d.like_source").eqNullSafe(F.col("m.like_source")) & (F.col("d.like_size") == F.col("m.like_size")) & (F.col("d.nth") == F.col("m.nth")),
+    nth = lambda source, size, *order: F.row_number().over(Window.partitionBy(source, size).orderBy(*order))
+    from_mix = taken.filter("doc_id IS NULL").drop("doc_id").withColumn("nth", nth("from", "long", F.desc("copies")))
+    nameless = given.filter("doc_id IS NULL").withColumn("place", nth("of", "words", "given.text")).join(
+        from_mix, F.col("of").eqNullSafe(F.col("from")) & (F.col("words") == F.col("long")) & (F.col("place") == F.col("nth"))
     )
-    nameless = nameless.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
-    return repeated.select(*docs.columns).unionByName(nameless.select(*(F.col(f"d.{c}") for c in docs.columns)))
+    both = repeated.select("given", "copies").unionByName(nameless.select("given", "copies"))
+    return _taken_out(both.select("given", F.explode(F.sequence(F.lit(1), "copies")).alias("copy")), docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
