@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from feira.operators.search import containing
 
-def matches_by_day(history: DataFrame, lists: DataFrame) -> DataFrame:
+
+def matches_by_day(history: DataFrame, lists: DataFrame, products: DataFrame | None = None) -> DataFrame:
     """The cheapest match of each item per day and chain: all words contained in the lower-case name.
 
-    Names meet the lists before prices do, so the comparison runs over distinct names.
+    Names meet the lists before prices do, so the comparison runs over distinct names, those of ``products`` if given.
     """
     words = F.filter(F.split(F.lower("item"), r"\s+"), lambda w: w != "")
-    names = history.select("nome").distinct().join(F.broadcast(lists.limit(10_000)), F.forall(words, lambda w: F.contains(F.lower("nome"), w)))  # shopping lists
+    names = containing((history if products is None else products).select("nome").distinct(), lists, F.lower("nome"), words)
     return history.join(names, "nome").groupBy("lista", "item", "dia", "insignia").agg(F.min("preco").alias("preco"))
 
 

@@ -12,20 +12,21 @@ from feira.functions.geo import haversine, nearest_per_chain, travel_cost
 from feira.operators.search import best_per_item, best_store, matched_items
 
 
-def price_matrix(current: DataFrame, items: DataFrame) -> DataFrame:
+def price_matrix(current: DataFrame, items: DataFrame, products: DataFrame | None = None) -> DataFrame:
     """The best offer of each item in each chain."""
-    return best_per_item(matched_items(current, items), "insignia")
+    return best_per_item(matched_items(current, items, products), "insignia")
 
 
-def split_basket(current: DataFrame, items: DataFrame) -> DataFrame:
+def split_basket(current: DataFrame, items: DataFrame, products: DataFrame | None = None) -> DataFrame:
     """Each item's best offer over all chains; items without one have nulls."""
-    best = best_per_item(matched_items(current, items))
-    chosen = matched_items(current, items).select("id_produto_loja", "insignia").distinct()
-    return items.join(best.join(chosen, "id_produto_loja"), "item", "left")
+    row = F.struct((-F.col("semelhanca")).alias("s"), "preco", "nome", "id_produto_loja", "insignia")
+    best = matched_items(current, items, products).groupBy("item").agg(F.min(row).alias("o"))
+    best = best.select("item", "o.nome", "o.preco", "o.id_produto_loja", (-F.col("o.s")).alias("semelhanca"), "o.insignia")
+    return items.join(best, "item", "left")
 
 
-def missing_items(current: DataFrame, items: DataFrame) -> DataFrame:
-    return items.join(matched_items(current, items).select("item").distinct(), "item", "left_anti")
+def missing_items(current: DataFrame, items: DataFrame, products: DataFrame | None = None) -> DataFrame:
+    return items.join(matched_items(current, items, products).select("item").distinct(), "item", "left_anti")
 
 
 def basket_by_chain(matrix: DataFrame, items: DataFrame) -> DataFrame:

@@ -64,25 +64,64 @@ def search(products: DataFrame, current: DataFrame, term: str, limit: int = 20)
     return best.filter(not_noise(term, F.col("nome"))).orderBy(F.desc("semelhanca"), "nome").limit(limit)
 
 
-def best_store(current: DataFrame, term: str, top: int = 5) -> DataFrame:
-    """The cheapest offer of each name and chain, cheapest first, with the saving against the dearest of those returned."""
+def best_store(current: DataFrame, term: str, top: int = 5, by_unit: bool = False) -> DataFrame:
+    """The cheapest offer of each name and chain, cheapest first, with the saving against the dearest of those returned.
+
+    With ``by_unit`` the offers have ``preco_unitario_valor`` and ``preco_unitario_unidade``, and are ranked and compared by the
+    price of a unit if half of them (at least one) have it and no two units occur; offers without it come last.
+    """
     kept = current.filter(matches(term, F.col("nome"), F.col("quantidade_valor"), F.col("quantidade_unidade")) & not_noise(term, F.col("nome")))
     kept = kept.withColumn("semelhanca", similarity(F.col("nome"), F.lit(term))).filter(F.col("semelhanca") > MIN_SIMILARITY)
-    offer = F.struct("preco", "id_produto_loja", "semelhanca", "em_promocao")
+    unit = ("preco_unitario_valor", "preco_unitario_unidade") if by_unit else ()
+    offer = F.struct("preco", "id_produto_loja", "semelhanca", "em_promocao", *unit)
     cheapest = kept.groupBy("nome", "insignia").agg(F.min(offer).alias("o")).select("nome", "insignia", "o.*")
-    first = cheapest.orderBy("preco", "nome", "insignia").limit(top)
-    dearest = F.max("preco").over(Window.partitionBy())  # at most ``top`` rows
-    return first.withColumn("poupanca_pct", F.try_divide(dearest - F.col("preco"), dearest) * 100)
+    rank = F.col("preco")
+    if by_unit:
+        least = F.greatest(F.floor(F.count(F.lit(1)) / 2), F.lit(1))
+        one_row = cheapest.agg(((F.count("preco_unitario_valor") >= least) & (F.count_distinct("preco_unitario_unidade") <= 1)).alias("por_unidade"))
+        cheapest = cheapest.crossJoin(one_row)
+        rank = F.when(F.col("por_unidade"), F.col("preco_unitario_valor")).otherwise(F.col("preco"))
+    first = cheapest.withColumn("ordem", rank).orderBy(F.asc_nulls_last("ordem"), "preco", "nome", "insignia").limit(top)
+    dearest = F.max("ordem").over(Window.partitionBy())  # at most ``top`` rows
+    return first.withColumn("poupanca_pct", F.try_divide(dearest - F.col("ordem"), dearest) * 100).drop("ordem", "por_unidade")
+
+
+def containing(names: DataFrame, wanted: DataFrame, name: Column, words: Column) -> DataFrame:
+    """Rows of ``names`` beside rows of ``wanted`` all of whose ``words`` stand in ``name``, for tables of any size.
+
+    They meet on those three letters of the words (or on the word, if shorter) that fewest names hold; without words all names match.
+    """
+
+    def parts(text: Column, n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(text) - (n - 1), F.lit(1))), lambda i: F.substring(text, i, n))
+
+    held = names.withColumn("gram", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), *(parts(name, n) for n in (1, 2, 3))))))
+    grams = F.array_distinct(F.flatten(F.transform(words, lambda w: F.when(F.char_length(w) < 3, F.array(w)).otherwise(parts(w, 3)))))
+    asked = wanted.withColumn("asked_words", words).filter("asked_words IS NOT NULL")
+    each = asked.select("asked_words", F.explode(F.when(F.size(grams) > 0, grams).otherwise(F.array(F.lit("")))).alias("gram")).distinct()
+    # A gram that no name holds rules all names out; an inner join would leave the others.
+    counted = each.join(held.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "gram", "left")
+    rarest = counted.groupBy("asked_words").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("least")).filter("least.n > 0")
+    keyed = asked.join(rarest.select("asked_words", F.col("least.gram").alias("gram")), "asked_words")
+    return held.join(keyed, "gram").filter(F.forall("asked_words", lambda w: F.contains(name, w))).drop("gram", "asked_words")
+
+
+def item_words(item: Column) -> Column:
+    return F.filter(F.split(fold(item), r"\s+"), lambda w: F.length(w) >= 2)
+
+
+def named_like(products: DataFrame, items: DataFrame) -> DataFrame:
+    """``id_produto_mestre`` of the products whose names hold all words of a list item."""
+    return containing(products.select("id_produto_mestre", "nome"), items, fold(F.col("nome")), item_words(F.col("item"))).select("id_produto_mestre").distinct()
 
 
-def matched_items(current: DataFrame, items: DataFrame) -> DataFrame:
+def matched_items(current: DataFrame, items: DataFrame, products: DataFrame | None = None) -> DataFrame:
     """Offers for each item of a list (``item``): similarity 0.20 or more and all words contained.
 
-    Names are deduplicated before they meet the list, so the comparison runs over names, not offers.
+    Names meet the list before offers do; with ``products`` given, names are taken from there and offers needn't be read for them.
     """
-    names = current.select("nome").distinct()
-    words = F.filter(F.split(fold(F.col("item")), r"\s+"), lambda w: F.length(w) >= 2)
-    near = names.join(F.broadcast(items.limit(1000)), F.forall(words, lambda w: F.contains(fold(F.col("nome")), w)))  # a shopping list
+    names = (current if products is None else products).select("nome").distinct()
+    near = containing(names, items, fold(F.col("nome")), item_words(F.col("item")))
     near = near.withColumn("semelhanca", similarity(F.col("nome"), F.col("item"))).filter(F.col("semelhanca") >= MIN_SIMILARITY)
     return current.join(near, "nome").select("item", "insignia", "nome", "id_produto_loja", "preco", "semelhanca")
 

@@ -258,6 +258,20 @@ def anomalies(spark, sf_dir):
 
 # Search
 
+
+def _offers_for(spark, sf_dir, term):
+    """Current prices of the products that the term finds."""
+    found = views.products(spark, sf_dir)
+    found = found.filter(search.matches(term, F.col("nome"), F.col("quantidade_valor"), F.col("quantidade_unidade"), any_word=True))
+    return views.current(spark, sf_dir, found)
+
+
+def _list_offers(spark, sf_dir, items):
+    """Current prices of the products whose names hold a list item, and all products."""
+    known = views.products(spark, sf_dir)
+    return views.current(spark, sf_dir, search.named_like(known, items)), known
+
+
 NEAR_SQL = _sql_similarity("nome", "'red widget'")
 
 
@@ -265,15 +279,14 @@ NEAR_SQL = _sql_similarity("nome", "'red widget'")
     FROM produtos p LEFT JOIN (SELECT id_produto_mestre, insignia, preco FROM atuais) a USING (id_produto_mestre) WHERE contains(nome, 'red') AND contains(nome, 'widget') GROUP BY nome)
 SELECT *, {NEAR_SQL} AS semelhanca FROM r ORDER BY semelhanca DESC, nome LIMIT 20""")
 def search_and(spark, sf_dir):
-    facts = views.facts(spark, sf_dir)
-    return search.search(views.products(spark, sf_dir), views.latest(facts), "red widget", 20)
+    return search.search(views.products(spark, sf_dir), _offers_for(spark, sf_dir, "red widget"), "red widget", 20)
 
 
 @query(f""", r AS (SELECT nome, max(marca) AS marca, count(DISTINCT insignia) AS num_lojas, min(preco) AS preco_minimo, max(preco) AS preco_maximo
     FROM produtos p LEFT JOIN (SELECT id_produto_mestre, insignia, preco FROM atuais) a USING (id_produto_mestre) WHERE contains(nome, 'red') OR contains(nome, 'gizmos') GROUP BY nome)
 SELECT * FROM (SELECT *, {_sql_similarity('nome', "'red gizmos'")} AS semelhanca FROM r) WHERE semelhanca > 0.2 ORDER BY semelhanca DESC, nome LIMIT 20""")
 def search_or(spark, sf_dir):
-    return search.search(views.products(spark, sf_dir), views.latest(views.facts(spark, sf_dir)), "red gizmos", 20)
+    return search.search(views.products(spark, sf_dir), _offers_for(spark, sf_dir, "red gizmos"), "red gizmos", 20)
 
 
 BEST_SQL = f""", o AS (SELECT *, row_number() OVER (PARTITION BY nome, insignia ORDER BY preco, id_produto_loja) AS k FROM (SELECT *, {NEAR_SQL} AS semelhanca FROM atuais_nomes WHERE contains(nome, 'red') AND contains(nome, 'widget')) WHERE semelhanca > 0.2),
@@ -283,7 +296,16 @@ melhores AS (SELECT nome, insignia, preco, id_produto_loja, semelhanca, em_promo
 
 @query(BEST_SQL.replace(":top", "5") + "SELECT *, (max(preco) OVER () - preco) / max(preco) OVER () * 100 AS poupanca_pct FROM melhores")
 def best_store(spark, sf_dir):
-    return search.best_store(views.current(spark, sf_dir), "red widget", 5)
+    return search.best_store(_offers_for(spark, sf_dir, "red widget"), "red widget", 5)
+
+
+@query(f""", o AS (SELECT *, preco / (quantidade_valor / 1000.0::DOUBLE) AS u, row_number() OVER (PARTITION BY nome, insignia ORDER BY preco, id_produto_loja) AS k
+    FROM (SELECT *, {NEAR_SQL} AS semelhanca FROM atuais_nomes WHERE contains(nome, 'red') AND contains(nome, 'widget')) WHERE semelhanca > 0.2),
+m AS (SELECT nome, insignia, preco, id_produto_loja, semelhanca, em_promocao, u AS preco_unitario_valor, 'kg' AS preco_unitario_unidade FROM o WHERE k = 1 ORDER BY u, preco, nome, insignia LIMIT 5)
+SELECT *, (max(preco_unitario_valor) OVER () - preco_unitario_valor) / max(preco_unitario_valor) OVER () * 100 AS poupanca_pct FROM m""")
+def best_store_by_unit(spark, sf_dir):
+    offers = _offers_for(spark, sf_dir, "red widget").withColumns({"preco_unitario_valor": F.col("preco") / (F.col("quantidade_valor") / 1000), "preco_unitario_unidade": F.lit("kg")})
+    return search.best_store(offers, "red widget", 5, by_unit=True)
 
 
 @query(f"SELECT id_produto_mestre, nome, {_sql_similarity('nome', chr(39) + 'blue gizmo brand' + chr(39))} AS semelhanca FROM produtos")
@@ -307,12 +329,14 @@ REACH_SQL = f""", perto AS (SELECT insignia, id_loja_fisica, nome_loja, latitude
 
 @query(LIST_SQL + "SELECT * FROM matriz")
 def price_matrix(spark, sf_dir):
-    return basket.price_matrix(views.current(spark, sf_dir), _items(spark))
+    offers, known = _list_offers(spark, sf_dir, _items(spark))
+    return basket.price_matrix(offers, _items(spark), known)
 
 
 @query(UNKNOWN_SQL + "SELECT item, nome, preco, CAST(id_produto_loja AS VARCHAR) AS id_produto_loja, semelhanca, insignia FROM itens LEFT JOIN por_item USING (item)")
 def basket_split(spark, sf_dir):
-    return basket.split_basket(views.current(spark, sf_dir), _items(spark, WITH_UNKNOWN)).select("item", "nome", "preco", F.col("id_produto_loja").cast("string").alias("id_produto_loja"), "semelhanca", "insignia")
+    offers, known = _list_offers(spark, sf_dir, _items(spark, WITH_UNKNOWN))
+    return basket.split_basket(offers, _items(spark, WITH_UNKNOWN), known).select("item", "nome", "preco", F.col("id_produto_loja").cast("string").alias("id_produto_loja"), "semelhanca", "insignia")
 
 
 @query(LIST_SQL + "SELECT * FROM por_cadeia")
@@ -322,15 +346,16 @@ def basket_by_chain(spark, sf_dir):
 
 @query(UNKNOWN_SQL + "SELECT item FROM itens WHERE item NOT IN (SELECT item FROM ofertas)")
 def basket_missing_items(spark, sf_dir):
-    return basket.missing_items(views.current(spark, sf_dir), _items(spark, WITH_UNKNOWN))
+    offers, known = _list_offers(spark, sf_dir, _items(spark, WITH_UNKNOWN))
+    return basket.missing_items(offers, _items(spark, WITH_UNKNOWN), known)
 
 
 @query(LIST_SQL + """SELECT custo_dividido, em_falta, melhor_cadeia, custo_cadeia, CASE WHEN custo_cadeia IS NULL THEN 'dividir_parcial' WHEN custo_dividido < custo_cadeia THEN 'dividir' ELSE 'loja_unica' END AS estrategia,
 greatest(custo_cadeia - custo_dividido, 0.0::DOUBLE) AS poupanca FROM (SELECT round(sum(preco), 8) AS custo_dividido, count(*) FILTER (WHERE preco IS NULL) AS em_falta FROM itens LEFT JOIN por_item USING (item))
 LEFT JOIN (SELECT insignia AS melhor_cadeia, total AS custo_cadeia FROM por_cadeia WHERE completa ORDER BY total, insignia LIMIT 1) ON TRUE""")
 def basket_decision(spark, sf_dir):
-    now = views.current(spark, sf_dir)
-    return basket.basket_decision(basket.price_matrix(now, _items(spark)), _items(spark), basket.split_basket(now, _items(spark)))
+    now, known = _list_offers(spark, sf_dir, _items(spark))
+    return basket.basket_decision(basket.price_matrix(now, _items(spark), known), _items(spark), basket.split_basket(now, _items(spark), known))
 
 
 @query(LIST_SQL + REACH_SQL + f"SELECT insignia, total, round(distancia_km, 8) AS distancia_km, round(total + distancia_km * {PER_KM} * 2, 6) AS custo_total FROM por_cadeia JOIN perto USING (insignia) WHERE completa")
@@ -350,7 +375,7 @@ def basket_routes(spark, sf_dir):
 
 @query(BEST_SQL.replace(":top", "10") + REACH_SQL + f", c AS (SELECT *, row_number() OVER (PARTITION BY insignia ORDER BY preco, nome, id_produto_loja) AS k FROM melhores) SELECT insignia, nome, preco, round(distancia_km, 8) AS distancia_km, round(preco + distancia_km * {PER_KM} * 2, 6) AS custo_total FROM c JOIN perto USING (insignia) WHERE k = 1")
 def near_me(spark, sf_dir):
-    found = basket.near_me(views.current(spark, sf_dir), views.outlets(spark, sf_dir), "red widget", LAT, LON, PER_KM, RADIUS)
+    found = basket.near_me(_offers_for(spark, sf_dir, "red widget"), views.outlets(spark, sf_dir), "red widget", LAT, LON, PER_KM, RADIUS)
     return found.select("insignia", "nome", "preco", F.round("distancia_km", 8).alias("distancia_km"), F.round("custo_total", 6).alias("custo_total"))
 
 
@@ -518,7 +543,7 @@ fiel AS (SELECT c.lista, c.dia, insignia, round(sum(preco), 8) AS custo, any_val
 def _backtest(spark, sf_dir):
     lists = spark.createDataFrame([(n, i) for n, items in LISTS for i in items], "lista string, item string")
     rows = views.history(spark, sf_dir).withColumn("dia", F.trunc("data_recolha", "month"))
-    matched = backtest.matches_by_day(rows, lists)
+    matched = backtest.matches_by_day(rows, lists, views.products(spark, sf_dir))
     return matched, backtest.simulate(matched, lists)
 
 
@@ -547,7 +572,7 @@ fiel AS (SELECT c.lista, c.dia, insignia, round(sum(preco), 8) AS custo, any_val
 def _backtest_by_date(spark, sf_dir):
     lists = spark.createDataFrame([(n, i) for n, items in FREQUENT for i in items], "lista string, item string")
     rows = views.history(spark, sf_dir).withColumn("dia", F.col("data_recolha").cast("date"))
-    matched = backtest.matches_by_day(rows, lists)
+    matched = backtest.matches_by_day(rows, lists, views.products(spark, sf_dir))
     return matched, backtest.simulate(matched, lists)
 
 

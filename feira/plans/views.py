@@ -86,9 +86,15 @@ def latest(rows: DataFrame) -> DataFrame:
     return newest.select("id_produto_loja", "n.*")
 
 
-def current(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``precos_atuais`` with product names."""
-    return latest(facts(spark, sf_dir)).join(products(spark, sf_dir), "id_produto_mestre")
+def current(spark: SparkSession, sf_dir: str, wanted: DataFrame | None = None) -> DataFrame:
+    """``precos_atuais`` with product names; with ``wanted`` (``id_produto_mestre``), of these products only.
+
+    Other products' observations then go before the newest are looked for.
+    """
+    rows, named = facts(spark, sf_dir), products(spark, sf_dir)
+    if wanted is not None:
+        rows = rows.join(wanted.select("id_produto_mestre"), "id_produto_mestre", "left_semi")
+    return latest(rows).join(named, "id_produto_mestre")
 
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:

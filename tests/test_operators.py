@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from feira.functions import geo, text
-from feira.operators import anomaly, forecast, ingest, monitor, panel, search
+from feira.operators import anomaly, backtest, basket, forecast, ingest, monitor, panel, search
 from feira.plans import queries, views
 from feira.sources import records
 from feira.streaming import prices
@@ -192,3 +192,36 @@ def test_backtest_random_sample_draws_100_times_per_date(spark, sf_dir):
     drawn = queries.QUERIES["backtest_random_sample"](spark, sf_dir)
     assert {r["n"] for r in drawn.groupBy("lista", "dia").agg(F.countDistinct("sorteio").alias("n")).collect()} == {100}
     assert not drawn.filter("dia NOT LIKE '%-01'").isEmpty()
+
+
+def test_lists_of_any_length(spark):
+    offers = spark.createDataFrame([(f"thing{i:05d} pack", "A", i, 1.0 + i) for i in range(1500)], "nome string, insignia string, id_produto_loja long, preco double")
+    items = spark.createDataFrame([(f"thing{i:05d} pack",) for i in range(1500)] + [("absent thing",), ("",), (None,)], "item string")
+    found = search.matched_items(offers, items)
+    assert found.select("item").distinct().count() == 1500
+    assert {r["item"] for r in basket.missing_items(offers, items).collect()} == {"absent thing", "", None}
+    split = {r["item"]: r["insignia"] for r in basket.split_basket(offers, items).collect()}
+    assert split["thing00007 pack"] == "A" and split["absent thing"] is None
+    history = offers.select("nome", "insignia", "preco", F.lit("2026-01-01").alias("dia"))
+    lists = spark.range(12_000).select(F.lit("a").alias("lista"), F.concat(F.lit("thing"), F.lpad((F.col("id") % 1500).cast("string"), 5, "0"), F.lit(" "), F.lit("pack")).alias("item"))
+    lists = lists.withColumn("lista", F.concat(F.lit("l"), F.monotonically_increasing_id().cast("string")))
+    assert backtest.matches_by_day(history, lists).count() == 12_000
+
+
+def test_containing_meets_short_words_and_none(spark):
+    names = spark.createDataFrame([("ab c",), ("b",), ("",)], "nome string")
+    wanted = spark.createDataFrame([(["b"],), (["b", "ab"],), ([],), (["zz"],), (None,)], "w array<string>")
+    found = search.containing(names, wanted, F.col("nome"), F.col("w")).collect()
+    assert sorted((r["nome"], tuple(r["w"])) for r in found) == [("", ()), ("ab c", ()), ("ab c", ("b",)), ("ab c", ("b", "ab")), ("b", ()), ("b", ("b",))]
+
+
+def test_best_store_ranks_by_unit_price_only_if_it_is_coherent(spark):
+    kinds = "nome string, insignia string, id_produto_loja long, preco double, em_promocao boolean, quantidade_valor double, quantidade_unidade string, preco_unitario_valor double, preco_unitario_unidade string"
+
+    def ranked(*units):
+        rows = [("red widget", chain, i, price, False, 1.0, "kg", value, unit) for i, (chain, price, value, unit) in enumerate(units)]
+        return [(r["insignia"], r["poupanca_pct"]) for r in search.best_store(spark.createDataFrame(rows, kinds), "red widget", by_unit=True).collect()]
+
+    assert ranked(("A", 1.0, 10.0, "kg"), ("B", 2.0, 5.0, "kg"), ("C", 0.5, None, None)) == [("B", 50.0), ("A", 0.0), ("C", None)]
+    assert ranked(("A", 1.0, 10.0, "kg"), ("B", 2.0, 5.0, "l")) == [("A", 50.0), ("B", 0.0)]
+    assert ranked(("A", 1.0, None, None), ("B", 2.0, None, None)) == [("A", 50.0), ("B", 0.0)]
