@@ -3,9 +3,9 @@
 Records are built as text and written with Spark's own text writer, so archives go
 wherever Spark can write and a lost task is simply run again. A record ends in an
 empty line; the line separator CRLF after each value completes it. Archives are
-read back whole as binary files, one file per task slot, and cut by the
-``Content-Length`` of each record, so a payload may hold anything. File size is
-bounded by ``ARCHIVE_BYTES`` when writing (a single longer record makes one longer file).
+read back whole as binary files, and cut by the ``Content-Length`` of each record, so a
+payload may hold anything. A task that writes begins a new file after as many records as hold
+``ARCHIVE_BYTES`` on average, so files keep that size however large the corpus is.
 
 Revisits: only headers (digest and id) are shuffled. Per payload digest the largest
 id is the response, and every other record of that digest becomes a revisit record with
@@ -86,10 +86,13 @@ def record_text(page_id: Column, uri: Column, payload: Column, digest: Column, r
     return F.concat(F.concat_ws("\r\n", *lines), F.lit("\r\n\r\n"), block, F.lit("\r\n"))
 
 
-def write_archives(records: DataFrame, path: str) -> None:
-    """Writes ``page_id``, ``url``, ``html``, ``payload_digest``, ``record_type``, ``refers_to`` as gzipped archives."""
+def write_archives(records: DataFrame, path: str, records_per_file: int = 0) -> None:
+    """Writes ``page_id``, ``url``, ``html``, ``payload_digest``, ``record_type``, ``refers_to`` as gzipped archives.
+
+    ``records_per_file`` is the most that a file has; 0 sets no bound.
+    """
     text = record_text(F.col("page_id"), F.col("url"), F.coalesce("html", F.lit("")), F.col("payload_digest"), F.col("record_type"), F.col("refers_to"))
-    records.select(text.alias("value")).write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
+    records.select(text.alias("value")).write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
 
 def parse_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -154,5 +157,6 @@ def deduplicate_pages(pages: DataFrame, path: str, least_bytes: int = 0) -> Data
     resolved = resolve_revisits(headers, least_bytes).select("page_id", "payload_digest", "record_type", "refers_to").dropDuplicates(["page_id", "payload_digest"])
     # Payloads meet their headers by page id; a page id occurs once or a few times, so no key is hot.
     full = rows.withColumn("payload_digest", base32_sha1(F.col("html"))).join(resolved, ["page_id", "payload_digest"])
-    write_archives(full, path)
+    mean = headers.agg(F.avg("payload_bytes")).first()[0]
+    write_archives(full, path, max(1, int(ARCHIVE_BYTES / max(mean or 0.0, 1.0))))
     return resolved_records(read_archives(spark, path))

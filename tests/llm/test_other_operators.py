@@ -43,6 +43,15 @@ def test_archives_hold_what_was_written(spark):
     assert [(found[i]["record_type"], found[i]["refers_to"]) for i in range(1, 7)] == [("revisit", 2), ("response", None), ("revisit", 4), ("response", None), ("response", None), ("response", None)]
 
 
+def test_archives_keep_their_size(spark, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 10_000)
+    pages = spark.createDataFrame([(i, "u", f"{i:04d}" + "x" * 996) for i in range(200)], "page_id long, url string, html string")
+    path = new_path(spark, "warc")
+    assert warc.deduplicate_pages(pages.coalesce(1), path).filter("record_type = 'response'").count() == 200
+    sizes = spark.read.format("binaryFile").load(path).select("length").collect()
+    assert len(sizes) >= 20 and warc.read_archives(spark, path).count() == 200
+
+
 def test_archives_of_small_payloads_and_no_pages(spark):
     pages = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcd"), (4, "u", "abcd"), (4, "u", "abcd")], "page_id long, url string, html string")
     found = warc.deduplicate_pages(pages, new_path(spark, "warc"), least_bytes=3).collect()
