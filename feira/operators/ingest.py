@@ -50,9 +50,9 @@ def first_per_id(records: DataFrame, name: str = "id_externo") -> DataFrame:
 def observed_at(text: Column, zone: str = "Europe/Lisbon") -> Column:
     """A time as text; without an offset it is local."""
     bare = clean(text)
-    formats = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd")
-    local = F.coalesce(*[F.try_to_timestamp(bare, F.lit(f)) for f in formats], bare.try_cast("timestamp"))
-    return F.when(bare.rlike(r"(Z|[+-]\d{2}:?\d{2})$"), bare.try_cast("timestamp")).otherwise(F.to_utc_timestamp(local, zone))
+    # The zone is written behind the local time, so that the session's own plays no part.
+    local = F.concat(bare.try_cast("timestamp_ntz").cast("string"), F.lit(f" {zone}")).try_cast("timestamp")
+    return F.when(bare.rlike(r":\d{2}\S*(Z|[+-]\d{2}:?\d{2})$"), bare.try_cast("timestamp")).otherwise(local)
 
 
 def normalise(records: DataFrame) -> DataFrame:
@@ -80,15 +80,28 @@ def split_valid(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def validate_stores(rows: DataFrame) -> DataFrame:
-    """``erro`` for physical stores without name, chain, id or a position in range; zero counts as missing."""
+    """``erro`` for physical stores without chain, name, id, source or a position in range; zero counts as missing."""
     lat, lon = F.col("latitude").try_cast("double"), F.col("longitude").try_cast("double")
-    error = F.when(clean(F.col("insignia")) == "", "insignia em falta").when(clean(F.col("nome_loja")) == "", "nome_loja em falta").when(F.coalesce(lat, F.lit(0.0)) == 0, "latitude em falta").when(F.coalesce(lon, F.lit(0.0)) == 0, "longitude em falta")
+    error = F.when(F.lit(False), "")
+    for c in ("insignia", "nome_loja", "external_id", "fonte"):
+        error = error.when(clean(F.col(c)) == "" if c in rows.columns else F.lit(True), f"{c} em falta")
+    error = error.when(F.coalesce(lat, F.lit(0.0)) == 0, "latitude em falta").when(F.coalesce(lon, F.lit(0.0)) == 0, "longitude em falta")
     return rows.withColumn("erro", error.when(~lat.between(-90, 90), "latitude fora do intervalo").when(~lon.between(-180, 180), "longitude fora do intervalo"))
 
 
+def one_per_key(batch: DataFrame, *key: str) -> DataFrame:
+    """The last row of each key, by ``ordinal`` if the batch has it, else the greatest."""
+    fields = [c for c in batch.columns if c not in key]
+    place = F.col("ordinal") if "ordinal" in fields else F.struct(*fields)
+    return batch.groupBy(*key).agg(F.max_by(F.struct(*fields), place).alias("r")).select(*key, "r.*")
+
+
 def upsert_master(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Products by ``chave_mestre``: the first EAN stays, the newest name counts, other fields keep their value if the new one is null."""
-    o, n = old.alias("o"), new.alias("n")
+    """Products by ``chave_mestre``: the first EAN stays, the newest name counts, other fields keep their value if the new one is null.
+
+    Of a batch's rows with one key the last counts.
+    """
+    o, n = old.alias("o"), one_per_key(new, "chave_mestre").alias("n")
     pick = {"ean": F.coalesce("o.ean", "n.ean"), "nome_padronizado": F.coalesce("n.nome_padronizado", "o.nome_padronizado")}
     rest = [c for c in old.columns if c not in (*pick, "chave_mestre")]
     columns = {**pick, **{c: F.coalesce(f"n.{c}", f"o.{c}") for c in rest}}
@@ -121,9 +134,14 @@ def upsert_snapshot(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def upsert_stores(old: DataFrame, new: DataFrame, keep: tuple[str, ...] = ("telefone", "horario", "codigo_postal")) -> DataFrame:
-    """Physical stores by chain and external id: new values count, but those of ``keep`` stay if the new one is null."""
+    """Physical stores by chain and external id: new values count, but those of ``keep`` stay if the new one is null.
+
+    Of a batch's rows with one key the last counts; a store of the batch is ``ativa`` (again), if there is such a column.
+    """
     key = ["insignia", "external_id"]
-    o, n = old.withColumn("_old", F.lit(True)).alias("o"), new.withColumn("_new", F.lit(True)).alias("n")
+    batch = one_per_key(new, *key)
+    batch = batch.withColumn("ativa", F.lit(True)) if "ativa" in old.columns else batch
+    o, n = old.alias("o"), batch.withColumn("_new", F.lit(True)).alias("n")
     met = o.join(n, (F.col("o.insignia") == F.col("n.insignia")) & (F.col("o.external_id") == F.col("n.external_id")), "full_outer")
     value = lambda c: F.coalesce(f"n.{c}", f"o.{c}") if c in (*keep, *key) else F.when(F.col("n._new"), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}"))
     return met.select(*(value(c).alias(c) for c in old.columns))

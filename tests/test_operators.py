@@ -225,3 +225,27 @@ def test_best_store_ranks_by_unit_price_only_if_it_is_coherent(spark):
     assert ranked(("A", 1.0, 10.0, "kg"), ("B", 2.0, 5.0, "kg"), ("C", 0.5, None, None)) == [("B", 50.0), ("A", 0.0), ("C", None)]
     assert ranked(("A", 1.0, 10.0, "kg"), ("B", 2.0, 5.0, "l")) == [("A", 50.0), ("B", 0.0)]
     assert ranked(("A", 1.0, None, None), ("B", 2.0, None, None)) == [("A", 50.0), ("B", 0.0)]
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Tokyo"])
+def test_observation_times_do_not_depend_on_the_session(spark, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        texts = ["2026-07-01 10:00:00", "2026-07-01T10:00:00", "2026-07-01", "2026-07-01T10:00:00Z", "2026-07-01T10:00:00+02:00", "2026-01-01 10:00:00", "x", None]
+        rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", F.unix_seconds(ingest.observed_at(F.col("t"))).alias("s")).orderBy("i").collect()
+        nine = 1782896400  # 2026-07-01T09:00:00Z
+        assert [r["s"] for r in rows] == [nine, nine, nine - 36_000, nine + 3600, nine - 3600, 1767261600, None, None]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_upserts_take_one_row_of_a_key(spark):
+    old = spark.createDataFrame([("k", "1", "Old")], "chave_mestre string, ean string, nome_padronizado string")
+    new = spark.createDataFrame([("k", "2", "Newer", 2), ("k", "3", "New", 1), ("n", None, "A", 1), ("n", None, "B", 2)], "chave_mestre string, ean string, nome_padronizado string, ordinal int")
+    assert {tuple(r) for r in ingest.upsert_master(old, new).collect()} == {("k", "1", "Newer"), ("n", None, "B")}
+    stores = "insignia string, external_id string, telefone string, ativa boolean"
+    merged = ingest.upsert_stores(spark.createDataFrame([("A", "1", "9", False), ("A", "2", "8", False)], stores), spark.createDataFrame([("A", "1", None, None), ("A", "1", "7", None)], stores))
+    assert {tuple(r) for r in merged.collect()} == {("A", "1", "7", True), ("A", "2", "8", False)}
+    found = ingest.validate_stores(spark.createDataFrame([("A", "x", "1", None, "1", "1"), ("A", "x", "", "f", "1", "1"), ("A", "x", "1", "f", "1", "1")], "insignia string, nome_loja string, external_id string, fonte string, latitude string, longitude string"))
+    assert [r["erro"] for r in found.collect()] == ["fonte em falta", "external_id em falta", None]
