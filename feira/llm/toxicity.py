@@ -151,6 +151,11 @@ def _flat(runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(runs), dtype=np.uint8), np.cumsum(n) - n
 
 
+def _blocks(runs: list[bytes], n: int) -> Iterator[list[bytes]]:
+    for lo in range(0, len(runs), n):
+        yield runs[lo : lo + n]
+
+
 def _rows(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The places where a run's subsequences begin (all but its last ``SPAN``), and their runs."""
     ends = np.append(starts[1:], len(codes)) - SPAN
@@ -167,15 +172,17 @@ def dense(runs: list[bytes], column: np.ndarray, rarity: np.ndarray) -> np.ndarr
     for found, weight in _triples(codes):
         found = found[place]
         at = column[found]
-        out += np.bincount((row * width + at)[at >= 0], weights=weight * rarity[found[at >= 0]], minlength=len(out))
-    return out.reshape(len(runs), width) / _norm(np.bincount(row, minlength=len(runs)))[:, None]
+        np.add.at(out, (row * width + at)[at >= 0], weight * rarity[found[at >= 0]])
+    out = out.reshape(len(runs), width)
+    out /= _norm(np.bincount(row, minlength=len(runs)))[:, None]
+    return out
 
 
 def subsequences_of(runs: list[bytes]) -> np.ndarray:
     """In how many of the runs each subsequence occurs."""
     out = np.zeros(CODES, dtype=np.int64)
-    for lo in range(0, len(runs), 2000):
-        codes, starts = _flat(runs[lo : lo + 2000])
+    for block in _blocks(runs, 2000):
+        codes, starts = _flat(block)
         place, row = _rows(codes, starts)
         met = np.unique(np.concatenate([row * CODES + found[place] for found, _ in _triples(codes)]))
         out += np.bincount(met % CODES, minlength=CODES)
@@ -194,15 +201,21 @@ def _fours(runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def telling_runs(toxic: list[bytes], clean: list[bytes]) -> np.ndarray:
     """Which of the toxic documents' runs hold four symbols that are too frequent there for chance."""
-    (row, four), (_, others) = _fours(toxic), _fours(clean)
-    a, b = (np.bincount(x, minlength=1 << 20).astype(float) for x in (four, others))
+    a, b = (np.zeros(1 << 20), np.zeros(1 << 20))
+    for count, runs in ((a, toxic), (b, clean)):
+        for block in _blocks(runs, 10_000):
+            count += np.bincount(_fours(block)[1], minlength=1 << 20)
     rate = len(toxic) / (len(toxic) + len(clean))
     own = a / np.maximum(a + b, 1)
     gain = np.zeros(1 << 20)
     more = (own > rate) & (a > 0)
     gain[more] = a[more] * np.log(own[more] / rate) + b[more] * np.log(np.maximum(1 - own[more], 1e-12) / (1 - rate))
     clear = (gain > math.log(max((a + b > 0).sum(), 1)) + 1) & (own > (1 + rate) / 2)
-    return np.bincount(row[clear[four]], minlength=len(toxic)) > 0
+    told = []
+    for block in _blocks(toxic, 10_000):
+        row, four = _fours(block)
+        told.append(np.bincount(row[clear[four]], minlength=len(block)) > 0)
+    return np.concatenate(told)
 
 
 @dataclass
@@ -265,13 +278,18 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
     return head
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 15) -> np.ndarray:
+def fit_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 15, block: int = 1000) -> np.ndarray:
     """A linear support vector machine (L2 hinge) by Newton steps over the examples inside the margin; y is -1 or 1."""
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
-        inside = y * (x @ w) < 1
-        part, c = x[inside], cost[inside]
-        w = np.linalg.solve(np.eye(len(w)) + 2 * (part * c[:, None]).T @ part, 2 * part.T @ (c * y[inside]))
+        left, right = np.eye(len(w)), np.zeros(len(w))
+        for lo in range(0, len(x), block):
+            part, sign, c = x[lo : lo + block].astype(float), y[lo : lo + block], cost[lo : lo + block]
+            inside = sign * (part @ w) < 1
+            part, c, sign = part[inside], c[inside], sign[inside]
+            left += 2 * (part * c[:, None]).T @ part
+            right += 2 * part.T @ (c * sign)
+        w = np.linalg.solve(left, right)
     return w
 
 
@@ -297,16 +315,21 @@ def _fit_runs(toxic: list[bytes], clean: list[bytes]) -> tuple[np.ndarray, float
         used = np.flatnonzero(subsequences_of(chosen))
         column = np.full(CODES, -1)
         column[used] = np.arange(len(used))
-        base = dense(chosen, column, rarity)
-        values, vectors = np.linalg.eigh(base @ base.T)
-        kept = values > 1e-6 * values[-1]
-        to_features = base.T @ (vectors[:, kept] / np.sqrt(values[kept]))  # vectors times this are Nyström features
+        base = np.empty((len(chosen), len(used)), dtype=np.float32)
+        for i, block in enumerate(_blocks(chosen, 64)):
+            base[64 * i : 64 * i + len(block)] = dense(block, column, rarity)
+        values, vectors = np.linalg.eigh((base @ base.T).astype(float))
+        kept = values > 1e-5 * values[-1]
+        to_features = base.T @ (vectors[:, kept] / np.sqrt(values[kept])).astype(np.float32)  # vectors times this are Nyström features
+        del base
         examples = positive + [clean[i] for i in negative]
-        x = np.vstack([dense(examples[i : i + 256], column, rarity) @ to_features for i in range(0, len(examples), 256)])
+        x = np.ones((len(examples), to_features.shape[1] + 1), dtype=np.float32)  # the last column is for the bias
+        for i, block in enumerate(_blocks(examples, 64)):
+            x[64 * i : 64 * i + len(block), :-1] = dense(block, column, rarity).astype(np.float32) @ to_features
         y = np.array([1.0] * len(positive) + [-1.0] * len(negative))
-        w = fit_svm(np.column_stack([x, np.ones(len(x))]), y, np.where(y > 0, COST * len(negative) / len(positive), COST))
+        w = fit_svm(x, y, np.where(y > 0, COST * len(negative) / len(positive), COST))
         vector, bias = np.zeros(CODES), float(w[-1])
-        vector[used] = (to_features @ w[:-1]) * rarity[used]
+        vector[used] = (to_features @ w[:-1].astype(np.float32)) * rarity[used]
         hard = np.argsort(-run_scores(codes, starts, vector), kind="stable")[: EXAMPLES * 3 // 4]
         negative = np.unique(np.concatenate([hard, some(np.arange(len(clean)), EXAMPLES)]))
     return vector, bias
@@ -344,6 +367,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     # At most sample * RUNS strings of a few words.
     found = rows.mapInArrow(_sampled_runs, "toxic int, run binary").distinct().toArrow()
     toxic, clean = (sorted(found["run"].filter(pc.equal(found["toxic"], c)).to_pylist()) for c in (1, 0))
+    del found
     if not toxic or not clean:
         return constant
     vector, bias = _fit_runs(toxic, clean)
