@@ -83,6 +83,23 @@ def win_rate(metrics: DataFrame, digits: int = 4) -> DataFrame:
     return counted.crossJoin(total).select("modelo", "vitorias", (100.0 * F.col("vitorias") / F.col("total")).alias("pct"))  # one row
 
 
+def gain_over(metrics: DataFrame, base: str = "naive") -> DataFrame:
+    """Per model the mean errors of the products that it and ``base`` were both evaluated on, and what it gains on ``base``."""
+    fields = ("rmse_euros", "mae_euros", "mape_pct")
+    other = metrics.filter(F.col("modelo") == base).select(KEY, *(F.col(c).alias(f"_{c}") for c in fields))
+    met = metrics.filter(F.col("modelo") != base).join(other, KEY)
+    means = met.groupBy("modelo").agg(F.count(F.lit(1)).alias("produtos"), *(F.avg(c).alias(c) for c in fields), *(F.avg(f"_{c}").alias(f"_{c}") for c in fields))
+    return means.select("modelo", "produtos", *fields, *((F.col(f"_{c}") - F.col(c)).alias(f"ganho_{c}") for c in fields))
+
+
+def ablation_summary(scores: DataFrame) -> DataFrame:
+    """``feature`` and ``rmse`` without it (null feature: with all) to the rise in euros and percent, the largest first."""
+    base = scores.filter("feature IS NULL").select(F.col("rmse").alias("rmse_base"))
+    off = scores.filter("feature IS NOT NULL").crossJoin(base)  # one row
+    rise = F.col("rmse") - F.col("rmse_base")
+    return off.withColumns({"delta_rmse": rise, "delta_pct": F.try_divide(rise, F.col("rmse_base")) * 100}).orderBy(F.desc("delta_rmse"), "feature")
+
+
 def buy_or_wait(forecast: DataFrame, now: Column, threshold_pct: float = 2.0) -> DataFrame:
     """Per product, whether the least forecast mean is far enough below the price of today to wait for it."""
     rolled = forecast.groupBy(KEY).agg(F.min("preco_medio").alias("minimo"), F.min_by("data", "preco_medio").alias("melhor_dia"), F.max(now).alias("preco_atual"))

@@ -109,6 +109,20 @@ def upsert_master(old: DataFrame, new: DataFrame) -> DataFrame:
     return met.select(F.coalesce("o.chave_mestre", "n.chave_mestre").alias("chave_mestre"), *(columns[c].alias(c) for c in old.columns if c != "chave_mestre"))
 
 
+def upsert_chains(old: DataFrame, new: DataFrame, now: Column) -> DataFrame:
+    """Chains by name, format, place and channel: known ones keep ``id_loja`` and are touched, new ones get the next ids in the order of their key.
+
+    A batch names few chains, so their ids are counted in one task.
+    """
+    key = ["insignia", "formato_loja", "localizacao", "canal"]
+    batch = new.select(*key).distinct()
+    kept = old.join(batch.withColumn("_visto", F.lit(True)), key, "left").withColumn("data_atualizacao", F.when(F.col("_visto"), now).otherwise(F.col("data_atualizacao")))
+    unseen = batch.join(old.select(*key), key, "left_anti").withColumn("_n", F.row_number().over(Window.orderBy(*key)))
+    top = old.agg(F.coalesce(F.max("id_loja"), F.lit(0)).alias("_top"))
+    added = unseen.crossJoin(top).select((F.col("_top") + F.col("_n")).cast("int").alias("id_loja"), *key, now.alias("data_atualizacao"))  # one row
+    return kept.select("id_loja", *key, "data_atualizacao").unionByName(added)
+
+
 def replace_by_key(old: DataFrame, new: DataFrame, *key: str) -> DataFrame:
     """The new rows, and the old ones of other keys."""
     return old.join(new.select(*key).distinct(), list(key), "left_anti").unionByName(new)

@@ -42,7 +42,8 @@ def price_changes(rows: DataFrame, since: Column, order: Sequence[str], key: str
 
 
 def alert_type(pct: Column, before: Column, after: Column) -> Column:
-    """The label of a change: promotions that begin or end come before the size of the change."""
+    """The label of a change: promotions that begin or end come before the size of the change; an unknown one is none."""
+    before, after = F.coalesce(before, F.lit(False)), F.coalesce(after, F.lit(False))
     return (
         F.when(~before & after, ALERTS[0])
         .when(before & ~after, ALERTS[1])
@@ -66,6 +67,17 @@ def alert_report(found: DataFrame) -> DataFrame:
     return found.groupBy("tipo_alerta").agg(F.count(F.lit(1)).alias("n"), F.max(F.abs("variacao_pct")).alias("maior")).withColumn("lugar", place).orderBy("lugar")
 
 
+def largest_alerts(found: DataFrame, top: int = 5, key: str = "id_produto_loja") -> DataFrame:
+    """The ``top`` alerts by the size of the change, in either direction."""
+    return found.orderBy(F.desc_nulls_last(F.abs("variacao_pct")), key).limit(top)
+
+
+def grouped_alerts(found: DataFrame, key: str = "id_produto_loja") -> DataFrame:
+    """All alerts with the ``lugar`` of their type in the report, in its order, the largest change of a type first."""
+    kind = F.array_position(F.array(*[F.lit(a) for a in ALERTS]), F.col("tipo_alerta")).cast("int")
+    return found.withColumn("lugar", kind).orderBy("lugar", F.desc_nulls_last(F.abs("variacao_pct")), key)
+
+
 def product_history(rows: DataFrame, product: int, order: Sequence[str], since: Column | None = None) -> DataFrame:
     """One product's rows in order, with the direction of each change (-1, 0, 1; null for the first)."""
     own = rows.filter(F.col("id_produto_loja") == product)

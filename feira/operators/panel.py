@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 KEY = "id_produto_loja"
+STATIC = ("id_produto_mestre", "id_loja", "cadeia", "canal", "nome_produto", "marca", "categoria_geral", "quantidade_valor", "quantidade_unidade")
 LAGS = (1, 2, 3, 7)
 FEATURES = ("preco", "promo_flag", "weekday", "month", "weekofyear", "dayofmonth", "dias_desde_ultima_obs", *(f"lag_{n}" for n in LAGS), "media_movel_3", "media_movel_7", "desvio_movel_7")
 
@@ -29,6 +30,54 @@ def daily(rows: DataFrame) -> DataFrame:
     )
 
 
+def daily_wide(rows: DataFrame, keys: tuple[str, ...] = STATIC) -> DataFrame:
+    """One row per day, product and static fields (null counts as a value): mean price, greatest original price, mean
+    and most frequent unit (the least on ties), whether any row was a promotion, and row count."""
+    return rows.groupBy("dia", KEY, *keys).agg(
+        F.avg("preco").alias("preco"),
+        F.max("preco_original").alias("preco_original"),
+        F.avg("preco_unitario_valor").alias("preco_unitario_valor"),
+        F.mode("preco_unitario_unidade", True).alias("preco_unitario_unidade"),
+        F.coalesce(F.max("em_promocao"), F.lit(False)).alias("promo_flag"),
+        F.count(F.lit(1)).alias("observacoes_no_dia"),
+    )
+
+
+def fill_static(panel: DataFrame, columns: tuple[str, ...] = STATIC) -> DataFrame:
+    """Fields of a product on days without a row: the last known value, else the next known one."""
+    so_far, from_here = _days().rowsBetween(Window.unboundedPreceding, 0), _days().rowsBetween(0, Window.unboundedFollowing)
+    return panel.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(so_far), F.first(c, ignorenulls=True).over(from_here)) for c in columns})
+
+
+def scaled(table: DataFrame, columns: tuple[str, ...] = FEATURES, window: int = 7) -> DataFrame:
+    """``columns`` brought to 0..1 by the least and greatest value of each product's rows before the last ``window``.
+
+    A column without a range there is divided by 1. Rows of series too short to be split are left out.
+    """
+    ranges = split_last(table, window)
+    whole = Window.partitionBy(KEY)
+    known = lambda f, c: f(F.when(~F.col("validacao"), F.col(c).cast("double"))).over(whole)
+    span = lambda c: known(F.max, c) - known(F.min, c)
+    return ranges.withColumns({f"{c}_norm": (F.col(c) - known(F.min, c)) / F.when(span(c) == 0, F.lit(1.0)).otherwise(span(c)) for c in columns})
+
+
+def context(table: DataFrame, prices: int = 7) -> DataFrame:
+    """Per product what a forecast starts from: first and last day, last price, and the last ``prices`` prices in order."""
+    place = F.row_number().over(Window.partitionBy(KEY).orderBy(F.desc("dia")))
+    last = F.transform(F.array_sort(F.collect_list(F.when(F.col("_n") <= prices, F.struct("dia", "preco")))), lambda x: x["preco"])
+    return table.withColumn("_n", place).groupBy(KEY).agg(F.min("dia").alias("primeiro_dia"), F.max("dia").alias("ultimo_dia"), F.max_by("preco", "dia").alias("preco_atual"), last.alias("ultimos_precos"))
+
+
+def typed(rows: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """Columns in their kinds; what can't be read as one is null. Columns that are missing are left out."""
+    return rows.withColumns({c: F.col(c).try_cast(k) for c, k in kinds.items() if c in rows.columns})
+
+
+def write_panel(panel: DataFrame, path: str, kind: str = "parquet") -> None:
+    """The panel in folders by chain (``cadeia``), as Parquet or CSV with a header."""
+    panel.write.mode("overwrite").option("header", True).partitionBy("cadeia").format(kind).save(path)
+
+
 def expand(observed: DataFrame) -> DataFrame:
     """Every day from a product's first to its last; prices and units are carried forward, promotions are not."""
     spans = observed.groupBy(KEY).agg(F.min("dia").alias("first"), F.max("dia").alias("last"))

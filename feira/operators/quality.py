@@ -5,10 +5,11 @@ All are single grouped aggregates over one scan; counts of distinct values stay
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 NO_CATEGORY = "(sem categoria)"
+QUARTILES = (("q1", 0.25), ("mediana", 0.5), ("q3", 0.75))
 
 
 def _long(row: DataFrame) -> DataFrame:
@@ -78,10 +79,26 @@ def most_observed(history: DataFrame, top: int = 20) -> DataFrame:
 
 
 def price_quartiles(rows: DataFrame, by: str = "insignia") -> DataFrame:
-    """Smallest, quartiles and largest of positive prices per group."""
-    quantiles = F.percentile("preco", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    found = rows.filter("preco > 0").groupBy(by).agg(F.min("preco").alias("minimo"), quantiles.alias("q"), F.max("preco").alias("maximo"))
-    return found.select(by, "minimo", *(F.round(F.get("q", F.lit(i)), 8).alias(n) for i, n in enumerate(("q1", "mediana", "q3"))), "maximo")
+    """Smallest, quartiles and largest of positive prices per group, interpolated between neighbours.
+
+    Prices are counted, then ranked in two levels: whole slices of 1/256 of an octave first (their number is bounded by
+    the range of doubles), then the distinct prices of those slices only that hold a wanted rank. So no task holds a group.
+    """
+    slices = F.floor(F.log2("preco") * 256).alias("_fatia")
+    counted = rows.filter("preco > 0").groupBy(by, slices, "preco").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = counted.groupBy(by, "_fatia").agg(F.sum("_n").alias("_n"), F.min("preco").alias("_min"), F.max("preco").alias("_max"))
+    whole, before = Window.partitionBy(by), Window.partitionBy(by).orderBy("_fatia").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = sizes.withColumns({"_antes": F.coalesce(F.sum("_n").over(before), F.lit(0)), "_todos": F.sum("_n").over(whole), "minimo": F.min("_min").over(whole), "maximo": F.max("_max").over(whole)})
+    place = lambda q: F.lit(q) * (F.col("_todos") - 1)
+    ends = [F.struct(F.lit(n).alias("nome"), end(place(q)).alias("lugar"), weight(place(q)).alias("peso")) for n, q in QUARTILES for end, weight in ((F.floor, lambda p: 1 - (p - F.floor(p))), (lambda p: F.floor(p) + 1, lambda p: p - F.floor(p)))]
+    held = F.filter(F.array(*ends), lambda e: (e["peso"] > 0) & (e["lugar"] >= F.col("_antes")) & (e["lugar"] < F.col("_antes") + F.col("_n")))
+    wanted = ranked.select(by, "_fatia", "_antes", "minimo", "maximo", held.alias("_quer")).filter(F.size("_quer") > 0)
+    up_to = F.sum("_n").over(Window.partitionBy(by, "_fatia").orderBy("preco").rowsBetween(Window.unboundedPreceding, 0))
+    near = counted.join(wanted, (counted[by].eqNullSafe(wanted[by])) & (counted["_fatia"] == wanted["_fatia"])).drop(wanted[by], wanted["_fatia"]).withColumn("_ate", F.col("_antes") + up_to)
+    hit = F.filter("_quer", lambda e: (e["lugar"] < F.col("_ate")) & (e["lugar"] >= F.col("_ate") - F.col("_n")))
+    found = near.select(by, "minimo", "maximo", "preco", F.explode(hit).alias("e"))
+    quartile = lambda n: F.round(F.sum(F.when(F.col("e.nome") == n, F.col("preco") * F.col("e.peso"))), 8).alias(n)
+    return found.groupBy(by).agg(F.min("minimo").alias("minimo"), *(quartile(n) for n, _ in QUARTILES), F.max("maximo").alias("maximo"))
 
 
 def price_histogram(rows: DataFrame, low: float, high: float, bins: int = 40) -> DataFrame:
@@ -122,6 +139,72 @@ def store_kpis(current: DataFrame) -> DataFrame:
     )
 
 
+def database_counters(chains: DataFrame, products: DataFrame, history: DataFrame, current: DataFrame) -> DataFrame:
+    """The twelve counters of the data check; days as text."""
+    incoherent = F.col("em_promocao") & (F.col("preco_original").isNull() | (F.col("preco_original") <= F.col("preco")))
+    day = F.to_date("data_recolha")
+    parts = (
+        chains.agg(F.count(F.lit(1)).alias("lojas")),
+        products.agg(F.count(F.lit(1)).alias("produtos_mestre"), F.count_if(F.col("quantidade_valor").isNull() | F.col("quantidade_unidade").isNull()).alias("produtos_sem_quantidade")),
+        history.agg(F.countDistinct("id_produto_loja").alias("produtos_loja"), F.count(F.lit(1)).alias("historico_precos"), F.countDistinct(day).alias("dias_distintos_historico"), F.min(day).alias("primeiro_dia_historico"), F.max(day).alias("ultimo_dia_historico")),
+        current.agg(F.count(F.lit(1)).alias("precos_atuais"), F.count_if("em_promocao").alias("produtos_em_promocao"), F.count_if(incoherent).alias("promocoes_incoerentes"), F.count_if(F.col("preco_unitario").isNull()).alias("produtos_sem_preco_unitario")),
+    )
+    named = lambda row: row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metrica"), F.col(c).cast("string").alias("valor")) for c in row.columns])).alias("m")).select("m.*")
+    first, *rest = map(named, parts)
+    for part in rest:
+        first = first.unionByName(part)
+    return first
+
+
+def health_counters(history: DataFrame, current: DataFrame, stores: DataFrame) -> DataFrame:
+    """One row: products of chains, history rows, active physical stores and the newest collection."""
+    of_current = current.agg(F.count(F.lit(1)).alias("produtos_loja"), F.max("data_recolha").alias("ultima_recolha"))
+    of_history = history.agg(F.count(F.lit(1)).alias("historico_precos"))
+    of_stores = stores.agg(F.count_if("ativa").alias("lojas_fisicas"))
+    return of_current.crossJoin(of_history).crossJoin(of_stores)  # one row each
+
+
+def history_kpis(history: DataFrame, key: str = "id_produto_loja") -> DataFrame:
+    """Observations and least, greatest and mean price of each product's history."""
+    return history.groupBy(key).agg(F.count(F.lit(1)).alias("observacoes"), F.min("preco").alias("minimo"), F.max("preco").alias("maximo"), F.avg("preco").alias("medio"))
+
+
+def anomaly_counts(found: DataFrame) -> DataFrame:
+    """Anomalies per criterion."""
+    return found.groupBy("criterio").agg(F.count(F.lit(1)).alias("n"))
+
+
+def anomaly_sample(found: DataFrame, top: int = 10, key: str = "id_produto_loja") -> DataFrame:
+    """The first ``top`` anomalies by product, day and row."""
+    return found.orderBy(key, "dia", "id_historico").limit(top)
+
+
+def without_quantity(products: DataFrame, top: int = 20) -> DataFrame:
+    """The first ``top`` names of products whose quantity is not known."""
+    return products.filter("quantidade_valor IS NULL OR quantidade_unidade IS NULL").select("nome").orderBy("nome").limit(top)
+
+
+def listing_sample(current: DataFrame, top: int = 20) -> DataFrame:
+    """The first ``top`` current prices by chain and name."""
+    columns = ("insignia", "nome", "id_produto_loja", "quantidade_valor", "quantidade_unidade", "preco", "preco_original", "em_promocao", "data_recolha")
+    return current.select(*columns).orderBy("insignia", "nome", "id_produto_loja").limit(top)
+
+
+def listing(current: DataFrame, by: str = "nome") -> DataFrame:
+    """A chain's listing in one of four orders: ``nome``, ``mais_barato``, ``mais_caro``, ``promocoes``; ties by name and id."""
+    first = {"nome": [], "mais_barato": [F.asc_nulls_last("preco")], "mais_caro": [F.desc_nulls_last("preco")], "promocoes": [F.desc_nulls_last("em_promocao")]}[by]
+    return current.orderBy(*first, "nome", "id_produto_loja")
+
+
+def coverage_labels(by_chain: DataFrame, items: int, total: str = "total", found: str = "encontrados") -> DataFrame:
+    """Per chain how many items of a list it lacks, whether it has all, and a label of its cost; cheapest first, unknown costs last."""
+    missing = F.lit(items) - F.col(found)
+    cost = F.format_string("%.2f€", F.col(total))
+    label = F.when(missing == 0, cost).otherwise(F.concat(cost, F.format_string("  (%d/%d)", F.col(found).cast("long"), F.lit(items))))
+    rows = by_chain.withColumns({"itens_em_falta": missing.cast("int"), "completa": missing == 0, "estado": F.when(missing == 0, "Lista completa").otherwise("Cobertura parcial"), "etiqueta": label})
+    return rows.orderBy(F.asc_nulls_last(total), "insignia")
+
+
 def to_markdown(rows: DataFrame) -> str:
     """A small result as a Markdown table; null cells are empty."""
     lines = ["| " + " | ".join(rows.columns) + " |", "|" + " --- |" * len(rows.columns)]

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feira.functions import geo, text
+from feira.functions import display, geo, text
 from feira.operators import anomaly, backtest, basket, forecast, ingest, monitor, panel, quality, search
 from feira.plans import views
 from feira.plans.registry import ORACLE_SQL, QUERIES, Query
+from feira.sources import web
 from feira.streaming.prices import trailing_changes
 
 LAT, LON, PER_KM, RADIUS = 39.5, -8.0, 0.2, 150.0
@@ -603,3 +604,159 @@ def sliding_window_monitor(spark, sf_dir):
     rows = views.table(spark, sf_dir, "events").select(F.col("user_id").alias("id_produto_loja"), "ts", F.col("event_id").alias("ordem"), F.col("value").alias("preco"))
     hours = F.expr("timestampdiff(HOUR, TIMESTAMP_NTZ'1970-01-01 00:00:00', inicio)")
     return trailing_changes(rows).select(hours.alias("hora"), "id_produto_loja", "preco_antigo", "preco_novo", "n")
+
+
+# Labels and addresses
+
+
+_CAPITALS = "list_aggregate(list_transform(string_split(lower(p_name || ' ' || p_brand), ' '), lambda w: upper(w[1]) || w[2:]), 'string_agg', ' ')"
+
+
+@query(f"SELECT p_partkey AS id_produto_mestre, {_CAPITALS} || ' ' || p_size || 'g' AS nome_padronizado FROM part")
+def standard_names(spark, sf_dir):
+    named = views.products(spark, sf_dir)
+    return named.select("id_produto_mestre", display.standard_name(F.col("nome"), F.col("marca")).alias("nome_padronizado"))
+
+
+@query("""SELECT id_loja_fisica, CASE insignia WHEN 'MIDDLE EAST' THEN 'Middle East' ELSE insignia[1] || lower(insignia[2:]) END AS titulo,
+CASE WHEN length(nome_loja || ' | ' || cidade || ' | ' || insignia || ' | loja fisica e online') > 55 THEN left(nome_loja || ' | ' || cidade || ' | ' || insignia || ' | loja fisica e online', 52) || '...'
+    ELSE nome_loja || ' | ' || cidade || ' | ' || insignia || ' | loja fisica e online' END AS etiqueta FROM lojas_fisicas""")
+def store_labels(spark, sf_dir):
+    shops = views.outlets(spark, sf_dir)
+    whole = F.concat_ws(" | ", "nome_loja", "cidade", "insignia", F.lit("loja fisica e online"))
+    return shops.select("id_loja_fisica", display.store_title(F.col("insignia")).alias("titulo"), display.short_label(whole).alias("etiqueta"))
+
+
+ADDRESSES_SQL = """, m AS (SELECT *, 'https://p.pt/home/produtos/' || lower(p_type) || '/g' || p_size % 10 || '/' || lower(replace(p_name, ' ', '-')) || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE '-' || p_partkey END || '.html' AS url FROM part)"""
+
+
+@query(ADDRESSES_SQL + """SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'p-' || left(sha1(url), 16) ELSE CAST(p_partkey AS VARCHAR) END AS id_externo,
+lower(p_type) || '/g' || p_size % 10 AS categoria, p_type = 'ECONOMY' AND p_size % 10 = 3 AS na_categoria FROM m""")
+def product_addresses(spark, sf_dir):
+    part = views.table(spark, sf_dir, "part")
+    own = F.when(F.col("p_partkey") % 3 == 0, "").otherwise(F.concat(F.lit("-"), F.col("p_partkey").cast("string")))
+    folders = F.concat_ws("/", F.lit("https://p.pt/home/produtos"), F.lower("p_type"), F.concat(F.lit("g"), (F.col("p_size") % 10).cast("string")), F.lower(F.replace(F.col("p_name"), F.lit(" "), F.lit("-"))))
+    rows = part.select("p_partkey", F.concat(folders, own, F.lit(".html")).alias("url"))
+    return rows.select("p_partkey", web.id_from_url(F.col("url"), "p").alias("id_externo"), web.category_from_url(F.col("url")).alias("categoria"), web.in_category(F.col("url"), "ECONOMY", "g3").alias("na_categoria"))
+
+
+@query("SELECT p_partkey, p_size >= 20 AS numero_no_nome FROM part")
+def prices_in_names(spark, sf_dir):
+    part = views.table(spark, sf_dir, "part")
+    name = F.concat_ws(" ", "p_name", F.concat(F.col("p_size").cast("string"), F.lit("g")))
+    return part.select("p_partkey", display.price_in_name(F.col("p_size").cast("string"), name).alias("numero_no_nome"))
+
+
+# Reports, continued
+
+
+def _priced(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("preco_unitario", F.when(F.col("l_suppkey") % 4 != 0, F.col("preco")))
+
+
+@query(f"""SELECT 'lojas' AS metrica, CAST(count(*) AS VARCHAR) AS valor FROM region
+UNION ALL SELECT unnest(['produtos_mestre', 'produtos_sem_quantidade']), unnest([CAST(count(*) AS VARCHAR), '0']) FROM produtos
+UNION ALL SELECT unnest(['produtos_loja', 'historico_precos', 'dias_distintos_historico', 'primeiro_dia_historico', 'ultimo_dia_historico']), unnest([CAST(count(DISTINCT id_produto_loja) AS VARCHAR), CAST(count(*) AS VARCHAR),
+    CAST(count(DISTINCT CAST(data_recolha AS DATE)) AS VARCHAR), CAST(min(CAST(data_recolha AS DATE)) AS VARCHAR), CAST(max(CAST(data_recolha AS DATE)) AS VARCHAR)]) FROM factos
+UNION ALL SELECT unnest(['precos_atuais', 'produtos_em_promocao', 'promocoes_incoerentes', 'produtos_sem_preco_unitario']), unnest([CAST(count(*) AS VARCHAR), CAST(count(*) FILTER (WHERE em_promocao) AS VARCHAR),
+    CAST(count(*) FILTER (WHERE em_promocao AND (preco_original IS NULL OR preco_original <= preco)) AS VARCHAR), CAST(count(*) FILTER (WHERE l_suppkey % 4 = 0) AS VARCHAR)]) FROM atuais""")
+def database_counters(spark, sf_dir):
+    rows = views.facts(spark, sf_dir)
+    return quality.database_counters(views.chains(spark, sf_dir), views.products(spark, sf_dir), rows, _priced(views.latest(rows)))
+
+
+@query(f"""SELECT (SELECT count(*) FROM atuais) AS produtos_loja, {_day('max(data_recolha)')} AS ultima_recolha, count(*) AS historico_precos, (SELECT count(*) FROM lojas_fisicas WHERE ativa) AS lojas_fisicas FROM factos""")
+def health_counters(spark, sf_dir):
+    rows = views.facts(spark, sf_dir)
+    return quality.health_counters(rows, views.latest(rows), views.outlets(spark, sf_dir))
+
+
+@query("SELECT id_produto_loja, count(*) AS observacoes, min(preco) AS minimo, max(preco) AS maximo, round(avg(preco), 8) AS medio FROM factos GROUP BY id_produto_loja")
+def history_kpis(spark, sf_dir):
+    return quality.history_kpis(views.facts(spark, sf_dir)).withColumn("medio", F.round("medio", 8))
+
+
+ANOMALIES_SQL = ORACLE_SQL["anomalies"].removeprefix(views.SQL)
+ANOMALIES_SQL = ANOMALIES_SQL.replace("SELECT id_historico, id_produto_loja,", ", achadas AS (SELECT id_historico, id_produto_loja,") + ")"
+
+
+@query(ANOMALIES_SQL + "SELECT criterio, count(*) AS n FROM achadas GROUP BY criterio")
+def anomaly_counts(spark, sf_dir):
+    return quality.anomaly_counts(anomalies(spark, sf_dir))
+
+
+@query(ANOMALIES_SQL + "SELECT * FROM achadas ORDER BY id_produto_loja, dia, id_historico LIMIT 10")
+def anomaly_sample(spark, sf_dir):
+    return quality.anomaly_sample(anomalies(spark, sf_dir))
+
+
+@query(f"SELECT insignia, nome, id_produto_loja, quantidade_valor, quantidade_unidade, preco, preco_original, em_promocao, {_day('data_recolha')} AS data_recolha FROM atuais_nomes ORDER BY insignia, nome, id_produto_loja LIMIT 20")
+def listing_sample(spark, sf_dir):
+    return quality.listing_sample(views.current(spark, sf_dir))
+
+
+@query(CHANGES_SQL + f"SELECT * EXCLUDE (da, dn), {_day('da')} AS data_antiga, {_day('dn')} AS data_nova FROM alertas ORDER BY abs(variacao_pct) DESC NULLS LAST, id_produto_loja LIMIT 5")
+def largest_alerts(spark, sf_dir):
+    return monitor.largest_alerts(monitor.alerts(price_changes(spark, sf_dir)))
+
+
+@query(LIST_SQL + f"""SELECT insignia, total, encontrados, completa, ({len(ITEMS)} - encontrados)::INT AS itens_em_falta, CASE WHEN completa THEN 'Lista completa' ELSE 'Cobertura parcial' END AS estado FROM por_cadeia""")
+def basket_coverage(spark, sf_dir):
+    rows = quality.coverage_labels(basket_by_chain(spark, sf_dir), len(ITEMS))
+    return rows.select("insignia", "total", "encontrados", "completa", "itens_em_falta", "estado")
+
+
+# Panels, continued
+
+
+@query(f"""SELECT {_day('data_recolha')} AS dia, id_produto_loja, id_produto_mestre, id_loja, insignia AS cadeia, round(avg(preco), 8) AS preco, max(preco_original) AS preco_original,
+bool_or(em_promocao) AS promo_flag, count(*) AS observacoes_no_dia FROM factos GROUP BY ALL""")
+def daily_wide(spark, sf_dir):
+    rows = views.facts(spark, sf_dir).select("*", F.to_date("data_recolha").alias("dia"), F.col("insignia").alias("cadeia"), F.col("preco").alias("preco_unitario_valor"), F.lit("g").alias("preco_unitario_unidade"))
+    wide = panel.daily_wide(rows, ("id_produto_mestre", "id_loja", "cadeia"))
+    return wide.withColumn("preco", F.round("preco", 8)).drop("preco_unitario_valor", "preco_unitario_unidade")
+
+
+@query(DAILY_SQL + f""", e AS (SELECT *, CASE WHEN foi_observado = 1 AND day(dia) % 2 = 0 THEN preco_unitario_unidade END AS marca FROM painel)
+SELECT id_produto_loja, {_day('dia')} AS dia, coalesce(last_value(marca IGNORE NULLS) OVER (PARTITION BY id_produto_loja ORDER BY e.dia ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+    first_value(marca IGNORE NULLS) OVER (PARTITION BY id_produto_loja ORDER BY e.dia ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS marca FROM e""")
+def static_fields(spark, sf_dir):
+    known = F.when((F.col("foi_observado") == 1) & (F.day("dia") % 2 == 0), F.col("preco_unitario_unidade"))
+    return panel.fill_static(_panel(spark, sf_dir).withColumn("marca", known), ("marca",)).select("id_produto_loja", "dia", "marca")
+
+
+@query(DAILY_SQL + f""", p AS (SELECT *, row_number() OVER (PARTITION BY id_produto_loja ORDER BY dia DESC) <= 7 AS validacao, count(*) OVER (PARTITION BY id_produto_loja) AS todos FROM diario),
+r AS (SELECT *, min(preco) FILTER (WHERE NOT validacao) OVER (PARTITION BY id_produto_loja) AS a, max(preco) FILTER (WHERE NOT validacao) OVER (PARTITION BY id_produto_loja) AS z FROM p WHERE todos >= 15)
+SELECT id_produto_loja, {_day('dia')} AS dia, validacao, round((preco - a) / CASE WHEN z = a THEN 1 ELSE z - a END, 8) AS preco_norm FROM r""")
+def scaled_prices(spark, sf_dir):
+    rows = panel.scaled(panel.daily(views.series(spark, sf_dir)), ("preco",))
+    return rows.select("id_produto_loja", "dia", "validacao", F.round("preco_norm", 8).alias("preco_norm"))
+
+
+@query(DAILY_SQL + f""", p AS (SELECT *, row_number() OVER (PARTITION BY id_produto_loja ORDER BY dia DESC) AS n FROM diario)
+SELECT id_produto_loja, {_day('min(dia)')} AS primeiro_dia, {_day('max(dia)')} AS ultimo_dia, arg_max(preco, dia) AS preco_atual, string_agg(CAST(CAST(round(preco * 100) AS BIGINT) AS VARCHAR), ',' ORDER BY dia) FILTER (WHERE n <= 7) AS ultimos_centimos FROM p GROUP BY id_produto_loja""")
+def forecast_context(spark, sf_dir):
+    rows = panel.context(panel.daily(views.series(spark, sf_dir)))
+    cents = F.array_join(F.transform("ultimos_precos", lambda p: F.round(p * 100).cast("long").cast("string")), ",")
+    return rows.withColumn("ultimos_centimos", cents).drop("ultimos_precos")
+
+
+@query(EVAL_SQL + """, b AS (SELECT * FROM erros WHERE modelo = 'naive') SELECT e.modelo, count(*) AS produtos, round(avg(e.rmse_euros), 6) AS rmse_euros, round(avg(b.rmse_euros) - avg(e.rmse_euros), 6) AS ganho_rmse_euros
+FROM erros e JOIN b USING (id_produto_loja) WHERE e.modelo <> 'naive' GROUP BY e.modelo""")
+def gain_over_naive(spark, sf_dir):
+    rows = forecast.gain_over(_metrics(spark, sf_dir))
+    return rows.select("modelo", "produtos", F.round("rmse_euros", 6).alias("rmse_euros"), F.round("ganho_rmse_euros", 6).alias("ganho_rmse_euros"))
+
+
+# Ingestion, continued
+
+
+@query(""", v AS (SELECT r_regionkey::INT + 1 AS id_loja, r_name AS insignia FROM region WHERE r_regionkey < 3), n AS (SELECT DISTINCT n_name AS insignia FROM nation UNION SELECT r_name FROM region WHERE r_regionkey >= 1)
+SELECT id_loja, insignia, CASE WHEN insignia IN (SELECT insignia FROM n) THEN '2026-01-02' ELSE '2026-01-01' END AS data_atualizacao FROM v
+UNION ALL SELECT (3 + row_number() OVER (ORDER BY insignia))::INT, insignia, '2026-01-02' FROM n WHERE insignia NOT IN (SELECT insignia FROM v)""")
+def chain_upsert(spark, sf_dir):
+    rest = [F.lit("Online").alias("formato_loja"), F.lit("Nacional").alias("localizacao"), F.lit("online").alias("canal")]
+    region, nation = views.table(spark, sf_dir, "region"), views.table(spark, sf_dir, "nation")
+    old = region.filter("r_regionkey < 3").select((F.col("r_regionkey") + 1).cast("int").alias("id_loja"), F.col("r_name").alias("insignia"), *rest, F.lit("2026-01-01").alias("data_atualizacao"))
+    new = nation.select(F.col("n_name").alias("insignia"), *rest).unionByName(region.filter("r_regionkey >= 1").select(F.col("r_name").alias("insignia"), *rest))
+    return ingest.upsert_chains(old, new, F.lit("2026-01-02")).select("id_loja", "insignia", "data_atualizacao")

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from feira.functions import geo, text
-from feira.operators import anomaly, backtest, basket, forecast, ingest, monitor, panel, search
+from feira.operators import anomaly, backtest, basket, forecast, ingest, monitor, panel, quality, search
 from feira.plans import queries, views
 from feira.sources import records
 from feira.streaming import prices
@@ -249,3 +249,59 @@ def test_upserts_take_one_row_of_a_key(spark):
     assert {tuple(r) for r in merged.collect()} == {("A", "1", "7", True), ("A", "2", "8", False)}
     found = ingest.validate_stores(spark.createDataFrame([("A", "x", "1", None, "1", "1"), ("A", "x", "", "f", "1", "1"), ("A", "x", "1", "f", "1", "1")], "insignia string, nome_loja string, external_id string, fonte string, latitude string, longitude string"))
     assert [r["erro"] for r in found.collect()] == ["fonte em falta", "external_id em falta", None]
+
+
+def test_quartiles_interpolate_and_take_hot_prices(spark):
+    rows = [("a", 1.0), ("a", 2.0), ("a", 3.0), ("a", 10.0), ("b", 5.0), (None, 1.0), (None, 2.0), ("c", -1.0), *[("d", 7.0)] * 9, ("d", 8.0)]
+    found = {r["insignia"]: tuple(r)[1:] for r in quality.price_quartiles(spark.createDataFrame(rows, "insignia string, preco double")).collect()}
+    assert found == {"a": (1.0, 1.75, 2.5, 4.75, 10.0), "b": (5.0, 5.0, 5.0, 5.0, 5.0), None: (1.0, 1.25, 1.5, 1.75, 2.0), "d": (7.0, 7.0, 7.0, 7.0, 8.0)}
+
+
+def test_listings_and_labels(spark):
+    rows = spark.createDataFrame([(1, "b", 2.0, False), (2, "a", None, True), (3, "c", 1.0, None)], "id_produto_loja int, nome string, preco double, em_promocao boolean")
+    order = lambda by: [r["id_produto_loja"] for r in quality.listing(rows, by).collect()]
+    assert [order(by) for by in ("nome", "mais_barato", "mais_caro", "promocoes")] == [[2, 1, 3], [3, 1, 2], [1, 3, 2], [2, 1, 3]]
+    chains = spark.createDataFrame([("x", 3.5, 2), ("y", 2.0, 1), ("z", None, 0)], "insignia string, total double, encontrados int")
+    found = quality.coverage_labels(chains, 2).collect()
+    assert [(r["insignia"], r["itens_em_falta"], r["completa"]) for r in found] == [("y", 1, False), ("x", 0, True), ("z", 2, False)]
+    assert [r["etiqueta"] for r in found[:2]] == ["2.00€  (1/2)", "3.50€"]
+
+
+def test_products_without_quantity(spark):
+    rows = spark.createDataFrame([("b", None, "g"), ("a", 1.0, None), ("c", 1.0, "g")], "nome string, quantidade_valor double, quantidade_unidade string")
+    assert [r["nome"] for r in quality.without_quantity(rows).collect()] == ["a", "b"]
+
+
+def test_unknown_promotions_are_none(spark):
+    row = spark.createDataFrame([(None, True, 1.0), (True, None, 1.0)], "a boolean, b boolean, p double")
+    assert [r[0] for r in row.select(monitor.alert_type(F.col("p"), F.col("a"), F.col("b"))).collect()] == ["PROMOÇÃO_INICIADA", "PROMOÇÃO_TERMINADA"]
+
+
+def test_alerts_in_the_order_of_the_report(spark):
+    rows = spark.createDataFrame([(1, "SUBIDA", 2.0), (2, "DESCIDA", -3.0), (3, "DESCIDA", -4.0)], "id_produto_loja int, tipo_alerta string, variacao_pct double")
+    assert [r["id_produto_loja"] for r in monitor.grouped_alerts(rows).collect()] == [3, 2, 1]
+    assert [r["id_produto_loja"] for r in monitor.largest_alerts(rows, 2).collect()] == [3, 2]
+
+
+def test_static_fields_and_kinds(spark):
+    rows = spark.createDataFrame([(1, date(2026, 1, d), m) for d, m in ((1, None), (2, "x"), (3, None), (4, "y"), (5, None))] + [(2, date(2026, 1, 1), None)], "id_produto_loja int, dia date, marca string")
+    found = panel.fill_static(rows, ("marca",)).orderBy("id_produto_loja", "dia").collect()
+    assert [r["marca"] for r in found] == ["x", "x", "x", "y", "y", None]
+    kinds = panel.typed(spark.createDataFrame([("1.5", "x")], "preco string, id_loja string"), {"preco": "double", "id_loja": "int", "dia": "date"})
+    assert kinds.dtypes == [("preco", "double"), ("id_loja", "int")] and kinds.first()[1] is None
+
+
+def test_panels_are_written_by_chain(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 2.0, "A"), (2, 3.0, "B")], "id_produto_loja int, preco double, cadeia string")
+    for kind in ("parquet", "csv"):
+        panel.write_panel(rows, str(tmp_path / kind), kind)
+        assert spark.read.option("header", True).format(kind).load(str(tmp_path / kind)).filter("cadeia = 'B'").count() == 1
+
+
+def test_ablation_and_chains(spark):
+    scores = spark.createDataFrame([(None, 2.0), ("b", 3.0), ("a", 3.0), ("c", 1.0)], "feature string, rmse double")
+    assert [(r["feature"], r["delta_rmse"], r["delta_pct"]) for r in forecast.ablation_summary(scores).collect()] == [("a", 1.0, 50.0), ("b", 1.0, 50.0), ("c", -1.0, -50.0)]
+    kinds = "insignia string, formato_loja string, localizacao string, canal string"
+    old = spark.createDataFrame([], f"id_loja int, {kinds}, data_atualizacao string")
+    new = spark.createDataFrame([("b", "x", "y", "z"), ("a", "x", "y", "z"), ("a", "x", "y", "z")], kinds)
+    assert sorted((r["id_loja"], r["insignia"]) for r in ingest.upsert_chains(old, new, F.lit("t")).collect()) == [(1, "a"), (2, "b")]
