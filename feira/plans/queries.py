@@ -11,7 +11,7 @@ from feira.functions import display, geo, text
 from feira.operators import anomaly, backtest, basket, forecast, ingest, monitor, panel, quality, search
 from feira.plans import views
 from feira.plans.registry import ORACLE_SQL, QUERIES, Query
-from feira.sources import web
+from feira.sources import pages, web
 from feira.streaming.prices import trailing_changes
 
 LAT, LON, PER_KM, RADIUS = 39.5, -8.0, 0.2, 150.0
@@ -760,3 +760,14 @@ def chain_upsert(spark, sf_dir):
     old = region.filter("r_regionkey < 3").select((F.col("r_regionkey") + 1).cast("int").alias("id_loja"), F.col("r_name").alias("insignia"), *rest, F.lit("2026-01-01").alias("data_atualizacao"))
     new = nation.select(F.col("n_name").alias("insignia"), *rest).unionByName(region.filter("r_regionkey >= 1").select(F.col("r_name").alias("insignia"), *rest))
     return ingest.upsert_chains(old, new, F.lit("2026-01-02")).select("id_loja", "insignia", "data_atualizacao")
+
+
+@query("SELECT page_id, p_name || ' ' || page_id AS nome, CAST(page_id % 7 + 1 AS VARCHAR) || '.5' AS preco, '' AS preco_original FROM pages JOIN part ON p_partkey = page_id % 50 + 1 ORDER BY page_id")
+def page_records(spark, sf_dir):
+    """The pages have no products of their own: each gets a heading and a price in front."""
+    made = views.table(spark, sf_dir, "pages").join(views.table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("page_id") % 50 + 1)
+    name = F.concat_ws(" ", "p_name", F.col("page_id").cast("string"))
+    price = F.concat((F.col("page_id") % 7 + 1).cast("string"), F.lit(",5"))
+    front = F.concat(F.lit("<h1>"), name, F.lit('</h1><p class="current-price">'), price, F.lit(" €</p>"))
+    rows = made.select(F.concat(F.lit("https://p.pt/p-"), F.col("page_id").cast("string"), F.lit(".html")).alias("url"), F.concat(front, F.coalesce("html", F.lit(""))).alias("html"))
+    return pages.page_records(rows, "Loja", "2026-01-01").select(F.col("id_externo").cast("long").alias("page_id"), "nome", "preco", "preco_original")

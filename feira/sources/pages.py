@@ -70,20 +70,20 @@ def _offer_price(block: Column, keys: tuple[str, ...]) -> Column:
     return _plausible(F.coalesce(F.flatten(F.transform(offers, lambda o: F.array(*(price_text(o[k]) for k in keys)))), F.array()))
 
 
-def page_price(html: Column, block: Column) -> Column:
-    """The price of a page: of its JSON-LD, its meta tags, elements marked as prices, or its text; empty if none is plausible."""
+def page_price(html: Column, block: Column, text: Column) -> Column:
+    """The price of a page: of its JSON-LD, its meta tags, elements marked as prices, or its ``text``; empty if none is plausible."""
     metas = F.regexp_extract_all(html, F.lit(r"(?is)<meta\b[^>]*>"), F.lit(0))
     in_meta = lambda a: _plausible(F.transform(F.filter(metas, lambda m: m.rlike(f"(?i)\\s{a}")), lambda m: price_text(attribute(m, "content"))))
-    beside = lambda text: price_text(F.regexp_extract(text, PRICE_TEXTS[1], 1))
+    beside = lambda shown: price_text(F.regexp_extract(shown, PRICE_TEXTS[1], 1))
     in_element = lambda a: _plausible(F.flatten(F.transform(elements(html, a), lambda e: F.array(price_text(attribute(e["tag"], "content")), beside(e["texto"])))))
-    in_text = lambda p: _plausible(F.transform(F.regexp_extract_all(body_text(html), F.lit(p), F.lit(1)), price_text))
+    in_text = lambda p: _plausible(F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(1)), price_text))
     return _first(_offer_price(block, PRICE_KEYS), *map(in_meta, PRICE_METAS), *map(in_element, PRICE_ATTRIBUTES), *map(in_text, PRICE_TEXTS))
 
 
-def page_old_price(html: Column, block: Column) -> Column:
-    """The price before a promotion: of the JSON-LD, elements marked as old prices, or the text; empty if none is plausible."""
+def page_old_price(html: Column, block: Column, text: Column) -> Column:
+    """The price before a promotion: of the JSON-LD, elements marked as old prices, or the ``text``; empty if none is plausible."""
     in_class = lambda c: _plausible(F.transform(elements(html, f"class\\s*=\\s*[\"'][^\"']*{c}"), lambda e: price_text(e["texto"])))
-    in_text = _plausible(F.array(price_text(F.regexp_extract(body_text(html), OLD_PRICE_TEXT, 1))))
+    in_text = _plausible(F.array(price_text(F.regexp_extract(text, OLD_PRICE_TEXT, 1))))
     return _first(_offer_price(block, OLD_PRICE_KEYS), *map(in_class, OLD_PRICE_CLASSES), in_text)
 
 
@@ -95,7 +95,7 @@ def _record(values: dict[str, Column]) -> Column:
 
 def page_records(pages: DataFrame, store: str, collected: str, base: str = "") -> DataFrame:
     """Raw records of product pages (``url``, ``html``); pages without a name or a plausible price, or whose price is a number of the name, give none."""
-    read = pages.select("url", "html", product_block(F.col("html")).alias("_bloco"))
+    read = pages.select("url", "html", product_block(F.col("html")).alias("_bloco"), body_text(F.col("html")).alias("_texto"))
     field = lambda name: clean(F.get_json_object("_bloco", f"$.{name}"))
     heading = body_text(F.regexp_extract("html", r"(?is)<h1\b[^>]*>(.*?)</h1\s*>", 1))
     brand = F.when(field("brand").startswith("{"), field("brand.name")).otherwise(field("brand"))
@@ -106,9 +106,9 @@ def page_records(pages: DataFrame, store: str, collected: str, base: str = "") -
         "nome": _first(field("name"), heading),
         "marca": brand,
         "categoria": _first(breadcrumb_category(crumbs, ("home", "início", "produtos")), category_path(category_from_url(F.col("url")))),
-        "preco": page_price(F.col("html"), F.col("_bloco")),
-        "preco_original": page_old_price(F.col("html"), F.col("_bloco")),
-        "preco_unitario": unit_price_text(F.regexp_extract(body_text(F.col("html")), UNIT_PRICE_TEXT, 0)),
+        "preco": page_price(F.col("html"), F.col("_bloco"), F.col("_texto")),
+        "preco_original": page_old_price(F.col("html"), F.col("_bloco"), F.col("_texto")),
+        "preco_unitario": unit_price_text(F.regexp_extract("_texto", UNIT_PRICE_TEXT, 0)),
         "url": F.col("url"),
         "imagem": first_image(F.array(image), base),
         "loja": F.lit(store),
