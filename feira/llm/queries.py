@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feira.llm import ann, bpe, chat, fingerprints, line_dedup, mixing, near_dedup, secret_scan, toxicity, warc
+from feira.llm import ann, bpe, chat, fingerprints, license_scan, line_dedup, mixing, near_dedup, secret_scan, toxicity, warc
 from feira.llm._store import let_workers_import, new_path
 
 
@@ -85,6 +85,11 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences that every document names or states."""
+    return license_scan.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_near_dedup": op2_near_dedup,
@@ -97,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mix_sources": op8_mix_sources,
     "op9_toxicity": op9_toxicity,
     "op10_byte_bpe": op10_byte_bpe,
+    "op13_license_scan": op13_license_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -222,4 +228,35 @@ SELECT r.doc_id, CAST(r.size AS BIGINT) AS size, t.source_size, t.target,
        CAST(r.size * (t.epochs + CASE WHEN r.before + r.size / 2.0::DOUBLE <= t.target - t.epochs * t.source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM run r JOIN rests t ON r.source IS NOT DISTINCT FROM t.source
 """,
+    "op13_license_scan": """
+WITH templates(label, span, need, w) AS (VALUES
+    %TEMPLATES%
+), cut AS (
+    SELECT row_number() OVER () AS r, doc_id,
+           list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w
+    FROM documents
+), pairs AS (
+    SELECT r, unnest(w) AS a, unnest(list_concat(w[2:], [NULL])) AS b, unnest(list_concat(w[3:], [NULL, NULL])) AS c, unnest(range(len(w))) AS spot FROM cut
+), base AS (
+    SELECT r, spot, CASE WHEN a = 'mit' AND b = 'license' THEN 'mit' WHEN a = 'apache' AND b = 'license' THEN 'apache' ELSE 'gpl' END AS label FROM pairs
+    WHERE (a IN ('mit', 'apache') AND b = 'license') OR (a = 'general' AND b = 'public' AND c = 'license')
+), blocks AS (
+    SELECT r, span, list_distinct(w[k + 1:k + 2 * span]) AS b
+    FROM (SELECT r, w, span, unnest(range(0, len(w), span)) AS k FROM cut, (SELECT DISTINCT span FROM templates))
+), found AS (
+    SELECT r, label, len(list_intersect(b, w)) / CAST(len(w) AS DOUBLE) AS containment FROM blocks JOIN templates USING (span) WHERE len(list_intersect(b, w)) >= need
+), per_base AS (
+    SELECT r, count(*) AS n, min(spot) AS lo, max(spot) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM base GROUP BY r
+), every AS (
+    SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM base UNION ALL SELECT r, label FROM found) GROUP BY r
+), best AS (
+    SELECT r, max(containment) AS containment FROM found GROUP BY r
+)
+SELECT c.doc_id, CAST(len(c.w) AS BIGINT) AS n_words, CAST(coalesce(p.n, 0) AS BIGINT) AS n_base, CAST(p.lo AS BIGINT) AS first_word, CAST(p.hi AS BIGINT) AS last_word,
+       coalesce(p.labels, '') AS base_labels, coalesce(e.labels, '') AS labels, CASE WHEN p.n > 0 THEN 1.0::DOUBLE ELSE coalesce(b.containment, 0.0::DOUBLE) END AS score
+FROM cut c LEFT JOIN per_base p USING (r) LEFT JOIN every e USING (r) LEFT JOIN best b USING (r)
+""".replace(
+        "%TEMPLATES%",
+        ",\n    ".join(f"('{t.label}', {t.span}, {t.need}, {list(t.words)})" for t in license_scan.templates_of()),
+    ),
 }
