@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feira.llm import ann, bpe, chat, fingerprints, license_scan, line_dedup, mixing, near_dedup, secret_scan, toxicity, warc
-from feira.llm._store import let_workers_import, new_path
+from feira.llm import ann, bpe, chat, fingerprints, license_scan, line_dedup, mixing, near_dedup, prefix_trie, secret_scan, toxicity, warc
+from feira.llm._store import let_workers_import, materialise, new_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,6 +85,12 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the prefix trie of all conversations, rebuilt on their shared beginnings."""
+    turns = materialise(prefix_trie.digested_turns(_table(spark, sf_dir, "conversations")), "turns")
+    return prefix_trie.trie(prefix_trie.with_shared_beginnings(turns)).drop("position", "subtree_end")
+
+
 def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licences that every document names or states."""
     return license_scan.scan_licenses(_table(spark, sf_dir, "documents"))
@@ -102,9 +108,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mix_sources": op8_mix_sources,
     "op9_toxicity": op9_toxicity,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_prefix_trie": op11_prefix_trie,
     "op13_license_scan": op13_license_scan,
 }
 
+
+def crc32_sql(codes: str) -> str:
+    """DuckDB SQL for the unsigned crc32 of a list of bytes."""
+    step = "list_reduce(list_prepend(xor(c, b), range(8)), lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, b: {step}), 4294967295)"
+
+
 ORACLE_SQL: dict[str, str] = {
     "op3_chat_format": """
 WITH placed AS (
@@ -228,6 +242,35 @@ SELECT r.doc_id, CAST(r.size AS BIGINT) AS size, t.source_size, t.target,
        CAST(r.size * (t.epochs + CASE WHEN r.before + r.size / 2.0::DOUBLE <= t.target - t.epochs * t.source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM run r JOIN rests t ON r.source IS NOT DISTINCT FROM t.source
 """,
+    "op11_prefix_trie": """
+WITH placed AS (
+    SELECT conv_id, {'r': coalesce(role, ''), 't': coalesce(text, '')} AS said,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place
+    FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+    SELECT conv_id, list(said ORDER BY place) AS turns FROM placed GROUP BY conv_id
+), headed AS (
+    SELECT conv_id, turns, conv_id - conv_id % 100 AS base, %CRC% % 6 AS h FROM own
+), rebuilt AS (
+    SELECT a.conv_id, list_concat(coalesce(b.turns[1:a.h], []), a.turns[a.h + 1:]) AS turns FROM headed a LEFT JOIN own b ON b.conv_id = a.base
+), prefixes AS (
+    SELECT conv_id, depth, turns[1:depth] AS path, depth = len(turns) AS ends FROM (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS depth FROM rebuilt)
+), nodes AS (
+    SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends) AS ended,
+           CASE WHEN depth > 0 THEN (count(*) - 1) * length(path[depth].t) ELSE 0 END AS saved
+    FROM prefixes GROUP BY path, depth
+), children AS (
+    SELECT path[1:depth - 1] AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1
+), linked AS (
+    SELECT n.*, coalesce(c.n_children, 0) AS n_children FROM nodes n LEFT JOIN children c ON c.path = n.path
+), above AS (
+    SELECT path[1:k] AS path, n_children, saved FROM (SELECT *, unnest(range(0, depth + 1)) AS k FROM linked)
+), below AS (
+    SELECT path, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(saved) AS saved_tokens FROM above GROUP BY path
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, b.n_leaves, CAST(b.saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(n.ended, '')) AS ends_sha256
+FROM linked n JOIN below b ON b.path = n.path LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.path = n.path[1:n.depth - 1]
+""".replace("%CRC%", crc32_sql("list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: ord(x))")),
     "op13_license_scan": """
 WITH templates(label, span, need, w) AS (VALUES
     %TEMPLATES%
