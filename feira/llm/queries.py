@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feira.llm import ann, bpe, chat, fingerprints, license_scan, line_dedup, mixing, near_dedup, prefix_trie, secret_scan, toxicity, warc
+from feira.llm import ann, bpe, chat, fingerprints, license_scan, line_dedup, mixing, near_dedup, prefix_trie, secret_scan, spelling, toxicity, warc
 from feira.llm._store import let_workers_import, materialise, new_path
 
 
@@ -91,6 +91,11 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(prefix_trie.with_shared_beginnings(turns)).drop("position", "subtree_end")
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all documents with their most frequent forms at one code point's distance."""
+    return spelling.variant_groups(_table(spark, sf_dir, "documents"))
+
+
 def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licences that every document names or states."""
     return license_scan.scan_licenses(_table(spark, sf_dir, "documents"))
@@ -109,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_byte_bpe": op10_byte_bpe,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_license_scan": op13_license_scan,
 }
 
@@ -271,6 +277,34 @@ WITH placed AS (
 SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, b.n_leaves, CAST(b.saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(n.ended, '')) AS ends_sha256
 FROM linked n JOIN below b ON b.path = n.path LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.path = n.path[1:n.depth - 1]
 """.replace("%CRC%", crc32_sql("list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: ord(x))")),
+    "op12_spelling_variants": """
+WITH RECURSIVE runs AS (
+    SELECT doc_id, run, count(*) AS n FROM (
+        SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\\x{00C0}-\\x{00FF}]+')) AS run FROM documents
+    ) WHERE length(run) >= 5 GROUP BY doc_id, run
+), hashed AS (
+    SELECT run, n, %CRC% AS h FROM (SELECT *, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS s FROM runs)
+), words AS MATERIALIZED (
+    SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+        SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed
+    ) WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), cut AS MATERIALIZED (
+    SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)
+), near AS MATERIALIZED (
+    SELECT a.word, b.word AS other, b.n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+    UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word
+    UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word
+), best AS (
+    SELECT word, count(*) AS n_near, max(n) AS most, arg_min(other, (-n, other)) AS other FROM near GROUP BY word
+), formed AS MATERIALIZED (
+    SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.most >= 2 * w.n THEN b.other END AS form, CASE WHEN b.most >= 2 * w.n THEN b.most END AS form_n
+    FROM words w LEFT JOIN best b ON b.word = w.word
+), chain AS (
+    SELECT word, word AS root, form AS next FROM formed
+    UNION ALL SELECT c.word, c.next, f.form FROM chain c JOIN formed f ON f.word = c.next
+)
+SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n FROM formed f JOIN chain c ON c.word = f.word AND c.next IS NULL
+""".replace("%CRC%", crc32_sql("list_transform(flatten(list_transform(string_split(s, ''), lambda x: CASE WHEN ord(x) < 128 THEN [ord(x)] ELSE [195, ord(x) - 64] END)), lambda x: CAST(x AS BIGINT))")),
     "op13_license_scan": """
 WITH templates(label, span, need, w) AS (VALUES
     %TEMPLATES%
