@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,17 +46,28 @@ def errors(rows: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def evaluate_baselines(observed: DataFrame, window: int = 7) -> DataFrame:
-    """Errors of every baseline on each product's last ``window`` rows, forecast from the rows before."""
+def evaluate_baselines(observed: DataFrame, window: int = 7, more: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+    """Errors of every baseline on each product's last ``window`` rows, forecast from the rows before.
+
+    One aggregate per product gives all forecasts and the rows to test. ``more`` names models that turn the array of the
+    prices before into an array of ``window`` forecasts.
+    """
     whole = Window.partitionBy(KEY)
     placed = observed.withColumns({"_n": F.row_number().over(whole.orderBy(F.desc("dia"))), "_all": F.count(F.lit(1)).over(whole)}).filter(F.col("_all") >= 2 * window + 1)
-    before = placed.filter(F.col("_n") > window)
-    tests = placed.filter(F.col("_n") <= window).select(KEY, F.col("preco").alias("real"), (window + 1 - F.col("_n")).alias("passo"))
-    scored = None
-    for name, forecast in BASELINES.items():
-        one = errors(tests.join(forecast(before, window), [KEY, "passo"], "left"), KEY).withColumn("modelo", F.lit(name))
-        scored = one if scored is None else scored.unionByName(one)
-    return scored
+    before = F.col("_n") > window
+    mean = lambda width: F.round(F.avg(F.when(before & (F.col("_n") <= window + width), F.col("preco"))), 8)
+    series = F.transform(F.array_sort(F.collect_list(F.when(before, F.struct("dia", F.col("preco").cast("double").alias("preco"))))), lambda v: v["preco"])
+    tests = F.collect_list(F.when(~before, F.struct((window + 1 - F.col("_n")).alias("passo"), F.col("preco").alias("real"))))
+    found = {"naive": F.max_by("preco", F.when(before, F.col("dia"))), "media_movel_3d": mean(3), "media_movel_7d": mean(7)}
+    wanted = [*([series.alias("_serie")] if more else []), tests.alias("_testes"), *(x.alias(name) for name, x in found.items())]
+    known = placed.groupBy(KEY).agg(*wanted)
+    forecasts = {name: F.array_repeat(F.col(name), window) for name in found}
+    if more:
+        known = known.withColumns({name: model(F.col("_serie")) for name, model in more.items()})
+        forecasts |= {name: F.col(name) for name in more}
+    models = F.array(*(F.struct(F.lit(name).alias("modelo"), values.alias("valores")) for name, values in forecasts.items()))
+    scored = known.select(KEY, "_testes", F.explode(models).alias("_m")).select(KEY, F.col("_m.modelo").alias("modelo"), F.col("_m.valores").alias("_v"), F.explode("_testes").alias("_t"))
+    return errors(scored.select(KEY, "modelo", F.col("_t.real").alias("real"), F.get(F.col("_v"), F.col("_t.passo") - 1).alias("previsao")), KEY, "modelo")
 
 
 def common_products(metrics: DataFrame) -> DataFrame:

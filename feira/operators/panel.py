@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 KEY = "id_produto_loja"
 STATIC = ("id_produto_mestre", "id_loja", "cadeia", "canal", "nome_produto", "marca", "categoria_geral", "quantidade_valor", "quantidade_unidade")
 LAGS = (1, 2, 3, 7)
-FEATURES = ("preco", "promo_flag", "weekday", "month", "weekofyear", "dayofmonth", "dias_desde_ultima_obs", *(f"lag_{n}" for n in LAGS), "media_movel_3", "media_movel_7", "desvio_movel_7")
+FEATURES = ("preco", "promo_flag", "weekday", "weekofyear", "month", "dayofmonth", "cadeia_id", "dias_desde_ultima_obs", *(f"lag_{n}" for n in LAGS), "media_movel_3", "media_movel_7", "desvio_movel_7")
 
 
 def _days() -> WindowSpec:
@@ -128,15 +128,17 @@ def chain_ids(panel: DataFrame, chains: DataFrame) -> DataFrame:
     return panel.join(chains.select(F.col("insignia").alias("cadeia"), F.col("id_loja").alias("cadeia_id")), "cadeia", "left").withColumn("cadeia_id", F.coalesce("cadeia_id", F.lit(-1)))
 
 
-def features(rows: DataFrame, horizon: int = 1) -> DataFrame:
-    """From observations to the whole feature table."""
-    return target(rolling_features(lag_features(calendar_features(expand(daily(rows))))), horizon)
+def features(rows: DataFrame, horizon: int = 1, chain_of: DataFrame | None = None) -> DataFrame:
+    """From observations to the whole feature table. ``chain_of`` has the ``cadeia_id`` of products; without one it is -1."""
+    table = target(rolling_features(lag_features(calendar_features(expand(daily(rows))))), horizon)
+    known = table.withColumn("cadeia_id", F.lit(-1)) if chain_of is None else table.join(chain_of.select(KEY, "cadeia_id"), KEY, "left")
+    return known.withColumn("cadeia_id", F.coalesce("cadeia_id", F.lit(-1)))
 
 
-def supervised_windows(table: DataFrame, columns: tuple[str, ...] = FEATURES, width: int = 7) -> DataFrame:
-    """For each observed day, the features of the ``width`` days before and the day's price."""
+def supervised_windows(table: DataFrame, columns: tuple[str, ...] = FEATURES, width: int = 7, kind: str = "float") -> DataFrame:
+    """For each observed day, the features of the ``width`` days before (as numbers of ``kind``) and the day's price."""
     frame = _days().rowsBetween(-width, -1)
-    whole = F.collect_list(F.array(*[F.col(c).cast("float") for c in columns])).over(frame)
+    whole = F.collect_list(F.array(*[F.col(c).cast(kind) for c in columns])).over(frame)
     return table.na.drop(subset=list(columns)).withColumn("janela", whole).filter((F.size("janela") == width) & (F.col("foi_observado") == 1)).select(KEY, "dia", "janela", F.col("preco").alias("alvo"))
 
 

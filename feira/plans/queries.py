@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feira.functions import display, geo, text
-from feira.operators import anomaly, backtest, basket, forecast, ingest, monitor, panel, quality, search
+from feira.operators import anomaly, backtest, basket, forecast, ingest, models, monitor, panel, quality, search
 from feira.plans import views
 from feira.plans.registry import ORACLE_SQL, QUERIES, Query
 from feira.sources import pages, web
@@ -239,12 +239,25 @@ def target_lead(spark, sf_dir):
     return panel.target(_panel(spark, sf_dir)).select("id_produto_loja", "dia", "preco", "target_t_plus_1")
 
 
-def feature_windows(spark, sf_dir):
-    """Rows only: arrays of features."""
-    return _flat(panel.supervised_windows(panel.features(views.series(spark, sf_dir))))
+TABLE_SQL = DAILY_SQL + """, tabela AS (SELECT id_produto_loja, painel.dia, foi_observado, preco, em_promocao::INT AS promo_flag, isodow(painel.dia) - 1 AS weekday, week(painel.dia) AS weekofyear, month(painel.dia) AS month, day(painel.dia) AS dayofmonth,
+    coalesce(r_regionkey, -1) AS cadeia_id, dias_desde_ultima_obs, lag(preco, 1) OVER w AS lag_1, lag(preco, 2) OVER w AS lag_2, lag(preco, 3) OVER w AS lag_3, lag(preco, 7) OVER w AS lag_7,
+    round(avg(preco) OVER (PARTITION BY id_produto_loja ORDER BY painel.dia ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 10) AS media_movel_3, round(avg(preco) OVER s, 10) AS media_movel_7, round(coalesce(stddev_samp(preco) OVER s, 0), 6) AS desvio_movel_7,
+    lead(preco) OVER w AS target_t_plus_1
+    FROM painel LEFT JOIN region ON r_regionkey = id_produto_loja % 6 WINDOW w AS (PARTITION BY id_produto_loja ORDER BY painel.dia), s AS (PARTITION BY id_produto_loja ORDER BY painel.dia ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)),
+linhas AS (SELECT *, [""" + ", ".join(f"{c}::DOUBLE" for c in panel.FEATURES) + """] AS x FROM tabela WHERE lag_7 IS NOT NULL)
+"""
 
 
-QUERIES["feature_windows"] = feature_windows
+def _feature_table(spark, sf_dir):
+    chain_of = panel.chain_ids(views.series_chains(spark, sf_dir), views.chains(spark, sf_dir))
+    return panel.features(views.series(spark, sf_dir), chain_of=chain_of)
+
+
+@query(TABLE_SQL + f""", j AS (SELECT id_produto_loja, dia, foi_observado, preco AS alvo, list(x) OVER (PARTITION BY id_produto_loja ORDER BY linhas.dia ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS janela FROM linhas)
+SELECT id_produto_loja, {_day('dia')} AS dia, alvo, array_to_string(list_transform(flatten(janela), lambda v: CAST(CAST(round(v * 1000) AS BIGINT) AS VARCHAR)), ' ') AS janela FROM j WHERE len(janela) = 7 AND foi_observado = 1""")
+def feature_windows(spark, sf_dir):
+    rows = panel.supervised_windows(_feature_table(spark, sf_dir), kind="double")
+    return rows.withColumn("janela", F.array_join(F.transform(F.flatten("janela"), lambda v: F.round(v * 1000).cast("long").cast("string")), " "))
 
 
 @query(f""", limites AS (SELECT id_produto_loja, round(q1 - 3.0::DOUBLE * (q3 - q1), 8) AS inferior, round(q3 + 3.0::DOUBLE * (q3 - q1), 8) AS superior FROM
@@ -531,6 +544,154 @@ def win_rate(spark, sf_dir):
     return forecast.win_rate(_metrics(spark, sf_dir))
 
 
+# Models
+
+K = len(panel.FEATURES)
+FIT_SQL = TABLE_SQL + f""", completos AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id_produto_loja ORDER BY dia DESC) <= 7 AS validacao, count(*) OVER (PARTITION BY id_produto_loja) AS todos FROM linhas WHERE target_t_plus_1 IS NOT NULL) WHERE todos >= 15),
+z AS (SELECT list_append(x, target_t_plus_1) AS z FROM completos WHERE NOT validacao),
+medias AS (SELECT i, avg(z[i]) AS m FROM z, (SELECT unnest(range(1, {K + 2})) AS i) GROUP BY i),
+cov AS (SELECT i, j, avg(z[i] * z[j]) - any_value(a.m) * any_value(b.m) AS c FROM z, medias a, (SELECT i AS j, m FROM medias) b WHERE i <= {K} GROUP BY i, j),
+matriz AS (SELECT list(l ORDER BY i) AS g FROM (SELECT i, list(CASE WHEN i <> j THEN c WHEN c <= 1e-9 THEN 1.0 ELSE c * 1.001::DOUBLE END ORDER BY j) AS l FROM cov GROUP BY i)),
+passos AS (SELECT 1 AS k, g FROM matriz UNION ALL SELECT k + 1, list_transform(g, lambda r, i: CASE WHEN i = k THEN list_transform(r, lambda v: v / r[k]) ELSE list_transform(r, lambda v, j: v - r[k] / g[k][k] * g[k][j]) END) FROM passos WHERE k <= {K}),
+pesos AS (SELECT list_transform(g, lambda r: round(r[{K + 1}], 6)) AS w FROM passos WHERE k = {K + 1}),
+modelo AS (SELECT w, round((SELECT m FROM medias WHERE i = {K + 1}) - (SELECT sum(m * w[i]) FROM medias WHERE i <= {K}), 6) AS b FROM pesos)
+"""
+
+
+def _sql_predict(x: str) -> str:
+    return f"(b + list_sum(list_transform(range(1, {K + 1}), lambda i: {x}[i] * w[i])))"
+
+
+def _fitted(spark, sf_dir):
+    rows = models.complete(_feature_table(spark, sf_dir))
+    return rows, models.fit_linear(rows.filter("NOT validacao"))
+
+
+@query(FIT_SQL + f"SELECT unnest({[*panel.FEATURES, 'constante']}) AS feature, unnest(list_append(w, b)) AS peso FROM modelo")
+def linear_model(spark, sf_dir):
+    model = _fitted(spark, sf_dir)[1]
+    return spark.createDataFrame([*zip(model.features, model.weights, strict=True), ("constante", model.intercept)], "feature string, peso double")
+
+
+@query(FIT_SQL + f""", p AS (SELECT id_produto_loja, target_t_plus_1 AS alvo, {_sql_predict('x')} AS previsao FROM completos, modelo WHERE validacao)
+SELECT id_produto_loja, 'linear' AS modelo, count(*) AS n_amostras, round(round(sqrt(avg((previsao - alvo) ** 2)), 8), 6) AS rmse_euros, round(round(avg(abs(previsao - alvo)), 8), 6) AS mae_euros, round(round(100 * avg(abs((previsao - alvo) / alvo)) FILTER (WHERE alvo > 0.01), 8), 6) AS mape_pct FROM p GROUP BY 1""")
+def linear_metrics(spark, sf_dir):
+    rows, model = _fitted(spark, sf_dir)
+    found = models.one_step_metrics(rows.filter("validacao"), model.predict, "linear")
+    return found.select(models.KEY, "modelo", "n_amostras", *(F.round(c, 6).alias(c) for c in ("rmse_euros", "mae_euros", "mape_pct")))
+
+
+POINTS_SQL = FIT_SQL + f""", pontos AS (SELECT id_produto_loja, max(dia) AS ultimo_dia, arg_max(preco, dia) AS preco_atual, list(preco ORDER BY dia) FILTER (WHERE n <= 7) AS h, arg_max(x, dia) AS x
+    FROM (SELECT *, row_number() OVER (PARTITION BY id_produto_loja ORDER BY dia DESC) AS n FROM linhas) GROUP BY id_produto_loja HAVING count(*) >= 7)
+"""
+
+
+def _sql_paths(start: str, shock: str) -> str:
+    """Seven recursive steps from the rows of ``start``, which have ``amostra`` and ``erros`` too."""
+    return f""", caminhos AS (SELECT id_produto_loja, amostra, erros, ultimo_dia, preco_atual, 0 AS passo, h, x, NULL::DOUBLE AS p FROM ({start}) UNION ALL
+    SELECT id_produto_loja, amostra, erros, ultimo_dia, preco_atual, passo, h, [p, 0, isodow(d) - 1, week(d), month(d), day(d), x[7], passo + 1, h[7], h[6], h[5], h[1], (h[5] + h[6] + h[7]) / 3, media, sqrt(list_sum(list_transform(h, lambda v: (v - media) ** 2)) / 6)]::DOUBLE[], p
+    FROM (SELECT *, list_sum(h) / 7 AS media, ultimo_dia + passo + 1 AS d FROM (SELECT * REPLACE (h[2:7] || [p] AS h) FROM (SELECT * REPLACE (passo + 1 AS passo, greatest(0.01::DOUBLE, round({_sql_predict('x')} + {shock}, 2)) AS p) FROM caminhos, modelo WHERE passo < 7))))
+"""
+
+
+@query(POINTS_SQL + _sql_paths("SELECT *, 0 AS amostra, NULL::DOUBLE[] AS erros FROM pontos", "0") + f"SELECT id_produto_loja, {_day('ultimo_dia + passo')} AS data, p AS preco_previsto, preco_atual FROM caminhos WHERE passo > 0")
+def recursive_forecast(spark, sf_dir):
+    model = _fitted(spark, sf_dir)[1]
+    return models.recursive_forecast(models.starting_points(_feature_table(spark, sf_dir)), model.predict)
+
+
+MONTE_CARLO_SQL = POINTS_SQL + f""", erros AS (SELECT id_produto_loja, list(erro ORDER BY dia) AS erros FROM (SELECT id_produto_loja, dia, target_t_plus_1 - {_sql_predict('x')} AS erro, row_number() OVER (PARTITION BY id_produto_loja ORDER BY dia DESC) AS n FROM completos, modelo WHERE NOT validacao) WHERE n <= 28 GROUP BY 1)
+""" + _sql_paths(
+    "SELECT p.*, unnest(range(1, 51)) AS amostra, e.erros FROM pontos p LEFT JOIN erros e USING (id_produto_loja)",
+    "coalesce(erros[1 + CAST('0x' || substr(md5('42:' || id_produto_loja || ':' || amostra || ':' || (passo + 1)), 1, 8) AS BIGINT) % len(erros)], 0)",
+) + ", previsoes AS (SELECT id_produto_loja, CAST(ultimo_dia + passo AS DATE) AS data, max(preco_atual) AS preco_atual, avg(p) AS preco_medio, stddev_pop(p) AS preco_std, quantile_cont(p, 0.05) AS ic_5pct, quantile_cont(p, 0.95) AS ic_95pct FROM caminhos WHERE passo > 0 GROUP BY 1, 2)\n"
+
+
+def _simulated(spark, sf_dir):
+    rows, model = _fitted(spark, sf_dir)
+    errors = models.residuals(rows.filter("NOT validacao"), model.predict)
+    return models.simulated_forecast(models.starting_points(_feature_table(spark, sf_dir)), errors, model.predict)
+
+
+@query(MONTE_CARLO_SQL + f"SELECT id_produto_loja, {_day('data')} AS data, preco_atual, round(preco_medio, 6) AS preco_medio, round(preco_std, 6) AS preco_std, round(ic_5pct, 6) AS ic_5pct, round(ic_95pct, 6) AS ic_95pct FROM previsoes")
+def monte_carlo_forecast(spark, sf_dir):
+    found = _simulated(spark, sf_dir)
+    return found.select(models.KEY, "data", "preco_atual", *(F.round(c, 6).alias(c) for c in ("preco_medio", "preco_std", "ic_5pct", "ic_95pct")))
+
+
+@query(MONTE_CARLO_SQL + f""", m AS (SELECT id_produto_loja, round(min(preco_medio), 6) AS minimo, arg_min(data, (round(preco_medio, 6), data)) AS d, max(preco_atual) AS preco_atual FROM previsoes GROUP BY 1), q AS (SELECT *, greatest((preco_atual - minimo) / preco_atual * 100, 0) AS queda FROM m)
+SELECT id_produto_loja, minimo, {_day('d')} AS melhor_dia, preco_atual, round(queda, 6) AS queda_pct, CASE WHEN queda >= 2 THEN 'aguardar' ELSE 'comprar_agora' END AS decisao FROM q""")
+def buy_or_wait(spark, sf_dir):
+    found = _simulated(spark, sf_dir).withColumn("preco_medio", F.round("preco_medio", 6))
+    return forecast.buy_or_wait(found, F.col("preco_atual")).withColumn("queda_pct", F.round("queda_pct", 6))
+
+
+@query(FIT_SQL + f""", baixos AS (SELECT id_produto_loja, list(v ORDER BY i) AS low FROM (SELECT id_produto_loja, i, min(x[i]) AS v FROM completos, (SELECT unnest(range(1, {K + 1})) AS i) WHERE NOT validacao GROUP BY 1, 2) GROUP BY 1),
+v AS (SELECT id_produto_loja, f, sqrt(avg((target_t_plus_1 - {_sql_predict('y')}) ** 2)) AS rmse FROM (SELECT c.id_produto_loja, target_t_plus_1, f, list_transform(x, lambda v, i: CASE WHEN i = f THEN low[i] ELSE v END) AS y FROM completos c JOIN baixos USING (id_produto_loja), (SELECT unnest(range(0, {K + 1})) AS f) WHERE validacao), modelo GROUP BY 1, 2),
+s AS (SELECT f, avg(rmse) AS rmse FROM v GROUP BY f), base AS (SELECT rmse AS rmse_base FROM s WHERE f = 0)
+SELECT {list(panel.FEATURES)}[f] AS feature, round(rmse, 6) AS rmse, round(rmse_base, 6) AS rmse_base, round(rmse - rmse_base, 6) + 0.0::DOUBLE AS delta_rmse, round((rmse - rmse_base) / rmse_base * 100, 6) + 0.0::DOUBLE AS delta_pct FROM s, base WHERE f > 0""")
+def feature_ablation(spark, sf_dir):
+    rows, model = _fitted(spark, sf_dir)
+    found = forecast.ablation_summary(models.ablation_scores(rows, model.predict))
+    return found.select("feature", *((F.round(c, 6) + 0.0).alias(c) for c in ("rmse", "rmse_base", "delta_rmse", "delta_pct")))
+
+
+@query(FIT_SQL + f""", voltas AS (SELECT id_produto_loja, dia, target_t_plus_1, x, r, row_number() OVER (PARTITION BY r ORDER BY md5('42:' || r || ':' || id_produto_loja || ':' || CAST(dia AS VARCHAR)), id_produto_loja, dia) - 1 AS lugar FROM completos, (SELECT unnest(range(1, 6)) AS r) WHERE NOT validacao),
+pares AS (SELECT a.r, a.target_t_plus_1, a.x, b.x AS outro FROM voltas a JOIN voltas b ON a.r = b.r AND b.lugar = (a.lugar + 1) % (SELECT count(*) FROM voltas WHERE r = 1)),
+s AS (SELECT r, f, sqrt(avg((target_t_plus_1 - {_sql_predict('y')}) ** 2)) AS rmse FROM (SELECT r, f, target_t_plus_1, list_transform(x, lambda v, i: CASE WHEN i = f THEN outro[i] ELSE v END) AS y FROM pares, (SELECT unnest(range(0, {K + 1})) AS f)), modelo GROUP BY r, f)
+SELECT {list(panel.FEATURES)}[a.f] AS feature, round(avg(a.rmse - b.rmse), 6) + 0.0::DOUBLE AS importancia FROM s a JOIN s b ON a.r = b.r AND b.f = 0 WHERE a.f > 0 GROUP BY a.f""")
+def permutation_importance(spark, sf_dir):
+    rows, model = _fitted(spark, sf_dir)
+    return models.permutation_importance(rows.filter("NOT validacao"), model.predict).withColumn("importancia", F.round("importancia", 6) + 0.0)
+
+
+def _sql_arima(source: str) -> str:
+    """``ajustes``: per product of ``source`` (with ``precos``) the best coefficients, the last difference and the last error."""
+    walk = """list_reduce(list_transform(range(1, len(w) + 1), lambda i: {'w': w[i], 'p': CASE WHEN i > 1 THEN w[i - 1] ELSE 0 END, 'e': 0.0::DOUBLE, 's': 0.0::DOUBLE}),
+        lambda a, c: {'w': c.w, 'p': c.p, 'e': c.w - phi * c.p - theta * a.e, 's': a.s + (c.w - phi * c.p - theta * a.e) * (c.w - phi * c.p - theta * a.e)})"""
+    pick = "SELECT id_produto_loja, arg_min({'phi': phi, 'theta': theta, 'e': r.e}, (r.s, phi, theta)) AS m, any_value(w) AS w, any_value(ultimo) AS ultimo FROM (SELECT *, " + walk + " AS r FROM :rows) GROUP BY id_produto_loja"
+    grid = lambda n, by: f"(SELECT unnest(range(-{n}, {n + 1})) / {by}.0::DOUBLE AS g1), (SELECT unnest(range(-{n}, {n + 1})) / {by}.0::DOUBLE AS g2)"
+    return f""", difs AS (SELECT id_produto_loja, list_transform(range(2, len(precos) + 1), lambda i: precos[i] - precos[i - 1]) AS w, precos[-1] AS ultimo FROM {source} WHERE len(precos) >= 4),
+grosso AS ({pick.replace(":rows", f"(SELECT *, g1 AS phi, g2 AS theta FROM difs, {grid(9, 10)})")}),
+ajustes AS ({pick.replace(":rows", f"(SELECT * FROM (SELECT id_produto_loja, w, ultimo, m.phi + g1 AS phi, m.theta + g2 AS theta FROM grosso, {grid(10, 100)}) WHERE abs(phi) < 0.995 AND abs(theta) < 0.995)")}),
+arima AS (SELECT id_produto_loja, list_transform(range(1, 8), lambda k: ultimo + (m.phi * w[-1] + m.theta * m.e) * list_sum(list_transform(range(0, k), lambda j: m.phi ** j))) AS previsoes FROM ajustes)
+"""
+
+
+@query(DAILY_SQL + ", s AS (SELECT id_produto_loja, list(preco ORDER BY dia) AS precos FROM diario GROUP BY 1)" + _sql_arima("s") + """SELECT id_produto_loja, k::INT AS passo, round(previsoes[k], 6) AS previsao FROM arima, (SELECT unnest(range(1, 8)) AS k)
+UNION ALL SELECT id_produto_loja, unnest(range(1, 8))::INT, NULL FROM s WHERE len(precos) < 4""")
+def arima_forecast(spark, sf_dir):
+    return models.arima(panel.daily(views.series(spark, sf_dir))).withColumn("previsao", F.round("previsao", 6))
+
+
+COMPARED_SQL = EVAL_SQL + ", s AS (SELECT id_produto_loja, list(preco ORDER BY dia) FILTER (WHERE n > 7) AS precos FROM p WHERE t >= 15 GROUP BY 1)" + _sql_arima("s") + """, todos AS (SELECT * FROM erros UNION ALL
+    SELECT id_produto_loja, 'arima', count(*), sqrt(avg((f - preco) ** 2)), avg(abs(f - preco)), 100 * avg(abs((f - preco) / preco)) FILTER (WHERE preco > 0.01) FROM (SELECT id_produto_loja, preco, previsoes[8 - n] AS f FROM p JOIN arima USING (id_produto_loja) WHERE n <= 7) GROUP BY 1)
+"""
+
+
+def _compared(spark, sf_dir):
+    return forecast.evaluate_baselines(panel.daily(views.series(spark, sf_dir)), more={"arima": models.arima_column(7)})
+
+
+@query(COMPARED_SQL + "SELECT modelo, count(*) AS n, round(avg(rmse_euros), 5) AS rmse_medio, round(stddev_samp(rmse_euros), 5) AS rmse_desvio, round(avg(mae_euros), 5) AS mae_medio, round(avg(mape_pct), 5) AS mape_medio FROM todos GROUP BY modelo")
+def model_comparison(spark, sf_dir):
+    found = forecast.model_summary(forecast.common_products(_compared(spark, sf_dir)))
+    return found.select("modelo", "n", *(F.round(c, 5).alias(c) for c in ("rmse_medio", "rmse_desvio", "mae_medio", "mape_medio")))
+
+
+@query(COMPARED_SQL + ", m AS (SELECT modelo, row_number() OVER (PARTITION BY id_produto_loja ORDER BY round(rmse_euros, 4), modelo) AS k FROM todos), c AS (SELECT modelo, count(*) AS vitorias FROM m WHERE k = 1 GROUP BY modelo) SELECT *, 100.0::DOUBLE * vitorias / (SELECT sum(vitorias) FROM c) AS pct FROM c")
+def model_win_rate(spark, sf_dir):
+    return forecast.win_rate(_compared(spark, sf_dir))
+
+
+def boosted_metrics(spark, sf_dir):
+    """Rows only: boosted trees, fitted on all rows before each product's last 7."""
+    rows = models.complete(_feature_table(spark, sf_dir))
+    return models.boosted_metrics(rows.filter("validacao"), models.fit_boosted(rows.filter("NOT validacao")))
+
+
+QUERIES["boosted_metrics"] = boosted_metrics
+
 # Back-test
 
 LISTS = (("a", ITEMS), ("b", ("cold gear", "blue plate")))

@@ -109,13 +109,20 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def series_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain of each product of the series, unknown for every sixth."""
+    products = table(spark, sf_dir, "events").select(F.col("user_id").alias("id_produto_loja")).distinct()
+    named = products.join(chains(spark, sf_dir), F.col("id_loja") == F.col("id_produto_loja") % 6, "left")
+    return named.select("id_produto_loja", F.coalesce("insignia", F.lit("?")).alias("cadeia"))
+
+
 def newest_day(spark: SparkSession, sf_dir: str):
     """The last timestamp of the history, from the files' statistics."""
     return table(spark, sf_dir, "lineitem").agg(F.max("l_shipdate")).first()[0]
 
 
 SQL = """
-WITH cadeias AS (SELECT s_suppkey, n_regionkey AS id_loja, r_name AS insignia, s_name, n_name
+WITH RECURSIVE cadeias AS (SELECT s_suppkey, n_regionkey AS id_loja, r_name AS insignia, s_name, n_name
     FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
 lojas_fisicas AS (SELECT s_suppkey AS id_loja_fisica, insignia, s_name AS nome_loja, n_name AS cidade, 37.0::DOUBLE + (s_suppkey * 7919 % 5000)::DOUBLE / 1000.0::DOUBLE AS latitude,
     -9.3::DOUBLE + (s_suppkey * 104729 % 3000)::DOUBLE / 1000.0::DOUBLE AS longitude, s_suppkey % 10 <> 0 AS ativa FROM cadeias),
