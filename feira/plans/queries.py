@@ -11,7 +11,7 @@ from feira.functions import display, geo, text
 from feira.operators import anomaly, backtest, basket, forecast, ingest, models, monitor, panel, quality, search
 from feira.plans import views
 from feira.plans.registry import ORACLE_SQL, QUERIES, Query
-from feira.sources import pages, web
+from feira.sources import pages, tree, web
 from feira.streaming.prices import trailing_changes
 
 LAT, LON, PER_KM, RADIUS = 39.5, -8.0, 0.2, 150.0
@@ -495,14 +495,40 @@ def quantity_extraction(spark, sf_dir):
     return rows.select("id_produto_mestre", "nome", F.col("q.total").cast("double").alias("valor"), F.col("q.unidade").alias("unidade"), text.descriptor(F.col("q")).alias("descritor"))
 
 
-def html_titles(spark, sf_dir):
-    """Rows only: titles and product blocks of the pages."""
-    from feira.sources.records import page_title, product_from_json_ld
+def _sql_plain(x: str) -> str:
+    """The text of an HTML fragment."""
+    bare = f"regexp_replace({x}, '<[^>]*>', ' ', 'g')"
+    for entity, character in web.ENTITIES:
+        doubled = character.replace("'", "''")
+        bare = f"replace({bare}, '{entity}', '{doubled}')"
+    return f"trim(regexp_replace({bare}, '\\s+', ' ', 'g'))"
+
 
-    return views.table(spark, sf_dir, "pages").select("page_id", page_title(F.col("html")).alias("titulo"), product_from_json_ld(F.col("html"))["nome"].alias("produto"))
+TITLE_SQL, HEADING_SQL, LINK_SQL = (f"'(?is)<{tag}>(.*?)</{name}>'" for tag, name in (("title", "title"), ("h1", "h1"), ("a [^>]*", "a")))
 
 
-QUERIES["html_titles"] = html_titles
+@query(f"SELECT page_id, {_sql_plain(f'regexp_extract(html, {TITLE_SQL}, 1)')} AS titulo FROM pages")
+def html_titles(spark, sf_dir):
+    rows = tree.page_trees(views.table(spark, sf_dir, "pages").select("page_id", "html"))
+    return rows.select("page_id", F.coalesce(tree.text_of(F.col("texto"), F.get(tree.named(F.col("nos"), "title"), F.lit(0))), F.lit("")).alias("titulo"))
+
+
+@query(f""", p AS (SELECT page_id, coalesce(html, '') AS html, regexp_extract(html, '(?is)<nav>(.*?)</nav>', 1) AS nav, regexp_extract(html, '(?is)<article>(.*?)</article>', 1) AS artigo FROM pages),
+l AS (SELECT page_id, string_agg({_sql_plain('x')}, '|' ORDER BY k) AS ligacoes, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(nav, {LINK_SQL}, 1)) AS x, generate_subscripts(regexp_extract_all(nav, {LINK_SQL}, 1), 1) AS k FROM p) GROUP BY page_id)
+SELECT page_id, {_sql_plain(f'regexp_extract(html, {HEADING_SQL}, 1)')} AS cabecalho, coalesce(ligacoes, '') AS ligacoes, coalesce(n, 0)::INT AS n_ligacoes, len(regexp_extract_all(artigo, '<p>'))::INT AS n_paragrafos, md5({_sql_plain('artigo')}) AS artigo FROM p LEFT JOIN l USING (page_id)""")
+def page_outline(spark, sf_dir):
+    rows = tree.page_trees(views.table(spark, sf_dir, "pages").select("page_id", "html"))
+    nodes, words = F.col("nos"), F.col("texto")
+    article, links = tree.named(nodes, "article"), tree.inside(tree.named(nodes, "a"), tree.named(nodes, "nav"))
+    first = lambda found: F.coalesce(tree.text_of(words, F.get(found, F.lit(0))), F.lit(""))
+    return rows.select(
+        "page_id",
+        first(tree.named(nodes, "h1")).alias("cabecalho"),
+        F.array_join(F.transform(links, lambda a: tree.text_of(words, a)), "|").alias("ligacoes"),
+        F.size(links).alias("n_ligacoes"),
+        F.size(tree.inside(tree.named(nodes, "p"), article)).alias("n_paragrafos"),
+        F.md5(first(article)).alias("artigo"),
+    )
 
 # Forecasts
 

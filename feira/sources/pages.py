@@ -1,7 +1,7 @@
-"""Raw records from product pages and listings in HTML.
+"""Raw records from product pages and listings in HTML, by selectors on each page's element tree.
 
-An element is what stands between a tag and the first end tag of its name, so a price must not stand behind an inner
-element of the same name. All are built-in functions; a page is read in place and never collected.
+A page is cut into its tree once (``tree.page_trees``); what marks a price is then looked for among its elements. All are
+built-in functions; no page is collected.
 """
 
 from __future__ import annotations
@@ -13,15 +13,18 @@ from feira.functions.display import price_in_name
 from feira.functions.text import category_path, clean, once
 from feira.operators.ingest import RAW_FIELDS, plausible_price
 from feira.sources.records import json_ld_blocks
+from feira.sources.tree import attribute, classed, holding, inside, named, page_trees, text_of, within
 from feira.sources.web import breadcrumb_category, category_from_url, first_image, id_from_url, price_text, unescaped, unit_price_text
 
 # Keys, attributes and classes that hold prices, the first that has a plausible one counts.
 PRICE_KEYS = ("price", "lowPrice")
 OLD_PRICE_KEYS = ("priceBeforeDiscount", "price_before_discount", "listPrice", "oldPrice", "regularPrice")
-PRICE_METAS = ("property\\s*=\\s*[\"']product:price:amount[\"']", "name\\s*=\\s*[\"']product:price:amount[\"']", "itemprop\\s*=\\s*[\"']price[\"']")
-PRICE_ATTRIBUTES = ("itemprop\\s*=\\s*[\"']price[\"']", "class\\s*=\\s*[\"'][^\"']*current-price", "class\\s*=\\s*[\"'][^\"']*price")
+PRICE_METAS = (("property", "product:price:amount"), ("name", "product:price:amount"), ("itemprop", "price"))
+SALES_VALUE = ("sales", "value")
+PRICE_CLASSES = ("current-price", "price")
 OLD_PRICE_CLASSES = ("old-price", "list-price", "strike", "was-price")
-TILE_OLD_PRICES = ("(?<![\\w-])list(?![\\w-])", "pwc-tile--price-old", "old-price", "list-price")
+TILE_OLD_LISTS = ("prices-wrapper", "list")
+TILE_OLD_PRICES = ("pwc-tile--price-old", "old-price", "list-price")
 TILE_UNIT_PRICES = ("price-secondary", "unit-price")
 PRICE_TEXTS = (r"(?iu)(?:preço|pvp)\s*[:\-]?\s*(\d+(?:[.,]\d+)?)\s*€", r"(\d+(?:[.,]\d+)?)\s*€")
 OLD_PRICE_TEXT = r"(?iu)(?:antes|preço anterior)\s*[:\-]?\s*(\d+(?:[.,]\d+)?)\s*€"
@@ -31,31 +34,13 @@ OFFER = "struct<" + ", ".join(f"{k}: string" for k in (*PRICE_KEYS, *OLD_PRICE_K
 TILE = "id string, name string, brand string, category string, price string"
 
 
-def body_text(html: Column) -> Column:
-    """A page's text without scripts, styles and comments."""
-    bare = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", " ")
-    return clean(unescaped(F.regexp_replace(bare, r"<[^>]*>", " ")))
-
-
-def elements(html: Column, attribute: str) -> Column:
-    """``tag`` (its attributes) and ``texto`` of elements whose tag holds a pattern."""
-    pattern = rf"""(?is)<(\w+)((?=[^>]*\s{attribute})[^>]*)>(.*?)(?:</\1\s*>|\z)"""
-    part = lambda i: F.regexp_extract_all(html, F.lit(pattern), F.lit(i))
-    return F.transform(F.arrays_zip(part(2).alias("a"), part(3).alias("b")), lambda e: F.struct(e["a"].alias("tag"), body_text(e["b"]).alias("texto")))
-
-
-def attribute(tag: Column, name: str) -> Column:
-    """An attribute's value; empty if it is missing."""
-    return unescaped(F.regexp_extract(tag, rf"""(?is)(?<![\w-]){name}\s*=\s*["']([^"']*)["']""", 1))
-
-
 def _plausible(prices: Column) -> Column:
     """The first plausible price of an array; empty if there is none."""
     return F.coalesce(F.get(F.filter(prices, plausible_price), F.lit(0)), F.lit(""))
 
 
 def _first(*prices: Column) -> Column:
-    return F.coalesce(*(F.nullif(p, F.lit("")) for p in prices), F.lit(""))
+    return F.coalesce(*(once(p, lambda v: F.when(v != "", v)) for p in prices), F.lit(""))
 
 
 def product_block(html: Column) -> Column:
@@ -67,23 +52,29 @@ def product_block(html: Column) -> Column:
 def _offer_price(block: Column, keys: tuple[str, ...]) -> Column:
     one, several = F.from_json(block, f"offers {OFFER}")["offers"], F.from_json(block, f"offers array<{OFFER}>")["offers"]
     offers = F.when(F.get_json_object(block, "$.offers").startswith("["), several).otherwise(F.array(one))
-    return _plausible(F.coalesce(F.flatten(F.transform(offers, lambda o: F.array(*(price_text(o[k]) for k in keys)))), F.array()))
+    return _plausible(F.coalesce(F.flatten(F.transform(offers, lambda o: F.transform(F.array(*(o[k] for k in keys)), price_text))), F.array()))
 
 
-def page_price(html: Column, block: Column, text: Column) -> Column:
-    """The price of a page: of its JSON-LD, its meta tags, elements marked as prices, or its ``text``; empty if none is plausible."""
-    metas = F.regexp_extract_all(html, F.lit(r"(?is)<meta\b[^>]*>"), F.lit(0))
-    in_meta = lambda a: _plausible(F.transform(F.filter(metas, lambda m: m.rlike(f"(?i)\\s{a}")), lambda m: price_text(attribute(m, "content"))))
-    beside = lambda shown: price_text(F.regexp_extract(shown, PRICE_TEXTS[1], 1))
-    in_element = lambda a: _plausible(F.flatten(F.transform(elements(html, a), lambda e: F.array(price_text(attribute(e["tag"], "content")), beside(e["texto"])))))
-    in_text = lambda p: _plausible(F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(1)), price_text))
-    return _first(_offer_price(block, PRICE_KEYS), *map(in_meta, PRICE_METAS), *map(in_element, PRICE_ATTRIBUTES), *map(in_text, PRICE_TEXTS))
+def page_price(block: Column, text: Column, nodes: Column, shown: Column) -> Column:
+    """The price of a page: of its JSON-LD, its meta tags, elements marked as prices, or its text as ``shown``; empty if none is plausible.
 
-
-def page_old_price(html: Column, block: Column, text: Column) -> Column:
-    """The price before a promotion: of the JSON-LD, elements marked as old prices, or the ``text``; empty if none is plausible."""
-    in_class = lambda c: _plausible(F.transform(elements(html, f"class\\s*=\\s*[\"'][^\"']*{c}"), lambda e: price_text(e["texto"])))
-    in_text = _plausible(F.array(price_text(F.regexp_extract(text, OLD_PRICE_TEXT, 1))))
+    A marked element counts by its ``content``, then by a number beside the currency sign.
+    """
+    metas = named(nodes, "meta")
+    in_meta = lambda name, value: _plausible(F.transform(F.slice(F.filter(metas, lambda m: attribute(m["tag"], name) == value), 1, 1), lambda m: price_text(attribute(m["tag"], "content"))))
+    beside = lambda said: price_text(F.regexp_extract(said, PRICE_TEXTS[1], 1))
+    of = lambda marked: _plausible(F.flatten(F.transform(marked, lambda e: F.array(price_text(attribute(e["tag"], "content")), beside(text_of(text, e))))))
+    by_property = F.filter(nodes, lambda n: attribute(n["tag"], "itemprop") == "price")
+    sales = inside(holding(nodes, "class", SALES_VALUE[1]), holding(nodes, "class", SALES_VALUE[0]))
+    in_text = lambda p: _plausible(F.transform(F.regexp_extract_all(shown, F.lit(p), F.lit(1)), price_text))
+    marked = (by_property, sales, *(holding(nodes, "class", c) for c in PRICE_CLASSES))
+    return _first(_offer_price(block, PRICE_KEYS), *(in_meta(*m) for m in PRICE_METAS), *map(of, marked), *map(in_text, PRICE_TEXTS))
+
+
+def page_old_price(block: Column, text: Column, nodes: Column, shown: Column) -> Column:
+    """The price before a promotion: of the JSON-LD, elements marked as old prices, or the text as ``shown``; empty if none is plausible."""
+    in_class = lambda c: _plausible(F.transform(holding(nodes, "class", c), lambda e: price_text(text_of(text, e))))
+    in_text = _plausible(F.array(price_text(F.regexp_extract(shown, OLD_PRICE_TEXT, 1))))
     return _first(_offer_price(block, OLD_PRICE_KEYS), *map(in_class, OLD_PRICE_CLASSES), in_text)
 
 
@@ -95,28 +86,31 @@ def _record(values: dict[str, Column]) -> Column:
 
 def page_records(pages: DataFrame, store: str, collected: str, base: str = "") -> DataFrame:
     """Raw records of product pages (``url``, ``html``); pages without a name or a plausible price, or whose price is a number of the name, give none."""
-    read = pages.select("url", "html", product_block(F.col("html")).alias("_bloco"), body_text(F.col("html")).alias("_texto"))
+    read = page_trees(pages.select("url", "html", product_block(F.col("html")).alias("_bloco")))
+    read = read.withColumn("_visto", clean(unescaped(F.col("texto"))))
+    text, nodes, shown = F.col("texto"), F.col("nos"), F.col("_visto")
     field = lambda name: clean(F.get_json_object("_bloco", f"$.{name}"))
-    heading = body_text(F.regexp_extract("html", r"(?is)<h1\b[^>]*>(.*?)</h1\s*>", 1))
+    heading = F.coalesce(text_of(text, F.get(named(nodes, "h1"), F.lit(0))), F.lit(""))
     brand = F.when(field("brand").startswith("{"), field("brand.name")).otherwise(field("brand"))
-    crumbs = F.flatten(F.transform(F.regexp_extract_all("html", F.lit(r"""(?is)<\w+[^>]*class\s*=\s*["'][^"']*breadcrumb[^>]*>(.*?)</(?:ol|ul|nav)\s*>"""), F.lit(1)), lambda b: F.transform(F.regexp_extract_all(b, F.lit(r"(?is)<a\b[^>]*>(.*?)</a\s*>"), F.lit(1)), body_text)))
-    image = F.when(field("image").startswith("["), field("image[0]")).otherwise(field("image"))
+    crumbs = F.transform(inside(named(nodes, "a"), holding(nodes, "class", "breadcrumb")), lambda a: text_of(text, a))
+    shared = F.get(F.filter(named(nodes, "meta"), lambda m: attribute(m["tag"], "property") == "og:image"), F.lit(0))["tag"]
+    image = _first(F.when(field("image").startswith("["), field("image[0]")).otherwise(field("image")), F.coalesce(attribute(shared, "content"), F.lit("")))
     values = {
         "id_externo": _first(field("sku"), field("productID"), id_from_url(F.col("url"))),
         "nome": _first(field("name"), heading),
         "marca": brand,
         "categoria": _first(breadcrumb_category(crumbs, ("home", "início", "produtos")), category_path(category_from_url(F.col("url")))),
-        "preco": page_price(F.col("html"), F.col("_bloco"), F.col("_texto")),
-        "preco_original": page_old_price(F.col("html"), F.col("_bloco"), F.col("_texto")),
-        "preco_unitario": unit_price_text(F.regexp_extract("_texto", UNIT_PRICE_TEXT, 0)),
+        "preco": page_price(F.col("_bloco"), text, nodes, shown),
+        "preco_original": page_old_price(F.col("_bloco"), text, nodes, shown),
+        "preco_unitario": unit_price_text(F.regexp_extract(shown, UNIT_PRICE_TEXT, 0)),
         "url": F.col("url"),
         "imagem": first_image(F.array(image), base),
         "loja": F.lit(store),
         "data_recolha": F.lit(collected),
         "ean": _first(field("gtin13"), field("gtin")),
     }
-    # The fields are columns of their own first, so that a price is looked for once.
-    found = read.select(*(values[c].alias(c) for c in RAW_FIELDS))
+    # The fields are rows of a generator, which filters on them are not pushed through: a price is looked for once.
+    found = read.select(F.inline(F.array(F.struct(*(values[c].alias(c) for c in RAW_FIELDS)))))
     kept = found.select(_record({c: F.col(c) for c in RAW_FIELDS}).alias("r")).filter("r IS NOT NULL").select("r.*")
     return kept.filter(~price_in_name(F.col("preco"), F.col("nome")))
 
@@ -124,30 +118,32 @@ def page_records(pages: DataFrame, store: str, collected: str, base: str = "") -
 def tile_records(pages: DataFrame, store: str, collected: str, base: str = "") -> DataFrame:
     """Raw records of the product tiles in listings (``html``): the JSON of each tile, and what its elements add.
 
-    A tile runs from the tag with ``data-product-tile-impression`` to the next. Tiles without a name or a plausible price give none.
+    A tile is an element with ``data-product-tile-impression``. Tiles without a name or a plausible price give none.
     """
-    tiles = F.regexp_extract_all("html", F.lit(r"(?is)<\w+[^<>]*\sdata-product-tile-impression\s*=.*?(?=<\w+[^<>]*\sdata-product-tile-impression\s*=|\z)"), F.lit(0))
-    raw = r"""(?is)\sdata-product-tile-impression\s*=\s*(?:'([^']*)'|"([^"]*)")"""
-    cut = pages.select(F.explode(tiles).alias("_tile"))
-    read = cut.select("_tile", F.from_json(unescaped(_first(F.regexp_extract("_tile", raw, 1), F.regexp_extract("_tile", raw, 2))), TILE).alias("_j"))
-    tile, classed = F.col("_tile"), lambda c: f"class\\s*=\\s*[\"'][^\"']*{c}"
-    head = lambda c: F.get(elements(tile, classed(c)), F.lit(0))["texto"]
+    read = page_trees(pages.select("html"))
+    tiles = read.select("texto", "nos", F.explode(holding(F.col("nos"), "data-product-tile-impression")).alias("_tile"))
+    tiles = tiles.select("texto", within(F.col("nos"), F.col("_tile")).alias("_in"), F.from_json(attribute(F.col("_tile.tag"), "data-product-tile-impression"), TILE).alias("_j"))
+    text, nodes = F.col("texto"), F.col("_in")
+    head = lambda found: text_of(text, F.get(found, F.lit(0)))
+    old = (inside(classed(nodes, TILE_OLD_LISTS[1]), classed(nodes, TILE_OLD_LISTS[0])), *(holding(nodes, "class", c) for c in TILE_OLD_PRICES))
     absolute = lambda u: F.when((u == "") | F.startswith(u, F.lit("http")), u).otherwise(F.concat(F.lit(base), u))
-    url = absolute(unescaped(F.regexp_extract(tile, r"""(?is)<a\b[^>]*\shref\s*=\s*["']([^"']*/produto/[^"']*)["']""", 1)))
-    images = F.flatten(F.transform(F.regexp_extract_all(tile, F.lit(r"(?is)<img\b[^>]*>"), F.lit(0)), lambda i: F.array(attribute(i, "src"), attribute(i, "data-src"), F.regexp_extract(attribute(i, "srcset"), r"^\s*([^\s,]+)", 1))))
+    links = F.filter(F.transform(named(nodes, "a"), lambda a: attribute(a["tag"], "href")), lambda u: F.contains(u, F.lit("/produto/")))
+    url = absolute(F.coalesce(F.get(links, F.lit(0)), F.lit("")))
+    sources = lambda i: F.array(attribute(i["tag"], "src"), attribute(i["tag"], "data-src"), F.regexp_extract(attribute(i["tag"], "srcset"), r"^\s*([^\s,]+)", 1))
+    images = F.flatten(F.transform(named(nodes, "img"), sources))
     values = {
         "id_externo": once(url, lambda u: _first(clean(F.col("_j.id")), F.when(u != "", F.concat(F.lit("url-"), F.left(F.sha1(u), F.lit(16)))).otherwise(""))),
         "nome": clean(F.col("_j.name")),
         "marca": clean(F.col("_j.brand")),
         "categoria": category_path(F.col("_j.category")),
         "preco": price_text(F.col("_j.price")),
-        "preco_original": _first(*(_plausible(F.array(price_text(head(c)))) for c in TILE_OLD_PRICES)),
-        "preco_unitario": _first(*(unit_price_text(head(c)) for c in TILE_UNIT_PRICES)),
+        "preco_original": _first(*(_plausible(F.array(price_text(head(found)))) for found in old)),
+        "preco_unitario": _first(*(unit_price_text(head(holding(nodes, "class", c))) for c in TILE_UNIT_PRICES)),
         "url": url,
         "imagem": first_image(images, base),
         "loja": F.lit(store),
         "data_recolha": F.lit(collected),
         "ean": F.lit(""),
     }
-    found = read.select(*(values[c].alias(c) for c in RAW_FIELDS))
+    found = tiles.select(F.inline(F.array(F.struct(*(values[c].alias(c) for c in RAW_FIELDS)))))
     return found.select(_record({c: F.col(c) for c in RAW_FIELDS}).alias("r")).filter("r IS NOT NULL").select("r.*")

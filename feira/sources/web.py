@@ -83,15 +83,22 @@ def product_urls(sitemaps: DataFrame) -> DataFrame:
 
 def price_text(text: Column) -> Column:
     """The first number of a price as text with a point; empty if there is none. A point beside a comma groups thousands."""
-    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"€|EUR|eur", "")
-    grouped = F.when(F.contains(bare, F.lit(",")), F.replace(bare, F.lit("."), F.lit(""))).otherwise(bare)
-    return F.regexp_extract(F.replace(grouped, F.lit(","), F.lit(".")), r"\d+(?:\.\d+)?", 0)
+
+    def number(bare: Column) -> Column:
+        grouped = F.when(F.contains(bare, F.lit(",")), F.replace(bare, F.lit("."), F.lit(""))).otherwise(bare)
+        return F.regexp_extract(F.replace(grouped, F.lit(","), F.lit(".")), r"\d+(?:\.\d+)?", 0)
+
+    return once(F.regexp_replace(F.coalesce(text, F.lit("")), r"€|EUR|eur", ""), number)
 
 
 def unit_price_text(text: Column) -> Column:
     """``22.05€/kg`` for a unit price anywhere in a text; empty if there is none."""
-    part = lambda i: F.regexp_extract(clean(text), r"(?i)(\d+(?:[.,]\d+)?)\s*€\s*/\s*([A-Za-z]+)", i)
-    return F.when(part(1) == "", "").otherwise(F.concat(price_text(part(1)), F.lit("€/"), unit(part(2))))
+
+    def made(found: Column) -> Column:
+        return F.when(found[0] == "", "").otherwise(F.concat(price_text(found[0]), F.lit("€/"), unit(found[1])))
+
+    part = lambda i: lambda said: F.regexp_extract(said, r"(?i)(\d+(?:[.,]\d+)?)\s*€\s*/\s*([A-Za-z]+)", i)
+    return once(clean(text), lambda said: once(F.array(part(1)(said), part(2)(said)), made))
 
 
 def first_image(urls: Column, base: str = "") -> Column:
