@@ -25,7 +25,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # The patterns of the base kinds, in order of precedence at equal starts.
@@ -85,9 +85,9 @@ def _codes(text: Column) -> Column:
     return F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.instr(F.lit(ALPHABET), c))
 
 
-def train(spark: SparkSession) -> tuple[list[float], float]:
-    """Log-likelihood ratios of character pairs (row by row) and the threshold on their mean over a string."""
-    samples = labelled_samples(spark)
+def train(spark: SparkSession, samples: DataFrame | None = None) -> tuple[list[float], float]:
+    """Log-likelihood ratios of character pairs (row by row) and the threshold on their mean over a string, from ``text`` and ``label``."""
+    samples = labelled_samples(spark) if samples is None else samples
     coded = samples.select("label", "text", _codes(F.col("text")).alias("c"))
     pairs = coded.select("label", F.explode(F.zip_with(F.slice("c", 1, F.size("c") - 1), F.slice("c", 2, F.size("c") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("p"))
     width = len(ALPHABET) + 1
@@ -101,6 +101,14 @@ def train(spark: SparkSession) -> tuple[list[float], float]:
     return ratios, max((row[0] + row[1]) / 2, row[2])
 
 
+def quality(spark: SparkSession, held_out: DataFrame, model: tuple[list[float], float]) -> dict[str, float]:
+    """``recall`` and ``false_share`` of a model on labelled strings."""
+    ratios, threshold = model
+    called = (mean_ratio(F.col("text"), ratios) > threshold).cast("double")
+    row = held_out.agg(F.avg(F.when(F.col("label") == 1, called)), F.avg(F.when(F.col("label") == 0, called))).first()
+    return {"recall": row[0], "false_share": row[1]}
+
+
 def mean_ratio(text: Column, ratios: list[float]) -> Column:
     """Mean log-likelihood ratio of a string's character pairs."""
     table = F.lit([float(x) for x in ratios])
@@ -114,57 +122,49 @@ def mean_ratio(text: Column, ratios: list[float]) -> Column:
     return F.aggregate(_codes(text), start, step, lambda acc: acc["sum"]) / F.greatest(F.char_length(text) - 1, F.lit(1))
 
 
-def _none() -> Column:
-    return F.from_json(F.lit("[]"), "array<struct<start:int,end:int,size:int>>")
-
-
-def _matches(text: Column, pattern: str, group: int = 0) -> Column:
-    """Array of (``start``, ``end``, ``size``) of a pattern's matches, in code points; size is that of ``group``."""
+def _matches(text: Column, pattern: str, kind: int, group: int = 0, keep: bool = False) -> Column:
+    """Array of a pattern's matches in order: ``kind``, ``k``, the code points between it and the one before (``gap``), ``long``, the ``size`` of the group, and the match if it is to be kept."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)  # one more than matches
     sizes = found if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    long = F.zip_with(found, sizes, lambda m, g: F.struct(F.char_length(m).alias("long"), F.char_length(g).alias("size")))
-    rows = F.slice(F.zip_with(gaps, long, lambda b, m: F.struct(F.char_length(b).alias("gap"), m["long"].alias("long"), m["size"].alias("size"))), F.lit(1), F.size(found))
-
-    def step(acc: Column, m: Column) -> Column:
-        start = F.coalesce(F.get(acc, F.size(acc) - 1)["end"], F.lit(0)) + m["gap"]
-        return F.concat(acc, F.array(F.struct(start.alias("start"), (start + m["long"]).alias("end"), m["size"].alias("size"))))
-
-    return F.when(text.rlike(pattern), F.aggregate(rows, _none(), step)).otherwise(_none())
-
-
-def _spans(matches: Column, kind: str) -> Column:
-    """Spans (``start``, ``kind``, ``end``) of the matches that are long enough; kinds are numbered in order."""
-    enough = F.filter(matches, lambda m: m["size"] >= LEAST[kind])
-    return F.transform(enough, lambda m: F.struct(m["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), m["end"].alias("end")))
+    gaps = F.split(text, pattern, -1)  # one more than matches
+    known = F.zip_with(found, sizes, lambda m, g: F.struct(m.alias("m"), F.char_length(g).alias("size")))
+    rows = F.slice(F.zip_with(gaps, known, lambda g, m: F.struct(F.char_length(g).alias("gap"), m.alias("m"))), F.lit(1), F.size(found))
+    said = lambda r: r["m"]["m"] if keep else F.lit(None).cast("string")
+    listed = F.transform(rows, lambda r, k: F.struct(F.lit(kind).alias("kind"), k.alias("k"), r["gap"].alias("gap"), F.char_length(r["m"]["m"]).alias("long"), r["m"]["size"].alias("size"), said(r).alias("said")))
+    return F.when(text.rlike(pattern), listed)
 
 
 def _listed(spans: Column) -> Column:
     names = F.array(*[F.lit(k) for k in KINDS])
-    return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
 def scan(docs: DataFrame, model: tuple[list[float], float] | None = None) -> DataFrame:
-    """``doc_id``, ``n_assign``, ``n_access``, ``n_hex``, ``base`` and ``spans`` (arrays of start, kind, end) per document."""
+    """``doc_id``, ``n_assign``, ``n_access``, ``n_hex``, ``base`` and ``spans`` (arrays of start, kind, end, in order) per document.
+
+    Matches are rows: where they start is a running sum over a text's matches of a kind, and whether a token overlaps a
+    base span follows from the greatest end of the base spans that start before the token's end. Both are linear in the matches.
+    """
     ratios, threshold = model or train(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    # Each step has columns of its own, so that a match list is made once and not per use.
-    text = F.col("text")
-    met = rows.select(
-        "doc_id",
-        "text",
-        _matches(text, ASSIGN, 2).alias("assign"),
-        _matches(text, ACCESS_LONG).alias("access"),
-        _matches(text, HEX_LONG).alias("hex"),
-        _matches(text, TOKEN).alias("token"),
-    )
-    base = met.select("doc_id", "text", "token", *(_spans(F.col(k), k).alias(k) for k in LEAST))
-    joined = base.withColumn("base", F.concat(*[F.col(k) for k in LEAST]))
-    free = F.filter("token", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    tokens = joined.withColumn("free", free)
-    random = F.filter("free", lambda t: mean_ratio(F.substring(text, t["start"] + 1, t["end"] - t["start"]), ratios) > threshold)
-    added = F.transform(random, lambda t: F.struct(t["start"].alias("start"), F.lit(KINDS.index("random")).alias("kind"), t["end"].alias("end")))
-    return tokens.select("doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in LEAST), "base", F.concat("base", added).alias("spans"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("_row", F.monotonically_increasing_id())
+    text, random = F.col("text"), KINDS.index("random")
+    kinds = [_matches(text, ASSIGN, 0, group=2), _matches(text, ACCESS_LONG, 1), _matches(text, HEX_LONG, 2), _matches(text, TOKEN, random, keep=True)]
+    every = F.concat(*(F.coalesce(k, F.array().cast("array<struct<kind:int,k:int,gap:int,long:int,size:int,said:string>>")) for k in kinds))
+    # A text without matches keeps one row of nulls.
+    met = rows.select("_row", "doc_id", F.explode_outer(every).alias("m")).select("_row", "doc_id", "m.*")
+    in_kind = Window.partitionBy("_row", "kind").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    placed = met.withColumn("end", F.sum(F.col("gap") + F.col("long")).over(in_kind)).withColumn("start", F.col("end") - F.col("long"))
+    least = F.element_at(F.array(*[F.lit(LEAST[k]) for k in KINDS[:random]], F.lit(0)), F.col("kind") + 1)
+    placed = placed.withColumn("kind", F.when(F.col("size") >= least, F.col("kind")))
+    is_token, is_base = F.coalesce(F.col("kind") == random, F.lit(False)), F.coalesce(F.col("kind") < random, F.lit(False))
+    in_text = Window.partitionBy("_row").orderBy(F.when(is_token, F.col("end")).otherwise(F.col("start")), F.when(is_token, 0).otherwise(1)).rowsBetween(Window.unboundedPreceding, -1)
+    covered = F.coalesce(F.max(F.when(is_base, F.col("end"))).over(in_text), F.lit(0))
+    judged = placed.withColumn("free", is_token & (covered <= F.col("start")))
+    judged = judged.withColumn("found", is_base | F.when(F.col("free"), mean_ratio(F.col("said"), ratios) > threshold).otherwise(False))
+    span = F.struct(F.col("start").cast("int").alias("start"), F.col("kind").alias("kind"), F.col("end").cast("int").alias("end"))
+    counts = [F.count(F.when(F.col("kind") == i, 1)).alias(f"n_{k}") for i, k in enumerate(KINDS[:random])]
+    listed = judged.groupBy("_row").agg(F.max("doc_id").alias("doc_id"), *counts, F.array_sort(F.collect_list(F.when(is_base, span))).alias("base"), F.array_sort(F.collect_list(F.when(F.col("found"), span))).alias("spans"))
+    return listed.drop("_row")
 
 
 def scan_digests(docs: DataFrame) -> DataFrame:

@@ -138,13 +138,14 @@ def resolved_records(records: DataFrame) -> DataFrame:
     """What each record stands for: revisit records joined to the responses they name.
 
     ``payload_bytes`` and ``payload_digest`` are those of the full payload, taken from the
-    response's block; a revisit whose response is missing or has another digest gets nulls.
+    response's block of that digest; a revisit without one gets nulls.
     """
-    responses = records.filter("record_type = 'response'").select(F.col("page_id").alias("refers_to"), F.col("content_length").alias("full_length"), F.col("block_digest").alias("full_digest")).dropDuplicates(["refers_to"])
-    plain = records.filter("record_type = 'response'").select("page_id", F.col("content_length").alias("payload_bytes"), F.col("block_digest").alias("payload_digest"), "record_type", "refers_to")
-    revisits = records.filter("record_type = 'revisit'").join(responses, "refers_to", "left")
-    same = F.col("full_digest") == F.col("payload_digest")
-    named = revisits.select("page_id", F.when(same, F.col("full_length")).alias("payload_bytes"), F.when(same, F.col("full_digest")).alias("payload_digest"), "record_type", "refers_to")
+    answers = records.filter("record_type = 'response'")
+    plain = answers.select("page_id", F.col("content_length").alias("payload_bytes"), F.col("block_digest").alias("payload_digest"), "record_type", "refers_to")
+    # An id may have several responses; the one meant has the revisit's digest.
+    named = answers.select(F.col("page_id").alias("refers_to"), F.col("block_digest").alias("payload_digest"), F.col("content_length").alias("payload_bytes")).dropDuplicates(["refers_to", "payload_digest"])
+    revisits = records.filter("record_type = 'revisit'").join(named, ["refers_to", "payload_digest"], "left")
+    named = revisits.select("page_id", "payload_bytes", F.when(F.col("payload_bytes").isNotNull(), F.col("payload_digest")).alias("payload_digest"), "record_type", "refers_to")
     return plain.unionByName(named)
 
 

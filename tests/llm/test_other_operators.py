@@ -59,6 +59,14 @@ def test_archives_of_small_payloads_and_no_pages(spark):
     assert warc.deduplicate_pages(pages.limit(0), new_path(spark, "warc")).count() == 0
 
 
+def test_archives_of_ids_with_several_payloads(spark):
+    pages = [(9, "u", "AAAA"), (9, "u", "BBBBBB"), (5, "u", "AAAA"), (4, "u", "BBBBBB")]
+    found = warc.deduplicate_pages(spark.createDataFrame(pages, "page_id long, url string, html string"), new_path(spark, "warc")).collect()
+    digest = lambda t: base64.b32encode(hashlib.sha1(t.encode()).digest()).decode()
+    wanted = [(4, 6, digest("BBBBBB"), "revisit", 9), (5, 4, digest("AAAA"), "revisit", 9), (9, 4, digest("AAAA"), "response", None), (9, 6, digest("BBBBBB"), "response", None)]
+    assert sorted((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in found) == wanted
+
+
 # Chats
 
 

@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from feira.llm import fingerprints, line_dedup, near_dedup, secret_scan
@@ -277,3 +278,24 @@ def test_models_tell_random_strings_from_identifiers(spark):
     texts = ["key Zx9QbT4vWmK2rLpY8sNdJ7hC end", "getUserAccountManagerFactory and request_handler_for_session_manager stay", "see /usr/local/share/documents/manual for more"]
     spans = [r["spans"] for r in secret_scan.scan_digests(docs_of(spark, texts)).orderBy("doc_id").collect()]
     assert spans == ["random:4:28", "", ""]
+
+
+def test_secret_scan_of_repeats_many_keys_and_no_documents(spark):
+    keys = " ".join(f"{i:016x} x{i} tok_{i}={'Qz9' * 6}{i}" for i in range(3000))
+    given = [(1, keys), (1, keys), (1, "none"), (None, "AKIA" + "A" * 16), (2, "ff" * 20 + "/" + "Zq8" * 10), (3, "é" * 30 + " 0123456789abcdef")]
+    docs = spark.createDataFrame(given, "doc_id long, text string").withColumns({"kind": F.lit("clash"), "k": F.lit(1), "start": F.lit(2)})
+    found = secret_scan.scan(docs).collect()
+    assert sorted((r["doc_id"] or 0, r["n_assign"], r["n_access"], r["n_hex"]) for r in found) == [(0, 0, 1, 0), (1, 0, 0, 0), (1, 0, 0, 3000), (1, 0, 0, 3000), (2, 0, 0, 1), (3, 0, 0, 1)]
+    for r in found:
+        text = dict(given)[r["doc_id"]] if r["doc_id"] != 1 else keys
+        assert all(re.fullmatch("[0-9a-f]{16,}|AKIA[A-Z0-9]{14,}", text[s["start"] : s["end"]]) for s in r["base"]) and set(map(tuple, r["base"])) <= set(map(tuple, r["spans"]))
+        assert not any(a["start"] < b["end"] and b["start"] < a["end"] for a in r["spans"] if a["kind"] == 3 for b in r["base"])
+    assert secret_scan.scan(docs.limit(0)).count() == 0
+
+
+def test_secret_models_on_held_out_samples(spark):
+    samples = secret_scan.labelled_samples(spark).withColumn("part", F.crc32("text") % 5)
+    model = secret_scan.train(spark, samples.filter("part <> 0"))
+    found = secret_scan.quality(spark, samples.filter("part = 0"), model)
+    assert found["recall"] > 0.98 and found["false_share"] < 0.02
+    print(found)
