@@ -135,6 +135,49 @@ def features(rows: DataFrame, horizon: int = 1, chain_of: DataFrame | None = Non
     return known.withColumn("cadeia_id", F.coalesce("cadeia_id", F.lit(-1)))
 
 
+def refresh(old: DataFrame, observed: DataFrame, since: DataFrame) -> DataFrame:
+    """The feature table ``old`` brought up to date: per product of ``since``, only the days from its earliest changed ``dia`` on are made anew.
+
+    ``observed`` has the daily rows (``daily``) of the touched products from that day on; others are not read. The 8 days before lend
+    their prices to carry, lags and means; the day before gets its new target. The result is what ``features`` of all rows gives.
+    """
+    ends = old.groupBy(KEY).agg(F.max("dia").alias("_fim"))
+    # The days between a product's last one and the change are made too.
+    since = since.join(ends, KEY, "left").select(KEY, F.least("dia", F.date_add("_fim", 1)).alias("_desde"), "_fim")
+    marked = old.join(since.drop("_fim"), KEY, "left")
+    kept = marked.filter(F.col("_desde").isNull() | (F.col("dia") < F.date_sub("_desde", 1))).select(*old.columns)
+    lent = marked.filter((F.col("dia") < F.col("_desde")) & (F.col("dia") >= F.date_sub("_desde", 8)))
+    last = lent.filter(F.col("dia") == F.date_sub("_desde", 1))
+    seed = last.select(KEY, "dia", "preco", "preco_unitario_unidade", F.col("dias_desde_ultima_obs").alias("_dias"), F.lit(True).alias("_semente"))
+    fresh = observed.join(since.drop("_fim"), KEY).filter(F.col("dia") >= F.col("_desde"))
+    known = fresh.select(KEY, "dia", "preco", "preco_unitario_unidade", "em_promocao", "num_obs", F.lit(0).alias("_dias"), F.lit(False).alias("_semente"))
+    anchors = known.unionByName(seed, allowMissingColumns=True)
+    spans = anchors.groupBy(KEY).agg(F.min("dia").alias("first"), F.max("dia").alias("last"))
+    spans = spans.join(since.drop("_desde"), KEY).withColumn("last", F.greatest("last", F.coalesce("_fim", "last")))
+    met = spans.select(KEY, F.explode(F.sequence("first", "last")).alias("dia")).join(anchors, [KEY, "dia"], "left")
+    so_far = _days().rowsBetween(Window.unboundedPreceding, 0)
+    carried = lambda c: F.last(c, ignorenulls=True).over(so_far)
+    anchor_day, anchor_gap = carried("_ancora"), carried("_dias")
+    made = met.withColumn("_ancora", F.when(F.col("_dias").isNotNull(), F.col("dia"))).select(
+        KEY,
+        "dia",
+        carried("preco").alias("preco"),
+        carried("preco_unitario_unidade").alias("preco_unitario_unidade"),
+        F.coalesce("em_promocao", F.lit(False)).alias("em_promocao"),
+        F.coalesce("num_obs", F.lit(0)).cast("long").alias("num_obs"),
+        F.coalesce(~F.col("_semente"), F.lit(False)).cast("int").alias("foi_observado"),
+        (F.datediff("dia", anchor_day) + anchor_gap).alias("dias_desde_ultima_obs"),
+        F.coalesce("_semente", F.lit(False)).alias("_semente"),
+    )
+    chains = marked.filter(F.col("_desde").isNotNull()).groupBy(KEY).agg(F.max("cadeia_id").alias("cadeia_id"))
+    base = [KEY, "dia", "preco", "preco_unitario_unidade", "em_promocao", "num_obs", "foi_observado", "dias_desde_ultima_obs"]
+    joined = lent.select(*base, F.lit(True).alias("_antes")).unionByName(made.filter("NOT _semente").select(*base, F.lit(False).alias("_antes")))
+    remade = target(rolling_features(lag_features(calendar_features(joined)))).join(chains, KEY, "left").withColumn("cadeia_id", F.coalesce("cadeia_id", F.lit(-1)))
+    targets = remade.filter(F.col("_antes")).select(KEY, "dia", F.col("target_t_plus_1").alias("_novo"))
+    before = last.drop("_desde").join(targets, [KEY, "dia"]).withColumn("target_t_plus_1", F.col("_novo")).select(*old.columns)
+    return kept.unionByName(before).unionByName(remade.filter(~F.col("_antes")).select(*old.columns))
+
+
 def supervised_windows(table: DataFrame, columns: tuple[str, ...] = FEATURES, width: int = 7, kind: str = "float") -> DataFrame:
     """For each observed day, the features of the ``width`` days before (as numbers of ``kind``) and the day's price."""
     frame = _days().rowsBetween(-width, -1)

@@ -593,6 +593,18 @@ def _fitted(spark, sf_dir):
     return rows, models.fit_linear(rows.filter("NOT validacao"))
 
 
+@query(TABLE_SQL + f"SELECT id_produto_loja, {_day('dia')} AS dia, foi_observado, preco, promo_flag, cadeia_id::INT AS cadeia_id, dias_desde_ultima_obs, lag_1, lag_7, media_movel_7, desvio_movel_7, target_t_plus_1 FROM tabela")
+def panel_refresh(spark, sf_dir):
+    """The table of a first load, to which the rest is added: the last ten days, and late rows of every seventh product."""
+    rows = views.series(spark, sf_dir)
+    chain_of = panel.chain_ids(views.series_chains(spark, sf_dir), views.chains(spark, sf_dir))
+    late = (F.col("dia") > F.lit("2024-01-20").cast("date")) | ((F.col("id_produto_loja") % 7 == 0) & (F.day("dia") % 5 == 0))
+    old = panel.features(rows.filter(~late), chain_of=chain_of)
+    since = rows.filter(late).groupBy("id_produto_loja").agg(F.min("dia").alias("dia"))
+    found = panel.refresh(old, panel.daily(rows.join(since.select("id_produto_loja", F.col("dia").alias("_d")), "id_produto_loja").filter("dia >= _d")), since)
+    return found.select("id_produto_loja", "dia", "foi_observado", "preco", "promo_flag", "cadeia_id", "dias_desde_ultima_obs", "lag_1", "lag_7", "media_movel_7", "desvio_movel_7", "target_t_plus_1")
+
+
 @query(FIT_SQL + f"SELECT unnest({[*panel.FEATURES, 'constante']}) AS feature, unnest(list_append(w, b)) AS peso FROM modelo")
 def linear_model(spark, sf_dir):
     model = _fitted(spark, sf_dir)[1]

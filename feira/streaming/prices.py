@@ -1,45 +1,36 @@
-"""The incremental path: raw records arrive as files, and history and snapshot follow.
-
-Tables are directories of numbered versions; a micro-batch reads the newest version and
-writes the next, so a batch that is run again after a failure writes the same version again.
-"""
+"""The incremental path: raw records arrive as files, and history and snapshot follow (see ``state``)."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from feira.operators.ingest import RAW, append_history, deduplicate, normalise, split_valid, upsert_snapshot
-
-HISTORY = "id_produto_loja string, data_recolha timestamp, preco decimal(10,2), preco_original decimal(10,2), em_promocao boolean, agente_origem string"
-
+from feira.operators.ingest import RAW, RAW_FIELDS, deduplicate, normalise, split_valid
+from feira.streaming import state
 
 def record_stream(spark: SparkSession, directory: str, files_per_batch: int = 100) -> DataFrame:
-    """Raw records of JSON array files as they arrive."""
-    return spark.readStream.schema(RAW).option("multiLine", True).option("maxFilesPerTrigger", files_per_batch).json(directory)
+    """Raw records of JSON array files as they arrive, with their file."""
+    rows = spark.readStream.schema(RAW).option("multiLine", True).option("maxFilesPerTrigger", files_per_batch).json(directory)
+    return rows.select(*RAW_FIELDS, F.col("_metadata.file_path").alias("ficheiro"))
 
 
 def observations(records: DataFrame) -> DataFrame:
-    """Valid raw records as rows of the history."""
-    valid, _ = split_valid(normalise(deduplicate(records.withColumn("ordinal", F.monotonically_increasing_id()))))
+    """Valid raw records as rows of the history. A file is read in one go, so file and running number give a record's place in every run."""
+    place = F.struct(F.col("ficheiro") if "ficheiro" in records.columns else F.lit("").alias("ficheiro"), F.monotonically_increasing_id().alias("n"))
+    valid, _ = split_valid(normalise(deduplicate(records.withColumn("ordinal", place))))
     return valid.select(F.col("chave").alias("id_produto_loja"), F.col("recolhido").alias("data_recolha"), F.col("preco_atual").alias("preco"), F.col("preco_antes").alias("preco_original"), "em_promocao", "agente_origem", "ordinal")
 
 
-def version(spark: SparkSession, root: str, number: int) -> DataFrame:
-    """Version ``number`` of a table; an empty table before the first."""
-    return spark.read.schema(HISTORY).parquet(f"{root}/v={number}") if number > 0 else spark.createDataFrame([], HISTORY)
-
-
-def ingest_stream(records: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
-    """Runs the upserts for all files that are there, one micro-batch after the other."""
+def ingest_stream(records: DataFrame, root: str, checkpoint: str, buckets: int = state.BUCKETS, then: Callable[[SparkSession, int], None] | None = None) -> StreamingQuery:
+    """Brings all files that are there into history and snapshot, one micro-batch after the other; ``then`` follows each batch."""
 
     def batch(rows: DataFrame, number: int) -> None:
-        spark = rows.sparkSession
-        new = observations(rows)
-        for name, upsert in (("historico", append_history), ("atuais", upsert_snapshot)):
-            old = version(spark, f"{root}/{name}", number)
-            upsert(old, new if name == "historico" else new.select(*old.columns)).write.mode("overwrite").parquet(f"{root}/{name}/v={number + 1}")
+        state.apply_batch(observations(rows), root, number + 1, buckets)
+        if then:
+            then(rows.sparkSession, number + 1)
 
     return records.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

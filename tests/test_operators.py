@@ -13,7 +13,7 @@ from feira.functions import geo, text
 from feira.operators import anomaly, backtest, basket, forecast, ingest, monitor, panel, quality, search
 from feira.plans import queries, views
 from feira.sources import records
-from feira.streaming import prices
+from feira.streaming import prices, state
 
 
 def value(spark, column, given, kind="string"):
@@ -172,7 +172,7 @@ def test_stream_equals_batch_and_replays(spark, tmp_path):
     for n, batch in enumerate(rows):
         (source / f"{n}.json").write_text(json.dumps(batch))
         prices.ingest_stream(prices.record_stream(spark, str(source)), str(root), str(tmp_path / "checkpoint")).awaitTermination()
-    history, snapshot = (spark.read.parquet(f"{root}/{t}/v=2") for t in ("historico", "atuais"))
+    history, snapshot = state.history(spark, str(root), 2), state.snapshot(spark, str(root), 2)
     assert history.count() == 6 and {r["preco"] for r in snapshot.collect()} == {Decimal("2.00")}
     again = ingest.append_history(history, history.withColumn("ordinal", F.lit(1)))
     assert again.count() == 6
