@@ -11,6 +11,11 @@ recursive query contracts in one round all places of the minimum-rank pair that
 rounds would contract one after the other: all that don't overlap, from the left, if no
 merge of the token they make has a lower rank, else the leftmost alone.
 
+A piece of over ``LONG`` bytes is contracted in segments of ``SEGMENT`` bytes, whose tokens are joined two by two. Tokens
+are what the merges give if each two neighbours are what the merges give for their own bytes; where that
+fails at a seam, the tokens around it are contracted anew, more of them each time, until it holds on both
+edges. So the work grows with the length of the piece.
+
 A text's encoding is the concatenation of its pieces' encodings. Texts are first cut
 before single spaces, where a piece always begins unless white space stands on both
 sides, and a worker keeps what ``CACHE`` of these chunks encode and decode to, dropping
@@ -44,6 +49,8 @@ CACHE, CACHE_BYTES = 400_000, 64_000_000
 CACHED_CHARS = 400
 #: Bytes of a piece from which many places are contracted in one round.
 MANY_ROUNDS = 64
+#: Bytes from which a piece is contracted in segments, and the bytes of one.
+LONG, SEGMENT = 512, 64
 #: Rows that one recursive query makes, about: a piece of n bytes makes up to n * n / 2 in its rounds.
 ROWS = 4_000_000
 #: Chunks put together at once.
@@ -182,6 +189,7 @@ class Codec:
         import duckdb
 
         self.ranks = read_ranks(path)
+        self.bytes_of = {rank: token for token, rank in self.ranks.items()}
         self.pattern = regex.compile(pattern.replace(r"[^\s\p{L}\p{N}]", rf"[^{WHITE}\p{{L}}\p{{N}}]").replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]"))
         self.single = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int64)
         # What doesn't fit goes to the worker's own scratch folder, and is gone with the query.
@@ -195,6 +203,73 @@ class Codec:
 
     def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all pieces, one after the other, and the number of each."""
+        if not any(len(p) > LONG and p not in self.ranks for p in pieces):
+            return self._encode_short(pieces)
+        cut = [[p[k : k + SEGMENT] for k in range(0, len(p), SEGMENT)] if len(p) > LONG and p not in self.ranks else [p] for p in pieces]
+        ids, n = self._encode_short([c for parts in cut for c in parts])
+        runs = np.split(ids, np.cumsum(n)[:-1])
+        ends = np.cumsum([len(parts) for parts in cut])
+        joined = self._join_segments([runs[end - len(parts) : end] for parts, end in zip(cut, ends.tolist(), strict=True)])
+        return np.concatenate(joined), np.array([len(j) for j in joined], dtype=np.int64)
+
+    def _join_segments(self, pieces: list[list[np.ndarray]]) -> list[np.ndarray]:
+        """The tokens of each piece from those of its segments.
+
+        Neighbours are joined two by two, in rounds. A sequence of tokens is what the merges give if each two neighbours
+        are what the merges give for their bytes. Where two segments meet and that fails, the tokens around
+        the seam are contracted anew, from twice as many on either side each time, until it holds on both edges.
+        """
+        while any(len(p) > 1 for p in pieces):
+            seams = [[p[k], p[k + 1]] for p in pieces for k in range(0, len(p) - 1, 2)]
+            made = self._join_pairs(seams)
+            at, after = 0, []
+            for p in pieces:
+                n = len(p) // 2
+                after.append(made[at : at + n] + ([p[-1]] if len(p) % 2 else []))
+                at += n
+            pieces = after
+        return [p[0] for p in pieces]
+
+    def _join_pairs(self, pairs: list[list[np.ndarray]]) -> list[np.ndarray]:
+        done: list[np.ndarray | None] = [None] * len(pairs)
+        middle = [np.empty(0, dtype=np.int64)] * len(pairs)
+        width, open_pairs = 0, list(range(len(pairs)))
+        while open_pairs:
+            parts = {}
+            for k in open_pairs:
+                left, right = pairs[k]
+                cut = max(len(left) - width, 0)
+                parts[k] = (left[:cut], middle[k], right[width:])
+            edges = [(k, a, b) for k in open_pairs for a, b in self._edges(*parts[k])]
+            good = self._neighbours([(a, b) for _, a, b in edges])
+            bad = {k for (k, _, _), fine in zip(edges, good, strict=True) if not fine}
+            for k in open_pairs:
+                if k not in bad:
+                    done[k] = np.concatenate(parts[k])
+            open_pairs = [k for k in open_pairs if k in bad]
+            width = max(2, 2 * width)
+            around = [b"".join(map(self.bytes_of.__getitem__, [*pairs[k][0][-width:].tolist(), *pairs[k][1][:width].tolist()])) for k in open_pairs]
+            ids, n = self._encode_short(around)
+            for k, run in zip(open_pairs, np.split(ids, np.cumsum(n)[:-1]) if len(n) else [], strict=True):
+                middle[k] = run
+        return done
+
+    @staticmethod
+    def _edges(left: np.ndarray, middle: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+        runs = [r for r in (left, middle, right) if len(r)]
+        return [(int(a[-1]), int(b[0])) for a, b in zip(runs, runs[1:], strict=False)]
+
+    def _neighbours(self, pairs: list[tuple[int, int]]) -> list[bool]:
+        """Whether the merges give just these two tokens for the bytes of two tokens."""
+        wanted = list(set(pairs))
+        ids, n = self._encode_short([self.bytes_of[a] + self.bytes_of[b] for a, b in wanted])
+        ends = np.cumsum(n)
+        fine = {p: count == 2 and (int(ids[end - 2]), int(ids[end - 1])) == p for p, count, end in zip(wanted, n.tolist(), ends.tolist(), strict=True)}
+        return [fine[p] for p in pairs]
+
+    def _encode_short(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        if not pieces:
+            return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
         whole = np.array([self.ranks.get(p, -1) for p in pieces], dtype=np.int64)
         counts = np.ones(len(pieces), dtype=np.int64)
         length = np.array([len(p) for p in pieces], dtype=np.int64)

@@ -284,6 +284,17 @@ def test_many_places_a_round_give_what_single_rounds_give():
     assert all((a == b).all() for a, b in zip(one, many, strict=True))
 
 
+def test_long_pieces_are_joined_from_segments(reference_encoding):
+    own, draw = bpe.Codec(RANKS, public_tokenizers.PATTERN), np.random.default_rng(6)
+    letters = lambda n, of: bytes(draw.choice(np.frombuffer(of, dtype=np.uint8), n))
+    pieces = [letters(n, of) for of in (b"abcdefghijklmnopqrstuvwxyz", b"ab", b"abc=", bytes(range(256))) for n in (513, 4000)]
+    pieces += [b"a" * 9001, b"=-" * 3000, ("é" * 2000 + "tion" * 900).encode(), letters(100_000, b"abcdefghijklmnopqrstuvwxyzABCDEF"), b"the", b"x" * 512]
+    ids, n = own.encode_pieces(pieces)
+    for piece, found in zip(pieces, np.split(ids, np.cumsum(n)[:-1]), strict=True):
+        assert found.tolist() == reference_encoding._core_bpe.encode_single_piece(piece)
+
+
+
 def test_decoding_gives_texts_back(spark):
     texts = ["one two", "", "é🙂", None]
     docs = docs_of(spark, texts).withColumn("ids", F.lit("clash"))
