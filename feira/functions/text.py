@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 from functools import reduce
 
@@ -15,6 +16,11 @@ PLAIN = "aaaaaaeeeeiiiiooooouuuucnyyAAAAAAEEEEIIIIOOOOOUUUUCNY"
 # Units in names, aliases of units at ingestion, of units in listings, and of units in queries.
 UNITS = "kg|g|mg|l|lt|ml|cl|dl|un|uni|unid|unids|caps|capsulas|cápsulas|saq|saquetas|doses"
 ALIASES = {"lt": "l", "uni": "un", "unid": "un", "unids": "un", "caps": "un", "capsulas": "un", "cápsulas": "un", "saq": "un", "saquetas": "un", "doses": "un"}
+UNIT_NAMES = {
+    **dict.fromkeys(("l", "lt", "ltr", "lts", "litro", "litros"), "l"), "cl": "cl", "dl": "dl", "ml": "ml",
+    "kg": "kg", **dict.fromkeys(("g", "gr", "grs"), "g"),
+    **dict.fromkeys(("un", "uni", "unid", "unids", "caps", "cáps", "cap", "emb", "dose", "doses", "pack"), "un"),
+}
 CANONICAL = {"kg": ("g", 1000), "mg": ("g", 0.001), "l": ("ml", 1000), "cl": ("ml", 10), "dl": ("ml", 100)}
 QUERY_UNITS = {"ml": ("ml", 1), "cl": ("ml", 10), "dl": ("ml", 100), "l": ("ml", 1000), "g": ("g", 1), "gr": ("g", 1), "kg": ("g", 1000), "un": ("un", 1)}
 
@@ -66,9 +72,24 @@ def plain_number(value: Column) -> Column:
     return F.when(F.contains(text, F.lit(".")), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)
 
 
+def _ascii_tables() -> tuple[str, str]:
+    """Characters whose compatibility decomposition has one ASCII character, and those characters."""
+    plain = {chr(c): unicodedata.normalize("NFKD", chr(c)).encode("ascii", "ignore").decode() for c in range(0x80, 0x10000) if not 0xD800 <= c < 0xE000}
+    kept = {c: p for c, p in plain.items() if len(p) == 1}
+    return "".join(kept), "".join(kept.values())
+
+
+_ASCII = _ascii_tables()
+
+
+def ascii_letters(text: Column) -> Column:
+    """Text in ASCII: characters are decomposed, and what is none goes."""
+    return F.regexp_replace(F.translate(text, *_ASCII), r"[^\x00-\x7F]", "")
+
+
 def slug(text: Column) -> Column:
     """Lower-case ASCII words joined by hyphens."""
-    spelled = F.replace(F.replace(fold(clean(text)), F.lit("%"), F.lit(" pct ")), F.lit("&"), F.lit(" "))
+    spelled = F.replace(F.replace(F.lower(ascii_letters(clean(text))), F.lit("%"), F.lit(" pct ")), F.lit("&"), F.lit(" "))
     return F.trim(F.regexp_replace(spelled, "[^a-z0-9]+", "-"), F.lit("-"))
 
 
@@ -83,6 +104,11 @@ def _mapped(value: Column, table: dict[str, str]) -> Column:
     return F.coalesce(F.try_element_at(pairs, value), value)
 
 
+def unit_name(text: Column) -> Column:
+    """A unit of a listing under its usual name, in lower case."""
+    return once(F.lower(clean(text)), lambda u: _mapped(u, UNIT_NAMES))
+
+
 def unit(text: Column) -> Column:
     """A unit under its usual name, in lower case."""
     return _mapped(F.lower(clean(text)), ALIASES)

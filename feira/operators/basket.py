@@ -19,10 +19,14 @@ def price_matrix(current: DataFrame, items: DataFrame, products: DataFrame | Non
 
 def split_basket(current: DataFrame, items: DataFrame, products: DataFrame | None = None) -> DataFrame:
     """Each item's best offer over all chains; items without one have nulls."""
+    return split_of(price_matrix(current, items, products), items)
+
+
+def split_of(matrix: DataFrame, items: DataFrame) -> DataFrame:
+    """Each item's best offer over all chains, from the best ones of each chain; items without one have nulls."""
     row = F.struct((-F.col("semelhanca")).alias("s"), "preco", "nome", "id_produto_loja", "insignia")
-    best = matched_items(current, items, products).groupBy("item").agg(F.min(row).alias("o"))
-    best = best.select("item", "o.nome", "o.preco", "o.id_produto_loja", (-F.col("o.s")).alias("semelhanca"), "o.insignia")
-    return items.join(best, "item", "left")
+    best = matrix.groupBy("item").agg(F.min(row).alias("o"))
+    return items.join(best.select("item", "o.nome", "o.preco", "o.id_produto_loja", (-F.col("o.s")).alias("semelhanca"), "o.insignia"), "item", "left")
 
 
 def missing_items(current: DataFrame, items: DataFrame, products: DataFrame | None = None) -> DataFrame:
@@ -36,9 +40,9 @@ def basket_by_chain(matrix: DataFrame, items: DataFrame) -> DataFrame:
     return per_chain.crossJoin(wanted).withColumn("completa", F.col("encontrados") == F.col("pedidos"))  # one row
 
 
-def basket_decision(matrix: DataFrame, items: DataFrame, split: DataFrame) -> DataFrame:
-    """One row: split cost, best complete chain, strategy and saving."""
-    parts = split.agg(F.round(F.sum("preco"), 8).alias("custo_dividido"), F.count_if(F.col("preco").isNull()).alias("em_falta"))
+def basket_decision(matrix: DataFrame, items: DataFrame, split: DataFrame | None = None) -> DataFrame:
+    """One row: split cost, best complete chain, strategy and saving. The split follows from the matrix."""
+    parts = (split_of(matrix, items) if split is None else split).agg(F.round(F.sum("preco"), 8).alias("custo_dividido"), F.count_if(F.col("preco").isNull()).alias("em_falta"))
     whole = basket_by_chain(matrix, items).filter("completa").agg(F.min(F.struct("total", "insignia")).alias("m"))
     row = parts.crossJoin(whole).select("custo_dividido", "em_falta", F.col("m.insignia").alias("melhor_cadeia"), F.col("m.total").alias("custo_cadeia"))
     strategy = F.when(F.col("custo_cadeia").isNull(), "dividir_parcial").when(F.col("custo_dividido") < F.col("custo_cadeia"), "dividir").otherwise("loja_unica")
@@ -77,8 +81,30 @@ def basket_routes(matrix: DataFrame, items: DataFrame, stores: DataFrame, lat: f
     return whole.orderBy("custo_total", "insignia_a", "insignia_b")
 
 
-def near_me(current: DataFrame, stores: DataFrame, term: str, lat: float, lon: float, per_km: float, radius_km: float = 30.0, top: int = 5) -> DataFrame:
-    """The best offer of each chain in reach, by price and travel."""
-    offers = best_store(current, term, 10).groupBy("insignia").agg(F.min(F.struct("preco", "nome", "id_produto_loja")).alias("o"))
-    met = offers.select("insignia", "o.*").join(nearest_per_chain(stores, lat, lon, radius_km), "insignia")
+def route_decision(chains: DataFrame, routes: DataFrame) -> DataFrame:
+    """One row: the best single chain of ``basket_geo``, the best pair of ``basket_routes``, which to take and what the pair saves.
+
+    A pair is recommended if it costs less than the best single chain; without either it is not.
+    """
+    single = chains.agg(F.min(F.struct(F.col("custo_total").alias("custo"), "insignia")).alias("s"))
+    pair = routes.agg(F.min(F.struct(F.col("custo_total").alias("custo"), "insignia_a", "insignia_b")).alias("p"))
+    row = single.crossJoin(pair)  # one row each
+    better = F.coalesce(F.col("p.custo") < F.col("s.custo"), F.lit(False))
+    return row.select(
+        F.col("s.insignia").alias("melhor_cadeia"),
+        F.col("s.custo").alias("custo_cadeia"),
+        F.col("p.insignia_a").alias("insignia_a"),
+        F.col("p.insignia_b").alias("insignia_b"),
+        F.col("p.custo").alias("custo_par"),
+        F.when(better, "par").otherwise("single").alias("recomendacao"),
+        F.when(better, F.col("s.custo") - F.col("p.custo")).otherwise(0.0).alias("poupanca_par"),
+    )
+
+
+def near_me(current: DataFrame, stores: DataFrame, term: str, lat: float, lon: float, per_km: float, radius_km: float = 30.0, top: int = 5, by_unit: bool = False) -> DataFrame:
+    """The best offer of each chain in reach, by price (or by unit price, see ``best_store``) and travel."""
+    ranked = best_store(current, term, 10, by_unit)
+    order = [F.coalesce("preco_unitario_valor", F.lit(float("inf"))).alias("_u")] if by_unit else []
+    offers = ranked.groupBy("insignia").agg(F.min(F.struct(*order, "preco", "nome", "id_produto_loja")).alias("o"))
+    met = offers.select("insignia", "o.preco", "o.nome", "o.id_produto_loja").join(nearest_per_chain(stores, lat, lon, radius_km), "insignia")
     return met.withColumn("custo_total", F.col("preco") + travel_cost(F.col("distancia_km"), per_km)).orderBy("custo_total", "insignia").limit(top)

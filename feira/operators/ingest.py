@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from feira.functions.text import clean, decimal, fold, product_key, quantity, slug, title
+from feira.functions.text import clean, decimal, product_key, quantity, slug, title
 
 #: Fields of a raw record, all text; empty means missing.
 RAW_FIELDS = ("id_externo", "nome", "marca", "categoria", "preco", "preco_original", "preco_unitario", "url", "imagem", "loja", "data_recolha", "ean")
@@ -43,8 +43,10 @@ def deduplicate(records: DataFrame) -> DataFrame:
 
 def first_per_id(records: DataFrame, name: str = "id_externo") -> DataFrame:
     """The first record of each id; records without one stay."""
-    place = F.row_number().over(Window.partitionBy(name).orderBy("ordinal"))
-    return records.withColumn("_lugar", place).filter((F.col("_lugar") == 1) | (F.coalesce(F.col(name), F.lit("")) == "")).drop("_lugar")
+    missing = F.coalesce(F.col(name), F.lit("")) == ""
+    named = records.filter(~missing).withColumn("_lugar", F.row_number().over(Window.partitionBy(name).orderBy("ordinal"))).filter("_lugar = 1").drop("_lugar")
+    # Records without an id are set aside first, as they would all meet in one window partition.
+    return named.unionByName(records.filter(missing))
 
 
 def observed_at(text: Column, zone: str = "Europe/Lisbon") -> Column:
@@ -159,7 +161,3 @@ def upsert_stores(old: DataFrame, new: DataFrame, keep: tuple[str, ...] = ("tele
     met = o.join(n, (F.col("o.insignia") == F.col("n.insignia")) & (F.col("o.external_id") == F.col("n.external_id")), "full_outer")
     value = lambda c: F.coalesce(f"n.{c}", f"o.{c}") if c in (*keep, *key) else F.when(F.col("n._new"), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}"))
     return met.select(*(value(c).alias(c) for c in old.columns))
-
-
-def contains_folded(column: Column, word: str) -> Column:
-    return F.contains(fold(column), fold(F.lit(word)))

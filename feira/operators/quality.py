@@ -101,9 +101,32 @@ def price_quartiles(rows: DataFrame, by: str = "insignia") -> DataFrame:
     return found.groupBy(by).agg(F.min("minimo").alias("minimo"), *(quartile(n) for n, _ in QUARTILES), F.max("maximo").alias("maximo"))
 
 
-def price_histogram(rows: DataFrame, low: float, high: float, bins: int = 40) -> DataFrame:
-    """Rows per bin of equal width between ``low`` and ``high``; what lies outside is in bins 0 and ``bins + 1``."""
-    return rows.groupBy(F.width_bucket("preco", F.lit(low), F.lit(high), F.lit(bins)).alias("classe")).agg(F.count(F.lit(1)).alias("n"))
+def price_histogram(rows: DataFrame, low: float, high: float, bins: int = 40, log: bool = False) -> DataFrame:
+    """Rows per bin of equal width (of the logarithm, if ``log``) between ``low`` and ``high``; what lies outside is in bins 0 and ``bins + 1``.
+
+    By logarithm prices of 0 and less have no bin.
+    """
+    rows = rows.filter("preco > 0") if log else rows
+    scale = F.log10 if log else (lambda x: x)
+    return rows.groupBy(F.width_bucket(scale(F.col("preco")), scale(F.lit(low)), scale(F.lit(high)), F.lit(bins)).alias("classe")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def global_report(chains: DataFrame, products: DataFrame, history: DataFrame, current: DataFrame, stores: DataFrame) -> DataFrame:
+    """The ten metrics of the report, as text in their order; days as ``yyyy-mm-dd``."""
+    day = F.to_date("data_recolha")
+    parts = (
+        chains.agg(F.count(F.lit(1)).alias("lojas")),
+        stores.agg(F.count_if("ativa").alias("lojas_fisicas")),
+        products.agg(F.count(F.lit(1)).alias("produtos_mestre")),
+        history.agg(F.count_distinct("id_produto_loja").alias("produtos_loja"), F.count(F.lit(1)).alias("historico_precos"), F.count_distinct(day).alias("dias_distintos"), F.min(day).alias("primeiro_dia"), F.max(day).alias("ultimo_dia")),
+        current.agg(F.count(F.lit(1)).alias("precos_atuais"), F.count_if("em_promocao").alias("em_promocao")),
+    )
+    order = ("lojas", "lojas_fisicas", "produtos_mestre", "produtos_loja", "precos_atuais", "historico_precos", "em_promocao", "dias_distintos", "primeiro_dia", "ultimo_dia")
+    row = parts[0]
+    for part in parts[1:]:
+        row = row.crossJoin(part)  # one row each
+    named = F.array(*(F.struct(F.lit(i).alias("ordem"), F.lit(c).alias("metrica"), F.col(c).cast("string").alias("valor")) for i, c in enumerate(order, 1)))
+    return row.select(F.explode(named).alias("m")).select("m.*")
 
 
 def repeated_names(products: DataFrame, top: int = 50) -> DataFrame:

@@ -51,19 +51,26 @@ def search(products: DataFrame, current: DataFrame, term: str, limit: int = 20)
     if not term.strip():
         raise ValueError("the search term is empty")
 
-    def found(any_word: bool) -> DataFrame:
-        kept = products.filter(matches(term, F.col("nome"), F.col("quantidade_valor"), F.col("quantidade_unidade"), any_word))
-        priced = kept.join(current.select("id_produto_mestre", "insignia", "preco"), "id_produto_mestre", "left")
-        rolled = priced.groupBy("nome").agg(F.max("marca").alias("marca"), F.countDistinct("insignia").alias("num_lojas"), F.min("preco").alias("preco_minimo"), F.max("preco").alias("preco_maximo"))
-        near = rolled.withColumn("semelhanca", similarity(F.col("nome"), F.lit(term)))
-        near = near.filter(F.col("semelhanca") > MIN_SIMILARITY) if any_word else near
-        return near.orderBy(F.desc("semelhanca"), "nome").limit(3 * limit)
-
-    best = found(False)
-    best = found(True) if best.isEmpty() else best
+    holds = lambda any_word: matches(term, F.col("nome"), F.col("quantidade_valor"), F.col("quantidade_unidade"), any_word)
+    kept = products.filter(holds(True) | holds(False)).withColumns({"_todas": holds(False), "_alguma": holds(True)})
+    priced = kept.join(current.select("id_produto_mestre", "insignia", "preco"), "id_produto_mestre", "left")
+    of = lambda test, c: F.when(F.col(test), F.col(c))
+    fields = lambda test: F.struct(F.max(of(test, "marca")).alias("marca"), F.countDistinct(of(test, "insignia")).alias("num_lojas"), F.min(of(test, "preco")).alias("preco_minimo"), F.max(of(test, "preco")).alias("preco_maximo"))
+    rolled = priced.groupBy("nome").agg(F.max("_todas").alias("todas"), fields("_todas").alias("_a"), fields("_alguma").alias("_o"))
+    near = rolled.withColumn("semelhanca", similarity(F.col("nome"), F.lit(term))).filter(F.col("todas") | (F.col("semelhanca") > MIN_SIMILARITY))
+    # Names with all words come first, so whether there are any shows among the first rows.
+    first = near.orderBy(F.desc("todas"), F.desc("semelhanca"), "nome").limit(3 * limit)
+    best = first.withColumn("_ha", F.max("todas").over(Window.partitionBy())).filter(F.col("todas") == F.col("_ha"))
+    best = best.withColumn("_r", F.when(F.col("todas"), F.col("_a")).otherwise(F.col("_o"))).select("nome", "_r.*", "semelhanca")
     return best.filter(not_noise(term, F.col("nome"))).orderBy(F.desc("semelhanca"), "nome").limit(limit)
 
 
+def candidates(current: DataFrame, term: str, top: int = 10) -> DataFrame:
+    """Offers to choose from by a term, cheapest first: ``id``, ``nome``, ``loja``, ``preco`` and a label of all."""
+    rows = best_store(current, term, top).filter("id_produto_loja IS NOT NULL").select(F.col("id_produto_loja").alias("id"), "nome", F.coalesce("insignia", F.lit("")).alias("loja"), "preco")
+    return rows.withColumn("etiqueta", F.format_string("%s (%s) — %.2f€", "nome", "loja", "preco"))
+
+
 def best_store(current: DataFrame, term: str, top: int = 5, by_unit: bool = False) -> DataFrame:
     """The cheapest offer of each name and chain, cheapest first, with the saving against the dearest of those returned.
 
@@ -95,10 +102,11 @@ def containing(names: DataFrame, wanted: DataFrame, name: Column, words: Column)
     def parts(text: Column, n: int) -> Column:
         return F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(text) - (n - 1), F.lit(1))), lambda i: F.substring(text, i, n))
 
-    held = names.withColumn("gram", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), *(parts(name, n) for n in (1, 2, 3))))))
     grams = F.array_distinct(F.flatten(F.transform(words, lambda w: F.when(F.char_length(w) < 3, F.array(w)).otherwise(parts(w, 3)))))
     asked = wanted.withColumn("asked_words", words).filter("asked_words IS NOT NULL")
     each = asked.select("asked_words", F.explode(F.when(F.size(grams) > 0, grams).otherwise(F.array(F.lit("")))).alias("gram")).distinct()
+    # Only grams that are asked for are kept; the names' others go before they are counted and joined.
+    held = names.withColumn("gram", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), *(parts(name, n) for n in (1, 2, 3)))))).join(each.select("gram").distinct(), "gram", "left_semi")
     # A gram that no name holds rules all names out; an inner join would leave the others.
     counted = each.join(held.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "gram", "left")
     rarest = counted.groupBy("asked_words").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("least")).filter("least.n > 0")

@@ -167,6 +167,19 @@ def price_histogram(spark, sf_dir):
     return quality.price_histogram(views.facts(spark, sf_dir), 0.0, 4000.0)
 
 
+@query("SELECT CASE WHEN preco < 1 THEN 0 WHEN preco >= 10000 THEN 21 ELSE CAST(floor(log10(preco) * 20 / 4.0::DOUBLE) AS BIGINT) + 1 END AS classe, count(*) AS n FROM factos WHERE preco > 0 GROUP BY classe")
+def price_histogram_log(spark, sf_dir):
+    return quality.price_histogram(views.facts(spark, sf_dir), 1.0, 10_000.0, 20, log=True)
+
+
+@query("""SELECT unnest(range(1, 11))::INT AS ordem, unnest(['lojas', 'lojas_fisicas', 'produtos_mestre', 'produtos_loja', 'precos_atuais', 'historico_precos', 'em_promocao', 'dias_distintos', 'primeiro_dia', 'ultimo_dia']) AS metrica,
+unnest([(SELECT count(*) FROM region)::VARCHAR, (SELECT count(*) FROM lojas_fisicas WHERE ativa)::VARCHAR, (SELECT count(*) FROM produtos)::VARCHAR, (SELECT count(DISTINCT id_produto_loja) FROM factos)::VARCHAR, (SELECT count(*) FROM atuais)::VARCHAR, (SELECT count(*) FROM factos)::VARCHAR,
+    (SELECT count(*) FROM atuais WHERE em_promocao)::VARCHAR, (SELECT count(DISTINCT data_recolha::DATE) FROM factos)::VARCHAR, (SELECT min(data_recolha::DATE) FROM factos)::VARCHAR, (SELECT max(data_recolha::DATE) FROM factos)::VARCHAR]) AS valor""")
+def global_report(spark, sf_dir):
+    facts = views.facts(spark, sf_dir)
+    return quality.global_report(views.chains(spark, sf_dir), views.products(spark, sf_dir), facts, views.latest(facts), views.outlets(spark, sf_dir))
+
+
 @query("SELECT nome, count(*) AS n FROM produtos GROUP BY nome HAVING count(*) > 1 ORDER BY n DESC, nome LIMIT 50")
 def repeated_names(spark, sf_dir):
     return quality.repeated_names(views.products(spark, sf_dir))
@@ -368,8 +381,7 @@ def basket_missing_items(spark, sf_dir):
 greatest(custo_cadeia - custo_dividido, 0.0::DOUBLE) AS poupanca FROM (SELECT round(sum(preco), 8) AS custo_dividido, count(*) FILTER (WHERE preco IS NULL) AS em_falta FROM itens LEFT JOIN por_item USING (item))
 LEFT JOIN (SELECT insignia AS melhor_cadeia, total AS custo_cadeia FROM por_cadeia WHERE completa ORDER BY total, insignia LIMIT 1) ON TRUE""")
 def basket_decision(spark, sf_dir):
-    now, known = _list_offers(spark, sf_dir, _items(spark))
-    return basket.basket_decision(basket.price_matrix(now, _items(spark), known), _items(spark), basket.split_basket(now, _items(spark), known))
+    return basket.basket_decision(price_matrix(spark, sf_dir), _items(spark))
 
 
 @query(LIST_SQL + REACH_SQL + f"SELECT insignia, total, round(distancia_km, 8) AS distancia_km, round(total + distancia_km * {PER_KM} * 2, 6) AS custo_total FROM por_cadeia JOIN perto USING (insignia) WHERE completa")
@@ -393,6 +405,34 @@ def near_me(spark, sf_dir):
     return found.select("insignia", "nome", "preco", F.round("distancia_km", 8).alias("distancia_km"), F.round("custo_total", 6).alias("custo_total"))
 
 
+@query(LIST_SQL + REACH_SQL + f""", so AS (SELECT insignia, total + distancia_km * {PER_KM} * 2 AS custo FROM por_cadeia JOIN perto USING (insignia) WHERE completa),
+pares AS (SELECT a.insignia AS insignia_a, b.insignia AS insignia_b, a.distancia_km + b.distancia_km + {_sql_km('a.latitude', 'a.longitude', 'b.latitude', 'b.longitude')} AS rota FROM perto a JOIN perto b ON a.insignia < b.insignia),
+x AS (SELECT insignia_a, insignia_b, rota, a.preco AS pa, b.preco AS pb, coalesce(a.preco <= b.preco, a.preco IS NOT NULL) AS de_a FROM pares CROSS JOIN itens LEFT JOIN matriz a ON a.item = itens.item AND a.insignia = insignia_a LEFT JOIN matriz b ON b.item = itens.item AND b.insignia = insignia_b),
+dois AS (SELECT insignia_a, insignia_b, round(sum(CASE WHEN de_a THEN pa ELSE pb END), 8) + rota * {PER_KM} AS custo FROM x GROUP BY insignia_a, insignia_b, rota HAVING count(*) FILTER (WHERE pa IS NULL AND pb IS NULL) = 0 AND count(*) FILTER (WHERE de_a) > 0 AND count(*) FILTER (WHERE NOT de_a AND pb IS NOT NULL) > 0),
+m AS (SELECT (SELECT min(custo) FROM so) AS s, (SELECT min(custo) FROM dois) AS p)
+SELECT (SELECT arg_min(insignia, (custo, insignia)) FROM so) AS melhor_cadeia, round(s, 6) AS custo_cadeia, (SELECT arg_min(insignia_a, (custo, insignia_a, insignia_b)) FROM dois) AS insignia_a, (SELECT arg_min(insignia_b, (custo, insignia_a, insignia_b)) FROM dois) AS insignia_b,
+round(p, 6) AS custo_par, CASE WHEN p < s THEN 'par' ELSE 'single' END AS recomendacao, round(CASE WHEN p < s THEN s - p ELSE 0 END, 6) AS poupanca_par FROM m""")
+def route_decision(spark, sf_dir):
+    matrix, stores = price_matrix(spark, sf_dir), views.outlets(spark, sf_dir)
+    found = basket.route_decision(basket.basket_geo(matrix, _items(spark), stores, LAT, LON, PER_KM, RADIUS), basket.basket_routes(matrix, _items(spark), stores, LAT, LON, PER_KM, RADIUS))
+    return found.withColumns({c: F.round(c, 6) for c in ("custo_cadeia", "custo_par", "poupanca_par")})
+
+
+@query(BEST_SQL.replace(":top", "10") + "SELECT id_produto_loja AS id, nome, insignia AS loja, preco, printf('%s (%s) — %.2f€', nome, insignia, preco) AS etiqueta FROM melhores")
+def candidates(spark, sf_dir):
+    return search.candidates(_offers_for(spark, sf_dir, "red widget"), "red widget")
+
+
+@query(f""", o AS (SELECT *, preco / (quantidade_valor / 1000.0::DOUBLE) AS u, row_number() OVER (PARTITION BY nome, insignia ORDER BY preco, id_produto_loja) AS k
+    FROM (SELECT *, {NEAR_SQL} AS semelhanca FROM atuais_nomes WHERE contains(nome, 'red') AND contains(nome, 'widget')) WHERE semelhanca > 0.2),
+m AS (SELECT * EXCLUDE (k) FROM o WHERE k = 1 ORDER BY u, preco, nome, insignia LIMIT 10)
+""" + REACH_SQL + f", c AS (SELECT *, row_number() OVER (PARTITION BY insignia ORDER BY u, preco, nome, id_produto_loja) AS k FROM m) SELECT c.insignia, nome, preco, round(distancia_km, 8) AS distancia_km, round(preco + distancia_km * {PER_KM} * 2, 6) AS custo_total FROM c JOIN perto USING (insignia) WHERE k = 1")
+def near_me_by_unit(spark, sf_dir):
+    offers = _offers_for(spark, sf_dir, "red widget").withColumns({"preco_unitario_valor": F.col("preco") / (F.col("quantidade_valor") / 1000), "preco_unitario_unidade": F.lit("kg")})
+    found = basket.near_me(offers, views.outlets(spark, sf_dir), "red widget", LAT, LON, PER_KM, RADIUS, by_unit=True)
+    return found.select("insignia", "nome", "preco", F.round("distancia_km", 8).alias("distancia_km"), F.round("custo_total", 6).alias("custo_total"))
+
+
 # Places
 
 KM_SQL = _sql_km(f"{LAT}::DOUBLE", f"{LON}::DOUBLE", "latitude", "longitude")
@@ -788,12 +828,35 @@ def backtest_by_date_summary(spark, sf_dir):
     return backtest.summary(days, backtest.loyalty(matched, days))
 
 
+@query(BY_DATE_SQL + f""", o AS (SELECT lista, dia, item, list(preco ORDER BY insignia) AS p FROM c GROUP BY ALL), s AS (SELECT *, unnest(range(1, 101)) AS sorteio FROM o)
+SELECT lista, {_day('dia')} AS dia, sorteio::INT AS sorteio, round(sum(p[1 + CAST('0x' || substr(md5('42:' || sorteio || ':' || lista || ':' || CAST(dia AS VARCHAR) || ':' || item), 1, 8) AS BIGINT) % len(p)]), 8) AS custo FROM s GROUP BY lista, dia, sorteio""")
 def backtest_random_sample(spark, sf_dir):
-    """Rows only: 100 seeded random choices per list and date."""
-    return _flat(backtest.random_draws(_backtest_by_date(spark, sf_dir)[0]))
+    return backtest.random_draws(_backtest_by_date(spark, sf_dir)[0]).withColumn("custo", F.round("custo", 8))
+
+
+SAVED_SQL = BY_DATE_SQL + """, r AS (SELECT lista, insignia, count(*) AS n, round(avg(custo), 6) AS fidelidade, round(avg(custo_minimo), 6) AS mesmos, any_value(t) AS t FROM fiel JOIN (SELECT lista, count(*) AS t FROM dias GROUP BY lista) USING (lista) GROUP BY lista, insignia HAVING count(*) >= 0.5 * any_value(t)),
+b AS (SELECT lista, min(fidelidade) AS fidelidade, arg_min(insignia, (fidelidade, insignia)) AS melhor_cadeia, arg_min(mesmos, (fidelidade, insignia)) AS mesmos FROM r GROUP BY lista),
+m AS (SELECT lista, count(*) AS n_dias, avg(custo_minimo) AS recomendado, avg(custo_esperado) AS aleatorio FROM dias GROUP BY lista),
+poupancas AS (SELECT lista, n_dias, recomendado, aleatorio, fidelidade, melhor_cadeia, aleatorio - recomendado AS poupanca_aleatorio_eur, (aleatorio - recomendado) / aleatorio * 100 AS poupanca_aleatorio_pct,
+    coalesce(fidelidade - mesmos, 0) AS poupanca_fidelidade_eur, coalesce((fidelidade - mesmos) / fidelidade * 100, 0) AS poupanca_fidelidade_pct FROM m LEFT JOIN b USING (lista))
+"""
+
+
+def _saved(spark, sf_dir):
+    matched, days = _backtest_by_date(spark, sf_dir)
+    return backtest.savings(days, backtest.summary(days, backtest.loyalty(matched, days)))
+
+
+@query(SAVED_SQL + "SELECT lista, n_dias, melhor_cadeia, round(recomendado, 6) AS recomendado, round(aleatorio, 6) AS aleatorio, round(fidelidade, 6) AS fidelidade, round(poupanca_aleatorio_eur, 6) AS poupanca_aleatorio_eur, round(poupanca_aleatorio_pct, 6) AS poupanca_aleatorio_pct, round(poupanca_fidelidade_eur, 6) AS poupanca_fidelidade_eur, round(poupanca_fidelidade_pct, 6) AS poupanca_fidelidade_pct FROM poupancas")
+def backtest_savings(spark, sf_dir):
+    saved = _saved(spark, sf_dir)
+    return saved.withColumns({c: F.round(c, 6) for c, kind in saved.dtypes if kind == "double"})
 
 
-QUERIES["backtest_random_sample"] = backtest_random_sample
+@query(SAVED_SQL + "SELECT count(*) AS n_listas, round(avg(poupanca_aleatorio_eur), 6) AS poupanca_aleatorio_eur, round(avg(poupanca_aleatorio_pct), 6) AS poupanca_aleatorio_pct, round(coalesce(avg(poupanca_fidelidade_pct) FILTER (WHERE melhor_cadeia IS NOT NULL), 0), 6) AS poupanca_fidelidade_pct FROM poupancas")
+def backtest_overall(spark, sf_dir):
+    found = backtest.overall(_saved(spark, sf_dir))
+    return found.withColumns({c: F.round(c, 6) for c, kind in found.dtypes if kind == "double"})
 
 
 @query(""", w AS (SELECT *, unnest([0, 6, 12, 18]) AS recuo FROM (SELECT event_id, user_id, ts, value, CAST(floor(epoch(ts) / 21600) AS BIGINT) AS b FROM events)),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feira.functions.display import address
-from feira.functions.text import category_path, clean, once, unit
+from feira.functions.text import category_path, clean, once, unit_name
 from feira.operators.ingest import RAW_FIELDS, in_portugal, plausible_price
 from feira.sources.records import sitemap_urls
 
@@ -95,7 +95,7 @@ def unit_price_text(text: Column) -> Column:
     """``22.05€/kg`` for a unit price anywhere in a text; empty if there is none."""
 
     def made(found: Column) -> Column:
-        return F.when(found[0] == "", "").otherwise(F.concat(price_text(found[0]), F.lit("€/"), unit(found[1])))
+        return F.when(found[0] == "", "").otherwise(F.concat(price_text(found[0]), F.lit("€/"), unit_name(found[1])))
 
     part = lambda i: lambda said: F.regexp_extract(said, r"(?i)(\d+(?:[.,]\d+)?)\s*€\s*/\s*([A-Za-z]+)", i)
     return once(clean(text), lambda said: once(F.array(part(1)(said), part(2)(said)), made))
