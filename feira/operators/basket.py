@@ -66,9 +66,10 @@ def basket_routes(matrix: DataFrame, items: DataFrame, stores: DataFrame, lat: f
     end = lambda s: near.select(*(F.col(c).alias(f"{c}_{s}") for c in ("insignia", "latitude", "longitude", "distancia_km")))
     pairs = end("a").join(end("b"), F.col("insignia_a") < F.col("insignia_b"))
     pairs = pairs.withColumn("rota_km", F.col("distancia_km_a") + F.col("distancia_km_b") + haversine(F.col("latitude_a"), F.col("longitude_a"), F.col("latitude_b"), F.col("longitude_b")))
-    priced = lambda s: matrix.select("item", F.col("insignia").alias(f"insignia_{s}"), F.col("preco").alias(f"preco_{s}"))
-    asked = pairs.select("insignia_a", "insignia_b", "rota_km").crossJoin(items)
-    met = asked.join(priced("a"), ["item", "insignia_a"], "left").join(priced("b"), ["item", "insignia_b"], "left")
+    # An item's prices are a map by chain, so the matrix is made once for both ends.
+    priced = items.join(matrix.groupBy("item").agg(F.map_from_entries(F.collect_list(F.struct("insignia", "preco"))).alias("_precos")), "item", "left")
+    asked = priced.crossJoin(pairs.select("insignia_a", "insignia_b", "rota_km"))
+    met = asked.withColumns({f"preco_{s}": F.try_element_at("_precos", F.col(f"insignia_{s}")) for s in "ab"})
     from_a = F.coalesce(F.col("preco_a") <= F.col("preco_b"), F.col("preco_a").isNotNull())
     met = met.withColumns({"de_a": from_a, "preco": F.when(from_a, F.col("preco_a")).otherwise(F.col("preco_b"))})
     rolled = met.groupBy("insignia_a", "insignia_b", "rota_km").agg(

@@ -13,6 +13,8 @@ from feira.functions.text import QUERY_UNITS, STOP_WORDS, fold, significant_toke
 
 MIN_SIMILARITY = 0.20
 MAX_RATIO = 4.0
+#: Rows of a list up to which it is sent to every name.
+SHORT_LIST = 256
 _QUANTITY = re.compile(rf"(\d+(?:[.,]\d+)?)({'|'.join(QUERY_UNITS)})", re.IGNORECASE)
 
 
@@ -96,14 +98,18 @@ def best_store(current: DataFrame, term: str, top: int = 5, by_unit: bool = Fals
 def containing(names: DataFrame, wanted: DataFrame, name: Column, words: Column) -> DataFrame:
     """Rows of ``names`` beside rows of ``wanted`` all of whose ``words`` stand in ``name``, for tables of any size.
 
-    They meet on those three letters of the words (or on the word, if shorter) that fewest names hold; without words all names match.
+    A list of at most ``SHORT_LIST`` rows, which is counted, is held against every name where the name is. Longer ones meet names on those three
+    letters of the words (or on the word, if shorter) that fewest names hold. Without words all names match.
     """
+    asked = wanted.withColumn("asked_words", words).filter("asked_words IS NOT NULL")
+    holds = F.forall("asked_words", lambda w: F.contains(name, w))
+    if wanted.limit(SHORT_LIST + 1).count() <= SHORT_LIST:
+        return names.join(F.broadcast(asked), holds).drop("asked_words")
 
     def parts(text: Column, n: int) -> Column:
         return F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(text) - (n - 1), F.lit(1))), lambda i: F.substring(text, i, n))
 
     grams = F.array_distinct(F.flatten(F.transform(words, lambda w: F.when(F.char_length(w) < 3, F.array(w)).otherwise(parts(w, 3)))))
-    asked = wanted.withColumn("asked_words", words).filter("asked_words IS NOT NULL")
     each = asked.select("asked_words", F.explode(F.when(F.size(grams) > 0, grams).otherwise(F.array(F.lit("")))).alias("gram")).distinct()
     # Only grams that are asked for are kept; the names' others go before they are counted and joined.
     held = names.withColumn("gram", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), *(parts(name, n) for n in (1, 2, 3)))))).join(each.select("gram").distinct(), "gram", "left_semi")
@@ -111,7 +117,7 @@ def containing(names: DataFrame, wanted: DataFrame, name: Column, words: Column)
     counted = each.join(held.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "gram", "left")
     rarest = counted.groupBy("asked_words").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("least")).filter("least.n > 0")
     keyed = asked.join(rarest.select("asked_words", F.col("least.gram").alias("gram")), "asked_words")
-    return held.join(keyed, "gram").filter(F.forall("asked_words", lambda w: F.contains(name, w))).drop("gram", "asked_words")
+    return held.join(keyed, "gram").filter(holds).drop("gram", "asked_words")
 
 
 def item_words(item: Column) -> Column:

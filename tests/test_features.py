@@ -84,6 +84,15 @@ def test_split_and_candidates(spark):
     assert {r["nome"] for r in either} <= {"leite meio gordo", "pao leite"} and either
 
 
+def test_lists_of_any_length_find_the_same(spark, monkeypatch):
+    names = spark.createDataFrame([(n,) for n in ("leite meio gordo", "pao de leite", "agua", "a b c", "", "queijo da ilha")], "nome string")
+    wanted = spark.createDataFrame([("leite",), ("pao leite",), ("gua",), ("b a",), ("zz",), ("",), ("ilha da",), (None,)], "item string")
+    found = lambda: sorted((r["item"], r["nome"]) for r in search.containing(names, wanted, F.col("nome"), search.item_words(F.col("item"))).collect())
+    short = found()
+    monkeypatch.setattr(search, "SHORT_LIST", 2)
+    assert found() == short and ("pao leite", "pao de leite") in short and len([n for i, n in short if i == ""]) == 6
+
+
 def test_decisions_without_choices(spark):
     none = spark.createDataFrame([], "insignia string, custo_total double")
     pairs = spark.createDataFrame([("A", "B", 3.0)], "insignia_a string, insignia_b string, custo_total double")
