@@ -17,6 +17,9 @@ HEADLINE = (
     "snapshot_upsert history_append batch_dedup forecast_metrics win_rate backtest_summary sliding_window_monitor"
 ).split()
 
+#: Timed beside, and not part of the total, which is of the same queries in every round.
+OTHERS = "page_records page_outline panel_refresh linear_model recursive_forecast monte_carlo_forecast permutation_importance model_comparison".split()
+
 
 def main() -> None:
     sf_dir, cpus = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8")
@@ -31,12 +34,14 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("OFF")
     QUERIES["coverage_by_chain"](spark, sf_dir).collect()  # starts the session
-    took = {}
-    for name in HEADLINE:
+
+    def seconds(name: str) -> float:
         began = time.time()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        took[name] = round(time.time() - began, 3)
-    print(json.dumps({"metric": "total_seconds", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")}))
+        return round(time.time() - began, 3)
+
+    took, others = ({name: seconds(name) for name in names} for names in (HEADLINE, OTHERS))
+    print(json.dumps({"metric": "total_seconds", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "others": others, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")}))
     spark.stop()
 
 

@@ -54,17 +54,14 @@ def search(products: DataFrame, current: DataFrame, term: str, limit: int = 20)
         raise ValueError("the search term is empty")
 
     holds = lambda any_word: matches(term, F.col("nome"), F.col("quantidade_valor"), F.col("quantidade_unidade"), any_word)
-    kept = products.filter(holds(True) | holds(False)).withColumns({"_todas": holds(False), "_alguma": holds(True)})
-    priced = kept.join(current.select("id_produto_mestre", "insignia", "preco"), "id_produto_mestre", "left")
-    of = lambda test, c: F.when(F.col(test), F.col(c))
-    fields = lambda test: F.struct(F.max(of(test, "marca")).alias("marca"), F.countDistinct(of(test, "insignia")).alias("num_lojas"), F.min(of(test, "preco")).alias("preco_minimo"), F.max(of(test, "preco")).alias("preco_maximo"))
-    rolled = priced.groupBy("nome").agg(F.max("_todas").alias("todas"), fields("_todas").alias("_a"), fields("_alguma").alias("_o"))
-    near = rolled.withColumn("semelhanca", similarity(F.col("nome"), F.lit(term))).filter(F.col("todas") | (F.col("semelhanca") > MIN_SIMILARITY))
-    # Names with all words come first, so whether there are any shows among the first rows.
-    first = near.orderBy(F.desc("todas"), F.desc("semelhanca"), "nome").limit(3 * limit)
-    best = first.withColumn("_ha", F.max("todas").over(Window.partitionBy())).filter(F.col("todas") == F.col("_ha"))
-    best = best.withColumn("_r", F.when(F.col("todas"), F.col("_a")).otherwise(F.col("_o"))).select("nome", "_r.*", "semelhanca")
-    return best.filter(not_noise(term, F.col("nome"))).orderBy(F.desc("semelhanca"), "nome").limit(limit)
+    # Whether any product has all words shows in the products alone, before prices are met.
+    any_word = products.filter(holds(False)).isEmpty()
+    priced = products.filter(holds(any_word)).join(current.select("id_produto_mestre", "insignia", "preco"), "id_produto_mestre", "left")
+    rolled = priced.groupBy("nome").agg(F.max("marca").alias("marca"), F.countDistinct("insignia").alias("num_lojas"), F.min("preco").alias("preco_minimo"), F.max("preco").alias("preco_maximo"))
+    near = rolled.withColumn("semelhanca", similarity(F.col("nome"), F.lit(term)))
+    near = near.filter(F.col("semelhanca") > MIN_SIMILARITY) if any_word else near
+    first = near.orderBy(F.desc("semelhanca"), "nome").limit(3 * limit)
+    return first.filter(not_noise(term, F.col("nome"))).orderBy(F.desc("semelhanca"), "nome").limit(limit)
 
 
 def candidates(current: DataFrame, term: str, top: int = 10) -> DataFrame:
