@@ -4,15 +4,18 @@
    smallest ids, as no query can return more of them. The ids are cut to that number in
    the map tasks already, so one very common vector is no hot group.
 2. Coarse centroids and codebooks are fitted on at most ``SAMPLE`` classes (the least hashes
-   of their ids). On the same sample the number of lists to probe is chosen: the fewest
-   that hold ``PROBED_SHARE`` of the true neighbours, and likewise the rerank depth.
+   of their ids). Beyond ``MOST_LISTS`` times ``ROWS_OF_LIST`` vectors each coarse list is divided by the
+   nearest of some centres of residuals, the same for all lists, so that lists stay short as the table grows.
 3. Every class is indexed: its list, and one byte per ``SUBSPACE`` components of the
    residual. Lists are dealt to cells of about ``CELL`` vectors; longer lists are split by
    id hash, short ones share a cell.
-4. A query goes once to each cell that holds a list it probes. A task holds one cell and
-   streams its queries in blocks: asymmetric distance tables score all vectors of the
-   probed lists, and the best by table are reranked by exact products of the original vectors.
-5. Per query the best classes of all cells are merged and expanded to ids.
+4. The true neighbours of ``TRIALS`` vectors of the sample among all rows tell how far to probe: the fewest lists that
+   hold ``PROBED_SHARE`` of them, told for groups of ``ALIKE`` trials by how near the centres of the first lists that hold
+   ``top + 1`` rows are. A query far from all others so probes as many lists as vectors like it need, one inside a cluster few.
+5. A query goes once to each cell that holds a list it probes. A task holds one cell and at most about
+   ``QUERIES`` of its queries (cells with more are repeated), streamed in blocks: asymmetric distance tables score
+   the vectors of the probed lists, and the best by table are reranked by exact products of the original vectors.
+6. Per query the best classes of all cells are merged and expanded to ids.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take
 no part, nor do those of another length than the most frequent one, and rows with a null
@@ -31,56 +34,99 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feira.llm._store import materialise, shuffle_partitions
+from feira.llm._text import mix64
 
 #: Classes that centroids and codebooks are fitted on, at most.
 SAMPLE = 16_384
 #: Sample rows that the number of probed lists and the rerank depth are measured with, at most.
 TRIALS = 256
-PROBED_SHARE, RERANKED_SHARE = 0.98, 0.99
-MOST_LISTS = 1024
+PROBED_SHARE, RERANKED_SHARE = 0.99, 0.99
+#: Trials of about the same nearness to their first lists that share a number of lists.
+ALIKE = 16
+#: Coarse lists at most, and the mean length of a list from which they are divided.
+MOST_LISTS, ROWS_OF_LIST = 1024, 1024
 SUBSPACE, CODES = 4, 256
 CELL = 8192
-QUERY_BLOCK = 256
+QUERY_BLOCK, QUERIES = 256, 32_768
 RESULT_SCHEMA = "query_id long, rank int, vec_id long, score double"
 
 
 @dataclass
 class Index:
-    """``codebooks[m, c]`` is word ``c`` of subspace ``m``; vectors are padded with zeros to whole subspaces."""
+    """``codebooks[m, c]`` is word ``c`` of subspace ``m``; vectors are padded with zeros to whole subspaces.
+
+    List ``l`` has the centre ``centroids[l // len(fine)] + fine[l % len(fine)]``.
+    """
 
     centroids: np.ndarray
+    fine: np.ndarray
     codebooks: np.ndarray
-    probes: int
     depth: int
     top: int
+    #: Rows of each list; ascending nearness, and the lists to probe from each on.
+    counts: np.ndarray | None = None
+    nearness: np.ndarray | None = None
+    probes: np.ndarray | None = None
 
     @property
-    def width(self) -> int:
-        return self.codebooks.shape[0] * SUBSPACE
+    def lists(self) -> int:
+        return len(self.centroids) * len(self.fine)
 
     def lists_of(self, x: np.ndarray) -> np.ndarray:
-        """The nearest centroid of each row."""
-        return _nearest(x, self.centroids)
+        """The list of each row: its nearest centroid, and the nearest centre of what is left."""
+        at = _nearest(x, self.centroids)
+        return at * len(self.fine) + _nearest(x - self.centroids[at], self.fine)
 
     def encode(self, x: np.ndarray, lists: np.ndarray) -> np.ndarray:
         """Codes of the residuals, a byte per subspace."""
-        rest = (x - self.centroids[lists]).reshape(len(x), -1, SUBSPACE)
+        rest = (x - self.centroids[lists // len(self.fine)] - self.fine[lists % len(self.fine)]).reshape(len(x), -1, SUBSPACE)
         return np.column_stack([_nearest(rest[:, m], book) for m, book in enumerate(self.codebooks)]).astype(np.uint8)
 
     def tables(self, q: np.ndarray) -> np.ndarray:
         """Products of query parts with codewords: subspace, code, query."""
         return np.einsum("mcd,qmd->mcq", self.codebooks, q.reshape(len(q), -1, SUBSPACE)).astype(np.float32)
 
+    def centre_products(self, q: np.ndarray, lists: np.ndarray) -> np.ndarray:
+        """Products of the centres of lists with queries: list, query."""
+        return ((self.centroids @ q.T)[lists // len(self.fine)] + (self.fine @ q.T)[lists % len(self.fine)]).astype(np.float32)
+
     def approximate(self, q: np.ndarray, codes: np.ndarray, lists: np.ndarray) -> np.ndarray:
         """Products of indexed rows with queries as the tables give them: row, query."""
-        total = (self.centroids @ q.T).astype(np.float32)[lists]
+        total = self.centre_products(q, lists)
         for m, table in enumerate(self.tables(q)):
             total += table[codes[:, m]]
         return total
 
+    def ordered(self, q: np.ndarray) -> tuple[np.ndarray, int, float]:
+        """All lists, nearest centre first, how many of them hold ``top + 1`` rows, and how near the last of these is to a query of length 1."""
+        score = ((self.centroids @ q)[:, None] + (self.fine @ q)[None]).ravel()
+        order = np.argsort(-score, kind="stable")
+        need = min(int(np.searchsorted(np.cumsum(self.counts[order]), self.top + 1)), len(order) - 1)
+        return order, need + 1, score[order[need]] / np.linalg.norm(q)
+
     def probed(self, q: np.ndarray) -> np.ndarray:
-        """The lists to probe, one row per query."""
-        return np.argsort(-(q @ self.centroids.T), axis=1, kind="stable")[:, : self.probes]
+        """The lists that a query probes."""
+        order, need, near = self.ordered(q)
+        return order[: max(need, self.probes[max(np.searchsorted(self.nearness, near, side="right") - 1, 0)])]
+
+    def probe_for(self, counts: np.ndarray, trials: np.ndarray, trial: np.ndarray, lists: np.ndarray) -> None:
+        """Sets how far to probe, from the rows of each list and the lists that hold the true neighbours of trials."""
+        self.counts = counts
+        found = []
+        for i in np.unique(trial):
+            order, _, near = self.ordered(trials[i])
+            place = np.empty(len(order), dtype=np.int64)
+            place[order] = np.arange(len(order))
+            found.append((near, place[lists[trial == i]]))
+        found.sort(key=lambda one: one[0])
+        groups = np.array_split(np.arange(len(found)), max(1, len(found) // ALIKE))
+        self.nearness = np.array([found[g[0]][0] for g in groups])
+        wanted = np.array([int(_quantile(np.concatenate([found[i][1] for i in g]), PROBED_SHARE)) + 1 for g in groups])
+        self.probes = np.maximum.accumulate(wanted[::-1])[::-1]  # at least as many as for nearer ones
+
+
+def _quantile(values: np.ndarray, share: float) -> float:
+    return np.sort(values)[min(len(values) - 1, int(share * len(values)))]
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -104,24 +150,25 @@ def _k_means(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return centres
 
 
+def _trials(sample: np.ndarray) -> np.ndarray:
+    return sample[np.linspace(0, len(sample) - 1, min(TRIALS, len(sample))).astype(int)]
+
+
 def fit(sample: np.ndarray, n: int, top: int) -> Index:
     """An index for ``n`` vectors from a sample of them (rows, padded)."""
-    lists = int(max(1, min(MOST_LISTS, round(n**0.5), len(sample) // 8 or 1)))
-    centroids = _k_means(sample, lists)
-    rest = (sample - centroids[_nearest(sample, centroids)]).reshape(len(sample), -1, SUBSPACE)
+    coarse = int(max(1, min(MOST_LISTS, round(n**0.5), len(sample) // 8 or 1)))
+    centroids = _k_means(sample, coarse)
+    rest = sample - centroids[_nearest(sample, centroids)]
+    divided = min(-(-n // (coarse * ROWS_OF_LIST)), len(sample) // 8)
+    fine = _k_means(rest, divided) if divided > 1 else np.zeros((1, sample.shape[1]))
+    rest = (rest - fine[_nearest(rest, fine)]).reshape(len(sample), -1, SUBSPACE)
     books = np.stack([_k_means(np.ascontiguousarray(rest[:, m]), CODES) for m in range(rest.shape[1])])
-    index = Index(centroids, books, lists, top + 1, top)
-    trials = sample[np.linspace(0, len(sample) - 1, min(TRIALS, len(sample))).astype(int)]
-    at = index.lists_of(sample)
+    index = Index(centroids, fine, books, top + 1, top)
+    trials, at = _trials(sample), index.lists_of(sample)
     true = np.argsort(-(trials @ sample.T), axis=1, kind="stable")[:, : top + 1]
-    place = np.argsort(index.probed(trials), axis=1)  # when a query comes to each list
-    wanted = np.sort(np.take_along_axis(place, at[true], axis=1).ravel())
     near = index.approximate(trials, index.encode(sample, at), at)
     order = np.argsort(np.argsort(-near.T, axis=1, kind="stable"), axis=1)
-    deep = np.sort(np.take_along_axis(order, true, axis=1).ravel())
-    quantile = lambda ordered, share: int(ordered[min(len(ordered) - 1, int(share * len(ordered)))]) + 1
-    index.probes = quantile(wanted, PROBED_SHARE)
-    index.depth = max(2 * (top + 1), quantile(deep, RERANKED_SHARE))
+    index.depth = max(2 * (top + 1), int(_quantile(np.take_along_axis(order, true, axis=1).ravel(), RERANKED_SHARE)) + 1)
     return index
 
 
@@ -159,7 +206,7 @@ def vector_classes(vectors: DataFrame, top: int) -> DataFrame:
 
 
 def _search(index: Index, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per cell: first its indexed rows, then its queries, in that order."""
+    """Per cell and part of its queries: first its indexed rows by list, then the queries, in that order."""
     cell, block = None, None
     parts: list[pa.RecordBatch] = []
 
@@ -169,17 +216,21 @@ def _search(index: Index, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
             return None
         lists = table["list"].to_numpy()
         exact = _unpacked(table["vector"].combine_chunks(), np.float64)
-        return table["rep"].to_numpy(), lists, _unpacked(table["codes"].combine_chunks(), np.uint8), exact
+        edges = np.append(np.flatnonzero(np.append(True, np.diff(lists) != 0)), len(lists))
+        return table["rep"].to_numpy(), lists, edges, _unpacked(table["codes"].combine_chunks(), np.uint8), exact
 
     def answered(queries: pa.RecordBatch) -> pa.RecordBatch:
-        reps, lists, codes, exact = block
+        reps, lists, edges, codes, exact = block
         q = _unpacked(queries.column("vector"), np.float64)
-        near = index.approximate(q, codes, lists).T
-        present, place = np.unique(lists, return_inverse=True)
-        allowed = np.zeros((len(q), len(present)), dtype=bool)
-        for i, probes in enumerate(queries.column("codes")):
-            allowed[i] = np.isin(present, np.frombuffer(probes.as_py(), dtype=np.int32))
-        near = np.where(allowed[:, place], near, -np.inf)
+        present, tables = lists[edges[:-1]], index.tables(q)
+        allowed = np.stack([np.isin(present, np.frombuffer(probes.as_py(), dtype=np.int32)) for probes in queries.column("codes")])
+        near = np.full((len(q), len(lists)), -np.inf, dtype=np.float32)
+        for at, lo, hi in zip(range(len(present)), edges, edges[1:], strict=False):
+            who = np.flatnonzero(allowed[:, at])
+            total = np.repeat(index.centre_products(q[who], present[at : at + 1]), hi - lo, axis=0)
+            for m in range(len(tables)):
+                total += tables[m][:, who][codes[lo:hi, m]]
+            near[who, lo:hi] = total.T
         out: list[list] = [[], [], []]
         depth = min(index.depth, len(reps))
         best = np.argpartition(-near, depth - 1, axis=1)[:, :depth]
@@ -194,13 +245,13 @@ def _search(index: Index, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query", "rep", "score"])
 
     for batch in batches:
-        cells, kinds = batch.column("cell").to_numpy(), batch.column("kind").to_numpy()
-        edges = [0, *(np.flatnonzero((np.diff(cells) != 0) | (np.diff(kinds) != 0)) + 1), batch.num_rows]
+        cells, shares, kinds = (batch.column(name).to_numpy() for name in ("cell", "part", "kind"))
+        edges = [0, *(np.flatnonzero((np.diff(cells) != 0) | (np.diff(shares) != 0) | (np.diff(kinds) != 0)) + 1), batch.num_rows]
         for lo, hi in zip(edges, edges[1:], strict=False):
             if lo == hi:
                 continue
-            if cells[lo] != cell:
-                cell, parts, block = cells[lo], [], None
+            if (cells[lo], shares[lo]) != cell:
+                cell, parts, block = (cells[lo], shares[lo]), [], None
             if kinds[lo] == 0:
                 parts.append(batch.slice(lo, hi - lo))
                 continue
@@ -225,51 +276,91 @@ def nearest_neighbours(rows: DataFrame, is_query: Column, top: int = 20) -> Data
     if not len(sample):
         return spark.createDataFrame([], RESULT_SCHEMA)
     width = -(-len(sample[0]) // SUBSPACE) * SUBSPACE
-    index = fit(_vectors(sample, width), classes.count(), top)
-    shared = spark.sparkContext.broadcast(index)  # at most MOST_LISTS centroids, and the codebooks
+    packed = _vectors(sample, width)
+    index, trials = fit(packed, classes.count(), top), _trials(packed)
+    fitted = spark.sparkContext.broadcast(index)  # at most MOST_LISTS and SAMPLE / 8 centres, and the codebooks
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _vectors(batch.column(1), width)
-            lists = shared.value.lists_of(x)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.int32()), _packed(shared.value.encode(x, lists), np.uint8), _packed(x, np.float64)], ["rep", "list", "codes", "vector"])
+            lists = fitted.value.lists_of(x)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.int32()), _packed(fitted.value.encode(x, lists), np.uint8), _packed(x, np.float64)], ["rep", "list", "codes", "vector"])
 
     file = materialise(classes.select("rep", "embedding").mapInArrow(indexed, "rep long, list int, codes binary, vector binary"), "inverted-file")
-    # Cells of lists, short lists together: one number per list, of which there are MOST_LISTS at most.
-    first, split, used, cell = [0] * len(index.centroids), [1] * len(index.centroids), 0, 0
-    for name, n in sorted((r["list"], r["count"]) for r in file.groupBy("list").count().collect()):
+
+    def nearest_to_trials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(trial, score, rep, list) of the nearest rows of a task."""
+        best = [np.full((len(trials), top + 1), fill) for fill in (-np.inf, -1, -1)]
+        for batch in batches:
+            scores = trials @ _unpacked(batch.column("vector"), np.float64).T
+            shape = scores.shape
+            new = [scores, *(np.broadcast_to(batch.column(c).to_numpy(), shape) for c in ("rep", "list"))]
+            joined = [np.hstack([a, b]) for a, b in zip(best, new, strict=True)]
+            at = np.argpartition(-joined[0], top, axis=1)[:, : top + 1]
+            best = [np.take_along_axis(x, at, axis=1) for x in joined]
+        who, place = np.nonzero(best[2] >= 0)
+        columns = [pa.array(who, pa.int32()), *(pa.array(x[who, place], k) for x, k in zip(best, (pa.float64(), pa.int64(), pa.int32()), strict=True))]
+        yield pa.RecordBatch.from_arrays(columns, ["trial", "score", "rep", "list"])
+
+    tried = file.select("rep", "list", "vector").mapInArrow(nearest_to_trials, "trial int, score double, rep long, list int")
+    tried = tried.withColumn("place", F.row_number().over(Window.partitionBy("trial").orderBy(F.desc("score"), "rep"))).filter(F.col("place") <= top + 1)
+    told = tried.select("trial", "list").toPandas()  # at most TRIALS * (top + 1) rows of two numbers
+    # One number per list, and the centres bound the number of lists.
+    sizes = file.groupBy("list").count().toPandas()
+    counts = np.zeros(index.lists, dtype=np.int64)
+    counts[sizes["list"]] = sizes["count"]
+    index.probe_for(counts, trials, told["trial"].to_numpy(), told["list"].to_numpy())
+    # Cells of lists, short lists together.
+    first, split, used, cell = np.zeros(index.lists, dtype=np.int64), np.ones(index.lists, dtype=np.int64), 0, 0
+    for name, n in enumerate(counts.tolist()):
+        if not n:
+            continue
         if used and used + n > CELL:
             used, cell = 0, cell + 1
         first[name], split[name] = cell, -(-n // CELL)
         used += n
         if split[name] > 1:
             used, cell = 0, cell + split[name]
-    of = lambda values: F.get(F.lit(values), F.col("list"))
-    stored = file.select((of(first) + F.pmod(F.xxhash64("rep"), of(split))).cast("int").alias("cell"), F.lit(0).alias("kind"), "rep", "list", "codes", "vector")
+    shared = spark.sparkContext.broadcast((index, first, split))
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, starts, lengths = shared.value
+        for batch in batches:
+            lists = batch.column("list").to_numpy()
+            share = mix64(batch.column("rep").to_numpy().view(np.uint64)) % lengths[lists].astype(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(starts[lists] + share.astype(np.int64)), *batch.columns], ["cell", *batch.schema.names])
+
+    stored = file.mapInArrow(placed, "cell long, rep long, list int, codes binary, vector binary")
 
     def probing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        starts, lengths = np.array(first), np.array(split)
+        index, starts, lengths = shared.value
         for batch in batches:
             x = _vectors(batch.column(1), width)
-            names, cells, codes, at = [], [], [], []
-            for i, lists in enumerate(shared.value.probed(x)):
+            cells, codes, at = [], [], []
+            for i, q in enumerate(x):
                 to: dict[int, list[int]] = {}
-                for one in lists.tolist():
+                for one in index.probed(q).tolist():
                     for c in range(starts[one], starts[one] + lengths[one]):
                         to.setdefault(c, []).append(one)
                 at += [i] * len(to)
                 cells += to
                 codes += [np.array(v, dtype=np.int32).tobytes() for v in to.values()]
             names = batch.column(0).take(pa.array(at, pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array([1] * len(at), pa.int32()), names, pa.array([-1] * len(at), pa.int32()), pa.array(codes, pa.binary()), _packed(x[at], np.float64)], ["cell", "kind", "rep", "list", "codes", "vector"])
+            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), names, pa.array(codes, pa.binary()), _packed(x[at], np.float64)], ["cell", "rep", "codes", "vector"])
 
     wanted = vectors.filter(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     wanted = wanted.select(F.col("vec_id").alias("query_id"), F.xxhash64("embedding").alias("k1"), F.xxhash64(F.lit(1), "embedding").alias("k2"))
     asked = materialise(wanted.join(classes.select("k1", "k2", "rep"), ["k1", "k2"]).select("query_id", "rep"), "queries")
     heads = classes.select("rep", "embedding").join(asked.select("rep").distinct(), "rep", "left_semi")
-    queries = heads.mapInArrow(probing, "cell int, kind int, rep long, list int, codes binary, vector binary")
-    dealt = stored.unionByName(queries).repartition(shuffle_partitions(spark), "cell").sortWithinPartitions("cell", "kind", "list")
-    found = dealt.mapInArrow(lambda batches: _search(shared.value, batches), "query long, rep long, score double")
+    queries = materialise(heads.mapInArrow(probing, "cell long, rep long, codes binary, vector binary"), "probes")
+    # Cells that nobody asks are left out; those of many queries are repeated for parts of these.
+    parts = queries.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("parts"))
+    rows_of = stored.join(parts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    asking = queries.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts"))).withColumn("list", F.lit(-1))
+    columns = ["cell", "part", "kind", "rep", "list", "codes", "vector"]
+    dealt = rows_of.withColumn("kind", F.lit(0)).select(columns).unionByName(asking.withColumn("kind", F.lit(1)).select(columns))
+    dealt = dealt.repartition(shuffle_partitions(spark), "cell", "part").sortWithinPartitions("cell", "part", "kind", "list")
+    found = dealt.mapInArrow(lambda batches: _search(shared.value[0], batches), "query long, rep long, score double")
 
     by_score = Window.partitionBy("query").orderBy(F.desc("score"), "rep")
     best = found.withColumn("place", F.row_number().over(by_score)).filter(F.col("place") <= top + 1)

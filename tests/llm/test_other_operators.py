@@ -125,6 +125,35 @@ def test_neighbour_cases(spark):
     assert ann.nearest_neighbours(given.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def _clustered():
+    """Vectors of length 1: 1,500 in 30 clusters and 60 that lie alone."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(30, 32)) * 3
+    x = np.vstack([centres[rng.integers(30, size=1500)] + rng.normal(size=(1500, 32)), rng.normal(size=(60, 32)) * 2])
+    return rng.permutation(len(x)), x / np.linalg.norm(x, axis=1)[:, None]
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_vectors_that_lie_alone_find_their_neighbours(spark, monkeypatch, small):
+    """Also with divided lists, lists over several cells, and cells repeated for parts of their queries."""
+    if small:
+        for name, value in (("MOST_LISTS", 8), ("ROWS_OF_LIST", 32), ("CELL", 100), ("QUERIES", 20)):
+            monkeypatch.setattr(ann, name, value)
+    ids, x = _clustered()
+    given = spark.createDataFrame([(int(i), v) for i, v in zip(ids, x.tolist(), strict=True)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in ann.nearest_neighbours(given, F.col("vec_id") % 4 == 0, top=20).collect():
+        found.setdefault(r["query_id"], []).append(r["vec_id"])
+    recalls = []
+    for at in np.flatnonzero(ids % 4 == 0):
+        score = x @ x[at]
+        score[at] = -np.inf
+        got = found[int(ids[at])]
+        assert len(got) == len(set(got)) == 20 and ids[at] not in got
+        recalls.append(len(set(got) & set(ids[np.lexsort((ids, -score))[:20]].tolist())) / 20)
+    assert np.mean(recalls) >= 0.95 and min(recalls) >= (0.2 if small else 0.5)
+
+
 # Mixing
 
 
