@@ -10,8 +10,9 @@
    residual. Lists are dealt to cells of about ``CELL`` vectors; longer lists are split by
    id hash, short ones share a cell.
 4. The true neighbours of ``TRIALS`` vectors of the sample among all rows tell how far to probe: the fewest lists that
-   hold ``PROBED_SHARE`` of them, told for groups of ``ALIKE`` trials by how near the centres of the first lists that hold
-   ``top + 1`` rows are. A query far from all others so probes as many lists as vectors like it need, one inside a cluster few.
+   hold ``PROBED_SHARE`` of them, and likewise how far behind the nearest centre those of such lists are. Both are told for groups
+   of ``ALIKE`` trials by how near the centres of the first lists that hold ``top + 1`` rows are. A query far
+   from all others so probes as many lists as vectors like it need, one inside a cluster the lists of this cluster.
 5. A query goes once to each cell that holds a list it probes. A task holds one cell and at most about
    ``QUERIES`` of its queries (cells with more are repeated), streamed in blocks: asymmetric distance tables score
    the vectors of the probed lists, and the best by table are reranked by exact products of the original vectors.
@@ -63,10 +64,11 @@ class Index:
     codebooks: np.ndarray
     depth: int
     top: int
-    #: Rows of each list; ascending nearness, and the lists to probe from each on.
+    #: Rows of each list; ascending nearness, and from each on how many lists to probe, and how far behind the first.
     counts: np.ndarray | None = None
     nearness: np.ndarray | None = None
     probes: np.ndarray | None = None
+    behind: np.ndarray | None = None
 
     @property
     def lists(self) -> int:
@@ -97,32 +99,37 @@ class Index:
             total += table[codes[:, m]]
         return total
 
-    def ordered(self, q: np.ndarray) -> tuple[np.ndarray, int, float]:
-        """All lists, nearest centre first, how many of them hold ``top + 1`` rows, and how near the last of these is to a query of length 1."""
-        score = ((self.centroids @ q)[:, None] + (self.fine @ q)[None]).ravel()
+    def ordered(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """All lists, nearest centre first; how near they are to a query of length 1; and the place at which ``top + 1`` rows are reached."""
+        score = ((self.centroids @ q)[:, None] + (self.fine @ q)[None]).ravel() / np.linalg.norm(q)
         order = np.argsort(-score, kind="stable")
         need = min(int(np.searchsorted(np.cumsum(self.counts[order]), self.top + 1)), len(order) - 1)
-        return order, need + 1, score[order[need]] / np.linalg.norm(q)
+        return order, score[order], need
 
     def probed(self, q: np.ndarray) -> np.ndarray:
         """The lists that a query probes."""
-        order, need, near = self.ordered(q)
-        return order[: max(need, self.probes[max(np.searchsorted(self.nearness, near, side="right") - 1, 0)])]
+        order, near, need = self.ordered(q)
+        group = max(np.searchsorted(self.nearness, near[need], side="right") - 1, 0)
+        close = np.searchsorted(near[0] - near, self.behind[group], side="right")
+        return order[: max(need + 1, self.probes[group], close)]
 
     def probe_for(self, counts: np.ndarray, trials: np.ndarray, trial: np.ndarray, lists: np.ndarray) -> None:
         """Sets how far to probe, from the rows of each list and the lists that hold the true neighbours of trials."""
         self.counts = counts
         found = []
         for i in np.unique(trial):
-            order, _, near = self.ordered(trials[i])
+            order, near, need = self.ordered(trials[i])
             place = np.empty(len(order), dtype=np.int64)
             place[order] = np.arange(len(order))
-            found.append((near, place[lists[trial == i]]))
+            at = place[lists[trial == i]]
+            found.append((near[need], at, near[0] - near[at]))
         found.sort(key=lambda one: one[0])
         groups = np.array_split(np.arange(len(found)), max(1, len(found) // ALIKE))
+        told = lambda part: np.array([_quantile(np.concatenate([found[i][part] for i in g]), PROBED_SHARE) for g in groups])
         self.nearness = np.array([found[g[0]][0] for g in groups])
-        wanted = np.array([int(_quantile(np.concatenate([found[i][1] for i in g]), PROBED_SHARE)) + 1 for g in groups])
-        self.probes = np.maximum.accumulate(wanted[::-1])[::-1]  # at least as many as for nearer ones
+        for name, values in (("probes", told(1) + 1), ("behind", told(2))):
+            values = np.maximum.accumulate(values[::-1])[::-1]  # at least as much as for nearer ones
+            setattr(self, name, np.maximum(values, np.append(values[:1], values[:-1])))  # and as for the group before
 
 
 def _quantile(values: np.ndarray, share: float) -> float:
