@@ -9,13 +9,15 @@
 3. Every class is indexed: its list, and one byte per ``SUBSPACE`` components of the
    residual. Lists are dealt to cells of about ``CELL`` vectors; longer lists are split by
    id hash, short ones share a cell.
-4. The true neighbours of ``TRIALS`` vectors of the sample among all rows tell how far to probe: the fewest lists that
+4. The true neighbours of ``TRIALS`` of the queries among all rows tell how far to probe: the fewest lists that
    hold ``PROBED_SHARE`` of them, and likewise how far behind the nearest centre those of such lists are. Both are told for groups
    of ``ALIKE`` trials by how near the centres of the first lists that hold ``top + 1`` rows are. A query far
    from all others so probes as many lists as vectors like it need, one inside a cluster the lists of this cluster.
 5. A query goes once to each cell that holds a list it probes. A task holds one cell and at most about
    ``QUERIES`` of its queries (cells with more are repeated), streamed in blocks: asymmetric distance tables score
-   the vectors of the probed lists, and the best by table are reranked by exact products of the original vectors.
+   the vectors of the probed lists. The best by table are reranked by exact products of the original vectors, and so is
+   every row that may be among them yet: whose table score is below the worst of these by no more than ``MARGIN`` times the deviation that its
+   own quantisation error makes of a product with this query, as measured on rows of the cell.
 6. Per query the best classes of all cells are merged and expanded to ids.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take
@@ -39,9 +41,12 @@ from feira.llm._text import mix64
 
 #: Classes that centroids and codebooks are fitted on, at most.
 SAMPLE = 16_384
-#: Sample rows that the number of probed lists and the rerank depth are measured with, at most.
+#: Queries that the number of probed lists is measured with, at most.
 TRIALS = 256
-PROBED_SHARE, RERANKED_SHARE = 0.99, 0.99
+PROBED_SHARE = 0.99
+#: How many deviations of a table score a row may lie below the worst of the best and still be reranked; rows of a cell that the
+#: deviation is measured on, at most; the share of a table score that is rounding.
+MARGIN, MEASURED, ROUNDING = 3.0, 256, 1e-5
 #: Trials of about the same nearness to their first lists that share a number of lists.
 ALIKE = 16
 #: Coarse lists at most, and the mean length of a list from which they are divided.
@@ -62,7 +67,6 @@ class Index:
     centroids: np.ndarray
     fine: np.ndarray
     codebooks: np.ndarray
-    depth: int
     top: int
     #: Rows of each list; ascending nearness, and from each on how many lists to probe, and how far behind the first.
     counts: np.ndarray | None = None
@@ -84,6 +88,11 @@ class Index:
         rest = (x - self.centroids[lists // len(self.fine)] - self.fine[lists % len(self.fine)]).reshape(len(x), -1, SUBSPACE)
         return np.column_stack([_nearest(rest[:, m], book) for m, book in enumerate(self.codebooks)]).astype(np.uint8)
 
+    def errors(self, x: np.ndarray, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The distance of each row from what its list and codes stand for."""
+        rest = (x - self.centroids[lists // len(self.fine)] - self.fine[lists % len(self.fine)]).reshape(len(x), -1, SUBSPACE)
+        return np.sqrt(sum(((rest[:, m] - book[codes[:, m]]) ** 2).sum(axis=1) for m, book in enumerate(self.codebooks)))
+
     def tables(self, q: np.ndarray) -> np.ndarray:
         """Products of query parts with codewords: subspace, code, query."""
         return np.einsum("mcd,qmd->mcq", self.codebooks, q.reshape(len(q), -1, SUBSPACE)).astype(np.float32)
@@ -99,6 +108,27 @@ class Index:
             total += table[codes[:, m]]
         return total
 
+    def reranked(self, q: np.ndarray, near: np.ndarray, exact: np.ndarray, errors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows that may be the ``top + 1`` nearest of one query by its table scores ``near`` (finite ones), and their exact products."""
+        depth = min(2 * (self.top + 1), len(near))
+        first = np.argpartition(-near, depth - 1)[:depth]
+        score = (exact[first] * q).sum(axis=1)
+        if depth == len(near):
+            return first, score
+        some = np.arange(0, len(near), -(-len(near) // MEASURED))
+        scale = errors * np.linalg.norm(q)
+        off = 0.0
+        for at, found in ((first, score), (some, exact[some] @ q)):
+            inexact = scale[at] > 1e-9 * np.abs(found)
+            if inexact.any():
+                off = max(off, np.sqrt(np.mean(np.square((found - near[at])[inexact] / scale[at][inexact]))))
+        rank = self.top + 1
+        worst = np.partition(score, len(score) - rank)[len(score) - rank]
+        might = near + MARGIN * off * scale + ROUNDING * np.abs(near) >= worst
+        might[first] = False
+        more = np.flatnonzero(might)
+        return np.append(first, more), np.append(score, (exact[more] * q).sum(axis=1))
+
     def ordered(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
         """All lists, nearest centre first; how near they are to a query of length 1; and the place at which ``top + 1`` rows are reached."""
         score = ((self.centroids @ q)[:, None] + (self.fine @ q)[None]).ravel() / np.linalg.norm(q)
@@ -157,10 +187,6 @@ def _k_means(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return centres
 
 
-def _trials(sample: np.ndarray) -> np.ndarray:
-    return sample[np.linspace(0, len(sample) - 1, min(TRIALS, len(sample))).astype(int)]
-
-
 def fit(sample: np.ndarray, n: int, top: int) -> Index:
     """An index for ``n`` vectors from a sample of them (rows, padded)."""
     coarse = int(max(1, min(MOST_LISTS, round(n**0.5), len(sample) // 8 or 1)))
@@ -170,13 +196,7 @@ def fit(sample: np.ndarray, n: int, top: int) -> Index:
     fine = _k_means(rest, divided) if divided > 1 else np.zeros((1, sample.shape[1]))
     rest = (rest - fine[_nearest(rest, fine)]).reshape(len(sample), -1, SUBSPACE)
     books = np.stack([_k_means(np.ascontiguousarray(rest[:, m]), CODES) for m in range(rest.shape[1])])
-    index = Index(centroids, fine, books, top + 1, top)
-    trials, at = _trials(sample), index.lists_of(sample)
-    true = np.argsort(-(trials @ sample.T), axis=1, kind="stable")[:, : top + 1]
-    near = index.approximate(trials, index.encode(sample, at), at)
-    order = np.argsort(np.argsort(-near.T, axis=1, kind="stable"), axis=1)
-    index.depth = max(2 * (top + 1), int(_quantile(np.take_along_axis(order, true, axis=1).ravel(), RERANKED_SHARE)) + 1)
-    return index
+    return Index(centroids, fine, books, top)
 
 
 def _vectors(column: pa.Array, width: int) -> np.ndarray:
@@ -224,10 +244,10 @@ def _search(index: Index, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
         lists = table["list"].to_numpy()
         exact = _unpacked(table["vector"].combine_chunks(), np.float64)
         edges = np.append(np.flatnonzero(np.append(True, np.diff(lists) != 0)), len(lists))
-        return table["rep"].to_numpy(), lists, edges, _unpacked(table["codes"].combine_chunks(), np.uint8), exact
+        return table["rep"].to_numpy(), lists, edges, _unpacked(table["codes"].combine_chunks(), np.uint8), table["error"].to_numpy(), exact
 
     def answered(queries: pa.RecordBatch) -> pa.RecordBatch:
-        reps, lists, edges, codes, exact = block
+        reps, lists, edges, codes, errors, exact = block
         q = _unpacked(queries.column("vector"), np.float64)
         present, tables = lists[edges[:-1]], index.tables(q)
         allowed = np.stack([np.isin(present, np.frombuffer(probes.as_py(), dtype=np.int32)) for probes in queries.column("codes")])
@@ -239,11 +259,10 @@ def _search(index: Index, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
                 total += tables[m][:, who][codes[lo:hi, m]]
             near[who, lo:hi] = total.T
         out: list[list] = [[], [], []]
-        depth = min(index.depth, len(reps))
-        best = np.argpartition(-near, depth - 1, axis=1)[:, :depth]
         for i, name in enumerate(queries.column("rep").to_numpy()):
-            at = best[i][np.isfinite(near[i, best[i]])]
-            score = (exact[at] * q[i]).sum(axis=1)
+            probed = np.flatnonzero(np.isfinite(near[i]))
+            at, score = index.reranked(q[i], near[i, probed], exact[probed], errors[probed])
+            at = probed[at]
             chosen = np.lexsort((reps[at], -score))[: index.top + 1]
             out[0].append(np.full(len(chosen), name))
             out[1].append(reps[at][chosen])
@@ -283,17 +302,26 @@ def nearest_neighbours(rows: DataFrame, is_query: Column, top: int = 20) -> Data
     if not len(sample):
         return spark.createDataFrame([], RESULT_SCHEMA)
     width = -(-len(sample[0]) // SUBSPACE) * SUBSPACE
-    packed = _vectors(sample, width)
-    index, trials = fit(packed, classes.count(), top), _trials(packed)
+    wanted = vectors.filter(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    wanted = wanted.select(F.col("vec_id").alias("query_id"), F.xxhash64("embedding").alias("k1"), F.xxhash64(F.lit(1), "embedding").alias("k2"))
+    asked = materialise(wanted.join(classes.select("k1", "k2", "rep"), ["k1", "k2"]).select("query_id", "rep"), "queries")
+    heads = classes.select("rep", "embedding").join(asked.select("rep").distinct(), "rep", "left_semi")
+    # At most TRIALS vectors.
+    tried = heads.orderBy(F.xxhash64(F.lit(2), "rep"), "rep").limit(TRIALS).select("embedding").toArrow()["embedding"].combine_chunks()
+    if not len(tried):
+        return spark.createDataFrame([], RESULT_SCHEMA)
+    index, trials = fit(_vectors(sample, width), classes.count(), top), _vectors(tried, width)
     fitted = spark.sparkContext.broadcast(index)  # at most MOST_LISTS and SAMPLE / 8 centres, and the codebooks
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _vectors(batch.column(1), width)
             lists = fitted.value.lists_of(x)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.int32()), _packed(fitted.value.encode(x, lists), np.uint8), _packed(x, np.float64)], ["rep", "list", "codes", "vector"])
+            codes = fitted.value.encode(x, lists)
+            columns = [batch.column(0), pa.array(lists, pa.int32()), _packed(codes, np.uint8), pa.array(fitted.value.errors(x, lists, codes), pa.float64()), _packed(x, np.float64)]
+            yield pa.RecordBatch.from_arrays(columns, ["rep", "list", "codes", "error", "vector"])
 
-    file = materialise(classes.select("rep", "embedding").mapInArrow(indexed, "rep long, list int, codes binary, vector binary"), "inverted-file")
+    file = materialise(classes.select("rep", "embedding").mapInArrow(indexed, "rep long, list int, codes binary, error double, vector binary"), "inverted-file")
 
     def nearest_to_trials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(trial, score, rep, list) of the nearest rows of a task."""
@@ -337,7 +365,7 @@ def nearest_neighbours(rows: DataFrame, is_query: Column, top: int = 20) -> Data
             share = mix64(batch.column("rep").to_numpy().view(np.uint64)) % lengths[lists].astype(np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(starts[lists] + share.astype(np.int64)), *batch.columns], ["cell", *batch.schema.names])
 
-    stored = file.mapInArrow(placed, "cell long, rep long, list int, codes binary, vector binary")
+    stored = file.mapInArrow(placed, "cell long, rep long, list int, codes binary, error double, vector binary")
 
     def probing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, starts, lengths = shared.value
@@ -355,16 +383,12 @@ def nearest_neighbours(rows: DataFrame, is_query: Column, top: int = 20) -> Data
             names = batch.column(0).take(pa.array(at, pa.int32()))
             yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), names, pa.array(codes, pa.binary()), _packed(x[at], np.float64)], ["cell", "rep", "codes", "vector"])
 
-    wanted = vectors.filter(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    wanted = wanted.select(F.col("vec_id").alias("query_id"), F.xxhash64("embedding").alias("k1"), F.xxhash64(F.lit(1), "embedding").alias("k2"))
-    asked = materialise(wanted.join(classes.select("k1", "k2", "rep"), ["k1", "k2"]).select("query_id", "rep"), "queries")
-    heads = classes.select("rep", "embedding").join(asked.select("rep").distinct(), "rep", "left_semi")
     queries = materialise(heads.mapInArrow(probing, "cell long, rep long, codes binary, vector binary"), "probes")
     # Cells that nobody asks are left out; those of many queries are repeated for parts of these.
     parts = queries.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("parts"))
     rows_of = stored.join(parts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    asking = queries.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts"))).withColumn("list", F.lit(-1))
-    columns = ["cell", "part", "kind", "rep", "list", "codes", "vector"]
+    asking = queries.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts"))).withColumns({"list": F.lit(-1), "error": F.lit(0.0)})
+    columns = ["cell", "part", "kind", "rep", "list", "codes", "error", "vector"]
     dealt = rows_of.withColumn("kind", F.lit(0)).select(columns).unionByName(asking.withColumn("kind", F.lit(1)).select(columns))
     dealt = dealt.repartition(shuffle_partitions(spark), "cell", "part").sortWithinPartitions("cell", "part", "kind", "list")
     found = dealt.mapInArrow(lambda batches: _search(shared.value[0], batches), "query long, rep long, score double")

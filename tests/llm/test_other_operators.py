@@ -133,6 +133,26 @@ def _clustered():
     return rng.permutation(len(x)), x / np.linalg.norm(x, axis=1)[:, None]
 
 
+def test_queries_unlike_the_other_rows_find_their_neighbours(spark):
+    """Queries that lie alone among tight clusters: many rows are about as near, and no row of the clusters tells how many."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(60, 64)) * 3
+    ids = np.arange(8000)
+    x = centres[rng.integers(60, size=8000)] + 0.2 * rng.normal(size=(8000, 64))
+    x[::20] = rng.normal(size=(400, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    given = spark.createDataFrame([(int(i), v) for i, v in zip(ids, x.tolist(), strict=True)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in ann.nearest_neighbours(given, F.col("vec_id") % 20 == 0, top=20).collect():
+        found.setdefault(r["query_id"], []).append(r["vec_id"])
+    recalls = []
+    for at in ids[::20]:
+        score = x @ x[at]
+        score[at] = -np.inf
+        recalls.append(len(set(found[at]) & set(np.lexsort((ids, -score))[:20].tolist())) / 20)
+    assert np.mean(recalls) >= 0.98 and min(recalls) >= 0.8, (np.mean(recalls), min(recalls))
+
+
 @pytest.mark.parametrize("small", [False, True])
 def test_vectors_that_lie_alone_find_their_neighbours(spark, monkeypatch, small):
     """Also with divided lists, lists over several cells, and cells repeated for parts of their queries."""
