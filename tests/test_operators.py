@@ -128,6 +128,21 @@ def test_distances_and_costs(spark):
         geo.check_position(91, 0)
 
 
+def test_nearest_stores_of_many_points(spark):
+    """Against all pairs, with equal positions, ties, an unknown chain and stores that don't count; the exploded points are not broadcast."""
+    shops = [(i, ("A", "B", None)[i % 3], 38.0 + (i * 37 % 50) / 40, -9.0 + (i * 91 % 60) / 40, i % 7 != 0) for i in range(160)] + [(200, "A", None, -9.0, True)]
+    stores = spark.createDataFrame(shops, "id_loja_fisica int, insignia string, latitude double, longitude double, ativa boolean")
+    given = [(i, 38.0 + (i * 13 % 90) / 72, -9.0 + (i * 7 % 100) / 66) for i in range(300)] + [(900, None, -9.0)]
+    points = spark.createDataFrame(given, "id_ponto int, lat double, lon double")
+    met = geo.nearest_for_points(points, stores, 30.0)
+    every = points.crossJoin(stores.filter("ativa")).withColumn("km", geo.haversine(F.col("lat"), F.col("lon"), F.col("latitude"), F.col("longitude"))).filter("km <= 30")
+    wanted = every.groupBy("id_ponto", "insignia").agg(F.min(F.struct("km", "id_loja_fisica")).alias("m"))
+    found = {(r["id_ponto"], r["insignia"]): (r["distancia_km"], r["id_loja_fisica"]) for r in met.collect()}
+    assert len(found) > 600 and found == {(r["id_ponto"], r["insignia"]): tuple(r["m"]) for r in wanted.collect()}
+    for rows in (met, geo.stores_within(points, stores, 30.0)):
+        assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
 def observed(spark, rows):
     return spark.createDataFrame(rows, "id_historico int, id_produto_loja int, dia date, preco double, em_promocao boolean, preco_unitario_unidade string")
 
