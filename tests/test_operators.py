@@ -162,6 +162,13 @@ def test_anomalies(spark):
     assert {(r["id_historico"], r["criterio"]) for r in anomaly.anomalies(rows).collect()} == {(9, "iqr"), (10, "variacao_abrupta"), (21, "variacao_abrupta")}
 
 
+def test_changes_from_a_price_of_zero_are_abrupt(spark):
+    """As SQL has it: the ratio is infinite, or not a number and then above all others; days too far apart and rows without a price don't count."""
+    given = [(1, 0.0), (1, 2.0), (2, 0.0), (2, 0.0), (3, 0.0), (3, None), (4, 1.0), (4, 0.0), (5, 0.0)]
+    rows = observed(spark, [(i, key, date(2026, 1, 1 + i % 2), price, False, "kg") for i, (key, price) in enumerate(given)] + [(20, 5, date(2026, 1, 9), 3.0, False, "kg")])
+    assert {(r["id_historico"], r["criterio"]) for r in anomaly.anomalies(rows).collect()} == {(i, "variacao_abrupta") for i in (1, 3, 7)}
+
+
 def test_buy_or_wait(spark):
     rows = spark.createDataFrame([(1, date(2026, 1, d), p, 1.69) for d, p in ((1, 1.69), (2, 1.50))] + [(2, date(2026, 1, 1), 1.69, 1.69)], "id_produto_loja int, data date, preco_medio double, agora double")
     assert {r["id_produto_loja"]: r["decisao"] for r in forecast.buy_or_wait(rows, F.col("agora")).collect()} == {1: "aguardar", 2: "comprar_agora"}
