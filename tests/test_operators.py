@@ -169,6 +169,11 @@ def test_changes_from_a_price_of_zero_are_abrupt(spark):
     assert {(r["id_historico"], r["criterio"]) for r in anomaly.anomalies(rows).collect()} == {(i, "variacao_abrupta") for i in (1, 3, 7)}
 
 
+def test_anomalies_are_counted_with_changes_from_zero(spark):
+    rows = observed(spark, [(i, 1 + i // 2, date(2026, 1, 1 + i % 2), price, False, "kg") for i, price in enumerate((0.0, 2.0, 1.0, 5.0, 1.0, 1.1))])
+    assert {(r["criterio"], r["n"]) for r in quality.anomaly_counts(anomaly.anomalies(rows)).collect()} == {("variacao_abrupta", 2)}
+
+
 def test_buy_or_wait(spark):
     rows = spark.createDataFrame([(1, date(2026, 1, d), p, 1.69) for d, p in ((1, 1.69), (2, 1.50))] + [(2, date(2026, 1, 1), 1.69, 1.69)], "id_produto_loja int, data date, preco_medio double, agora double")
     assert {r["id_produto_loja"]: r["decisao"] for r in forecast.buy_or_wait(rows, F.col("agora")).collect()} == {1: "aguardar", 2: "comprar_agora"}
