@@ -114,7 +114,7 @@ def ablation_summary(scores: DataFrame) -> DataFrame:
 
 
 def buy_or_wait(forecast: DataFrame, now: Column, threshold_pct: float = 2.0) -> DataFrame:
-    """Per product, whether the least forecast mean is far enough below the price of today to wait for it."""
-    rolled = forecast.groupBy(KEY).agg(F.min("preco_medio").alias("minimo"), F.min_by("data", "preco_medio").alias("melhor_dia"), F.max(now).alias("preco_atual"))
+    """Per product, whether the least forecast mean is far enough below the price of today to wait for it; of equal means the first day counts."""
+    rolled = forecast.groupBy(KEY).agg(F.min("preco_medio").alias("minimo"), F.min_by("data", F.struct("preco_medio", "data")).alias("melhor_dia"), F.max(now).alias("preco_atual"))
     drop = F.greatest(F.try_divide(F.col("preco_atual") - F.col("minimo"), F.col("preco_atual")) * 100, F.lit(0.0))
     return rolled.withColumn("queda_pct", drop).withColumn("decisao", F.when(F.col("queda_pct") >= threshold_pct, "aguardar").otherwise("comprar_agora"))

@@ -179,6 +179,13 @@ def test_buy_or_wait(spark):
     assert {r["id_produto_loja"]: r["decisao"] for r in forecast.buy_or_wait(rows, F.col("agora")).collect()} == {1: "aguardar", 2: "comprar_agora"}
 
 
+def test_of_equal_forecasts_the_first_day_counts(spark):
+    days = [date(2026, 1, d) for d in (5, 2, 7, 3)]
+    for given in (days, days[::-1]):
+        rows = spark.createDataFrame([(1, d, 1.5, 1.69) for d in given], "id_produto_loja int, data date, preco_medio double, agora double").coalesce(1)
+        assert [r["melhor_dia"] for r in forecast.buy_or_wait(rows, F.col("agora")).collect()] == [date(2026, 1, 2)]
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps([{"nome": "x", "preco": "1"}, {"nome": "y"}]))
     (tmp_path / "b.json").write_text(json.dumps([{"nome": "z"}]))
