@@ -7,6 +7,7 @@ the next end tag at its depth among the elements that are closed. End tags witho
 
 Per page the result is one row: the text, and an array of elements with their place, their end and their
 stretch of the text. A page's tokens are rows of their own in between, dealt by page, and no text is copied per element.
+They are dealt to as many tasks as their characters need, so what a task sorts does not grow with the pages.
 Elements that cross each other end at their own end tags.
 """
 
@@ -21,6 +22,9 @@ from feira.sources.web import unescaped
 # Elements without content.
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
 
+#: Characters of pages whose tokens a task sorts, about.
+CHARS = 8 << 20
+
 TOKEN = r"""(?is)<!--.*?(?:-->|\z)|<(script|style)\b[^>]*+>.*?(?:</\1\s*+>|\z)|</?[a-z](?:[^'">]++|"[^"]*+"|'[^']*+')*+>|[^<]++|<"""
 
 
@@ -37,6 +41,8 @@ def page_trees(pages: DataFrame, html: str = "html") -> DataFrame:
     the stretch ``de`` to ``fim`` of the text. A null or empty page has no text and no elements.
     """
     others = [c for c in pages.columns if c != html]
+    context = pages.sparkSession.sparkContext
+    parts = max(context.defaultParallelism, -(-(pages.agg(F.sum(F.length(html))).first()[0] or 0) // CHARS))  # one number
     cut = pages.withColumn("_id", F.monotonically_increasing_id()).select("_id", F.struct(F.lit(0).alias("_"), *others).alias("_row"), F.posexplode_outer(F.regexp_extract_all(html, F.lit(TOKEN), F.lit(0))).alias("_at", "_raw"))
     # A page's own columns stay with its first token.
     rows = cut.select("_id", F.coalesce("_at", F.lit(0)).alias("at"), F.when(F.coalesce("_at", F.lit(0)) == 0, F.col("_row")).alias("_row"), F.coalesce("_raw", F.lit("")).alias("raw"))
@@ -44,10 +50,11 @@ def page_trees(pages: DataFrame, html: str = "html") -> DataFrame:
     named = F.lower(F.regexp_extract("raw", r"^</?([A-Za-z][\w:\-]*)", 1))
     kind = F.when(~raw.startswith("<") | (raw == "<"), "text").when(named == "", "other").when(raw.startswith("</"), "end").when(named.isin("script", "style", *VOID) | raw.endswith("/>"), "void").otherwise("start")
     tagged = F.col("kind").isin("start", "void")
-    rows = rows.withColumns({"name": named, "kind": kind}).withColumns({"text": F.when(F.col("kind") == "text", raw), "class": F.when(tagged, attribute(raw, "class")).otherwise("")})
+    rows = rows.withColumns({"name": named, "kind": kind}).repartition(parts, "_id")
+    is_text = F.col("kind") == "text"
     page = Window.partitionBy("_id").orderBy("at")
     so_far = page.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("off", F.coalesce(F.sum(F.length("text") + 1).over(page.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rows = rows.withColumn("off", F.coalesce(F.sum(F.when(is_text, F.length(raw) + 1)).over(page.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     own = Window.partitionBy("_id", "name").orderBy("at")
     step = F.when(F.col("kind") == "start", 1).when(F.col("kind") == "end", -1).otherwise(0)
     rows = rows.withColumn("sum", F.sum(step).over(own.rowsBetween(Window.unboundedPreceding, 0)))
@@ -73,13 +80,13 @@ def page_trees(pages: DataFrame, html: str = "html") -> DataFrame:
         F.when(bare, F.col("at")).otherwise(whole("at", (1 << 31) - 1)).cast("int").alias("ate"),
         F.col("name").alias("nome"),
         raw.alias("tag"),
-        F.col("class").alias("classe"),
+        F.when(tagged, attribute(raw, "class")).otherwise("").alias("classe"),
         F.col("off").alias("de"),
         F.when(bare, F.col("off")).otherwise(whole("off", 1 << 40)).alias("fim"),
     )
     listed = rows.groupBy("_id").agg(
         F.first("_row", ignorenulls=True).alias("_row"),
-        F.array_sort(F.collect_list(F.when(F.col("text").isNotNull() & (F.col("text") != ""), F.struct("at", "text")))).alias("_texts"),
+        F.array_sort(F.collect_list(F.when(is_text & (raw != ""), F.struct("at", raw.alias("text"))))).alias("_texts"),
         F.array_sort(F.collect_list(F.when(F.col("kind").isin("start", "void") & (F.col("name") != ""), node))).alias("nos"),
     )
     return listed.select("_row.*", F.array_join(F.transform("_texts", lambda t: t["text"]), " ").alias("texto"), "nos").drop("_")

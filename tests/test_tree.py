@@ -78,3 +78,11 @@ def test_prices_within_elements(spark):
     assert found == {"Sal": ("1.79", ""), "Mel": ("3", "https://p.pt/m.png")}
     (r,) = pages.tile_records(spark.createDataFrame([(tile,)], "html string"), "L", "t").collect()
     assert (r["preco"], r["preco_original"]) == ("0.9", "1.20")
+
+
+def test_tokens_are_dealt_to_more_tasks_as_pages_grow(spark, monkeypatch):
+    monkeypatch.setattr(tree, "CHARS", 50, raising=False)
+    rows = spark.createDataFrame([(i, "<p>" + "a b " * 5 + "</p>") for i in range(100)] + [(100, None)], "n int, html string")
+    found = tree.page_trees(rows)
+    assert found.rdd.getNumPartitions() >= 50
+    assert sorted((r["n"], len(r["nos"])) for r in found.select("n", "nos").collect()) == [(i, int(i < 100)) for i in range(101)]
