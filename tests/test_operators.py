@@ -341,6 +341,6 @@ def test_ablation_and_chains(spark):
     assert sorted((r["id_loja"], r["insignia"]) for r in ingest.upsert_chains(old, new, F.lit("t")).collect()) == [(1, "a"), (2, "b")]
 
 
-@pytest.mark.parametrize("name", ["standard_names"])
+@pytest.mark.parametrize("name", ["standard_names", "quantity_extraction"])
 def test_names_of_one_small_file_are_dealt_to_all_cores(spark, sf_dir, name):
     assert queries.QUERIES[name](spark, sf_dir).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
