@@ -174,6 +174,12 @@ def test_anomalies_are_counted_with_changes_from_zero(spark):
     assert {(r["criterio"], r["n"]) for r in quality.anomaly_counts(anomaly.anomalies(rows)).collect()} == {("variacao_abrupta", 2)}
 
 
+def test_anomalies_of_equal_days_and_numbers_are_counted_alike_in_any_order(spark):
+    given = [(1, 1, date(2026, 1, 1), price, False, "kg") for price in (1.0, 2.0)]
+    for order in (given, given[::-1]):
+        assert [(r["criterio"], r["n"]) for r in quality.anomaly_counts(anomaly.anomalies(observed(spark, order).coalesce(1))).collect()] == [("variacao_abrupta", 1)]
+
+
 def test_buy_or_wait(spark):
     rows = spark.createDataFrame([(1, date(2026, 1, d), p, 1.69) for d, p in ((1, 1.69), (2, 1.50))] + [(2, date(2026, 1, 1), 1.69, 1.69)], "id_produto_loja int, data date, preco_medio double, agora double")
     assert {r["id_produto_loja"]: r["decisao"] for r in forecast.buy_or_wait(rows, F.col("agora")).collect()} == {1: "aguardar", 2: "comprar_agora"}

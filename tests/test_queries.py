@@ -7,6 +7,7 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from feira.plans.queries import ORACLE_SQL, QUERIES
 
@@ -43,3 +44,19 @@ def test_equals_sql(spark, sf_dir, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_rows_only(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() > 0
+
+
+def test_anomaly_counts_equal_sql_on_odd_rows(spark, sf_dir, tmp_path):
+    """Rows without a day or number come last in a product; equal quartiles make no fence, infinite ones and those that are no numbers among them."""
+    inf, nan, days = math.inf, math.nan, (None, 1, 2, 3, 4)
+    given = [("day", days, (1.0, 0.6, 0.6, 0.6, 0.6)), ("infinite", days[1:], (inf, inf, inf, inf)), ("not numbers", days[1:], (1.0, nan, nan, nan, nan)), ("number", (1, 1), (1.0, 0.6))]
+    rows = [(None if key == "number" and n == 0 else 10 * user + n, day and f"2024-01-0{day} 08:00:00", user, "view", price) for user, (key, at, prices) in enumerate(given) for n, (day, price) in enumerate(zip(at, prices))]
+    events = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    events.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    for t in set(TABLES) - {"events"}:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    for name in ("anomaly_counts", "anomalies"):
+        mine = [tuple(plain(v) for v in r) for r in QUERIES[name](spark, str(tmp_path)).collect()]
+        assert sorted(mine, key=str) == sorted((tuple(plain(v) for v in r) for r in con.execute(ORACLE_SQL[name]).fetchall()), key=str)
